@@ -70,3 +70,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+class Generations:
+    """What `make` gives for keys, remembered in two generations of up to `most`: keys in use move to the younger, the
+    older is forgotten when the younger is full."""
+
+    def __init__(self, make, most: int = 150_000):
+        self.make, self.most, self.young, self.old = make, most, {}, {}
+
+    def ensure(self, keys: set) -> dict:
+        """A dict that holds all of keys."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        new = []
+        for k in keys - self.young.keys():
+            if k in self.old:
+                self.young[k] = self.old[k]
+            else:
+                new.append(k)
+        if new:
+            self.young.update(zip(new, self.make(new), strict=True))
+        return self.young
+
+
+def blocks(texts: list, size: int = 1_000_000):
+    """Ranges (i, j) of texts with about `size` characters each, so that little is held at once."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        held += len(text or "")
+        if held >= size:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
