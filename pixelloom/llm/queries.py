@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm import byte_bpe, decontaminate, ngram_join, token_files
+from pixelloom.llm import byte_bpe, decontaminate, licenses, ngram_join, quality, token_files
 from pixelloom.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -25,8 +29,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_ngram_join": op1_ngram_join, "op2_byte_bpe": op2_byte_bpe, "op4_token_files": op4_token_files, "op6_decontaminate": op6_decontaminate}
+    return {"op1_ngram_join": op1_ngram_join, "op2_byte_bpe": op2_byte_bpe, "op3_quality": op3_quality, "op10_licenses": op10_licenses, "op4_token_files": op4_token_files, "op6_decontaminate": op6_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
