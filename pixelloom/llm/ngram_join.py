@@ -24,6 +24,7 @@ one text each: a row that repeats an id with another text keeps its own set size
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from functools import reduce
 
@@ -33,35 +34,85 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import Scratch, WordHashes, ascii_words, mix
+from pixelloom.llm.common import ASCII_LOWER, Scratch, mix
 from pixelloom.llm.components import components
 from pixelloom.llm.count_tree import CountTree, count_vector, enough
 
 _M = np.uint64(0x9FB21C651E98DF25)
 _EMPTY = np.empty(0, np.uint64)
+_FOLD = np.frombuffer(ASCII_LOWER, np.uint8)
+_WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: One 64-bit value for each byte value: the polynomial hash of a word is the sum of value * base ** position.
+_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE = 0xD1342543DE82EF95
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base % 2**64, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
 class Shingles:
-    def __init__(self, k: int):
-        self.k, self.hashes = k, WordHashes()
-
-    def of(self, text: str | None) -> np.ndarray:
-        """The set: sorted distinct hashes."""
-        words = self.hashes.of(ascii_words(text))
-        n = len(words)
-        if n == 0:
-            return _EMPTY
-        if n < self.k:
-            out = np.array([n], np.uint64)
-            for w in words:
-                out = mix(out * _M + w)
-            return out
-        out = words[: n - self.k + 1].copy()
-        for j in range(1, self.k):
+    """Sets of many texts at once, from the Arrow buffers: no string is made of a text or a word."""
+
+    def __init__(self, k: int, block: int = 2_000_000):
+        self.k, self.block = k, block
+        self.up = self.down = _EMPTY
+
+    def _words(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and text number of each word; text i ends before byte ends[i]."""
+        if len(self.up) < len(raw):
+            self.up, self.down = _powers(_BASE, len(raw)), _powers(pow(_BASE, -1, 2**64), len(raw))
+        black = ~_WHITE[raw]
+        first, last = black.copy(), black.copy()
+        first[1:] &= ~black[:-1]
+        last[:-1] &= ~black[1:]
+        cuts = np.unique(ends[(ends > 0) & (ends < len(raw))])
+        first[cuts] = black[cuts]
+        last[cuts - 1] = black[cuts - 1]
+        i, j = np.flatnonzero(first), np.flatnonzero(last) + 1
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_VALUES[_FOLD[raw]] * self.up[: len(raw)], dtype=np.uint64)])
+        return mix((sums[j] - sums[i]) * self.down[i] + (j - i).astype(np.uint64)), np.searchsorted(ends, i, side="right")
+
+    def _sets(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words, text = self._words(raw, ends)
+        k, many = self.k, np.bincount(text, minlength=len(ends))
+        out = words[: max(0, len(words) - k + 1)].copy()
+        for j in range(1, k):
             out *= _M
             out ^= out >> np.uint64(32)
-            out += words[j : n - self.k + 1 + j]
-        return np.unique(mix(out))
+            out += words[j : len(words) - k + 1 + j]
+        inside = text[: len(out)] == text[k - 1 :]
+        out, own = mix(out[inside]), text[: len(out)][inside]
+        if len(short := np.flatnonzero((many > 0) & (many < k))):
+            at, more = np.concatenate([[0], np.cumsum(many)]), []
+            for i in short:
+                whole = np.array([many[i]], np.uint64)
+                for w in words[at[i] : at[i + 1]]:
+                    whole = mix(whole * _M + w)
+                more.append(whole[0])
+            order = np.argsort(np.concatenate([own, short]), kind="stable")
+            out, own = np.concatenate([out, np.array(more, np.uint64)])[order], np.concatenate([own, short])[order]
+        cuts = np.searchsorted(own, np.arange(len(ends) + 1))
+        for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            out[i:j].sort()
+        new = np.ones(len(out), bool)
+        new[1:] = (out[1:] != out[:-1]) | (own[1:] != own[:-1])
+        return out[new], np.bincount(own[new], minlength=len(ends))
+
+    def of(self, texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """(number of the first text, the sets of it and those after it), in blocks. A set: sorted distinct hashes."""
+        texts = texts.cast(pa.large_string())
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + self.block, side="right")) - 1)
+            j = min(j, len(texts))
+            values, sizes = self._sets(data[bounds[i] : bounds[j]], bounds[i + 1 : j + 1] - bounds[i])
+            yield i, np.split(values, np.cumsum(sizes)[:-1])
+            i = j
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -72,7 +123,7 @@ def _table(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) if not isinstance(v, pa.Array) else v for v in columns.values()], list(columns))
 
 
-def profile(docs: DataFrame, k: int, block: int = 3_000_000, often: int = 8) -> DataFrame:
+def profile(docs: DataFrame, k: int, block: int = 3_000_000, often: int = 3) -> DataFrame:
     """kind 0: a document's id, set size, set hash. kind 1: a shingle and its count, where it occurs in `often` documents
     of a block."""
 
@@ -87,14 +138,14 @@ def profile(docs: DataFrame, k: int, block: int = 3_000_000, often: int = 8) ->
 
         for batch in batches:
             n, c, d = [], [], []
-            for text in batch.column(1):
-                found = shingles.of(text.as_py())
-                held.append(found)
-                size += len(found)
-                x, y = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
-                n.append(len(found))
-                c.append(x)
-                d.append(y)
+            for _, block_sets in shingles.of(batch.column(1)):
+                held += block_sets
+                for found in block_sets:
+                    x, y = struct.unpack("<qq", xxhash.xxh3_128_digest(found.tobytes()))
+                    n.append(len(found))
+                    c.append(x)
+                    d.append(y)
+                    size += len(found)
                 if size >= block:
                     yield frequent()
                     held, size = [], 0
@@ -113,8 +164,8 @@ def cells(docs: DataFrame, k: int, percent: int, order: list[tuple[int, int]]) -
         shingles, (known, counts) = Shingles(k), sent.value
         for batch in batches:
             tokens, ids, often, size = [], [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = shingles.of(text.as_py())
+            doc_ids = batch.column(0).to_pylist()
+            for doc_id, found in ((doc_ids[i + k], f) for i, block_sets in shingles.of(batch.column(1)) for k, f in enumerate(block_sets)):
                 n = len(found)
                 if doc_id is None or n == 0:
                     continue
@@ -165,18 +216,34 @@ def shared(opened: DataFrame) -> DataFrame:
     return opened.repartition(F.col("token"), salt).sortWithinPartitions("token").mapInArrow(run, "token long, doc_id long")
 
 
-def sets(docs: DataFrame, k: int, groups: int) -> DataFrame:
-    """doc_id, n, counts, tokens."""
+def points(docs: DataFrame, k: int, groups: int) -> DataFrame:
+    """doc_id, counts: one byte a group where that holds the counts, else four."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(k)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for at in range(0, len(ids), 500):
-                found = [shingles.of(t.as_py()) for t in batch.column(1)[at : at + 500]]
-                yield _table(doc_id=pa.array(ids[at : at + 500], pa.int64()), n=np.array([len(f) for f in found], np.int64), counts=pa.array([count_vector(f, groups).tobytes() for f in found], pa.binary()), tokens=pa.array([f.tobytes() for f in found], pa.binary()))
+            for at, found in shingles.of(batch.column(1)):
+                counts = [count_vector(f, groups) for f in found]
+                yield _table(doc_id=batch.column(0)[at : at + len(found)], counts=pa.array([(c.astype(np.uint8) if c.max() < 256 else c).tobytes() for c in counts], pa.binary()))
+
+    return docs.mapInArrow(run, "doc_id long, counts binary")
+
+
+def sets(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(k)
+        for batch in batches:
+            for at, found in shingles.of(batch.column(1)):
+                yield _table(doc_id=batch.column(0)[at : at + len(found)], tokens=pa.array([f.tobytes() for f in found], pa.binary()))
+
+    return docs.mapInArrow(run, "doc_id long, tokens binary")
+
 
-    return docs.mapInArrow(run, "doc_id long, n long, counts binary, tokens binary")
+def small(df: DataFrame, most: int) -> DataFrame:
+    """Marked to be broadcast where it has at most that many rows; joined by a shuffle otherwise."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -201,8 +268,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _points(rows: pa.Table) -> np.ndarray:
-    return np.stack([np.frombuffer(c, np.uint32) for c in rows.column("counts").to_pylist()])
+def _points(rows: pa.Table, groups: int) -> np.ndarray:
+    return np.stack([np.frombuffer(c, np.uint8 if len(c) == groups else np.uint32).astype(np.int64) for c in rows.column("counts").to_pylist()])
 
 
 def dealt(members: DataFrame, chunk: int) -> DataFrame:
@@ -213,7 +280,7 @@ def dealt(members: DataFrame, chunk: int) -> DataFrame:
     return wide.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
 
 
-def leaders(members: DataFrame, percent: int, seeds: int = 8) -> DataFrame:
+def leaders(members: DataFrame, percent: int, groups: int, seeds: int = 8) -> DataFrame:
     """a, b: for document b the most promising earlier document a, by overlap bound, among the first ones of its cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,9 +290,9 @@ def leaders(members: DataFrame, percent: int, seeds: int = 8) -> DataFrame:
             return _table(a=np.array([-v[1] for v in found.values()], np.int64), b=np.array(list(found), np.int64), score=np.array([v[0] for v in found.values()], np.float64))
 
         for rows in _groups(batches, 3):
-            ids, points = rows.column("doc_id").to_numpy(), _points(rows)
+            ids, points = rows.column("doc_id").to_numpy(), _points(rows, groups)
             order = np.argsort(ids)
-            ids, points = ids[order], points[order].astype(np.int64)
+            ids, points = ids[order], points[order]
             n = points.sum(1)
             for s in range(min(seeds, len(ids) - 1)):
                 bound = np.minimum(points[s], points[s + 1 :]).sum(1)
@@ -244,13 +311,13 @@ def leaders(members: DataFrame, percent: int, seeds: int = 8) -> DataFrame:
     return best.groupBy("b").agg(F.max(F.struct("score", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
 
 
-def tree_pairs(members: DataFrame, percent: int, chunk: int = 2048) -> DataFrame:
+def tree_pairs(members: DataFrame, percent: int, groups: int, chunk: int = 2048) -> DataFrame:
     """a, b: the pairs of different components in a cell that the R-tree's bounds leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 3):
             x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
-            ids, own, label, points = rows.column("doc_id").to_numpy(), rows.column("own").to_numpy(), rows.column("component").to_numpy(), _points(rows)
+            ids, own, label, points = rows.column("doc_id").to_numpy(), rows.column("own").to_numpy(), rows.column("component").to_numpy(), _points(rows, groups)
             if (label == label[0]).all():
                 continue
             sides = [own == x] if x == y else [own == x, own == y]
@@ -265,9 +332,9 @@ def tree_pairs(members: DataFrame, percent: int, chunk: int = 2048) -> DataFrame
     return columns.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, full: DataFrame, percent: int, load: int = 64) -> DataFrame:
-    """The pairs whose sets are similar. The sets of the b of an a go to the same task as a's; an a of many is dealt to
-    several."""
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch, tag: str, most_broadcast: int, load: int = 64) -> DataFrame:
+    """The pairs whose sets are similar. Only the sets of documents in pairs are made; those of the b of an a go to the
+    same task as a's, an a of many is dealt to several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, first = None, []  # a, salt; the sets of a
@@ -290,11 +357,13 @@ def verified(pairs: DataFrame, full: DataFrame, percent: int, load: int = 64) ->
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(load)).cast("int").alias("salts"))
     children = pairs.join(salts, "a").select(F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("doc_id"))
     heads = salts.select(F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("doc_id"))
-    rows = children.union(heads).join(full.select("doc_id", "tokens"), "doc_id").select("key", "salt", "doc_id", "tokens")
+    places = scratch.save(f"{tag}-places", children.union(heads))
+    full = sets(docs.join(small(places.select("doc_id").distinct(), most_broadcast), "doc_id", "left_semi"), k)
+    rows = full.join(small(places, most_broadcast), "doc_id").select("key", "salt", "doc_id", "tokens")
     return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc_id").mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80, groups: int = 128, id_col: str = "doc_id", text_col: str = "text", ordered: int = 200_000, most_broadcast: int = 1_000_000) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, percent: int = 80, groups: int = 512, id_col: str = "doc_id", text_col: str = "text", ordered: int = 500_000, most_broadcast: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links), class_id (the smallest id with the same
     set) of every document."""
     scratch = Scratch(docs.sparkSession, "ngram-join")
@@ -313,20 +382,18 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, groups: int = 128, id_c
     alone = sizes.groupBy("size", "s", "t").agg(F.min("token").alias("token")).select("token", "size")
     members = scratch.save("members", common.join(alone, "token").select(F.col("token").alias("cell"), "size", "doc_id"))
 
-    wanted = members.select("doc_id").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted
-    full = scratch.save("sets", sets(docs.join(wanted, "doc_id", "left_semi"), k, groups))
-    points = full.select("doc_id", "counts")
-    links = scratch.save("links", verified(scratch.save("leaders", leaders(members.join(points, "doc_id"), percent)), full, percent))
+    near = docs.join(small(members.select("doc_id").distinct(), most_broadcast), "doc_id", "left_semi")
+    located = scratch.save("points", points(near, k, groups))
+    first = scratch.save("leaders", leaders(members.join(located, "doc_id"), percent, groups))
+    links = scratch.save("links", verified(first, docs, k, percent, scratch, "first", most_broadcast))
     found = components(links, scratch, "first").withColumnRenamed("node", "doc_id")
     labelled = scratch.save("labelled", members.join(found, "doc_id", "left").select("cell", "size", "doc_id", F.coalesce("component", "doc_id").alias("component")))
     several = labelled.groupBy("cell").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("cell")
-    rest = tree_pairs(labelled.join(several, "cell", "left_semi").join(points, "doc_id"), percent)
-    tried = docs.sparkSession.read.schema("a long, b long").parquet(scratch.path("leaders"))
-    more = verified(scratch.save("rest", rest.join(tried, ["a", "b"], "left_anti")), full, percent)
-    links = scratch.save("all-links", links.union(more))
+    rest = tree_pairs(labelled.join(several, "cell", "left_semi").join(located, "doc_id"), percent, groups)
+    rest = scratch.save("rest", rest.join(first, ["a", "b"], "left_anti"))
+    links = scratch.save("all-links", links.union(verified(rest, docs, k, percent, scratch, "rest", most_broadcast)))
     found = scratch.save("components", components(links, scratch, "second").select(F.col("node").alias("class_id"), "component"))
-    for name in ("shared", "members", "sets", "labelled", "leaders", "rest", "links"):
+    for name in ("shared", "members", "points", "labelled", "leaders", "rest", "links", "first-places", "rest-places"):
         scratch.drop(name)
     stands = classes.join(found, "class_id", "left").select("c", "d", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     return own.join(stands, ["c", "d", "n_shingles"], "left").select(
