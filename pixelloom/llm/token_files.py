@@ -16,20 +16,24 @@ named in the manifest count.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pixelloom.llm.byte_bpe import byte_characters
 from pixelloom.llm.common import Generations, Scratch, blocks
 
 # Fixed values of the public seekable format.
@@ -92,6 +96,11 @@ def open_file(uri: str) -> Reader:
     return Reader(fs.open_input_file(path))
 
 
+#: Runs of printable ASCII and composed Latin letters: for these the vocabulary's normaliser only lower-cases, and its
+#: pattern cuts as _PIECES does. Other runs go through the library's whole chain.
+_PLAIN = regex.compile(r"[!-~\u00a1-\u012f\u0131-\u024f]+")
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
 _CODERS: dict = {}
 
 
@@ -101,13 +110,22 @@ def _coder(path: str) -> Generations:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
+        library, chars = Tokenizer.from_file(path), "".join(byte_characters())
+        model, special = library.model, re.compile("|".join(re.escape(t.content) for t in library.get_added_tokens_decoder().values()) or "$^")
+
+        def merged(pieces: list[str]) -> list[bytes]:
+            return [array("I", [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(chars))]).tobytes() for p in pieces]
+
+        known = Generations(merged, most=300_000)
 
         def make(runs: list[bytes]) -> list[bytes]:
-            found = model.encode_batch_fast([r.decode("utf-8", "replace") for r in runs], add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in found]
+            texts = [r.decode("utf-8", "replace") for r in runs]
+            plain = [_PIECES.findall(t.lower()) if _PLAIN.fullmatch(t) and not special.search(t) else None for t in texts]
+            ids = known.ensure({p for pieces in plain if pieces for p in pieces})
+            rest = iter(library.encode_batch_fast([t for t, pieces in zip(texts, plain, strict=True) if pieces is None], add_special_tokens=False))
+            return [np.array(next(rest).ids, "<u4").tobytes() if pieces is None else b"".join([ids[p] for p in pieces]) for pieces in plain]
 
-        _CODERS[path] = Generations(make, most=300_000)
+        _CODERS[path] = Generations(make, most=500_000)
     return _CODERS[path]
 
 
