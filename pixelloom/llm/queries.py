@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm import byte_bpe, decontaminate, licenses, ngram_join, quality, token_files
+from pixelloom.llm import byte_bpe, decontaminate, licenses, ngram_join, quality, secrets, token_files, toxicity
 from pixelloom.llm.common import table
 
 
@@ -25,16 +25,24 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op1_ngram_join": op1_ngram_join, "op2_byte_bpe": op2_byte_bpe, "op3_quality": op3_quality, "op10_licenses": op10_licenses, "op4_token_files": op4_token_files, "op6_decontaminate": op6_decontaminate}
+    return {"op1_ngram_join": op1_ngram_join, "op2_byte_bpe": op2_byte_bpe, "op3_quality": op3_quality, "op10_licenses": op10_licenses, "op4_token_files": op4_token_files, "op5_secrets": op5_secrets, "op9_toxicity": op9_toxicity, "op6_decontaminate": op6_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
