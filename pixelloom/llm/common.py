@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Lower-cases A-Z only; every other byte stays (so UTF-8 sequences stay whole).
@@ -48,23 +49,6 @@ def ascii_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered for up to `most` words."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -72,6 +56,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_FOLD = np.frombuffer(ASCII_LOWER, np.uint8)
+_WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: One 64-bit value for each byte value: the polynomial hash of a word is the sum of value * base ** position.
+_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE = 0xD1342543DE82EF95
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base % 2**64, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class HashedWords:
+    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of many texts at once, A-Z lower-cased, from Arrow's buffers."""
+
+    def __init__(self, block: int = 2_000_000):
+        self.block = block
+        self.up = self.down = np.empty(0, np.uint64)
+
+    def blocks(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of the first text, bytes of it and the texts after it, where each ends), about `block` bytes each."""
+        texts = texts.cast(pa.large_string())
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + self.block, side="right")) - 1)
+            j = min(j, len(texts))
+            yield i, data[bounds[i] : bounds[j]], bounds[i + 1 : j + 1] - bounds[i]
+            i = j
+
+    def words(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and text number of each word."""
+        if len(self.up) < len(raw):
+            self.up, self.down = _powers(_BASE, len(raw)), _powers(pow(_BASE, -1, 2**64), len(raw))
+        black = ~_WHITE[raw]
+        first, last = black.copy(), black.copy()
+        first[1:] &= ~black[:-1]
+        last[:-1] &= ~black[1:]
+        cuts = np.unique(ends[(ends > 0) & (ends < len(raw))])
+        first[cuts] = black[cuts]
+        last[cuts - 1] = black[cuts - 1]
+        i, j = np.flatnonzero(first), np.flatnonzero(last) + 1
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_VALUES[_FOLD[raw]] * self.up[: len(raw)], dtype=np.uint64)])
+        return mix((sums[j] - sums[i]) * self.down[i] + (j - i).astype(np.uint64)), np.searchsorted(ends, i, side="right")
+
+
 class Generations:
     """What `make` gives for keys, remembered in two generations of up to `most`: keys in use move to the younger, the
     older is forgotten when the younger is full."""

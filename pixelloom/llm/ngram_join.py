@@ -34,49 +34,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import ASCII_LOWER, Scratch, mix
+from pixelloom.llm.common import HashedWords, Scratch, mix
 from pixelloom.llm.components import components
 from pixelloom.llm.count_tree import CountTree, count_vector, enough
 
 _M = np.uint64(0x9FB21C651E98DF25)
 _EMPTY = np.empty(0, np.uint64)
-_FOLD = np.frombuffer(ASCII_LOWER, np.uint8)
-_WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-#: One 64-bit value for each byte value: the polynomial hash of a word is the sum of value * base ** position.
-_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0xD1342543DE82EF95
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base % 2**64, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-class Shingles:
+class Shingles(HashedWords):
     """Sets of many texts at once, from the Arrow buffers: no string is made of a text or a word."""
 
-    def __init__(self, k: int, block: int = 2_000_000):
-        self.k, self.block = k, block
-        self.up = self.down = _EMPTY
-
-    def _words(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and text number of each word; text i ends before byte ends[i]."""
-        if len(self.up) < len(raw):
-            self.up, self.down = _powers(_BASE, len(raw)), _powers(pow(_BASE, -1, 2**64), len(raw))
-        black = ~_WHITE[raw]
-        first, last = black.copy(), black.copy()
-        first[1:] &= ~black[:-1]
-        last[:-1] &= ~black[1:]
-        cuts = np.unique(ends[(ends > 0) & (ends < len(raw))])
-        first[cuts] = black[cuts]
-        last[cuts - 1] = black[cuts - 1]
-        i, j = np.flatnonzero(first), np.flatnonzero(last) + 1
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_VALUES[_FOLD[raw]] * self.up[: len(raw)], dtype=np.uint64)])
-        return mix((sums[j] - sums[i]) * self.down[i] + (j - i).astype(np.uint64)), np.searchsorted(ends, i, side="right")
+    def __init__(self, k: int):
+        super().__init__()
+        self.k = k
 
     def _sets(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        words, text = self._words(raw, ends)
+        words, text = self.words(raw, ends)
         k, many = self.k, np.bincount(text, minlength=len(ends))
         out = words[: max(0, len(words) - k + 1)].copy()
         for j in range(1, k):
@@ -103,16 +77,9 @@ class Shingles:
 
     def of(self, texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
         """(number of the first text, the sets of it and those after it), in blocks. A set: sorted distinct hashes."""
-        texts = texts.cast(pa.large_string())
-        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-        i = 0
-        while i < len(texts):
-            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + self.block, side="right")) - 1)
-            j = min(j, len(texts))
-            values, sizes = self._sets(data[bounds[i] : bounds[j]], bounds[i + 1 : j + 1] - bounds[i])
+        for i, raw, ends in self.blocks(texts):
+            values, sizes = self._sets(raw, ends)
             yield i, np.split(values, np.cumsum(sizes)[:-1])
-            i = j
 
 
 def _long(x: np.ndarray) -> pa.Array:
