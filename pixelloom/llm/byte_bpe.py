@@ -16,10 +16,12 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 def byte_characters() -> list[str]:
@@ -149,6 +151,27 @@ def digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encoded_rows(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """Every row with n_tokens, ids and round_trip (whether the ids decode to the text's bytes) in place of its text."""
+    at = docs.columns.index(text_col)
+    others = [f for f in docs.schema.fields if f.name != text_col]
+    schema = T.StructType([*others, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = bpe(path, pattern)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                texts, rows = part.column(at).to_pylist(), []
+                for text, found in zip(texts, coder.entries(texts), strict=True):
+                    ids = np.array(" ".join([e[1] for e in found]).split(), np.int32)
+                    rows.append((len(ids), ids, b"".join([e[2] for e in found]) == (text or "").encode("utf-8", "surrogatepass")))
+                columns = [c for k, c in enumerate(part.columns) if k != at]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.bool_())], [*(f.name for f in others), "n_tokens", "ids", "round_trip"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the ids themselves."""
 

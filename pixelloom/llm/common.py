@@ -44,11 +44,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ascii_words(text: str | None) -> list[bytes]:
-    """Words `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, as UTF-8 bytes. Null has none."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -90,6 +85,10 @@ class HashedWords:
 
     def words(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash and text number of each word."""
+        return self.placed(raw, ends)[:2]
+
+    def placed(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and text number of each word, its first byte and the one after its last."""
         if len(self.up) < len(raw):
             self.up, self.down = _powers(_BASE, len(raw)), _powers(pow(_BASE, -1, 2**64), len(raw))
         black = ~_WHITE[raw]
@@ -101,7 +100,7 @@ class HashedWords:
         last[cuts - 1] = black[cuts - 1]
         i, j = np.flatnonzero(first), np.flatnonzero(last) + 1
         sums = np.concatenate([[np.uint64(0)], np.cumsum(_VALUES[_FOLD[raw]] * self.up[: len(raw)], dtype=np.uint64)])
-        return mix((sums[j] - sums[i]) * self.down[i] + (j - i).astype(np.uint64)), np.searchsorted(ends, i, side="right")
+        return mix((sums[j] - sums[i]) * self.down[i] + (j - i).astype(np.uint64)), np.searchsorted(ends, i, side="right"), i, j
 
 
 class Generations:

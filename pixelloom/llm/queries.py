@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm import byte_bpe, decontaminate, hmm_lm, licenses, ngram_join, quality, secrets, token_files, toxicity
+from pixelloom.llm import byte_bpe, decontaminate, hmm_lm, licenses, line_dedup, ngram_join, quality, secrets, token_files, toxicity
 from pixelloom.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.scored(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_ngram_join": op1_ngram_join, "op2_byte_bpe": op2_byte_bpe, "op3_quality": op3_quality, "op10_licenses": op10_licenses, "op4_token_files": op4_token_files, "op5_secrets": op5_secrets, "op8_hmm_lm": op8_hmm_lm, "op9_toxicity": op9_toxicity, "op6_decontaminate": op6_decontaminate}
+    return {"op1_ngram_join": op1_ngram_join, "op2_byte_bpe": op2_byte_bpe, "op3_quality": op3_quality, "op10_licenses": op10_licenses, "op4_token_files": op4_token_files, "op5_secrets": op5_secrets, "op7_line_dedup": op7_line_dedup, "op8_hmm_lm": op8_hmm_lm, "op9_toxicity": op9_toxicity, "op6_decontaminate": op6_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
