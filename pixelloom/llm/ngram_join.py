@@ -368,7 +368,15 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, groups: int = 512, id_c
     )
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stand for their component (its smallest id) and those without an id, all columns kept."""
-    kept = join(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").unionByName(docs.where("doc_id is null")).dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, most_broadcast: int = 1_000_000, **options) -> DataFrame:
+    """The documents that stand for their component (its smallest id), all columns kept. Of rows that repeat such an id one
+    stays; rows without an id all stay."""
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    found = scratch.save("found", join(docs, most_broadcast=most_broadcast, **options))
+    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(small(dropped, most_broadcast), "doc_id", "left_anti").select(*docs.columns)
+    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.limit(1).count() == 0:
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
