@@ -104,6 +104,10 @@ class ByteBpe:
         for t, ids in zip(new, self._pieces(new), strict=True):
             self.young[t] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
 
+    def forget(self) -> None:
+        """At the end of a task: a worker process lives on in other stages, which need the memory."""
+        self.young, self.old = {}, {}
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -147,6 +151,7 @@ def digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 back = b"".join([e[2] for e in found])
                 rows.append((doc_id, sum([e[0] for e in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(4)], schema=schema)
+        coder.forget()
 
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -168,6 +173,7 @@ def encoded_rows(docs: DataFrame, path: str, pattern: str, text_col: str = "text
                     rows.append((len(ids), ids, b"".join([e[2] for e in found]) == (text or "").encode("utf-8", "surrogatepass")))
                 columns = [c for k, c in enumerate(part.columns) if k != at]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.bool_())], [*(f.name for f in others), "n_tokens", "ids", "round_trip"])
+        coder.forget()
 
     return docs.mapInArrow(run, schema)
 

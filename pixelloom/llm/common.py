@@ -67,7 +67,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 class HashedWords:
     """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of many texts at once, A-Z lower-cased, from Arrow's buffers."""
 
-    def __init__(self, block: int = 2_000_000):
+    def __init__(self, block: int = 1_000_000):
         self.block = block
         self.up = self.down = np.empty(0, np.uint64)
 

@@ -90,7 +90,7 @@ def _table(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) if not isinstance(v, pa.Array) else v for v in columns.values()], list(columns))
 
 
-def profile(docs: DataFrame, k: int, block: int = 3_000_000, often: int = 3) -> DataFrame:
+def profile(docs: DataFrame, k: int, block: int = 2_000_000, often: int = 3) -> DataFrame:
     """kind 0: a document's id, set size, set hash. kind 1: a shingle and its count, where it occurs in `often` documents
     of a block."""
 
