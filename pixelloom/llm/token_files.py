@@ -16,7 +16,6 @@ named in the manifest count.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -96,11 +95,21 @@ def open_file(uri: str) -> Reader:
     return Reader(fs.open_input_file(path))
 
 
-#: Runs of printable ASCII and composed Latin letters: for these the vocabulary's normaliser only lower-cases, and its
-#: pattern cuts as _PIECES does. Other runs go through the library's whole chain.
-_PLAIN = regex.compile(r"[!-~\u00a1-\u012f\u0131-\u024f]+")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
+
+def pieces_of(run: str) -> list[str] | None:
+    """What the vocabulary's pattern makes of a run of printable ASCII and composed Latin letters, which its normaliser
+    only lower-cases. None: other runs, which go through the library's whole chain."""
+    if not run.isprintable() or max(run) > "\u024f" or "\u0130" in run or "<|" in run:
+        return None
+    if run.isalpha():
+        return [run.lower()]
+    if run[:-1].isalpha():
+        return [run[:-1].lower(), run[-1]]
+    return _PIECES.findall(run.lower())
+
+
 _CODERS: dict = {}
 
 
@@ -111,7 +120,9 @@ def _coder(path: str) -> Generations:
         from tokenizers import Tokenizer
 
         library, chars = Tokenizer.from_file(path), "".join(byte_characters())
-        model, special = library.model, re.compile("|".join(re.escape(t.content) for t in library.get_added_tokens_decoder().values()) or "$^")
+        if not all(t.content.startswith("<|") for t in library.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens have to begin with <|")
+        model = library.model
 
         def merged(pieces: list[str]) -> list[bytes]:
             return [array("I", [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(chars))]).tobytes() for p in pieces]
@@ -120,7 +131,7 @@ def _coder(path: str) -> Generations:
 
         def make(runs: list[bytes]) -> list[bytes]:
             texts = [r.decode("utf-8", "replace") for r in runs]
-            plain = [_PIECES.findall(t.lower()) if _PLAIN.fullmatch(t) and not special.search(t) else None for t in texts]
+            plain = list(map(pieces_of, texts))
             ids = known.ensure({p for pieces in plain if pieces for p in pieces})
             rest = iter(library.encode_batch_fast([t for t, pieces in zip(texts, plain, strict=True) if pieces is None], add_special_tokens=False))
             return [np.array(next(rest).ids, "<u4").tobytes() if pieces is None else b"".join([ids[p] for p in pieces]) for pieces in plain]
