@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Lower-cases A-Z only; every other byte stays (so UTF-8 sequences stay whole).
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -44,6 +45,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lowest_hashes(rows: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
+    """At most `most` rows, those with the lowest hashes of their key. A cut of the hashes comes first, so that the final
+    choice is among about as many rows, however many there are."""
+    share = min(1.0, 1.5 * (most + 100) / max(1, rows.count()))
+    low = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    return rows.where(low < int(share * (1 << 30))).orderBy(low, key).limit(most)
+
+
+def cut_count(counted: DataFrame, column: str, most: int) -> int:
+    """The least count such that at most about `most` rows have it or more, from the counts' logarithmic histogram: a
+    few hundred rows, whatever the table's size."""
+    bins = counted.groupBy(F.floor(8 * F.log2(column)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.min(column).alias("low")).collect()
+    cut, left = 2**62, most
+    for r in sorted(bins, key=lambda r: -r["bin"]):
+        if r["n"] > left:
+            break
+        cut, left = r["low"], left - r["n"]
+    return cut
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

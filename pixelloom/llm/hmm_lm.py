@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import HashedWords, Scratch
+from pixelloom.llm.common import HashedWords, Scratch, cut_count, lowest_hashes
 
 
 class Params:
@@ -206,8 +206,11 @@ def initial(docs: DataFrame, base: np.ndarray, states: int, buckets: int, sample
             model = counts.params(base)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.start, model.move, model.emit))], pa.binary())], ["model"])
 
-    chosen = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "text")
-    return Params(*pickle.loads(chosen.repartition(1).mapInArrow(run, "model binary").first()["model"]))
+    chosen = lowest_hashes(docs, sample).select("doc_id", "text")
+    found = chosen.repartition(1).mapInArrow(run, "model binary").first()
+    if found is None:
+        return Counts(buckets, states).params(base)
+    return Params(*pickle.loads(found["model"]))
 
 
 def baum_welch(docs: DataFrame, model: Params, base: np.ndarray, buckets: int, piece: int, slices: int = 32) -> Params:
@@ -284,7 +287,7 @@ def scored(docs: DataFrame, states: int = 6, buckets: int = 32_768, folds: int =
     for _ in range(iterations):
         model = baum_welch(train, model, base, buckets, piece)
 
-    top = words.orderBy(F.desc("c"), "token").limit(known).toArrow()
+    top = words.where(F.col("c") >= cut_count(words, "c", known)).select("token", "c").toArrow()
     slots = Slots(top.column("token").to_numpy(), top.column("c").to_numpy())
     sent = spark.sparkContext.broadcast((model.start, model.move, model.emit, slots, np.log10(tokens + distinct + 1), end))
 

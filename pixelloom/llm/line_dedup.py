@@ -170,6 +170,8 @@ def dedup(docs: DataFrame, most: int = 1_000_000, shape: dict | None = None, tex
     passes = -(-total // most)
     for part in range(passes):
         keys = found.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == part).select("key").toArrow().column("key").to_numpy()
+        if len(keys) == 0:
+            continue
         docs = drop(docs, keys, shape, text_col)
         if passes > 1:
             docs = scratch.save(f"pass-{part}", docs)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import HashedWords, Scratch, mix
+from pixelloom.llm.common import HashedWords, Scratch, cut_count, mix
 from pixelloom.llm.components import components
 from pixelloom.llm.count_tree import CountTree, count_vector, enough
 
@@ -122,10 +122,11 @@ def profile(docs: DataFrame, k: int, block: int = 2_000_000, often: int = 3) ->
     return docs.mapInArrow(run, "kind int, a long, b long, c long, d long")
 
 
-def cells(docs: DataFrame, k: int, percent: int, order: list[tuple[int, int]]) -> DataFrame:
-    """token, doc_id, often: the shingles that open cells."""
-    order.sort(key=lambda r: r[0] & (2**64 - 1))
-    sent = docs.sparkSession.sparkContext.broadcast((np.array([r[0] for r in order], np.int64).view(np.uint64), np.array([r[1] for r in order], np.int64)))
+def cells(docs: DataFrame, k: int, percent: int, order: pa.Table) -> DataFrame:
+    """token, doc_id, often: the shingles that open cells. order: frequent shingles and their counts."""
+    frequent, times = order.column(0).to_numpy().view(np.uint64), order.column(1).to_numpy()
+    by = np.argsort(frequent)
+    sent = docs.sparkSession.sparkContext.broadcast((frequent[by], times[by]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, (known, counts) = Shingles(k), sent.value
@@ -336,14 +337,14 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, groups: int = 512, id_c
     scratch = Scratch(docs.sparkSession, "ngram-join")
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     seen = scratch.save("profile", profile(docs, k))
-    frequent = seen.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(ordered)
+    frequent = seen.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n"))
     own = seen.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), "c", "d")
     # sets that are unlike all others need no second look
     classes = own.where("n_shingles > 0 and doc_id is not null").groupBy("c", "d", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     classes = scratch.save("classes", classes)
 
     # `ordered` bounds what is sent: it only orders shingles, all of them take part
-    opened = cells(docs, k, percent, [tuple(r) for r in frequent.collect()])
+    opened = cells(docs, k, percent, frequent.where(F.col("n") >= cut_count(frequent, "n", ordered)).toArrow())
     common = scratch.save("shared", shared(opened).join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     sizes = common.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("s"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("t")).where("size > 1")
     alone = sizes.groupBy("size", "s", "t").agg(F.min("token").alias("token")).select("token", "size")

@@ -5,12 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm import byte_bpe, decontaminate, hmm_lm, licenses, line_dedup, ngram_join, quality, secrets, token_files, toxicity
+from pixelloom.llm import byte_bpe, decontaminate, hmm_lm, licenses, line_dedup, ngram_join, oracles, quality, secrets, token_files, toxicity
 from pixelloom.llm.common import table
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents"), k=5, percent=80)
+    return ngram_join.join(table(spark, sf_dir, "documents"), k=5, percent=80).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,4 +54,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
