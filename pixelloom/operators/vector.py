@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions.expressions import bands_of, to_column
 from pixelloom.model import Rasters
+from pixelloom.operators import grid
 from pixelloom.operators.components import components, tile_components
 
 FEATURES = "layer string, feature_id long, props map<string,string>, rings array<array<struct<x:double,y:double>>>"
@@ -49,6 +50,10 @@ def inside(r: Rasters, features: DataFrame, field: str | None = None, touched: b
     Each edge is cut by the scan lines of the image: per (image, row, feature) the sorted crossings. A pixel is inside
     where an odd number of them lies to its right: an equi-join by row, not a join of pixels with edges."""
     mine = matching(features, r.scenes, field)
+    # what cannot meet the image is not cut into scan lines
+    xs, ys = F.transform(F.flatten("rings"), lambda p: p["x"]), F.transform(F.flatten("rings"), lambda p: p["y"])
+    b = grid.bounds(r.scenes).drop("ord")
+    mine = mine.join(b, "image").where((F.array_min(xs) <= F.col("right")) & (F.array_max(xs) >= F.col("left")) & (F.array_min(ys) <= F.col("top")) & (F.array_max(ys) >= F.col("bottom")))
     e = edges(mine.select(F.col("image").alias("layer"), F.xxhash64("layer", "feature_id").alias("feature_id"), "rings")).withColumnRenamed("layer", "image")
     g = e.join(r.scenes.select("image", "x0", "y0", "res_x", "res_y", "width", "height"), "image")
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")

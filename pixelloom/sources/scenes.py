@@ -16,12 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def catalogue(spark: SparkSession, side: int = 32, places: tuple = PLACES) -> DataFrame:
+def side_of(spark: SparkSession) -> int:
+    """Pixels per side of a scene: the setting pixelloom.side, 32 where it is unset."""
+    return int(spark.conf.get("pixelloom.side", "32"))
+
+
+def catalogue(spark: SparkSession, side: int | None = None, places: tuple = PLACES) -> DataFrame:
+    side = side or side_of(spark)
     return scenes_of(spark, [{"image": image, "ord": k, "x0": x * side, "y0": y * side, "width": side, "height": side} for image, k, x, y in places])
 
 
-def scenes(spark: SparkSession, sf_dir: str, side: int = 32, places: tuple = PLACES) -> Rasters:
+def scenes(spark: SparkSession, sf_dir: str, side: int | None = None, places: tuple = PLACES) -> Rasters:
     """side x side pixels with holes along a diagonal pattern and an empty corner."""
+    side = side or side_of(spark)
     items = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("image"), (F.col("l_orderkey") % side).cast("int").alias("prow"), (F.col("l_partkey") % side).cast("int").alias("pcol"), "l_quantity", "l_extendedprice", "l_discount")
     there = items.where(((7 * F.col("prow") + F.col("pcol")) % 11 != 0) & ~((F.col("prow") < side // 4) & (F.col("pcol") < side // 4)))
     pixels = there.groupBy("image", "prow", "pcol").agg(F.max("l_quantity").alias("b1"), F.max("l_extendedprice").alias("b2"), F.max("l_discount").alias("b3"))
