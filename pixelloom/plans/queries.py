@@ -145,10 +145,11 @@ def global_full_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 _APART = (("A", 0, 0.0, 1.0), ("N", 1, 0.5, 1.0), ("R", 2, 50.0, 1.5))
 
 
-@query("SELECT 'R' AS image, band, 1e0 AS scale, 0e0 AS \"offset\" FROM (SELECT DISTINCT band FROM lng) d")
+@query(OVERLAP + ANCHOR + " SELECT image, band, round(scale,5) AS scale, round(shift,3) AS \"offset\" FROM ad WHERE image<>'R' UNION ALL SELECT 'R', band, 1e0, 0e0 FROM (SELECT DISTINCT band FROM lng) d")
 def global_exclude_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = scenes(spark, sf_dir, places=_APART)
-    return _rounded(regression.parameters(r, regression.Anchors("exclude", ("N", "R")))[0].where("image = 'R'"), 6)
+    found = regression.parameters(r, regression.Anchors("exclude", ("N", "R")))[0]
+    return found.select("image", "band", F.round("scale", 5).alias("scale"), F.round("offset", 3).alias("offset"))
 
 
 @query("SELECT image, band, round(avg(v),6) AS mean, round(stddev_samp(v),6) AS std, count(*) AS size FROM lng GROUP BY 1,2")
@@ -198,11 +199,12 @@ def local_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(blocks.adjust(r, blocks.means(r, canvas), canvas, "linear"))
 
 
-@query(LOCAL + ", it2 AS (SELECT * FROM it WHERE band<>'b3') SELECT image, prow, pcol, band, round(0.9e0*pow(v,ln(r)/ln(l)),3) AS value FROM it2")
+@query(LOCAL + """, lo AS (SELECT *, min(least(v,r,l)) OVER (PARTITION BY image,band) AS low FROM it), li AS (SELECT *, CASE WHEN low<=0 THEN abs(low)+1e0 ELSE 0e0 END AS o FROM lo)
+SELECT image, prow, pcol, band, round(0.9e0*pow(v+o,ln(r+o)/ln(l+o))-o,3) AS value FROM li""")
 def local_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = scenes(spark, sf_dir)
     canvas = _canvas(r)
-    return _long(blocks.adjust(r, blocks.means(r, canvas), canvas, "gamma", alpha=0.9)).where("band <> 'b3'")
+    return _long(blocks.adjust(r, blocks.means(r, canvas), canvas, "gamma", alpha=0.9))
 
 
 @query(LOCAL + """, lo AS (SELECT *, min(least(v,r,l)) OVER (PARTITION BY image,band,CAST(floor(prow/16e0) AS INT),CAST(floor(pcol/16e0) AS INT)) AS low FROM it WHERE band='b1'),
@@ -420,12 +422,13 @@ def spatial_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 # paths, seams, clouds
 
 
-@query("WITH k AS (SELECT regexp_extract(p_name, '(\\w+)$', 1) AS key, min(p_partkey) AS first, arg_max(p_partkey, p_partkey) AS last FROM part WHERE p_partkey<=40 GROUP BY 1), r AS (SELECT p_partkey AS ref_pos, '/in/' || p_name || '.tif' AS ref FROM part) SELECT ref_pos, ref, '/out/' || arg_min(last, first) || '_x' AS path FROM r LEFT JOIN k ON contains(regexp_extract(ref, '([^\\\\/]*)$', 1), key) GROUP BY 1,2", "")
+@query("WITH k AS (SELECT p_brand AS key, min(p_partkey) AS first, arg_max('/c/' || p_partkey || '/' || p_brand || '_LocalMatch.gpkg', p_partkey) AS path FROM part GROUP BY 1), r AS (SELECT p_partkey AS ref_pos, '/in/' || p_partkey || '_' || p_brand || '_' || p_size || '.tif' AS ref FROM part) SELECT ref_pos, ref, arg_min(path, first) AS path FROM r LEFT JOIN k ON contains(ref, key) GROUP BY 1,2", "")
 def match_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    keys = part.where("p_partkey <= 40").select(F.col("p_partkey").alias("pos"), F.concat(F.lit("/c/"), F.col("p_partkey").cast("string"), F.lit("/"), F.col("p_name"), F.lit(".gpkg")).alias("path"))
-    refs = part.select(F.col("p_partkey").alias("pos"), F.concat(F.lit("/in/"), F.col("p_name"), F.lit(".tif")).alias("path"))
-    return paths.match_table(keys, refs, r"(\w+)\.gpkg$").join(keys.select(F.col("path"), F.col("pos")), "path", "left").select("ref_pos", "ref", F.when(F.col("pos").isNotNull(), F.concat(F.lit("/out/"), F.col("pos").cast("string"), F.lit("_x"))).alias("path"))
+    key, pos = F.col("p_partkey").cast("string"), F.col("p_partkey").alias("pos")
+    candidates = part.select(pos, F.concat(F.lit("/c/"), key, F.lit("/"), "p_brand", F.lit("_LocalMatch.gpkg")).alias("path"))
+    references = part.select(pos, F.concat(F.lit("/in/"), key, F.lit("_"), "p_brand", F.lit("_"), F.col("p_size").cast("string"), F.lit(".tif")).alias("path"))
+    return paths.match_table(candidates, references, r"(.*)_LocalMatch\.gpkg$")
 
 
 @query("SELECT p_partkey AS pos, '/out/' || p_name || '_global.tif' AS path FROM part", "")
