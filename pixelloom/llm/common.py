@@ -86,10 +86,11 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class HashedWords:
-    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of many texts at once, A-Z lower-cased, from Arrow's buffers."""
+    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of many texts at once, from Arrow's buffers; A-Z are lower-cased
+    where fold is set."""
 
-    def __init__(self, block: int = 1_000_000):
-        self.block = block
+    def __init__(self, block: int = 1_000_000, fold: bool = True):
+        self.block, self.values = block, _VALUES[_FOLD] if fold else _VALUES
         self.up = self.down = np.empty(0, np.uint64)
 
     def blocks(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -120,7 +121,7 @@ class HashedWords:
         first[cuts] = black[cuts]
         last[cuts - 1] = black[cuts - 1]
         i, j = np.flatnonzero(first), np.flatnonzero(last) + 1
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_VALUES[_FOLD[raw]] * self.up[: len(raw)], dtype=np.uint64)])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.values[raw] * self.up[: len(raw)], dtype=np.uint64)])
         return mix((sums[j] - sums[i]) * self.down[i] + (j - i).astype(np.uint64)), np.searchsorted(ends, i, side="right"), i, j
 
 
@@ -148,15 +149,3 @@ class Generations:
             self.young.update(made)
             found.update(made)
         return found
-
-
-def blocks(texts: list, size: int = 1_000_000):
-    """Ranges (i, j) of texts with about `size` characters each, so that little is held at once."""
-    start, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
-        if held >= size:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pixelloom.llm.byte_bpe import byte_characters
-from pixelloom.llm.common import Generations, Scratch, blocks
+from pixelloom.llm.common import Generations, HashedWords, Scratch
 
 # Fixed values of the public seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK_TABLE, SEEKABLE_MAGIC, HAS_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -110,43 +110,94 @@ def pieces_of(run: str) -> list[str] | None:
     return _PIECES.findall(run.lower())
 
 
-_CODERS: dict = {}
-
+class WordIds(HashedWords):
+    """The ids of many texts at once. Runs of non-white-space are known by 64-bit hashes in a table with one place per slot;
+    a run that is not there is encoded and takes its place. Runs' ids lie in one array, from which texts are gathered."""
 
-def _coder(path: str) -> Generations:
-    """Runs of non-white-space -> their ids as bytes."""
-    if path not in _CODERS:
+    def __init__(self, path: str, end_id: int, most: int = 800_000, bits: int = 21):
+        super().__init__(fold=False)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        library, chars = Tokenizer.from_file(path), "".join(byte_characters())
-        if not all(t.content.startswith("<|") for t in library.get_added_tokens_decoder().values()):
+        self.library = Tokenizer.from_file(path)
+        if not all(t.content.startswith("<|") for t in self.library.get_added_tokens_decoder().values()):
             raise ValueError("added tokens have to begin with <|")
-        model = library.model
+        self.model, self.chars = self.library.model, "".join(byte_characters())
+        self.pieces, self.end = Generations(self._merged, most=300_000), np.array([end_id], "<u4").tobytes()
+        self.most, self.mask = most, np.uint64((1 << bits) - 1)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes, self.number = np.zeros(int(self.mask) + 1, np.uint64), np.zeros(int(self.mask) + 1, np.int32)
+        self.starts, self.sizes, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int32), np.zeros(0, "<u4")
+        self.used, self.runs = 0, 1
+
+    def _merged(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.chars))]).tobytes() for p in pieces]
+
+    def _encode(self, runs: list[bytes]) -> list[bytes]:
+        texts = [r.decode("utf-8", "replace") for r in runs]
+        plain = list(map(pieces_of, texts))
+        ids = self.pieces.ensure({p for pieces in plain if pieces for p in pieces})
+        rest = iter(self.library.encode_batch_fast([t for t, pieces in zip(texts, plain, strict=True) if pieces is None], add_special_tokens=False))
+        return [np.array(next(rest).ids, "<u4").tobytes() if pieces is None else ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces]) for pieces in plain]
+
+    def _grown(self, name: str, n: int) -> np.ndarray:
+        old = getattr(self, name)
+        if n > len(old):
+            new = np.zeros(max(n, 2 * len(old)), old.dtype)
+            new[: len(old)] = old
+            setattr(self, name, new)
+        return getattr(self, name)
+
+    def _numbers(self, words: np.ndarray, raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The number of each word's ids."""
+        slot = (words >> np.uint64(20)) & self.mask
+        out = self.number[slot]
+        lost = np.flatnonzero(self.hashes[slot] != words)
+        if len(lost) == 0:
+            return out
+        new, at, back = np.unique(words[lost], return_index=True, return_inverse=True)
+        if self.runs + len(new) > self.most and self.runs > 1:
+            self._clear()
+            return self._numbers(words, raw, first, last)
+        data, n = raw.tobytes(), self.runs
+        made = self._encode([data[i:j] for i, j in zip(first[lost[at]].tolist(), last[lost[at]].tolist(), strict=True)])
+        sizes = np.array([len(m) // 4 for m in made], np.int32)
+        flat = np.frombuffer(b"".join(made), "<u4")
+        ends = np.cumsum(sizes)
+        self._grown("starts", n + len(new))[n : n + len(new)] = self.used + ends - sizes
+        self._grown("sizes", n + len(new))[n : n + len(new)] = sizes
+        self._grown("ids", self.used + len(flat))[self.used : self.used + len(flat)] = flat
+        self.used, self.runs = self.used + len(flat), n + len(new)
+        out[lost] = n + back
+        self.hashes[slot[lost[at]]], self.number[slot[lost[at]]] = new, n + np.arange(len(new))
+        return out
 
-        def merged(pieces: list[str]) -> list[bytes]:
-            return [array("I", [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(chars))]).tobytes() for p in pieces]
+    def encoded(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, the end's last."""
+        for _, raw, ends in self.blocks(texts):
+            words, own, first, last = self.placed(raw, ends)
+            number = self._numbers(words, raw, first, last)
+            sizes = self.sizes[number].astype(np.int64)
+            upto = np.concatenate([[0], np.cumsum(sizes)])
+            ids = self.ids[np.repeat(self.starts[number] - upto[:-1], sizes) + np.arange(upto[-1])]
+            cuts = upto[np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(ends)))])]
+            for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                yield ids[i:j].tobytes() + self.end
 
-        known = Generations(merged, most=300_000)
 
-        def make(runs: list[bytes]) -> list[bytes]:
-            texts = [r.decode("utf-8", "replace") for r in runs]
-            plain = list(map(pieces_of, texts))
-            ids = known.ensure({p for pieces in plain if pieces for p in pieces})
-            rest = iter(library.encode_batch_fast([t for t, pieces in zip(texts, plain, strict=True) if pieces is None], add_special_tokens=False))
-            return [np.array(next(rest).ids, "<u4").tobytes() if pieces is None else b"".join([ids[p] for p in pieces]) for pieces in plain]
+_CODERS: dict = {}
+
 
-        _CODERS[path] = Generations(make, most=500_000)
-    return _CODERS[path]
+def coder(path: str, end_id: int) -> WordIds:
+    if (path, end_id) not in _CODERS:
+        _CODERS[path, end_id] = WordIds(path, end_id)
+    return _CODERS[path, end_id]
 
 
 def encoded(texts: list[str | None], path: str, end_id: int) -> Iterator[bytes]:
-    coder, end = _coder(path), np.array([end_id], "<u4").tobytes()
-    for i, j in blocks(texts):
-        held = [(t or "").encode("utf-8", "replace").split() for t in texts[i:j]]
-        known = coder.ensure(set().union(*held))
-        for runs in held:
-            yield b"".join(map(known.__getitem__, runs)) + end
+    yield from coder(path, end_id).encoded(pa.array(texts, pa.string()))
 
 
 def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,7 +207,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, uri, tokens = None, f"{folder}/{uuid.uuid4().hex}.zst", 0
         for batch in batches:
-            for doc_id, content in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist(), path, end_id), strict=True):
+            for doc_id, content in zip(batch.column(0).to_pylist(), coder(path, end_id).encoded(batch.column(1)), strict=True):
                 if writer is None:
                     fs, target = pafs.FileSystem.from_uri(uri)
                     fs.create_dir(os.path.dirname(target), recursive=True)
