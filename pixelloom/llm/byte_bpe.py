@@ -23,6 +23,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from pixelloom.llm.common import Generations
+
 
 def byte_characters() -> list[str]:
     """One printable, non-space character for each byte: itself where printable in Latin-1, else from U+0100 on."""
@@ -74,8 +76,7 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
 
 
 class ByteBpe:
-    """Encoder and decoder. What pre-tokens become is remembered in two generations of up to `most` of them: one that
-    is in use moves to the younger, the older is forgotten when the younger is full."""
+    """Encoder and decoder. What pre-tokens become is remembered: number of ids, the ids as text, the bytes they decode to."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 150_000):
         self.pattern = regex.compile(pattern)
@@ -83,7 +84,7 @@ class ByteBpe:
         self.ids = [rank for _, rank in sorted(ranks.items(), key=lambda x: x[1])]  # of piece i+1
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
-        self.ranks, self.most, self.young, self.old = ranks, most, {}, {}
+        self.ranks, self.known = ranks, Generations(self._entries, most)
 
     def _pieces(self, pre_tokens: list[str]) -> list[list[int]]:
         raw = [t.encode("utf-8", "surrogatepass") for t in pre_tokens]
@@ -92,36 +93,26 @@ class ByteBpe:
         # a pre-token that is a token stays one, reachable by merges or not
         return [[self.ranks[r]] if r in self.ranks else [self.ids[p - 1] for p in ps] for r, ps in zip(raw, out, strict=True)]
 
-    def _learn(self, pre_tokens: set[str]) -> None:
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        new = []
-        for t in pre_tokens - self.young.keys():
-            if t in self.old:
-                self.young[t] = self.old[t]
-            else:
-                new.append(t)
-        for t, ids in zip(new, self._pieces(new), strict=True):
-            self.young[t] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+    def _entries(self, pre_tokens: list[str]) -> list[tuple[int, str, bytes]]:
+        return [(len(ids), " ".join(map(str, ids)), self.decode(ids)) for ids in self._pieces(pre_tokens)]
 
     def forget(self) -> None:
         """At the end of a task: a worker process lives on in other stages, which need the memory."""
-        self.young, self.old = {}, {}
+        self.known.young, self.known.old = {}, {}
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def entries(self, texts: list[str | None], block: int = 1_000_000) -> Iterator[list[tuple[int, str, bytes]]]:
-        """For each text its pre-tokens: number of ids, the ids as text, the bytes that they decode to. Blocks of about
-        a million characters bound what is held at once."""
+        """The entries of each text's pre-tokens. Blocks of about a million characters bound what is held at once."""
         held, size = [], 0
         for i, text in enumerate(texts):
             held.append(self.pattern.findall(text or ""))
             size += len(text or "")
             if size >= block or i == len(texts) - 1:
-                self._learn(set().union(*held))
+                known = self.known.ensure(set().union(*held))
                 for pre_tokens in held:
-                    yield list(map(self.young.__getitem__, pre_tokens))
+                    yield list(map(known.__getitem__, pre_tokens))
                 held, size = [], 0
 
     def encode(self, text: str | None) -> list[int]:
