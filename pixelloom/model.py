@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,8 +80,10 @@ class Rasters:
 def scenes_of(spark: SparkSession, rows: list[dict]) -> DataFrame:
     defaults = {"res_x": 1.0, "res_y": 1.0, "dtype": "float64", "nodata": None, "crs": "EPSG:3857"}
     full = [{**defaults, "ord": i, **r} for i, r in enumerate(rows)]
-    kinds = {f.name: float if isinstance(f.dataType, T.DoubleType) else int if isinstance(f.dataType, T.IntegerType) else str for f in SCENE_SCHEMA}
-    return spark.createDataFrame([tuple(None if r[k] is None else kinds[k](r[k]) for k in SCENE_SCHEMA.names) for r in full], SCENE_SCHEMA)
+    kinds = {f.name: (float, pa.float64()) if isinstance(f.dataType, T.DoubleType) else (int, pa.int32()) if isinstance(f.dataType, T.IntegerType) else (str, pa.string()) for f in SCENE_SCHEMA}
+    columns = {k: pa.array([None if r[k] is None else cast(r[k]) for r in full], kind) for k, (cast, kind) in kinds.items()}
+    # as a local relation the planner knows the catalogue's size, and does not shuffle pixels to meet it
+    return spark.createDataFrame(pa.table(columns), SCENE_SCHEMA)
 
 
 def nodata_to_null(pixels: DataFrame, bands: tuple[str, ...], nodata: float | None) -> DataFrame:

@@ -89,4 +89,4 @@ def mosaic(r: Rasters) -> DataFrame:
     row = F.col("prow") + F.bround((F.col("y_max") - F.col("y0")) / F.col("ry")).cast("int")
     col = F.col("pcol") + F.bround((F.col("x0") - F.col("x_min")) / F.col("rx")).cast("int")
     placed = p.select(row.alias("prow"), col.alias("pcol"), "ord", *r.bands)
-    return placed.groupBy("prow", "pcol").agg(*(F.max(F.when(F.col(b).isNotNull(), F.struct("ord", F.col(b).alias("v")))).alias(b) for b in r.bands)).select("prow", "pcol", *(F.col(f"{b}.v").alias(b) for b in r.bands))
+    return placed.groupBy("prow", "pcol").agg(*(F.max_by(b, F.when(F.col(b).isNotNull(), F.col("ord"))).alias(b) for b in r.bands))
