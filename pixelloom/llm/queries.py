@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pixelloom.llm import byte_bpe, decontaminate, hmm_lm, licenses, line_dedup, ngram_join, oracles, quality, secrets, token_files, toxicity
 from pixelloom.llm.common import table
@@ -18,7 +19,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(table(spark, sf_dir, "documents")).withColumn("distance2", F.round("distance2", 3))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
