@@ -96,5 +96,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     return out
 
 
+def line_dedup(lead: int = 3, parts: int = 4, min_tokens: int = 5, wild_from: int = 12, min_docs: int = 3, min_long: int = 2, long_from: int = 50, diverse: float = 0.25) -> str:
+    """Templates as strings: the same tree, with lists in the place of hashes."""
+    stretches = ", ".join(f"array_to_string(rest[len(rest)*{q}//{parts}+1:len(rest)*{q + 1}//{parts}],' ') AS p{q}" for q in range(parts))
+    key = lambda q: "n || '|' || head" + "".join(f" || chr(10) || {'p' + str(k) if k != q else repr('* ' + str(q))}" for k in range(parts))
+    keys = " UNION ALL ".join([f"SELECT tid, idx, n, before, after, {key(None)} AS key FROM s WHERE n>={min_tokens}", *(f"SELECT tid, idx, n, before, after, {key(q)} FROM s WHERE n>={max(min_tokens, wild_from)}" for q in range(parts))])
+    lower = _LOWER.replace("coalesce(text,'')", "line")
+    return rf"""WITH d AS (SELECT text, row_number() OVER () AS tid FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL) u),
+l AS (SELECT tid, idx, string_split(text, chr(10))[idx] AS line FROM (SELECT tid, text, unnest(range(1, len(string_split(text, chr(10)))+1)) AS idx FROM d) v),
+k AS (SELECT tid, idx, line, list_transform(regexp_extract_all({lower}, '[^\x20\x09-\x0D]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '#' ELSE w END) AS ws FROM l),
+c AS (SELECT tid, idx, ws, lag(array_to_string(ws[1:2],' ')) OVER o AS prev, lead(array_to_string(ws[1:2],' ')) OVER o AS next FROM k WHERE len(ws)>0 WINDOW o AS (PARTITION BY tid ORDER BY idx)),
+s AS (SELECT tid, idx, len(ws) AS n, array_to_string(ws[1:{lead}],' ') AS head, {stretches}, CASE WHEN prev IS NULL AND next IS NULL THEN 'alone' ELSE coalesce('w ' || prev, 'end ' || tid) END AS before, CASE WHEN prev IS NULL AND next IS NULL THEN 'alone' ELSE coalesce('w ' || next, 'end ' || tid) END AS after FROM (SELECT *, ws[{lead + 1}:] AS rest FROM c) e),
+t AS ({keys}),
+r AS (SELECT key FROM t GROUP BY key HAVING least(count(DISTINCT tid), count(DISTINCT before), count(DISTINCT after))>=greatest(CASE WHEN max(n)>={long_from} THEN {min_long} ELSE {min_docs} END, ceil({diverse}*count(DISTINCT tid)))),
+g AS (SELECT DISTINCT tid, idx FROM t JOIN r ON r.key=t.key),
+f AS (SELECT k.tid, count(*) FILTER (WHERE len(ws)>0) AS n_lines, count(*) FILTER (WHERE len(ws)>0 AND g.tid IS NULL) AS n_kept, coalesce(string_agg(line, chr(10) ORDER BY k.idx) FILTER (WHERE g.tid IS NULL), '') AS kept FROM k LEFT JOIN g ON g.tid=k.tid AND g.idx=k.idx GROUP BY 1)
+SELECT x.doc_id, coalesce(n_lines,0) AS n_lines, coalesce(n_kept,0) AS n_kept, sha256(coalesce(kept,'')) AS kept_sha256 FROM documents x LEFT JOIN d ON d.text=x.text LEFT JOIN f ON f.tid=d.tid"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": NGRAM_JOIN, "op3_quality": quality(), "op6_decontaminate": DECONTAMINATE, "op10_licenses": licences()}
+    return {"op1_ngram_join": NGRAM_JOIN, "op3_quality": quality(), "op6_decontaminate": DECONTAMINATE, "op7_line_dedup": line_dedup(), "op10_licenses": licences()}
