@@ -13,17 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions import expressions
-from pixelloom.model import Rasters, nodata_to_null, resolve_nodata, scenes_of
+from pixelloom.model import Rasters, nodata_to_null, resolve_dtype, resolve_nodata, scenes_of
 from pixelloom.operators import blocks, clouds, grid, regression, restructure, seamline, stats, vector
 from pixelloom.plans import validate
-from pixelloom.sources import tables
+from pixelloom.sources import geotiff, tables
 from pixelloom.sources.paths import create as create_paths
 from pixelloom.sources.paths import match as match_paths
 from pixelloom.sources.paths import search as search_paths
 
 __all__ = [
     "align_rasters", "band_math", "cloud_mask", "compare_band_average", "compare_profiles", "compare_profile_pairs", "create_paths", "global_regression", "local_block_adjustment", "mask_rasters",
-    "match_paths", "merge_rasters", "merge_vectors", "ndvi", "search_paths", "seamlines", "threshold_raster", "values_to_polygons",
+    "match_paths", "merge_rasters", "merge_vectors", "ndvi", "read", "read_geotiff", "search_paths", "seamlines", "threshold_raster", "values_to_polygons", "write", "write_geotiff",
 ]
 
 
@@ -149,3 +149,14 @@ def read(spark: SparkSession, path: str, nodata: float | None = None) -> Rasters
 def write(r: Rasters, path: str, nodata: float | None = None, dtype: str | None = None, tile: int = 512) -> None:
     validate.dtype(dtype)
     tables.write(r, path, nodata, dtype, tile)
+
+
+def read_geotiff(spark: SparkSession, path: str, nodata: float | None = None) -> Rasters:
+    return geotiff.read(spark, path, nodata)
+
+
+def write_geotiff(r: Rasters, folder: str, dtype: str | None = None, nodata: float | None = None, tile: int = 256) -> list[str]:
+    """One tiled file per image; its type and nodata are those of the first image unless given."""
+    validate.dtype(dtype)
+    validate.window_size(tile, cog=True)
+    return geotiff.write(r, folder, resolve_dtype(r.scenes, dtype) or "float32", resolve_nodata(r.scenes, nodata), tile)

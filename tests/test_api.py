@@ -49,6 +49,9 @@ def test_chain(spark, tmp_path):
     api.write(merged, str(tmp_path / "m"), nodata=0.0, dtype="uint16")
     assert api.read(spark, str(tmp_path / "m"), 0.0).pixels.count() == 24 * 16
     assert api.mask_rasters(r) is r
+    api.write_geotiff(merged, str(tmp_path / "g"), "uint16", 0.0)
+    assert api.read_geotiff(spark, str(tmp_path / "g")).pixels.count() == 24 * 16
+    assert set(api.__all__) <= set(dir(api))
 
 
 @pytest.mark.parametrize(
