@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.model import Rasters
 from pixelloom.operators import grid
+from pixelloom.operators.restructure import resample
 
 
 def _by_band(wide: DataFrame, keys: list[str], bands: tuple[str, ...], names: list[str]) -> DataFrame:
@@ -24,10 +25,9 @@ def whole(r: Rasters) -> DataFrame:
     return out.select("image", "band", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("std", F.lit(0.0)).alias("std"), F.coalesce("size", F.lit(0)).cast("long").alias("size"))
 
 
-def shared_pixels(r: Rasters) -> DataFrame:
+def _same_grid(r: Rasters, pairs: DataFrame) -> DataFrame:
     """image_i, image_j and both sides' bands for every cell of the common grid that two images have. An equi-join on the
     cell, not a range join: one exchange of the pixels serves both sides."""
-    pairs = grid.overlaps(r.scenes)
     # cells outside every shared rectangle never reach the exchange
     rectangles = pairs.select(F.explode(F.array("image_i", "image_j")).alias("image"), "x_min", "x_max", "y_min", "y_max").groupBy("image").agg(F.collect_list(F.struct("x_min", "x_max", "y_min", "y_max")).alias("shared"))
     inside = F.exists("shared", lambda s: F.col("cx").between(s["x_min"], s["x_max"]) & F.col("cy").between(s["y_min"], s["y_max"]))
@@ -37,6 +37,33 @@ def shared_pixels(r: Rasters) -> DataFrame:
     return a.join(b, ["gx", "gy"]).where("image_i < image_j")
 
 
+def _other_grid(r: Rasters, pairs: DataFrame) -> DataFrame:
+    """The same for pairs of different resolutions: image j is resampled bilinearly to image i's grid."""
+    name = F.concat("image_i", F.lit("\n"), "image_j")
+    grid_of = lambda side: pairs.select(name.alias("pair"), F.col(side).alias("image")).join(r.scenes, "image").drop("image").withColumnRenamed("pair", "image")
+    mine = pairs.select(name.alias("pair"), F.col("image_j").alias("image"))
+    moved = r.pixels.join(mine, "image").select(F.col("pair").alias("image"), "prow", "pcol", *r.bands)
+    onto = resample(Rasters(moved, grid_of("image_j"), r.bands), grid_of("image_i"), "bilinear").pixels
+    j = onto.select(F.split("image", "\n")[0].alias("image_i"), F.split("image", "\n")[1].alias("image_j"), "prow", "pcol", *(F.col(b).alias(f"j_{b}") for b in r.bands))
+    i = r.pixels.select(F.col("image").alias("image_i"), "prow", "pcol", *(F.col(b).alias(f"i_{b}") for b in r.bands))
+    return i.join(j, ["image_i", "prow", "pcol"])
+
+
+def shared_pixels(r: Rasters) -> DataFrame:
+    """image_i, image_j and both sides' bands (i_..., j_...) for every pixel of image i that image j has as well."""
+    size = lambda side: r.scenes.select(F.col("image").alias(f"image_{side}"), F.col("res_x").alias(f"rx_{side}"), F.col("res_y").alias(f"ry_{side}"))
+    pairs = grid.overlaps(r.scenes).join(size("i"), "image_i").join(size("j"), "image_j").withColumn("same", (F.col("rx_i") == F.col("rx_j")) & (F.col("ry_i") == F.col("ry_j")))
+    columns = ["image_i", "image_j", *(f"{s}_{b}" for s in "ij" for b in r.bands)]
+    kinds = {x["same"] for x in pairs.select("same").distinct().collect()}  # of the catalogue
+    if False not in kinds:
+        return _same_grid(r, pairs).select(*columns)
+    other = _other_grid(r, pairs.where("not same")).select(*columns)
+    if True not in kinds:
+        return other
+    same = _same_grid(r, pairs.where("same")).join(pairs.where("same").select("image_i", "image_j"), ["image_i", "image_j"], "left_semi")
+    return same.select(*columns).unionByName(other)
+
+
 def overlap(r: Rasters) -> DataFrame:
     """image, other, band, mean, std (of a population), size of image's pixels where both are valid, for both directions
     of every overlapping pair; zeros where nothing valid is shared."""

@@ -82,6 +82,18 @@ def test_single_pixel_statistics(spark):
     assert {(x.mean, x.std, x.size) for x in stats.overlap(r).collect()} == {(0.0, 0.0, 0)}
 
 
+def test_overlap_of_different_resolutions(spark):
+    """The coarse image is resampled to the fine one's grid; pairs of one resolution keep the plain join."""
+    fine = np.arange(64.0).reshape(8, 8)
+    r = raster(spark, {"a": (fine, 0, 8, 1), "b": (np.full((4, 4), 3.0), 0, 8, 2), "c": (fine + 1, 0, 8, 1)})
+    o = {(x.image, x.other): (x["mean"], x["std"], x["size"]) for x in stats.overlap(r).collect()}
+    assert o["b", "a"] == pytest.approx((3.0, 0.0, 64)) and o["a", "b"] == pytest.approx((fine.mean(), fine.std(), 64))
+    assert o["a", "c"] == pytest.approx((fine.mean(), fine.std(), 64)) and o["c", "a"][0] == pytest.approx(fine.mean() + 1)
+    # b is the first of its pair with c by name, so c is resampled to b's grid
+    means = (fine + 1).reshape(4, 2, 4, 2).mean((1, 3))
+    assert o["c", "b"][2] == 16 and o["c", "b"][0] == pytest.approx(means.mean())
+
+
 def brute_solve(names, anchors, ov, whole, fm, fs):
     """Minimum-change least squares from the plain constraint matrix."""
     n, rows, goal, total = len(names), [], [], 0.0
