@@ -105,14 +105,16 @@ def threshold_raster(r: Rasters, expression: str, custom_nodata: float | None =
     return r.with_pixels(expressions.threshold(r.pixels, expression, r.bands).withColumnRenamed("value", "b1"), ("b1",))
 
 
-def values_to_polygons(r: Rasters, expression: str, *, value_mapping: dict | None = None, filter_by_polygon_size: str | None = None, polygon_buffer: float = 0.0) -> DataFrame:
-    """image, prow, pcol of the cells that an image's true pixels dissolve into, after the size filter and the buffer. A
-    cell set is what masks need; vector.outline gives its boundary."""
+def values_to_polygons(r: Rasters, expression: str, *, value_mapping: dict | None = None, filter_by_polygon_size: str | None = None, polygon_buffer: float = 0.0, dissolve: bool = True) -> DataFrame:
+    """Features of an image's true pixels, after the size filter and the buffer: one per image, or one per region. The size
+    is that of all an image's true pixels."""
     cells = vector.true_cells(r, expression, value_mapping)
     if filter_by_polygon_size:
         kept = vector.size_filter(vector.areas(r, cells), filter_by_polygon_size)
         cells = cells.join(kept.select("image"), "image", "left_semi")
-    return vector.buffered(r, cells, polygon_buffer) if polygon_buffer else cells
+    if polygon_buffer:
+        cells = vector.buffered(r, cells, polygon_buffer)
+    return vector.polygons(r, cells, dissolve=dissolve)
 
 
 def cloud_mask(r: Rasters, red_band: int, green_band: int, nir_band: int, predictor: str | Callable, down_sample: float | None = None) -> DataFrame:

@@ -312,6 +312,14 @@ def polygon_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.outline(_cells(spark, sf_dir)[1], ["image"])
 
 
+@query("SELECT image, CAST(count(*) AS DOUBLE) AS area FROM g WHERE b1>=50 GROUP BY 1")
+def polygon_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The area of the dissolved polygons, by the shoelace formula over their rings."""
+    f = vector.polygons(*_cells(spark, sf_dir))
+    doubled = lambda ring: F.aggregate(F.sequence(F.lit(1), F.size(ring) - 1), F.lit(0.0), lambda t, i: t + F.get(ring, i - 1)["x"] * F.get(ring, i)["y"] - F.get(ring, i)["x"] * F.get(ring, i - 1)["y"])
+    return f.select(F.element_at("props", "image").alias("image"), F.abs(F.aggregate("rings", F.lit(0.0), lambda t, ring: t + doubled(ring)) / 2).alias("area"))
+
+
 _SPARSE = "b2 >= 92000"
 
 

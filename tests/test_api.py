@@ -43,7 +43,7 @@ def test_chain(spark, tmp_path):
     r = pair(spark)
     assert api.band_math(r, "b1 * 2").bands == ("b1",) and api.threshold_raster(r, "b1 > 70").pixels.count() == 512
     cells = api.values_to_polygons(r, "b1 > 90", filter_by_polygon_size=">1", polygon_buffer=1.0)
-    assert cells.count() > 0
+    assert {f.props["image"] for f in cells.collect()} == {"X", "Y"}
     merged = api.merge_rasters(api.align_rasters(r))
     assert merged.scenes.first()["width"] == 24 and merged.pixels.count() == 24 * 16
     api.write(merged, str(tmp_path / "m"), nodata=0.0, dtype="uint16")

@@ -253,6 +253,23 @@ def test_polygons_from_values(spark):
     assert vector.buffered(r, cells, 1.0).count() == 2 * (16 + 4 * 4 + 4)
 
 
+def test_polygon_features_mask_their_own_cells(spark):
+    """Cells -> polygons -> mask gives the cells back: with holes, diagonal neighbours and several regions."""
+    rng = np.random.default_rng(8)
+    a = (rng.uniform(0, 1, (14, 14)) < 0.55).astype(float)
+    a[3:9, 3:9] = 1
+    a[5:7, 5:7] = 0
+    r = raster(spark, {"a": (a, 5, 40, 2), "b": (np.ones((3, 3)), 0, 3, 1)})
+    cells = vector.true_cells(r, "b1 > 0")
+    f = vector.polygons(r, cells, tile=5)
+    assert f.count() == 2
+    got = vector.mask(r, f.where("props['image'] = 'a'"), "include", field="image").pixels.where("image = 'a'")
+    assert {(x.prow, x.pcol) for x in got.collect()} == {(i, j) for i, j in zip(*np.nonzero(a), strict=True)}
+    regions = vector.polygons(r, cells, dissolve=False, tile=5)
+    assert regions.count() == vector.connected(cells, 5).select("image", "crow", "ccol").distinct().count()
+    assert {(p.x, p.y) for p in regions.where("props['image'] = 'b'").first().rings[0]} == {(0, 0), (3, 0), (3, 3), (0, 3)}
+
+
 def test_snake_across_tiles(spark):
     a = np.full((9, 9), math.nan)
     for i in range(0, 9, 2):
