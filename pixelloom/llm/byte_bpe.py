@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pixelloom.llm.common import Generations
+from pixelloom.llm.common import Generations, tidy
 
 
 def byte_characters() -> list[str]:
@@ -78,7 +78,7 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
 class ByteBpe:
     """Encoder and decoder. What pre-tokens become is remembered: number of ids, the ids as text, the bytes they decode to."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 90_000):
         self.pattern = regex.compile(pattern)
         self.to_chars = "".join(byte_characters())
         self.ids = [rank for _, rank in sorted(ranks.items(), key=lambda x: x[1])]  # of piece i+1
@@ -144,7 +144,7 @@ def digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(4)], schema=schema)
         coder.forget()
 
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(docs[id_col], docs[text_col]).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded_rows(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -166,7 +166,7 @@ def encoded_rows(docs: DataFrame, path: str, pattern: str, text_col: str = "text
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.bool_())], [*(f.name for f in others), "n_tokens", "ids", "round_trip"])
         coder.forget()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,7 +177,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([coder.encode(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(docs[id_col], docs[text_col]).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -188,4 +188,4 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([coder.decode(i.as_py() or []).decode("utf-8", "replace") for i in batch.column(1)], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")

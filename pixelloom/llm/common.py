@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Gives the C library's free memory back to the system, where that library can.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: Lower-cases A-Z only; every other byte stays (so UTF-8 sequences stay whole).
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -41,6 +46,21 @@ class Scratch:
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def tidy(run: Callable) -> Callable:
+    """A batch function that gives memory back when its task ends: worker processes live on in other stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if _TRIM is not None:
+                _TRIM(0)
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

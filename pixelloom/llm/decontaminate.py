@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import Scratch
+from pixelloom.llm.common import Scratch, tidy
 
 #: Lower-cases A-Z; bytes 00-2F, 3A-60 (after folding) and 7B-7F separate words.
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if 0x30 <= b <= 0x39 or 65 <= b <= 90 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
@@ -124,7 +124,7 @@ def _pass(rows: DataFrame, items: DataFrame, key: str, n: int, last: bool) -> Da
             names = ["doc_id", "n_words", "spans", "items"]
             yield pa.RecordBatch.from_arrays(columns if last else [*columns, batch.column("text")], names if last else [*names, "text"])
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, spans array<array<int>>, items array<string>" + ("" if last else ", text string"))
+    return rows.mapInArrow(tidy(run), "doc_id long, n_words long, spans array<array<int>>, items array<string>" + ("" if last else ", text string"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_chars: int = 32_000_000) -> DataFrame:
@@ -186,7 +186,7 @@ def _cleaned(docs: DataFrame, items: DataFrame, key: str, n: int, drop_share: fl
                     columns[size] = pa.array([len(changed[i]) if i in changed else v for i, v in enumerate(lengths)], batch.column(size).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import HashedWords, Scratch, cut_count, lowest_hashes
+from pixelloom.llm.common import HashedWords, Scratch, cut_count, lowest_hashes, tidy
 
 
 class Params:
@@ -181,7 +181,7 @@ def vocabulary(docs: DataFrame, buckets: int, block: int = 3_000_000) -> DataFra
                     held, size = [], 0
         yield counted()
 
-    return docs.select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(tidy(run), "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def initial(docs: DataFrame, base: np.ndarray, states: int, buckets: int, sample: int, rounds: int, piece: int) -> Params:
@@ -207,7 +207,7 @@ def initial(docs: DataFrame, base: np.ndarray, states: int, buckets: int, sample
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.start, model.move, model.emit))], pa.binary())], ["model"])
 
     chosen = lowest_hashes(docs, sample).select("doc_id", "text")
-    found = chosen.repartition(1).mapInArrow(run, "model binary").first()
+    found = chosen.repartition(1).mapInArrow(tidy(run), "model binary").first()
     if found is None:
         return Counts(buckets, states).params(base)
     return Params(*pickle.loads(found["model"]))
@@ -237,7 +237,7 @@ def baum_welch(docs: DataFrame, model: Params, base: np.ndarray, buckets: int, p
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["slice", "sums"])
 
     schema = "slice int, sums binary"
-    summed = docs.select("text").mapInArrow(run, schema).repartition(slices, "slice").mapInArrow(add, schema)
+    summed = docs.select("text").mapInArrow(tidy(run), schema).repartition(slices, "slice").mapInArrow(tidy(add), schema)
     got: dict[int, np.ndarray] = {r["slice"]: np.frombuffer(r["sums"], np.float64) for r in summed.collect()}  # slices + 1 rows
     counts = Counts(buckets, states)
     if got:
@@ -330,10 +330,10 @@ def scored(docs: DataFrame, states: int = 6, buckets: int = 32_768, folds: int =
 
     # one row stands for repeated rows, so that what is joined is not counted twice
     marked = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    seen = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(forward, "doc_id long, mark long, n_tokens long, n_known long, logs double, chance double")
+    seen = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(tidy(forward), "doc_id long, mark long, n_tokens long, n_known long, logs double, chance double")
     seen = scratch.save("seen", seen)
     times = seen.groupBy("doc_id", "mark").agg(F.count("*").alias("times"))
-    found = marked.mapInArrow(rare, "token long, doc_id long, mark long").join(words, "token").groupBy("doc_id", "mark").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("more_logs"))
+    found = marked.mapInArrow(tidy(rare), "token long, doc_id long, mark long").join(words, "token").groupBy("doc_id", "mark").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("more_logs"))
     both = seen.join(times, ["doc_id", "mark"], "left").join(found, ["doc_id", "mark"], "left")
     more = lambda c: F.coalesce(F.col(c) / F.coalesce("times", F.lit(1)), F.lit(0))
     logs = F.col("logs") + more("more_logs")

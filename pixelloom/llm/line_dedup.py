@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import HashedWords, Scratch, mix
+from pixelloom.llm.common import HashedWords, Scratch, mix, tidy
 
 _Q = 0xA0761D6478BD642F
 _FIELD, _OPEN, _SIDE = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3), np.uint64(0x1D8E4E27C47D124F)
@@ -116,7 +116,7 @@ def lines(docs: DataFrame, shape: dict, text_col: str = "text") -> DataFrame:
                     ["keys", "tokens", "mark", "before", "after"],
                 )
 
-    return docs.select(F.coalesce(text_col, F.lit("")).alias("text"), F.xxhash64(text_col).alias("mark")).mapInArrow(run, "keys array<long>, tokens int, mark long, before long, after long")
+    return docs.select(F.coalesce(text_col, F.lit("")).alias("text"), F.xxhash64(text_col).alias("mark")).mapInArrow(tidy(run), "keys array<long>, tokens int, mark long, before long, after long")
 
 
 def templates(docs: DataFrame, scratch: Scratch, min_docs: int = 3, min_long: int = 2, long_from: int = 50, diverse: float = 0.25, shape: dict | None = None) -> DataFrame:
@@ -157,7 +157,7 @@ def drop(docs: DataFrame, keys: np.ndarray, shape: dict, text_col: str = "text")
                     columns[size] = pa.array([len(changed[i]) if i in changed else x for i, x in enumerate(old)], batch.column(size).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def dedup(docs: DataFrame, most: int = 1_000_000, shape: dict | None = None, text_col: str = "text", **rules) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import HashedWords, Scratch, cut_count, mix
+from pixelloom.llm.common import HashedWords, Scratch, cut_count, mix, tidy
 from pixelloom.llm.components import components
 from pixelloom.llm.count_tree import CountTree, count_vector, enough
 
@@ -119,7 +119,7 @@ def profile(docs: DataFrame, k: int, block: int = 2_000_000, often: int = 3) ->
             yield _table(kind=np.zeros(len(n), np.int32), a=batch.column(0), b=np.array(n, np.int64), c=np.array(c, np.int64), d=np.array(d, np.int64))
         yield frequent()
 
-    return docs.mapInArrow(run, "kind int, a long, b long, c long, d long")
+    return docs.mapInArrow(tidy(run), "kind int, a long, b long, c long, d long")
 
 
 def cells(docs: DataFrame, k: int, percent: int, order: pa.Table) -> DataFrame:
@@ -157,7 +157,7 @@ def cells(docs: DataFrame, k: int, percent: int, order: pa.Table) -> DataFrame:
             if tokens:
                 yield _table(token=_long(np.concatenate(tokens)), doc_id=np.concatenate(ids), often=np.concatenate(often))
 
-    return docs.mapInArrow(run, "token long, doc_id long, often boolean")
+    return docs.mapInArrow(tidy(run), "token long, doc_id long, often boolean")
 
 
 def shared(opened: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def shared(opened: DataFrame) -> DataFrame:
             yield _table(token=token, doc_id=ids)
 
     salt = F.when(F.col("often"), F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(0)
-    return opened.repartition(F.col("token"), salt).sortWithinPartitions("token").mapInArrow(run, "token long, doc_id long")
+    return opened.repartition(F.col("token"), salt).sortWithinPartitions("token").mapInArrow(tidy(run), "token long, doc_id long")
 
 
 def points(docs: DataFrame, k: int, groups: int) -> DataFrame:
@@ -194,7 +194,7 @@ def points(docs: DataFrame, k: int, groups: int) -> DataFrame:
                 counts = [count_vector(f, groups) for f in found]
                 yield _table(doc_id=batch.column(0)[at : at + len(found)], counts=pa.array([(c.astype(np.uint8) if c.max() < 256 else c).tobytes() for c in counts], pa.binary()))
 
-    return docs.mapInArrow(run, "doc_id long, counts binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, counts binary")
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
@@ -206,7 +206,7 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
             for at, found in shingles.of(batch.column(1)):
                 yield _table(doc_id=batch.column(0)[at : at + len(found)], tokens=pa.array([f.tobytes() for f in found], pa.binary()))
 
-    return docs.mapInArrow(run, "doc_id long, tokens binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, tokens binary")
 
 
 def small(df: DataFrame, most: int) -> DataFrame:
@@ -275,7 +275,7 @@ def leaders(members: DataFrame, percent: int, groups: int, seeds: int = 8) -> Da
         yield out()
 
     columns = dealt(members, 4096).select("cell", "x", "y", "doc_id", "counts")
-    best = columns.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y").mapInArrow(run, "a long, b long, score double")
+    best = columns.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y").mapInArrow(tidy(run), "a long, b long, score double")
     return best.groupBy("b").agg(F.max(F.struct("score", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
 
 
@@ -297,7 +297,7 @@ def tree_pairs(members: DataFrame, percent: int, groups: int, chunk: int = 2048)
                 yield _table(a=np.minimum(p[i], q[j]), b=np.maximum(p[i], q[j]))
 
     columns = dealt(members, chunk).select("cell", "x", "y", "own", "doc_id", "component", "counts")
-    return columns.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return columns.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch, tag: str, most_broadcast: int, load: int = 64) -> DataFrame:
@@ -328,7 +328,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: S
     places = scratch.save(f"{tag}-places", children.union(heads))
     full = sets(docs.join(small(places.select("doc_id").distinct(), most_broadcast), "doc_id", "left_semi"), k)
     rows = full.join(small(places, most_broadcast), "doc_id").select("key", "salt", "doc_id", "tokens")
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc_id").mapInArrow(run, "a long, b long")
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc_id").mapInArrow(tidy(run), "a long, b long")
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80, groups: int = 512, id_col: str = "doc_id", text_col: str = "text", ordered: int = 500_000, most_broadcast: int = 1_000_000) -> DataFrame:

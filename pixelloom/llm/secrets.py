@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pixelloom.llm.common import tidy
+
 KINDS = ("assign", "access", "hex", "entropy")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -112,4 +114,4 @@ def scan(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str
                 rows.append((*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(_text(base).encode()).hexdigest(), _text(base + added)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], schema.field(i + 1).type) for i in range(5))], schema=schema)
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(tidy(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pixelloom.llm.byte_bpe import byte_characters
-from pixelloom.llm.common import Generations, HashedWords, Scratch
+from pixelloom.llm.common import Generations, HashedWords, Scratch, tidy
 
 # Fixed values of the public seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK_TABLE, SEEKABLE_MAGIC, HAS_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -220,7 +220,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, id_col: str
             yield pa.RecordBatch.from_pylist([{"file": uri, "n_docs": len(writer.ids), "n_tokens": tokens, "first_id": first, "last_id": last}], pa.schema([("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())]))
 
     ordered = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return ordered.mapInArrow(run, "file string, n_docs long, n_tokens long, first_id long, last_id long")
+    return ordered.mapInArrow(tidy(run), "file string, n_docs long, n_tokens long, first_id long, last_id long")
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def read(manifest: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], schema=schema)
                         rows = []
 
-    return files.select("file", "before").repartition(max(1, manifest.count()), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("file", "before").repartition(max(1, manifest.count()), "file").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
