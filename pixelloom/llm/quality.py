@@ -19,8 +19,6 @@ of their own; repeated rows are all judged; other columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -87,10 +85,6 @@ def _factor(moments: DataFrame) -> DataFrame:
     return out.select("lang", "source", "rows", *(f"mu_{i}" for i in d), *(f"l_{i}_{j}" for i in d for j in range(i + 1)))
 
 
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return a["lang"].eqNullSafe(b["lang"]) & a["source"].eqNullSafe(b["source"])
-
-
 def _with(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
     p = params.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     return rows.join(p, rows["lang"].eqNullSafe(p["_lang"]) & rows["source"].eqNullSafe(p["_source"]), how).drop("_lang", "_source")
