@@ -368,18 +368,18 @@ def _coarse(spark: SparkSession, res: float) -> DataFrame:
 
 
 def _resampled(method: str, res: float):
-    return lambda spark, sf_dir: _long(restructure.resample(scenes(spark, sf_dir), _coarse(spark, res), method))
+    return lambda spark, sf_dir: _long(restructure.resample(scenes(spark, sf_dir), _coarse(spark, res), method), 6)
 
 
 _CELLS = ", tg AS (SELECT image, r, c, (r+0.5e0)*{res}-0.5e0 AS y, (c+0.5e0)*{res}-0.5e0 AS x FROM (SELECT DISTINCT image FROM g) i, (SELECT CAST(unnest(range({n})) AS INT) AS r) a, (SELECT CAST(unnest(range({n})) AS INT) AS c) b)"
 
 
-@query(_CELLS.format(res="1.5e0", n=22) + " SELECT tg.image, r AS prow, c AS pcol, band, round(v,3) AS value FROM tg JOIN lng ON lng.image=tg.image AND lng.prow=floor(y+0.5e0) AND lng.pcol=floor(x+0.5e0)")
+@query(_CELLS.format(res="1.5e0", n=22) + " SELECT tg.image, r AS prow, c AS pcol, band, round(v,6) AS value FROM tg JOIN lng ON lng.image=tg.image AND lng.prow=floor(y+0.5e0) AND lng.pcol=floor(x+0.5e0)")
 def align_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resampled("nearest", 1.5)(spark, sf_dir)
 
 
-@query(_CELLS.format(res="2e0", n=16) + " SELECT tg.image, r AS prow, c AS pcol, band, round(sum(v*(1e0-abs(y-prow))*(1e0-abs(x-pcol)))/sum((1e0-abs(y-prow))*(1e0-abs(x-pcol))),3) AS value FROM tg JOIN lng ON lng.image=tg.image AND abs(y-prow)<1e0 AND abs(x-pcol)<1e0 GROUP BY 1,2,3,4")
+@query(_CELLS.format(res="2e0", n=16) + " SELECT tg.image, r AS prow, c AS pcol, band, round(sum(v*(1e0-abs(y-prow))*(1e0-abs(x-pcol)))/sum((1e0-abs(y-prow))*(1e0-abs(x-pcol))),6) AS value FROM tg JOIN lng ON lng.image=tg.image AND abs(y-prow)<1e0 AND abs(x-pcol)<1e0 GROUP BY 1,2,3,4")
 def align_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resampled("bilinear", 2.0)(spark, sf_dir)
 
@@ -387,13 +387,13 @@ def align_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CUBIC = "CASE WHEN abs({0})<=1e0 THEN 1.5e0*pow(abs({0}),3)-2.5e0*pow(abs({0}),2)+1e0 WHEN abs({0})<2e0 THEN -0.5e0*pow(abs({0}),3)+2.5e0*pow(abs({0}),2)-4e0*abs({0})+2e0 ELSE 0e0 END"
 
 
-@query(_CELLS.format(res="2e0", n=16) + f", w AS (SELECT tg.image, r, c, band, v, ({_CUBIC.format('y-prow')})*({_CUBIC.format('x-pcol')}) AS w FROM tg JOIN lng ON lng.image=tg.image AND abs(y-prow)<2e0 AND abs(x-pcol)<2e0) SELECT image, r AS prow, c AS pcol, band, round(sum(v*w)/sum(w),2) AS value FROM w WHERE w<>0 AND band='b1' GROUP BY 1,2,3,4 HAVING abs(sum(w))>0.5e0")
+@query(_CELLS.format(res="2e0", n=16) + f", w AS (SELECT tg.image, r, c, band, v, ({_CUBIC.format('y-prow')})*({_CUBIC.format('x-pcol')}) AS w FROM tg JOIN lng ON lng.image=tg.image AND abs(y-prow)<2e0 AND abs(x-pcol)<2e0) SELECT image, r AS prow, c AS pcol, band, round(sum(v*w)/sum(w),5) AS value FROM w WHERE w<>0 AND band='b1' GROUP BY 1,2,3,4 HAVING abs(sum(w))>0.5e0")
 def align_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the valid neighbours carry at least half of the weight; a band of ones shows how much they carry."""
     r, target = scenes(spark, sf_dir), _coarse(spark, 2.0)
     r = r.with_pixels(r.pixels.select("image", "prow", "pcol", "b1"), ("b1",))
     out = restructure.resample(r, target, "cubic", weights=True)
-    return _long(Rasters(out.pixels.where("abs(b1_weight) > 0.5"), target, ("b1",)), 2)
+    return _long(Rasters(out.pixels.where("abs(b1_weight) > 0.5"), target, ("b1",)), 5)
 
 
 @query("SELECT image, ord, floor(x0/3e0)*3e0 AS x0, ceil(y0/3e0)*3e0 AS y0, 3e0 AS res_x, 3e0 AS res_y, CAST((ceil((x0+32)/3e0)*3e0-floor(x0/3e0)*3e0)/3e0 AS INT) AS width, CAST((ceil(y0/3e0)*3e0-floor((y0-32)/3e0)*3e0)/3e0 AS INT) AS height FROM scenes")
