@@ -11,7 +11,7 @@ from pixelloom.functions import expressions
 from pixelloom.model import Rasters
 from pixelloom.operators import blocks, clouds, grid, regression, restructure, seamline, stats, vector
 from pixelloom.sources import paths, tables
-from pixelloom.sources.scenes import BANDS, catalogue, scenes
+from pixelloom.sources.scenes import BANDS, catalogue, scenes, side_of
 
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
@@ -325,7 +325,7 @@ _SPARSE = "b2 >= 92000"
 
 @query(", t AS (SELECT image,prow,pcol,prow*1000+pcol AS id FROM g WHERE b2>=92000), reach(image,id,other) AS (SELECT image,id,id FROM t UNION SELECT r.image,r.id,b.id FROM reach r JOIN t a ON a.image=r.image AND a.id=r.other JOIN t b ON b.image=a.image AND abs(a.prow-b.prow)+abs(a.pcol-b.pcol)=1) SELECT t.image, prow, pcol, CAST(min(other)//1000 AS INT) AS crow, CAST(min(other)%1000 AS INT) AS ccol FROM t JOIN reach r ON r.image=t.image AND r.id=t.id GROUP BY 1,2,3")
 def polygon_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector.connected(_cells(spark, sf_dir, _SPARSE)[1], tile=8)
+    return vector.connected(_cells(spark, sf_dir, _SPARSE)[1], tile=side_of(spark) // 4)
 
 
 @query(", t AS (SELECT image,prow,pcol FROM g WHERE b2>=92000), grid AS (SELECT image, r, c FROM scenes, (SELECT unnest(range(32)) AS r) a, (SELECT unnest(range(32)) AS c) b) SELECT DISTINCT grid.image, CAST(r AS INT) AS prow, CAST(c AS INT) AS pcol FROM grid JOIN t ON t.image=grid.image AND pow(greatest(abs(r-prow)-0.5e0,0),2)+pow(greatest(abs(c-pcol)-0.5e0,0),2)<=6.25e0")
