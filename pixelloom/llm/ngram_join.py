@@ -161,7 +161,8 @@ def cells(docs: DataFrame, k: int, percent: int, order: pa.Table) -> DataFrame:
 
 
 def shared(opened: DataFrame) -> DataFrame:
-    """Without the tokens that one document alone has. A frequent token needs no look: its rows are salted and stay."""
+    """token, doc_id, once each, without the tokens that one document alone has. A frequent token needs no look: its rows
+    are salted and stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, ids = np.empty(0, np.int64), np.empty(0, np.int64)  # the last row, undecided
@@ -171,6 +172,9 @@ def shared(opened: DataFrame) -> DataFrame:
             if len(new) == 0:
                 continue
             t, d, o = np.concatenate([token, new]), np.concatenate([ids, docs]), np.concatenate([[False] * len(token), often]).astype(bool)
+            # repeated rows of a document would count twice in a cell's size and cancel in the hash of its members
+            once = np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])])
+            t, d, o = t[once], d[once], o[once]
             same = t[1:] == t[:-1]
             keep = np.concatenate([[was and len(token) > 0], same])
             keep[:-1] |= same
@@ -181,7 +185,7 @@ def shared(opened: DataFrame) -> DataFrame:
             yield _table(token=token, doc_id=ids)
 
     salt = F.when(F.col("often"), F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(0)
-    return opened.repartition(F.col("token"), salt).sortWithinPartitions("token").mapInArrow(tidy(run), "token long, doc_id long")
+    return opened.repartition(F.col("token"), salt).sortWithinPartitions("token", "doc_id").mapInArrow(tidy(run), "token long, doc_id long")
 
 
 def points(docs: DataFrame, k: int, groups: int) -> DataFrame:

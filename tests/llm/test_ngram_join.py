@@ -96,6 +96,13 @@ def test_odd_rows(docs_of, odd):
     assert by[None][0].component_id is None
 
 
+def test_repeated_rows_keep_every_link(docs_of, prose):
+    """Cells of different documents stay apart where all of their rows, or some, are repeated."""
+    rows = copies(prose, 6)
+    assert got(ngram_join.join(docs_of(rows + rows))) == brute(rows)
+    assert got(ngram_join.join(docs_of(rows + rows[::2] + rows[::2]))) == brute(rows)
+
+
 def test_empty_table(docs_of):
     assert ngram_join.join(docs_of([])).count() == 0
     assert ngram_join.keep_one(docs_of([])).count() == 0
