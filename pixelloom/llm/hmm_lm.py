@@ -267,6 +267,12 @@ def is_held_out(doc_id: Column, folds: int, held: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == held, F.lit(False))
 
 
+def _with(rows: DataFrame, more: DataFrame) -> DataFrame:
+    """A left join by id and mark in which null ids are equal."""
+    m = more.withColumnsRenamed({"doc_id": "_doc_id", "mark": "_mark"})
+    return rows.join(m, rows["doc_id"].eqNullSafe(m["_doc_id"]) & (rows["mark"] == m["_mark"]), "left").drop("_doc_id", "_mark")
+
+
 def scored(docs: DataFrame, states: int = 6, buckets: int = 32_768, folds: int = 7, held: int = 2, iterations: int = 2, piece: int = 256, sample: int = 2_000, sample_rounds: int = 12, known: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "hmm")
@@ -322,19 +328,18 @@ def scored(docs: DataFrame, states: int = 6, buckets: int = 32_768, folds: int =
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, reader = sent.value[3], Documents(buckets)
         for batch in batches:
-            batch_ids, marks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for i, words, sizes in reader.of(batch.column(1)):
                 left = slots.get(words) == 0
-                own = i + np.repeat(np.arange(len(sizes)), sizes)[left]
-                yield pa.RecordBatch.from_arrays([pa.array(words[left].view(np.int64)), pa.array(batch_ids[own], pa.int64()), pa.array(marks[own], pa.int64())], ["token", "doc_id", "mark"])
+                own = pa.array(i + np.repeat(np.arange(len(sizes)), sizes)[left])
+                yield pa.RecordBatch.from_arrays([pa.array(words[left].view(np.int64)), batch.column(0).take(own).cast(pa.int64()), batch.column(2).take(own)], ["token", "doc_id", "mark"])
 
-    # one row stands for repeated rows, so that what is joined is not counted twice
-    marked = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    seen = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(tidy(forward), "doc_id long, mark long, n_tokens long, n_known long, logs double, chance double")
+    # what is joined is shared among the rows of one id and text; rows without an id are told apart by their texts
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    seen = marked.mapInArrow(tidy(forward), "doc_id long, mark long, n_tokens long, n_known long, logs double, chance double")
     seen = scratch.save("seen", seen)
     times = seen.groupBy("doc_id", "mark").agg(F.count("*").alias("times"))
     found = marked.mapInArrow(tidy(rare), "token long, doc_id long, mark long").join(words, "token").groupBy("doc_id", "mark").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("more_logs"))
-    both = seen.join(times, ["doc_id", "mark"], "left").join(found, ["doc_id", "mark"], "left")
+    both = _with(_with(seen, times), found)
     more = lambda c: F.coalesce(F.col(c) / F.coalesce("times", F.lit(1)), F.lit(0))
     logs = F.col("logs") + more("more_logs")
     return both.select(

@@ -37,6 +37,18 @@ def test_base_score(docs_of, prose, known):
         assert math.isfinite(r.score)
 
 
+def test_rare_words_of_rows_without_id(docs_of, prose):
+    """Rows without an id get the same counts whether words are broadcast or joined, repeated texts too."""
+    rows = [(i, prose(5 + 13 * i % 200, i)) for i in range(30)] + [(None, prose(n, 70 + n)) for n in (3, 40, 40, 90)] + [(None, None), (None, ""), (2**53 + 1, prose(30, 5))]
+    # the training rows' ids only decide the fold: unlike ones in the place of null stand for the same corpus
+    train = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 != 2]
+    want = brute_base([(train[k] if i is None else i, t) for k, (i, t) in enumerate(rows)])
+    key = lambda held, *counts: (held, *counts[:3], round(counts[3], 6))
+    for known in (500_000, 5):
+        out = hmm_lm.scored(docs_of(rows), buckets=256, known=known).collect()
+        assert sorted(key(r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in out) == sorted(key(*v) for v in want.values())
+
+
 def test_repeated_rows_and_odd_rows(docs_of, odd):
     out = hmm_lm.scored(docs_of(odd), buckets=64, known=2).collect()
     assert len(out) == len(odd)
