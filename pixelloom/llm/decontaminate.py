@@ -5,12 +5,12 @@ item; an item of fewer words is one window. Documents are scanned by a rolling h
 in the benchmark; a hash hit is verified word by word.
 
 The benchmark is broadcast only in parts of at most `part_chars` characters: its size is measured first, and a larger
-one is cut into parts by a hash of the item id, each scanned in a pass of its own. Every pass is a narrow map, so hot
-sources or copies need no shuffle.
+one is cut into parts by a hash of the item, each scanned in a pass of its own. Every pass is a narrow map, so hot
+sources or copies need no shuffle. What is dropped or cut is decided on the hits of all parts together.
 
-Defined results: null and empty texts have no words and no hits; items without words have no windows; repeated rows
-give repeated results; an empty benchmark hits nothing; the columns besides id and text are kept by `remove` and
-ignored by `scan`.
+Defined results: null and empty texts have no words and no hits; items without words have no windows; items
+without an id hit as others do and count as one, null, among the items found; repeated rows give repeated results; an
+empty benchmark hits nothing; the columns besides id and text are kept by `remove` and ignored by `scan`.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +41,9 @@ def folded(text: str | None) -> bytes:
 class Windows:
     """The n-grams of some benchmark items."""
 
-    def __init__(self, items: list[tuple[str, str | None]], n: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], n: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.items_of: dict[bytes, set[str]] = defaultdict(set)
+        self.items_of: dict[bytes, set[str | None]] = defaultdict(set)
         lengths = defaultdict(set)
         for item_id, text in items:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in folded(text).split()], np.int32)
@@ -59,7 +61,7 @@ class Windows:
             out ^= out >> np.uint64(29)
         return out
 
-    def scan(self, words: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray | None, set[str | None]]:
         """Which words are hit (None: no word), and by which items."""
         get = self.vocabulary.get
         ids = np.array([get(w, 0) for w in words], np.int32)
@@ -79,6 +81,7 @@ class Windows:
 
 
 _BUILT: dict = {}
+_SPANS = "spans of all parts"
 
 
 def _windows(key: str, items: list, n: int) -> Windows:
@@ -97,10 +100,10 @@ def runs(hit: np.ndarray) -> list[list[int]]:
 
 def _parts(benchmark: DataFrame, item_col: str, text_col: str, part_chars: int) -> list[DataFrame]:
     """The items, in parts of about part_chars bytes at most: what is broadcast at once."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null")
     chars = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     parts = max(1, math.ceil(2 * chars / part_chars)) if chars > part_chars else 1
-    return [items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part) for part in range(parts)]
+    return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) for part in range(parts)]
 
 
 def _pass(rows: DataFrame, items: DataFrame, key: str, n: int, last: bool) -> DataFrame:
@@ -118,7 +121,7 @@ def _pass(rows: DataFrame, items: DataFrame, key: str, n: int, last: bool) -> Da
                 if hit is not None:
                     for i, j in spans:
                         hit[i:j] = True
-                    spans, items = runs(hit), sorted(found | set(items))
+                    spans, items = runs(hit), sorted(found | set(items), key=lambda x: (x is None, x or ""))
                 out.append((len(words), spans, items))
             columns = [batch.column("doc_id"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))]
             names = ["doc_id", "n_words", "spans", "items"]
@@ -128,7 +131,7 @@ def _pass(rows: DataFrame, items: DataFrame, key: str, n: int, last: bool) -> Da
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_chars: int = 32_000_000) -> DataFrame:
-    """doc_id, n_words, spans (runs of hit words), items (ids of the items found, sorted) of every document."""
+    """doc_id, n_words, spans (runs of hit words), items (ids of the items found, sorted; null last) of every document."""
     scratch, parts = Scratch(docs.sparkSession, "decontaminate"), _parts(benchmark, item_col, item_text_col, part_chars)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.expr("cast(array() as array<array<int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     for i, items in enumerate(parts):
@@ -152,11 +155,58 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float
     """The documents without the hit spans, all columns kept; a document that has at least drop_share of its words hit
     goes. What stays holds no window any more: cutting is repeated until nothing is hit. Where an n_chars column is
     there, it follows the text."""
-    for i, items in enumerate(parts := _parts(benchmark, item_col, item_text_col, part_chars)):
-        docs = _cleaned(docs, items, f"{Scratch(docs.sparkSession, 'remove').root}/{i}", n, drop_share, text_col)
-        if len(parts) > 1:
-            docs = Scratch(docs.sparkSession, "remove").save(str(i), docs)
-    return docs
+    scratch, parts = Scratch(docs.sparkSession, "remove"), _parts(benchmark, item_col, item_text_col, part_chars)
+    if len(parts) == 1:
+        return _cleaned(docs, parts[0], f"{scratch.root}/0", n, drop_share, text_col)
+    done, names = [], docs.columns
+    for turn in count():
+        rows = docs.select(F.expr("cast(array() as array<array<int>>)").alias(_SPANS), *names)
+        for i, items in enumerate(parts):
+            rows = scratch.save(f"{turn}-{i}", _marked(rows, items, f"{scratch.root}/{i}", n, text_col))
+            if i:
+                scratch.drop(f"{turn}-{i - 1}")
+        done.append(rows.where(F.size(_SPANS) == 0).select(*names))
+        # the share is of the text as it came; what is cut may join words to new windows, of any part
+        docs = scratch.save(f"{turn}-cut", _cut(rows.where(F.size(_SPANS) > 0), drop_share if turn == 0 else None, text_col))
+        if docs.isEmpty():
+            return reduce(DataFrame.unionAll, done)
+
+
+def _marked(rows: DataFrame, items: DataFrame, key: str, n: int, text_col: str) -> DataFrame:
+    """Adds what these items hit to the spans of the rows."""
+    sent, at = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()]), rows.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _windows(key, sent.value, n)
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch.column(at), batch.column(0).to_pylist(), strict=True):
+                hit, _ = windows.scan(folded(text.as_py()).split())
+                if hit is not None:
+                    for i, j in spans:
+                        hit[i:j] = True
+                    spans = runs(hit)
+                out.append(spans)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.list_(pa.int32()))), *batch.columns[1:]], batch.schema.names)
+
+    return rows.mapInArrow(tidy(run), rows.schema)
+
+
+def _cut(rows: DataFrame, drop_share: float | None, text_col: str) -> DataFrame:
+    """The rows without their spans; those with at least drop_share of their words hit go."""
+    at, size = rows.columns.index(text_col), rows.columns.index("n_chars") if "n_chars" in rows.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans, columns = batch.column(at).to_pylist(), batch.column(0).to_pylist(), list(batch.columns)
+            keep = [drop_share is None or sum(j - i for i, j in s) < drop_share * len(folded(t).split()) for t, s in zip(texts, spans, strict=True)]
+            texts = [cut(t, s) for t, s in zip(texts, spans, strict=True)]
+            columns[at] = pa.array(texts, pa.string())
+            if size is not None:
+                columns[size] = pa.array([len(t) for t in texts], batch.column(size).type)
+            yield pa.RecordBatch.from_arrays(columns[1:], batch.schema.names[1:]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(tidy(run), rows.drop(_SPANS).schema)
 
 
 def _cleaned(docs: DataFrame, items: DataFrame, key: str, n: int, drop_share: float, text_col: str) -> DataFrame:

@@ -5,9 +5,10 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 
-from pixelloom.llm import decontaminate, licenses, line_dedup, quality, secrets
+from pixelloom.llm import decontaminate, licenses, line_dedup, oracles, quality, secrets
 
 BENCH = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,6 +67,38 @@ def test_remove_spans(spark, docs_of, prose, odd):
     assert decontaminate.remove(docs_of(odd), bench).count() == len(odd)
 
 
+def test_remove_in_parts_is_as_in_one(spark, docs_of, prose):
+    """The share and the cuts come from the hits of all parts; what cuts join is looked up in all of them."""
+    items = [(i, prose(12, 200 + i)) for i in range(12)]
+    a, b = items[0][1].split(), items[1][1].split()
+    nested = " ".join([*a[:6], *b, *a[6:]])
+    docs = [(i, f"{items[i][1]} {prose(16, 300 + i)} {items[(i + 1) % 12][1]}") for i in range(12)]
+    docs += [(50 + i, f"{prose(40, 400 + i)} {' '.join(items[i][1].split()[:6])} {items[(i + 5) % 12][1]} {' '.join(items[i][1].split()[6:])} {prose(40, 500 + i)}") for i in range(12)]
+    docs += [(90, f"{prose(60, 600)} {nested} {prose(60, 601)}"), (91, prose(30, 602)), (92, None), (92, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    whole, parts = decontaminate.remove(docs_of(docs), bench), decontaminate.remove(docs_of(docs), bench, part_chars=200)
+    assert parts.columns == whole.columns and rows(parts) == rows(whole)
+    assert not {r.doc_id for r in parts.collect()} & set(range(12))
+    assert not any(r.contaminated for r in decontaminate.digest(parts, bench).collect())
+
+
+def test_items_without_id_hit(spark, docs_of, prose):
+    """As the SQL has it: they hit, and count as one item without a name."""
+    items = [(None, prose(12, 1)), (None, prose(14, 2)), (7, prose(12, 3))]
+    docs = [(1, f"{prose(40, 5)} {items[0][1]} {items[1][1]} {prose(40, 6)} {items[2][1]}"), (2, f"{prose(40, 7)} {items[1][1]}"), (3, prose(30, 8))]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), docs_of(docs)
+    con = duckdb.connect()
+    for name, t in (("benchmark", bench), ("documents", df)):
+        con.register(name, t.toArrow())
+    want = sorted(con.execute(oracles.DECONTAMINATE).fetchall())
+    assert [r[3] for r in want] == [2, 1, 0]
+    for part_chars in (32_000_000, 60):
+        assert sorted(tuple(r) for r in decontaminate.digest(df, bench, part_chars=part_chars).collect()) == want
+        left = {r.doc_id: r.text for r in decontaminate.remove(df, bench, part_chars=part_chars).collect()}
+        assert items[1][1] not in left[2] and left[3] == docs[2][1]
+
+
 def brute_dedup(texts, rules=line_dedup._SHAPE, min_docs=3, min_long=2, long_from=50, diverse=0.25):
     """The same definition with strings and sets."""
 
