@@ -2,21 +2,25 @@
 
 A line of a document goes down a tree of fixed depth: by its number of tokens, then by its first `lead` tokens; tokens with
 digits are variable fields and count as equal. At the leaf the rest is cut into `parts` stretches. A line has one
-template of all stretches and, from `wild_from` tokens on, one for each stretch left open, which generalises fields that
-vary inside it. All keys of a line come from its own tokens, so the tree needs no order of lines and no leaf is ever
-held in one place.
+template of all stretches and, where each stretch has a token (`lead + parts` tokens at least, and one more), one for each
+stretch left open, which generalises fields that vary inside it. All keys of a line come from its own tokens, so the
+tree needs no order of lines and no leaf is ever held in one place.
 
-A template recurs across documents when at least `min_docs` different texts have it (`min_long` for templates of
-`long_from` tokens) in different surroundings: the first two tokens of the lines before and after are counted, and
-both numbers have to reach that, and `diverse` of the number of texts. Copies of a document have the same surroundings,
-so their lines stay; they are the near-duplicate stage's business. All lines of recurring templates are dropped.
+A template recurs when `min_docs` texts that are no copies of one another have it; `min_long` texts suffice for templates of
+`long_from` tokens, which do not meet by chance, while templates of fewer than `short_to` tokens need `min_short`. All lines
+of recurring templates are dropped, be they alone or in blocks, in every document, copies included.
 
-Templates are found by aggregations with partial sums; those that recur are broadcast in parts of at most `most` keys,
-each dropped in a pass of its own, so the size of what is broadcast is bounded.
+Copies are the near-duplicate stage's business, so each group of them counts as about one text. A text has `bands` sketches:
+the least hash of the 5-word shingles of each third of it, three together. Near copies share a third's least shingle
+with about their similarity s, hence one of the bands with 1 - (1 - s ** 3) ** bands, over 0.9999 at 0.8; texts that
+only share a passage share no third as a whole. A text stands for itself if it has the smallest hash of all texts
+with which it shares a band; only such texts are counted.
 
-Defined results: null and empty texts stay; blank lines and lines of fewer than `min_tokens` tokens stay; a text whose
-lines all go becomes empty; equal texts count once; ids play no part, so null or repeated ids do no harm; other columns
-are kept.
+Everything is found by aggregations with partial sums. Recurring templates are broadcast up to a counted `most`; beyond
+that they are joined, to the keys of texts and then to the texts.
+
+Defined results: null and empty texts stay; blank lines stay, and lines of variable fields alone; a text whose lines all
+go becomes empty; equal texts count once; ids play no part, so null or repeated ids do no harm; other columns are kept.
 """
 
 from __future__ import annotations
@@ -31,15 +35,21 @@ from pyspark.sql import functions as F
 from pixelloom.llm.common import HashedWords, Scratch, mix, tidy
 
 _Q = 0xA0761D6478BD642F
-_FIELD, _OPEN, _SIDE = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3), np.uint64(0x1D8E4E27C47D124F)
+_FIELD, _OPEN = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
+#: One odd factor for each band: the order of the products is the order of its hashes.
+_FACTORS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+_ORDINARY, _LONG, _SHORT = 0, 1, 2  # the low bits of a key
+
+RULES = {"min_docs": 3, "min_long": 2, "min_short": 10}
+_SHAPE = {"lead": 3, "parts": 4, "long_from": 50, "short_to": 5, "bands": 24, "shingle": 5}
 
 
 class Lines(HashedWords):
-    """The template keys of the lines of many texts."""
+    """The template keys of the lines of many texts, and the sketches of the texts."""
 
-    def __init__(self, lead: int, parts: int, min_tokens: int, wild_from: int):
+    def __init__(self, lead: int, parts: int, long_from: int, short_to: int, bands: int, shingle: int):
         super().__init__()
-        self.lead, self.parts, self.min_tokens, self.wild_from = lead, parts, min_tokens, wild_from
+        self.lead, self.parts, self.long_from, self.short_to, self.bands, self.shingle = lead, parts, long_from, short_to, bands, shingle
         self.rise = self.fall = np.empty(0, np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -49,13 +59,14 @@ class Lines(HashedWords):
                 out[0] = 1
                 setattr(self, name, np.cumprod(out, dtype=np.uint64))
 
-    def of(self, texts: pa.Array) -> Iterator[tuple]:
-        """In blocks: number of the first text, and of the lines that have words: text, line number within it, tokens,
-        keys (parts + 1 each; 0: none), the keys of the surroundings."""
+    def of(self, texts: pa.Array, sketched: bool = False) -> Iterator[tuple]:
+        """In blocks: number of the first text and of texts; of each line that has words its text, line number within it
+        and keys (parts + 1 each; 0: none); the sketches of the texts, if wanted (a row of bands each)."""
         for first, raw, ends in self.blocks(texts):
             words, own, i, j = self.placed(raw, ends)
             digits = np.concatenate([[0], np.cumsum((raw >= 48) & (raw <= 57))])
-            words = np.where(digits[j] > digits[i], _FIELD, words)
+            fields = digits[j] > digits[i]
+            words = np.where(fields, _FIELD, words)
             breaks = np.concatenate([[0], np.cumsum(raw == 10)])
             line = breaks[i] - breaks[np.concatenate([[0], ends[:-1]])][own]
             new = np.ones(len(words), bool)
@@ -69,66 +80,116 @@ class Lines(HashedWords):
             head = np.minimum(n, self.lead)
             leaf = mix(span(a, a + head) * np.uint64(_Q) + n.astype(np.uint64))
             cuts = [a + head + (n - head) * q // self.parts for q in range(self.parts + 1)]
+            opened = mix(_OPEN + np.arange(self.parts, dtype=np.uint64))
             stretches = [mix(span(cuts[q], cuts[q + 1]) + np.uint64(q + 1)) for q in range(self.parts)]
             total = sum(stretches[1:], stretches[0].copy())
-            keys = np.stack([mix(leaf + total), *(mix(leaf + (total - s) + mix(_OPEN + np.uint64(q))) for q, s in enumerate(stretches))], 1)
-            keys[n < self.min_tokens] = 0
-            keys[n < self.wild_from, 1:] = 0
-            start = span(a, a + np.minimum(n, 2))
-            text = own[a]
-            yield first, len(ends), text, line[a], n, keys, start
-
-    @staticmethod
-    def surroundings(text: np.ndarray, start: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the lines before and after. At an end of a text the text's own mark stands for one; a text of one line
-        has the same key on both sides as all others of the kind."""
-        before, after = np.empty_like(start), np.empty_like(start)
-        before[1:], after[:-1] = start[:-1], start[1:]
-        begins, ends = np.ones(len(text), bool), np.ones(len(text), bool)
-        begins[1:] = ends[:-1] = text[1:] != text[:-1]
-        before[begins] = mix(marks[text[begins]] + _SIDE)
-        after[ends] = mix(marks[text[ends]] + _SIDE)
-        before[begins & ends] = after[begins & ends] = _SIDE
-        return before, after
-
-
-_SHAPE = {"lead": 3, "parts": 4, "min_tokens": 5, "wild_from": 12}
+            keys = np.stack([mix(leaf + total), *(mix(leaf + (total - s) + opened[q]) for q, s in enumerate(stretches))], 1)
+            kind = np.where(n >= self.long_from, _LONG, np.where(n < self.short_to, _SHORT, _ORDINARY)).astype(np.uint64)
+            keys = (keys & np.uint64(2**64 - 4)) | kind[:, None]
+            keys[n <= self.lead + self.parts, 1:] = 0
+            plain = np.concatenate([[0], np.cumsum(~fields)])
+            keys[plain[b] == plain[a]] = 0
+            yield first, len(ends), own[a], line[a], keys, self._sketches(own, len(ends), span) if sketched else None
+
+    def _sketches(self, own: np.ndarray, count: int, span) -> np.ndarray:
+        sizes = np.bincount(own, minlength=count)
+        ends = np.cumsum(sizes)
+        shingles = np.maximum(sizes - self.shingle + 1, np.minimum(sizes, 1))  # a shorter text is one shingle
+        upto = np.cumsum(shingles)
+        text = np.repeat(np.arange(count), shingles)
+        at = (ends - sizes)[text] + np.arange(len(text)) - (upto - shingles)[text]
+        hashes = span(at, np.minimum(at + self.shingle, ends[text]))
+        out = np.zeros((count, self.bands), np.uint64)
+        has = np.flatnonzero(shingles)
+        if len(has):
+            n, start = shingles[has], (upto - shingles)[has]
+            low = start[:, None] + np.minimum(n[:, None] * np.arange(3) // 3, n[:, None] - 1)
+            high = np.maximum(start[:, None] + n[:, None] * np.arange(1, 4) // 3, low + 1)
+            bounds = np.stack([low, high], 2).ravel()
+            padded = np.append(hashes, np.uint64(2**64 - 1))
+            for band in range(self.bands):
+                least = np.minimum.reduceat(padded * _FACTORS[band], bounds)[::2].reshape(-1, 3)
+                out[has, band] = mix(mix(mix(least[:, 0]) + least[:, 1]) + least[:, 2] + np.uint64(band))
+        return out
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def lines(docs: DataFrame, shape: dict, text_col: str = "text") -> DataFrame:
-    """keys, tokens, mark (the text's hash), before, after of every line that has keys."""
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), _signed(values))
+
+
+def profile(docs: DataFrame, shape: dict, text_col: str = "text") -> DataFrame:
+    """mark (the text's hash), bands, keys (once each) of every text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Lines(**shape)
         for batch in batches:
-            marks = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for first, count, text, _, n, keys, start in reader.of(batch.column(0)):
-                before, after = reader.surroundings(text, start, marks[first : first + count])
-                has = keys[:, 0] != 0
-                kept = keys[has]
-                offsets = np.arange(0, kept.size + 1, kept.shape[1], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array(offsets), _signed(kept.ravel())), pa.array(n[has].astype(np.int32)), _signed(marks[first : first + count][text[has]]), _signed(before[has]), _signed(after[has])],
-                    ["keys", "tokens", "mark", "before", "after"],
-                )
+            marks = batch.column(1)
+            for first, count, text, _, keys, bands in reader.of(batch.column(0), sketched=True):
+                own, flat = np.repeat(text, keys.shape[1]), keys.ravel()
+                own, flat = own[flat != 0], flat[flat != 0]
+                order = np.lexsort((flat, own))
+                own, flat = own[order], flat[order]
+                new = np.ones(len(own), bool)
+                new[1:] = (own[1:] != own[:-1]) | (flat[1:] != flat[:-1])
+                some = np.bincount(text, minlength=count) > 0
+                sizes = np.bincount(own[new], minlength=count)[some]
+                yield pa.RecordBatch.from_arrays([marks.slice(first, count).filter(pa.array(some)), _lists(bands[some].ravel(), np.full(len(sizes), bands.shape[1])), _lists(flat[new], sizes)], ["mark", "bands", "keys"])
+
+    return docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"), F.xxhash64(docs[text_col]).alias("mark")).mapInArrow(tidy(run), "mark long, bands array<long>, keys array<long>")
+
+
+def _joined(rows: DataFrame, few: DataFrame, on: str, how: str, most: int, salts: int = 32) -> DataFrame:
+    """rows joined with few, whose key is unique: broadcast up to `most` counted rows, else by a shuffle in which rows of one
+    key are dealt to `salts` tasks."""
+    if few.count() <= most:
+        return rows.join(F.broadcast(few), on, how)
+    dealt = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.floor(F.rand(1) * salts).cast("int")).join(dealt, [on, "_salt"], how).drop("_salt")
+
+
+def copies(found: DataFrame, most: int) -> DataFrame:
+    """mark of the texts that share a band with one of a smaller hash."""
+    flat = found.select(F.explode("bands").alias("band"), "mark")
+    groups = flat.groupBy("band").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("band", "low")
+    return _joined(flat, groups, "band", "inner", most).where("mark > low").select("mark").distinct()
+
+
+def templates(docs: DataFrame, scratch: Scratch, min_docs: int, min_long: int, min_short: int, most: int, shape: dict, text_col: str = "text") -> DataFrame:
+    """key, docs of the templates that recur."""
+    found = scratch.save("texts", profile(docs, shape, text_col))
+    once = found.groupBy("mark").agg(F.first("keys").alias("keys"))
+    counted = _joined(once, scratch.save("copies", copies(found, most)), "mark", "left_anti", most)
+    kind = F.col("key").bitwiseAND(F.lit(3))
+    least = F.when(kind == _LONG, min_long).when(kind == _SHORT, min_short).otherwise(min_docs)
+    return scratch.save("templates", counted.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("docs")).where(F.col("docs") >= least))
 
-    return docs.select(F.coalesce(text_col, F.lit("")).alias("text"), F.xxhash64(text_col).alias("mark")).mapInArrow(tidy(run), "keys array<long>, tokens int, mark long, before long, after long")
 
+def _without(column: pa.Array, gone: dict[int, set[int]]) -> dict[int, str]:
+    """The texts that lose lines: their place, what is left."""
+    return {t: "\n".join([x for i, x in enumerate(column[t].as_py().split("\n")) if i not in numbers]) for t, numbers in gone.items()}
 
-def templates(docs: DataFrame, scratch: Scratch, min_docs: int = 3, min_long: int = 2, long_from: int = 50, diverse: float = 0.25, shape: dict | None = None) -> DataFrame:
-    """key, docs of the templates that recur."""
-    found = scratch.save("lines", lines(docs, shape or _SHAPE))
-    flat = found.select(F.explode("keys").alias("key"), "tokens", "mark", "before", "after").where("key <> 0")
-    # a template in one text only is settled by its smallest and largest mark, with partial sums
-    twice = flat.groupBy("key").agg(F.min("mark").alias("p"), F.max("mark").alias("q")).where("p < q").select("key")
-    near = scratch.save("near", flat.join(twice, "key", "left_semi"))
-    counted = near.groupBy("key").agg(F.max("tokens").alias("tokens"), F.count_distinct("mark").alias("docs"), F.count_distinct("before").alias("b"), F.count_distinct("after").alias("a"))
-    least = F.greatest(F.when(F.col("tokens") >= long_from, min_long).otherwise(min_docs), F.ceil(diverse * F.col("docs")))
-    return scratch.save("templates", counted.where((F.least("a", "b", "docs") >= least)).select("key", "docs"))
+
+def _changed(batch: pa.RecordBatch, at: int, size: int | None, changed: dict[int, str]) -> list[pa.Array]:
+    columns = list(batch.columns)
+    if changed:
+        columns[at] = pa.array([changed.get(i, x) for i, x in enumerate(batch.column(at).to_pylist())], pa.string())
+        if size is not None:
+            columns[size] = pa.array([len(changed[i]) if i in changed else x for i, x in enumerate(batch.column(size).to_pylist())], batch.column(size).type)
+    return columns
+
+
+def _hits(reader: Lines, column: pa.Array, known) -> dict[int, set[int]]:
+    """text -> numbers of its lines that `known(first, text, keys)` marks."""
+    gone: dict[int, set[int]] = {}
+    for first, _, text, line, keys, _ in reader.of(column.fill_null("")):
+        hit = known(first, text, keys)
+        for t, i in zip(text[hit].tolist(), line[hit].tolist(), strict=True):
+            gone.setdefault(first + t, set()).add(i)
+    return gone
 
 
 def drop(docs: DataFrame, keys: np.ndarray, shape: dict, text_col: str = "text") -> DataFrame:
@@ -138,44 +199,56 @@ def drop(docs: DataFrame, keys: np.ndarray, shape: dict, text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, known = Lines(**shape), sent.value
+
+        def hit(first: int, text: np.ndarray, keys: np.ndarray) -> np.ndarray:
+            place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            return ((known[place] == keys) & (keys != 0)).any(1)
+
         for batch in batches:
-            changed: dict[int, str] = {}
             column = batch.column(at)
-            for first, _, text, line, _, keys, _ in reader.of(column.fill_null("")):
-                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                hit = ((known[place] == keys) & (keys != 0)).any(1)
-                gone: dict[int, set[int]] = {}
-                for t, i in zip(text[hit].tolist(), line[hit].tolist(), strict=True):
-                    gone.setdefault(first + t, set()).add(i)
-                for t, numbers in gone.items():
-                    changed[t] = "\n".join([x for i, x in enumerate(column[t].as_py().split("\n")) if i not in numbers])
-            columns = list(batch.columns)
-            if changed:
-                columns[at] = pa.array([changed.get(i, x) for i, x in enumerate(column.to_pylist())], pa.string())
-                if size is not None:
-                    old = batch.column(size).to_pylist()
-                    columns[size] = pa.array([len(changed[i]) if i in changed else x for i, x in enumerate(old)], batch.column(size).type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            yield pa.RecordBatch.from_arrays(_changed(batch, at, size, _without(column, _hits(reader, column, hit))), batch.schema.names)
 
     return docs.mapInArrow(tidy(run), docs.schema)
 
 
+_KEYS = "keys of recurring templates"
+
+
+def drop_joined(docs: DataFrame, found: DataFrame, often: DataFrame, scratch: Scratch, most: int, shape: dict, text_col: str = "text") -> DataFrame:
+    """The same with any number of keys: each text gets its own ones by two joins. found: `profile`; often: the keys."""
+    own = found.groupBy("mark").agg(F.first("keys").alias("keys")).select("mark", F.explode("keys").alias("key"))
+    own = scratch.save("own", _joined(own, often.select("key"), "key", "left_semi", most).groupBy("mark").agg(F.collect_list("key").alias(_KEYS)))
+    rows = _joined(docs.withColumn("mark of the text", F.xxhash64(docs[text_col])), own.withColumnRenamed("mark", "mark of the text"), "mark of the text", "left", most).select(_KEYS, *docs.columns)
+    at, size = rows.columns.index(text_col), rows.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Lines(**shape)
+        for batch in batches:
+            column, lists = batch.column(at), batch.column(0).to_pylist()
+
+            def hit(first: int, text: np.ndarray, keys: np.ndarray, lists=lists) -> np.ndarray:
+                known = [set(lists[first + t] or ()) for t in range(int(text.max(initial=-1)) + 1)]
+                return np.array([any(k in known[t] for k in row) for t, row in zip(text.tolist(), keys.view(np.int64).tolist(), strict=True)], bool)
+
+            yield pa.RecordBatch.from_arrays(_changed(batch, at, size, _without(column, _hits(reader, column, hit)))[1:], batch.schema.names[1:])
+
+    return rows.mapInArrow(tidy(run), docs.schema)
+
+
 def dedup(docs: DataFrame, most: int = 1_000_000, shape: dict | None = None, text_col: str = "text", **rules) -> DataFrame:
     """The documents without the lines of recurring templates, all columns kept."""
-    scratch, shape = Scratch(docs.sparkSession, "line-dedup"), shape or _SHAPE
-    found = templates(docs if text_col == "text" else docs.withColumnRenamed(text_col, "text"), scratch, shape=shape, **rules)
-    scratch.drop("lines")
-    scratch.drop("near")
-    total = found.count()
-    passes = -(-total // most)
-    for part in range(passes):
-        keys = found.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == part).select("key").toArrow().column("key").to_numpy()
-        if len(keys) == 0:
-            continue
-        docs = drop(docs, keys, shape, text_col)
-        if passes > 1:
-            docs = scratch.save(f"pass-{part}", docs)
-    return docs
+    scratch, shape = Scratch(docs.sparkSession, "line-dedup"), _SHAPE | (shape or {})
+    often = templates(docs, scratch, most=most, shape=shape, text_col=text_col, **(RULES | rules))
+    scratch.drop("copies")
+    total = often.count()
+    if total == 0:
+        scratch.drop()
+        return docs
+    if total <= most:
+        keys = often.select("key").toArrow().column("key").to_numpy()
+        scratch.drop()
+        return drop(docs, keys, shape, text_col)
+    return drop_joined(docs, docs.sparkSession.read.parquet(scratch.path("texts")), often, scratch, most, shape, text_col)
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:

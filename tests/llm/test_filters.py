@@ -1,14 +1,16 @@
 """Decontamination, line dedup, secrets, quality, licences."""
 
+import functools
 import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
 
-from pixelloom.llm import decontaminate, licenses, line_dedup, oracles, quality, secrets
+from pixelloom.llm import common, decontaminate, licenses, line_dedup, oracles, quality, secrets
 
 BENCH = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -99,38 +101,65 @@ def test_items_without_id_hit(spark, docs_of, prose):
         assert items[1][1] not in left[2] and left[3] == docs[2][1]
 
 
-def brute_dedup(texts, rules=line_dedup._SHAPE, min_docs=3, min_long=2, long_from=50, diverse=0.25):
-    """The same definition with strings and sets."""
+def brute_copies(texts, shape=line_dedup._SHAPE):
+    """The texts that share a band with one of a smaller hash; the hashes as sums of Python's integers."""
+    field = int(line_dedup._FIELD)
+
+    def scramble(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    def poly(values, base):
+        return scramble((sum(v * pow(base, i, 2**64) for i, v in enumerate(values)) + len(values)) % 2**64)
+
+    values = [int(v) for v in common._VALUES]
+    hashed = functools.cache(lambda w: field if any(c in "0123456789" for c in w) else poly([values[b] for b in w.encode()], common._BASE))
+    groups = {}
+    for text, mark in texts.items():
+        w = [hashed(x) for x in WORD.findall(low(text))]
+        s = [poly(w[i : i + shape["shingle"]], line_dedup._Q) for i in range(max(1, len(w) - shape["shingle"] + 1))]
+        for band in range(shape["bands"] if w else 0):
+            factor, key = int(line_dedup._FACTORS[band]), band
+            least = []
+            for q in range(3):
+                i = min(len(s) * q // 3, len(s) - 1)
+                least.append(min(x * factor % 2**64 for x in s[i : max(i + 1, len(s) * (q + 1) // 3)]))
+            key = scramble((scramble((scramble(least[0]) + least[1]) % 2**64) + least[2] + band) % 2**64)
+            groups.setdefault(key, set()).add((mark, text))
+    return {text for g in groups.values() for mark, text in g if mark > min(g)[0]}
+
+
+def brute_dedup(texts, marks, shape=line_dedup._SHAPE, rules=line_dedup.RULES):
+    """The same definition with strings and sets. marks: the hash of each text."""
 
     def tokens(line):
         return ["#" if any(c in "0123456789" for c in w) else w for w in WORD.findall(low(line))]
 
     def keys(t):
-        if len(t) < rules["min_tokens"]:
+        if set(t) <= {"#"}:
             return []
-        head, rest = t[: rules["lead"]], t[rules["lead"] :]
-        parts = [tuple(rest[len(rest) * q // rules["parts"] : len(rest) * (q + 1) // rules["parts"]]) for q in range(rules["parts"])]
+        head, rest = t[: shape["lead"]], t[shape["lead"] :]
+        parts = [tuple(rest[len(rest) * q // shape["parts"] : len(rest) * (q + 1) // shape["parts"]]) for q in range(shape["parts"])]
         out = [(len(t), tuple(head), tuple(parts), None)]
-        if len(t) >= rules["wild_from"]:
-            out += [(len(t), tuple(head), tuple(p if k != q else "*" for k, p in enumerate(parts)), q) for q in range(rules["parts"])]
+        if len(rest) > shape["parts"]:
+            out += [(len(t), tuple(head), tuple(p if k != q else "*" for k, p in enumerate(parts)), q) for q in range(shape["parts"])]
         return out
 
-    seen = {}
-    for text in set(texts):
-        lines = [t for t in map(tokens, (text or "").split("\n")) if t]
-        for i, t in enumerate(lines):
-            alone = len(lines) == 1
-            before = "alone" if alone else tuple(lines[i - 1][:2]) if i else ("end", text)
-            after = "alone" if alone else tuple(lines[i + 1][:2]) if i + 1 < len(lines) else ("end", text)
-            for key in keys(t):
-                d, b, a = seen.setdefault(key, (set(), set(), set()))
-                d.add(text)
-                b.add(before)
-                a.add(after)
-    often = {k for k, (d, b, a) in seen.items() if min(len(d), len(b), len(a)) >= max(min_long if k[0] >= long_from else min_docs, math.ceil(diverse * len(d))) and len(d) > 1}
+    once = {t: m for t, m in zip(texts, marks, strict=True) if t}
+    copied = brute_copies(once, shape)
+    seen = Counter(k for t in once if t not in copied for k in {k for x in t.split("\n") for k in keys(tokens(x))})
+    least = lambda n: rules["min_long"] if n >= shape["long_from"] else rules["min_short"] if n < shape["short_to"] else rules["min_docs"]
+    often = {k for k, n in seen.items() if n >= least(k[0])}
     return [None if t is None else "\n".join(x for x in t.split("\n") if not often.intersection(keys(tokens(x)))) for t in texts]
 
 
+def marks_of(df):
+    """The texts in the order of their ids, and Spark's hash of each."""
+    rows = df.selectExpr("doc_id", "text", "xxhash64(text) as mark").orderBy("doc_id").collect()
+    return [r.text for r in rows], [r.mark for r in rows]
+
+
 def line_texts(prose):
     r, notice, passage = random.Random(1), "This notice is on every page", prose(70, 50)
     texts = []
@@ -145,20 +174,58 @@ def line_texts(prose):
         if i % 5 == 0:
             name = prose(1, 900 + i)
             lines.insert(0, f"Written in the name of {name} the seller by the town hall clerk of this place")
+        if i % 2:
+            lines.append("Back to top")
+        lines.append(f"{i} {i + 1}")
         texts.append("\n".join(lines))
     copied = "\n".join(prose(20, 700 + k) for k in range(5))
-    return texts + [copied, copied, copied + " x", copied.replace("th", "zz", 1), "", None, "just one line of six words", "just one line of six words", "a\n\nb"]
+    return texts + [copied, copied, copied + " x", copied.replace("th", "zz", 1), "", None, "just one line of six words", "just one line of six words", "a\n\nb", " \n"]
 
 
 def test_line_dedup_equals_brute_force(docs_of, prose):
     texts = line_texts(prose)
     df = docs_of(list(enumerate(texts)))
-    for options in ({}, {"most": 3}):
+    want = brute_dedup(*marks_of(df))
+    for options in ({}, {"most": 3}, {"most": 0}):
         out = line_dedup.dedup(df, **options)
         assert out.columns == df.columns
-        assert [r.text for r in sorted(out.collect(), key=lambda r: r.doc_id)] == brute_dedup(texts)
-    assert brute_dedup(texts) != texts and brute_dedup(texts)[30] == texts[30]
-    assert not any("This notice" in (t or "") or "Posted by" in (t or "") for t in brute_dedup(texts))
+        assert [r.text for r in sorted(out.collect(), key=lambda r: r.doc_id)] == want
+    assert want != texts and want[30] == texts[30] and want[0].endswith("\n0 1")
+    assert not any(x in (t or "") for t in want for x in ("This notice", "Posted by", "Written in", "Back to top", prose(70, 50)))
+
+
+def edited(text, share, seed):
+    r = random.Random(seed)
+    return "\n".join(" ".join(w if r.random() >= share else f"{w}q{'abcdefgh'[r.randrange(8)]}" for w in line.split()) for line in text.split("\n"))
+
+
+def test_blocks_go_and_copies_stay(docs_of, prose):
+    """Notices of several lines go wherever they stand; near copies with scattered edits keep their lines, also those of
+    a document that has a notice; so does a document that a few unrelated ones quote."""
+    notice = [prose(9, 40), prose(12, 41), prose(7, 42)]
+    texts = []
+    for i in range(60):
+        lines = [prose(12, 1000 + 10 * i + k) for k in range(8)]
+        at = (0, len(lines), i % 9)[i % 3]
+        texts.append("\n".join([*lines[:at], *notice, *lines[at:]]))
+    alone = "\n".join(prose(14, 5000 + k) for k in range(10))
+    texts += [edited(alone, 0.02, i) for i in range(200)] + [edited(texts[0], 0.02, 300 + i) for i in range(100)]
+    df = docs_of(list(enumerate(texts)))
+    out = [r.text for r in sorted(line_dedup.dedup(df).collect(), key=lambda r: r.doc_id)]
+    assert not any(x in t.split("\n") for t in out for x in notice)
+    assert out[60:260] == texts[60:260]
+    assert all(len(t.split("\n")) == 8 for t in out[:60]) and all(8 <= len(t.split("\n")) <= 11 for t in out[260:])
+    assert all(r.n_chars == len(r.text) for r in line_dedup.dedup(df).limit(50).collect())
+
+
+def test_line_dedup_of_other_columns(spark, prose):
+    """Repeated rows count once, whatever the columns are called."""
+    line = prose(9, 1)
+    rows = [(i, f"{prose(30, 10 + i)}\n{line}", "kept", i) for i in range(3)] + [(7, f"{prose(30, 70)}\n{prose(30, 71)}", None, None)] * 5
+    df = spark.createDataFrame(rows, "mark long, body string, text string, keys int")
+    out = line_dedup.dedup(df, text_col="body", most=0)
+    assert out.columns == df.columns and sorted(r.body for r in out.collect()) == sorted([prose(30, 10 + i) for i in range(3)] + [rows[-1][1]] * 5)
+    assert {r.text for r in out.collect()} == {"kept", None}
 
 
 def test_line_dedup_odd_rows(docs_of, odd):

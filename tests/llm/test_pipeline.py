@@ -1,6 +1,6 @@
 import public_tokenizers as P
 import tiktoken
-from test_filters import BENCH, brute_dedup, low
+from test_filters import BENCH, brute_dedup, low, marks_of
 from test_ngram_join import brute
 
 import __spark_entry__ as entry
@@ -43,7 +43,8 @@ def test_run_equals_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = toxicity.learned(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect() if model.score(r.text) < 0.5]
-    texts = brute_dedup([t for _, t in rows])
+    clean = docs.join(spark.createDataFrame([(i,) for i, _ in rows], "doc_id long"), "doc_id")
+    texts = brute_dedup(*marks_of(clean))
     rows = [(i, t) for (i, _), t in zip(rows, texts, strict=True)]
     groups = brute(rows)
     rows = [(i, t) for i, t in rows if groups[i][1] == i]
