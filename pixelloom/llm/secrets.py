@@ -37,7 +37,7 @@ CLASSES = {"hex": (re.compile(r"[0-9a-fA-F]+"), 3.0), "alnum": (re.compile(r"[A-
 ALLOWED = re.compile(
     r"[0-9+/_=-]*"  # numbers
     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUIDs
-    r"|[A-Za-z]*[0-9]{0,4}(?:[+/_=-]+[A-Za-z]*[0-9]{0,4})*"  # words, perhaps numbered, joined
+    r"|[A-Za-z]*+[0-9]{0,4}+(?:[+/_=-]++[A-Za-z]*+[0-9]{0,4}+)*+"  # words, perhaps numbered, joined; no step is tried twice
     r"|.*(?:example|placeholder|changeme|your|xxxx|1234567890|abcdefgh).*",
     re.I | re.A,
 )
@@ -52,14 +52,14 @@ def windows(text: str, width: int, least: float) -> Iterator[tuple[int, int]]:
     total, start, end = 0.0, -1, -1  # total: sum of c log c; entropy = log(width) - total / width
     most = width * (math.log2(width) - least) + 1e-9
     for i, char in enumerate(text):
-        c = counts.get(char, 0)
-        total += term[c + 1] - term[c]
-        counts[char] = c + 1
-        if i >= width:
+        if i >= width:  # out first, so that no count exceeds the window
             gone = text[i - width]
             c = counts[gone]
             total += term[c - 1] - term[c]
             counts[gone] = c - 1
+        c = counts.get(char, 0)
+        total += term[c + 1] - term[c]
+        counts[char] = c + 1
         if i >= width - 1 and total <= most:
             if start >= 0 and i - width + 1 > end:
                 yield start, end
@@ -93,8 +93,19 @@ def spans(text: str, width: int = 20) -> tuple[list[tuple[int, int, str]], list[
                 else:
                     merged.append([i, j])
             added += [(i, j, "entropy") for i, j in merged]
-    added = [(i, j, kind) for i, j, kind in added if not any(p <= i and j <= q for p, q, _ in base)]
-    return base, added
+    return base, outside(added, base)
+
+
+def outside(added: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans, in order of their starts, that lie in no span of base: one walk along both."""
+    out, rest, reach = [], sorted(base), 0
+    at = 0
+    for i, j, kind in added:
+        while at < len(rest) and rest[at][0] <= i:
+            reach, at = max(reach, rest[at][1]), at + 1
+        if reach < j:
+            out.append((i, j, kind))
+    return out
 
 
 def _text(found: list[tuple[int, int, str]]) -> str:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -260,16 +261,80 @@ def test_secrets(docs_of):
     assert "entropy" in kinds[8] and "entropy" not in kinds[9] and "entropy" not in kinds[10]
 
 
+def brute_windows(text, width, least):
+    """The places that windows of `least` bits cover."""
+    covered = set()
+    for i in range(len(text) - width + 1):
+        part = text[i : i + width]
+        if -sum(part.count(c) / width * math.log2(part.count(c) / width) for c in set(part)) >= least - 1e-9:
+            covered |= set(range(i, i + width))
+    return covered
+
+
+def runs_of(places):
+    out = []
+    for p in sorted(places):
+        if out and out[-1][1] == p:
+            out[-1][1] = p + 1
+        else:
+            out.append([p, p + 1])
+    return out
+
+
 def test_entropy_windows():
     r = random.Random(5)
     for _ in range(200):
-        text = "".join(r.choice("abcdef0123456789XYZ"[: r.randint(1, 19)]) for _ in range(r.randint(5, 60)))
-        covered = set()
-        for i in range(len(text) - 11):
-            part = text[i : i + 12]
-            if -sum(part.count(c) / 12 * math.log2(part.count(c) / 12) for c in set(part)) >= 2.5 - 1e-9:
-                covered |= set(range(i, i + 12))
-        assert {x for i, j in secrets.windows(text, 12, 2.5) for x in range(i, j)} == covered
+        text = "".join(r.choice("abcdef0123456789XYZ"[: r.randint(1, 19)]) * r.choice((1, 1, 1, 5, 30)) for _ in range(r.randint(5, 60)))
+        assert {x for i, j in secrets.windows(text, 12, 2.5) for x in range(i, j)} == brute_windows(text, 12, 2.5)
+
+
+def brute_allowed(run):
+    """The allow-list, without regular expressions for what is joined."""
+    pieces = run
+    for c in "+/_=-":
+        pieces = pieces.replace(c, " ")
+    word = lambda w: re.fullmatch("[A-Za-z]*", w.rstrip("0123456789")) and len(w) - len(w.rstrip("0123456789")) <= 4
+    known = ("example", "placeholder", "changeme", "your", "xxxx", "1234567890", "abcdefgh")
+    uuid = [len(p) for p in run.split("-")] == [8, 4, 4, 4, 12] and set(run) <= set("0123456789abcdefABCDEF-")
+    return not any(c.isalpha() for c in run) or uuid or all(word(w) for w in pieces.split()) or any(k in run.lower() for k in known)
+
+
+def brute_spans(text, width=20):
+    """All spans: the base, and runs of windows of each class of characters that lie in no base span."""
+    base = [(int(i), int(j), k) for k, i, j in (x.split(":") for x in brute_secrets(text))]
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    classes = {"hex": "0123456789abcdefABCDEF", "alnum": letters + "0123456789", "base64": letters + "0123456789+/_=-"}
+    covered = set()
+    places = lambda chars, i, j: runs_of(p for p in range(i, j) if text[p] in chars)
+    for i, j in places(classes["base64"], 0, len(text)):
+        if j - i < width or brute_allowed(text[i:j]):
+            continue
+        for name, chars in classes.items():
+            for a, b in places(chars, i, j):
+                if b - a >= width and not brute_allowed(text[a:b]):
+                    covered |= {a + p for p in brute_windows(text[a:b], width, secrets.CLASSES[name][1])}
+    added = [(i, j, "entropy") for i, j in runs_of(covered) if not any(p <= i and j <= q for p, q, _ in base)]
+    return ",".join(f"{k}:{i}:{j}" for i, j, k in sorted(base + added, key=lambda x: (x[0], secrets.KINDS.index(x[2]))))
+
+
+def test_all_spans_equal_brute_force(docs_of):
+    """Random candidates with runs, separators and classes of their own, in prose."""
+    r = random.Random(9)
+    pools = ["0123456789abcdef", "ABCDEFabcdef0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "Aq8Zr2LmX7vB4nKp9TsWd3Yc6-_=", "-", "A"]
+    piece = lambda: "".join(r.choice(p) * r.choice((1, 1, 1, 1, 25)) for p in [r.choice(pools)] for _ in range(r.randint(1, 45)))
+    glue = ["", " ", ".", "=", "-", " token = ", "password:'", "é🙂", "\n", "your", "AKIA"]
+    texts = ["".join(piece() + r.choice(glue) for _ in range(r.randint(1, 8))) for _ in range(600)]
+    texts += ["A" * 21 + "q8Zr2LmX7vB4nKp9TsWd3Yc6", "-" * 24 + "d74496d66958873e", "secret: " + "a" * 500 + " " + "Aq8Zr2LmX7vB4nKp9TsWd3Yc6" * 3]
+    out = sorted(secrets.scan(docs_of(list(enumerate(texts)))).collect(), key=lambda x: x.doc_id)
+    assert [x.spans for x in out] == [brute_spans(t) for t in texts]
+    assert sum("entropy" in x.spans for x in out) > 50
+
+
+def test_secrets_take_time_in_proportion():
+    began = time.time()
+    for text in ("-" * 200_000 + "d74496d66958873e", ("-" * 50 + "a1") * 5_000, "token " * 50_000, "deadbeefdeadbeef " * 20_000 + "Aq8Zr2LmX7vB4nKp9TsWd3Yc6 " * 5_000):
+        secrets.spans(text)
+    assert time.time() - began < 10
 
 
 def test_secrets_odd_rows(docs_of, odd):
