@@ -76,7 +76,7 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
 
 
 class ByteBpe:
-    """Encoder and decoder. What pre-tokens become is remembered: number of ids, the ids as text, the bytes they decode to."""
+    """Encoder and decoder. What pre-tokens become is remembered: number of ids, the ids as text."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 90_000):
         self.pattern = regex.compile(pattern)
@@ -84,6 +84,7 @@ class ByteBpe:
         self.ids = [rank for _, rank in sorted(ranks.items(), key=lambda x: x[1])]  # of piece i+1
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
+        self.bytes_of_text = {str(rank): token for rank, token in self.bytes_of.items()}
         self.ranks, self.known = ranks, Generations(self._entries, most)
 
     def _pieces(self, pre_tokens: list[str]) -> list[list[int]]:
@@ -93,8 +94,8 @@ class ByteBpe:
         # a pre-token that is a token stays one, reachable by merges or not
         return [[self.ranks[r]] if r in self.ranks else [self.ids[p - 1] for p in ps] for r, ps in zip(raw, out, strict=True)]
 
-    def _entries(self, pre_tokens: list[str]) -> list[tuple[int, str, bytes]]:
-        return [(len(ids), " ".join(map(str, ids)), self.decode(ids)) for ids in self._pieces(pre_tokens)]
+    def _entries(self, pre_tokens: list[str]) -> list[tuple[int, str]]:
+        return [(len(ids), " ".join(map(str, ids))) for ids in self._pieces(pre_tokens)]
 
     def forget(self) -> None:
         """At the end of a task: a worker process lives on in other stages, which need the memory."""
@@ -103,7 +104,11 @@ class ByteBpe:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def entries(self, texts: list[str | None], block: int = 1_000_000) -> Iterator[list[tuple[int, str, bytes]]]:
+    def decode_text(self, ids: str) -> bytes:
+        """The bytes of decimal ids joined by spaces."""
+        return b"".join(map(self.bytes_of_text.__getitem__, ids.split()))
+
+    def entries(self, texts: list[str | None], block: int = 1_000_000) -> Iterator[list[tuple[int, str]]]:
         """The entries of each text's pre-tokens. Blocks of about a million characters bound what is held at once."""
         held, size = [], 0
         for i, text in enumerate(texts):
@@ -139,8 +144,7 @@ def digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             texts = batch.column(1).to_pylist()
             for doc_id, found in zip(batch.column(0).to_pylist(), coder.entries(texts), strict=True):
                 ids = " ".join([e[1] for e in found])
-                back = b"".join([e[2] for e in found])
-                rows.append((doc_id, sum([e[0] for e in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
+                rows.append((doc_id, sum([e[0] for e in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(coder.decode_text(ids)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(4)], schema=schema)
         coder.forget()
 
@@ -148,7 +152,9 @@ def digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def encoded_rows(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """Every row with n_tokens, ids and round_trip (whether the ids decode to the text's bytes) in place of its text."""
+    """Every row with n_tokens, ids and round_trip (whether the ids decode to the text's bytes) in place of its text; columns
+    of these names that were there go."""
+    docs = docs.select(*(c for c in docs.columns if c == text_col or c not in ("n_tokens", "ids", "round_trip")))
     at = docs.columns.index(text_col)
     others = [f for f in docs.schema.fields if f.name != text_col]
     schema = T.StructType([*others, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
@@ -160,8 +166,9 @@ def encoded_rows(docs: DataFrame, path: str, pattern: str, text_col: str = "text
                 part = batch.slice(i, 500)
                 texts, rows = part.column(at).to_pylist(), []
                 for text, found in zip(texts, coder.entries(texts), strict=True):
-                    ids = np.array(" ".join([e[1] for e in found]).split(), np.int32)
-                    rows.append((len(ids), ids, b"".join([e[2] for e in found]) == (text or "").encode("utf-8", "surrogatepass")))
+                    joined = " ".join([e[1] for e in found])
+                    ids = np.array(joined.split(), np.int32)
+                    rows.append((len(ids), ids, coder.decode_text(joined) == (text or "").encode("utf-8", "surrogatepass")))
                 columns = [c for k, c in enumerate(part.columns) if k != at]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.bool_())], [*(f.name for f in others), "n_tokens", "ids", "round_trip"])
         coder.forget()
@@ -177,7 +184,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([coder.encode(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(tidy(run), "doc_id long, ids array<int>")
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -94,3 +94,19 @@ def test_seekable_file(spark, docs_of, prose, tmp_path):
     (tmp_path / "bad.zst").write_bytes(raw)
     with pytest.raises(Exception):
         token_files.open_file(f"file://{tmp_path}/bad.zst").content(0)
+
+
+def test_clashing_columns_go(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "x", 3)], "n_tokens long, body string, ids int, text string, keep int")
+    out = byte_bpe.encoded_rows(df, RANKS, P.PATTERN, text_col="body")
+    assert out.columns == ["text", "keep", "n_tokens", "ids", "round_trip"]
+    row = out.first()
+    assert (row.text, row.keep, row.n_tokens, row.round_trip) == ("x", 3, len(row.ids), True)
+
+
+def test_decoding_uses_the_ids(docs_of):
+    """A wrong id decodes to other bytes."""
+    coder = byte_bpe.bpe(RANKS, P.PATTERN)
+    ids = " ".join(map(str, coder.encode("hello there")))
+    assert coder.decode_text(ids) == b"hello there" and coder.decode_text("") == b""
+    assert coder.decode_text(" ".join(ids.split()[1:])) != b"hello there"
