@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pixelloom.llm.licenses import TEMPLATES, bigrams
-from pixelloom.llm.quality import CONSISTENCY, FLOOR, NAMES
+from pixelloom.llm.quality import CONSISTENCY, CUTOFF, FLOOR, NAMES
 
 _LOWER = "translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
 
@@ -50,50 +50,83 @@ q AS (SELECT doc_id, count(*) AS n_units FROM n GROUP BY 1)
 SELECT d.doc_id, coalesce(n_units,0) AS n_units, licence, round(coalesce(dice,0e0),6) AS dice, coalesce(licences,'') AS licences FROM documents d LEFT JOIN o ON o.doc_id=d.doc_id LEFT JOIN q ON q.doc_id=d.doc_id"""
 
 
-def quality(min_words: int = 50, min_group: int = 25, share: float = 0.75, steps: int = 4, cutoff: float = 45.0) -> str:
-    """The base counts, the start from quartiles and every concentration step, one after the other."""
-    d, names = range(len(NAMES)), NAMES
+def quality(min_words: int = 50, share: float = 0.75, prior: float = 200.0, most_steps: int = 20, cutoff: float = CUTOFF) -> str:
+    """The base counts, the three starts and every concentration step, one after the other. Steps beyond the one that
+    changes nothing change nothing, so all are written out."""
+    d, names, k = range(len(NAMES)), NAMES, f"{prior!r}"
     lower = [(i, j) for i in d for j in range(i + 1)]
+    moments = ["n", *(f"s_{i}" for i in d), *(f"q_{i}_{j}" for i, j in lower)]
     chain = []
     for i in d:
         rest = f"({names[i]}-mu_{i})" + "".join(f"-l_{i}_{j}*z_{j}" for j in range(i))
         chain.append(f"({rest})/l_{i}_{i} AS z_{i}")
     z, total = ", ".join(chain), "+".join(f"z_{i}*z_{i}" for i in d)
-    same = "f.lang IS NOT DISTINCT FROM p.lang AND f.source IS NOT DISTINCT FROM p.source"
-    factor = [f"s_{i}/n AS mu_{i}" for i in d]
-    for i, j in lower:
-        v = f"(q_{i}_{j}/n-(s_{i}/n)*(s_{j}/n))"
-        if i == j:
-            v = f"(greatest({v},0e0)+{(256 * FLOOR[i]) ** 2!r})"
-        rest = v + "".join(f"-l_{i}_{k}*l_{j}_{k}" for k in range(j))
-        factor.append(f"sqrt(greatest({rest},1e0)) AS l_{i}_{i}" if i == j else f"({rest})/l_{j}_{j} AS l_{i}_{j}")
+    same = lambda a, b, cols=("level", "lang", "source"): " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in cols)
+    groups = "level, lang, source"
+    sums = lambda x: ", ".join(["count(*) AS n", *(f"sum({x(i)}) AS s_{i}" for i in d), *(f"sum({x(i)}*{x(j)}) AS q_{i}_{j}" for i, j in lower)])
+
+    def factor(source: str, at: str) -> list[str]:
+        """CTEs: sums with those of the levels above, then mean, factor, log-determinant."""
+        added = lambda own, more: ", ".join(f"CAST({own}.{m} AS DOUBLE)+{k}*({more}.{m}/{more}.n) AS {m}" for m in moments)
+        plain = ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in moments)
+        floors = [f"greatest(q_{i}_{i}/n-s_{i}/n*(s_{i}/n),{(256 * FLOOR[i]) ** 2!r}) AS v_{i}_{i}" if i == j else f"q_{i}_{j}/n-s_{i}/n*(s_{j}/n) AS v_{i}_{j}" for i, j in lower]
+        steps = []
+        for i, j in lower:
+            rest = f"v_{i}_{j}" + "".join(f"-l_{i}_{c}*l_{j}_{c}" for c in range(j))
+            steps.append(f"sqrt(greatest({rest},1e0)) AS l_{i}_{i}" if i == j else f"({rest})/l_{j}_{j} AS l_{i}_{j}")
+        size = "+".join(f"ln(l_{i}_{i})" for i in d)
+        return [
+            f"a{at} AS MATERIALIZED (SELECT {groups}, start, n_rows, {plain} FROM {source} WHERE level=0)",
+            f"g{at} AS MATERIALIZED (SELECT x.level, x.lang, x.source, x.start, x.n_rows, {added('x', 'a')} FROM {source} x JOIN a{at} a ON a.start=x.start WHERE x.level=1)",
+            f"o{at} AS MATERIALIZED (SELECT * FROM a{at} UNION ALL SELECT * FROM g{at} UNION ALL SELECT x.level, x.lang, x.source, x.start, x.n_rows, {added('x', 'g')} FROM {source} x JOIN g{at} g ON g.start=x.start AND g.lang IS NOT DISTINCT FROM x.lang WHERE x.level=2)",
+            f"p{at} AS MATERIALIZED (SELECT {groups}, start, n_rows, {', '.join(f's_{i}/n AS mu_{i}' for i in d)}, {', '.join(floors)}, {', '.join(steps)}, round({size},6) AS size FROM o{at})",
+        ]
+
+    def concentrated(params: str, at: str) -> list[str]:
+        return [
+            f"d{at} AS MATERIALIZED (SELECT f.{', f.'.join(('level', 'lang', 'source'))}, p.start, p.n_rows, {', '.join(f'f.{n}' for n in names)}, {z} FROM h f JOIN {params} p ON {same('f', 'p')})",
+            f"b{at} AS MATERIALIZED (SELECT {groups}, start, n_rows, CAST(floor(32*ln(1e0+({total}))) AS INT) AS bin, {sums(lambda i: names[i])} FROM d{at} GROUP BY 1,2,3,4,5,6)",
+            f"i{at} AS MATERIALIZED (SELECT *, coalesce(sum(n) OVER (PARTITION BY {groups}, start ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS before FROM b{at})",
+            f"s{at} AS MATERIALIZED (SELECT {groups}, start, n_rows, {', '.join(f'sum({m}) AS {m}' for m in moments)} FROM i{at} WHERE before<ceil({share}*n_rows) GROUP BY 1,2,3,4,5)",
+        ]
+
     pick = lambda i, what: f"max(CASE WHEN i={i} THEN {what} END)"
-    start = ", ".join([*(f"{pick(i, 'CAST(mid AS DOUBLE)')} AS mu_{i}" for i in d), *((f"{pick(i, f'greatest((high-low)/1.349e0,{256.0 * FLOOR[i]!r})')}" if i == j else "0e0") + f" AS l_{i}_{j}" for i, j in lower)])
-    moments = ", ".join(["count(*) AS n", *(f"sum({names[i]}) AS s_{i}" for i in d), *(f"sum({names[i]}*{names[j]}) AS q_{i}_{j}" for i, j in lower)])
-    again = ", ".join(["CAST(sum(n) AS DOUBLE) AS n", *(f"CAST(sum(s_{i}) AS DOUBLE) AS s_{i}" for i in d), *(f"CAST(sum(q_{i}_{j}) AS DOUBLE) AS q_{i}_{j}" for i, j in lower)])
-    out = rf"""WITH w AS (SELECT doc_id, lang, source, regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+') AS ws, len(regexp_extract_all(coalesce(text,''), '[#*$%&|<>]')) AS n_symbols,
- list_filter(string_split(coalesce(text,''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
-t AS (SELECT doc_id, i, array_to_string(ws[i:i+2],' ') AS tri FROM (SELECT doc_id, ws, unnest(range(1, len(ws)-1)) AS i FROM w WHERE len(ws)>2) u),
-r AS (SELECT doc_id, count(DISTINCT pos) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i,i+3)) AS pos FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, tri) AS k FROM t) a WHERE k>1) b GROUP BY 1),
-c AS (SELECT w.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws,'')) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(lines)-len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, coalesce(n_repeat_words,0) AS n_repeat_words FROM w LEFT JOIN r ON r.doc_id=w.doc_id),
-f AS (SELECT *, n_words<{min_words} OR 100*n_repeat_words>50*n_words AS base_failed, CAST(round(256*ln(1e0+n_words)) AS BIGINT) AS {names[0]}, CAST(round(256*ln(CAST(greatest(word_chars,1) AS DOUBLE)/greatest(n_words,1))) AS BIGINT) AS {names[1]}, CAST(round(256*ln(1e0+1000e0*n_symbols/greatest(word_chars,1))) AS BIGINT) AS {names[2]},
- CAST(round(256*ln(1e0+100e0*n_dup_lines/greatest(n_lines,1))) AS BIGINT) AS {names[3]}, CAST(round(256*ln(1e0+100e0*n_repeat_words/greatest(n_words,1))) AS BIGINT) AS {names[4]} FROM c),
-g AS (SELECT * FROM f WHERE NOT base_failed),
-x AS ({" UNION ALL ".join(f"SELECT lang, source, {i} AS i, {names[i]} AS x FROM g" for i in d)}),
-o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, i ORDER BY x) AS k, count(*) OVER (PARTITION BY lang, source, i) AS n FROM x),
-q AS (SELECT lang, source, i, n, min(CASE WHEN k>=0.25e0*n THEN x END) AS low, min(CASE WHEN k>=0.5e0*n THEN x END) AS mid, min(CASE WHEN k>=0.75e0*n THEN x END) AS high FROM o WHERE n>={min_group} GROUP BY 1,2,3,4),
-p0 AS (SELECT lang, source, max(n) AS n_rows, {start} FROM q GROUP BY 1,2)"""
-    for k in range(1, steps + 1):
-        out += f""",
-d{k} AS (SELECT f.lang, f.source, n_rows, {", ".join(f"f.{n}" for n in names)}, {z} FROM g f JOIN p{k - 1} p ON {same}),
-b{k} AS (SELECT lang, source, n_rows, CAST(floor(32*ln(1e0+({total}))) AS INT) AS bin, {moments} FROM d{k} GROUP BY 1,2,3,4),
-i{k} AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY lang, source ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS before FROM b{k}),
-m{k} AS (SELECT lang, source, n_rows, {again} FROM i{k} WHERE before<ceil({share}*n_rows) GROUP BY 1,2,3),
-p{k} AS (SELECT lang, source, n_rows, {", ".join(factor)} FROM m{k})"""
-    out += f""",
-e AS (SELECT f.*, p.n_rows, {z} FROM f LEFT JOIN p{steps} p ON {same})
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(({total})/{CONSISTENCY!r},3) AS distance2, NOT base_failed AND coalesce(({total})/{CONSISTENCY!r},0e0)<={cutoff!r} AS kept FROM e"""
-    return out
+    middle = ", ".join([*(f"{pick(i, 'CAST(mid AS DOUBLE)')} AS m_{i}" for i in d), *(f"{pick(i, f'greatest((high-low)/1.349e0,{256.0 * FLOOR[i]!r})')} AS w_{i}" for i in d)])
+    tangent = lambda i: f"CAST(round(1024*tanh(({names[i]}-m_{i})/w_{i})) AS BIGINT)"
+    turned = ", ".join(["n", *(f"n*m_{i}+w_{i}*(s_{i}/1024e0) AS s_{i}" for i in d), *(f"n*m_{i}*m_{j}+m_{i}*w_{j}*(s_{j}/1024e0)+m_{j}*w_{i}*(s_{i}/1024e0)+w_{i}*w_{j}*(q_{i}_{j}/1024e0/1024e0) AS q_{i}_{j}" for i, j in lower)])
+    columns = f"{groups}, start, n_rows, {', '.join(f'mu_{i}' for i in d)}, {', '.join(f'l_{i}_{j}' for i, j in lower)}"
+    parts = [
+        rf"""w AS (SELECT doc_id, lang, source, regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+') AS ws, len(regexp_extract_all(coalesce(text,''), '[#*$%&|<>]')) AS n_symbols,
+ list_filter(string_split(coalesce(text,''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents)""",
+        "t AS (SELECT doc_id, i, array_to_string(ws[i:i+2],' ') AS tri FROM (SELECT doc_id, ws, unnest(range(1, len(ws)-1)) AS i FROM w WHERE len(ws)>2) u)",
+        "r AS (SELECT doc_id, count(DISTINCT pos) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i,i+3)) AS pos FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, tri) AS k FROM t) a WHERE k>1) b GROUP BY 1)",
+        "c AS (SELECT w.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws,'')) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(lines)-len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, coalesce(n_repeat_words,0) AS n_repeat_words FROM w LEFT JOIN r ON r.doc_id=w.doc_id)",
+        f"""f AS MATERIALIZED (SELECT *, n_words<{min_words} OR 100*n_repeat_words>50*n_words AS base_failed, CAST(round(256*ln(1e0+n_words)) AS BIGINT) AS {names[0]}, CAST(round(256*ln(CAST(greatest(word_chars,1) AS DOUBLE)/greatest(n_words,1))) AS BIGINT) AS {names[1]}, CAST(round(256*ln(1e0+1000e0*n_symbols/greatest(word_chars,1))) AS BIGINT) AS {names[2]},
+ CAST(round(256*ln(1e0+10e0*n_dup_lines/greatest(n_lines,1))) AS BIGINT) AS {names[3]}, CAST(round(256*ln(1e0+10e0*n_repeat_words/greatest(n_words,1))) AS BIGINT) AS {names[4]} FROM c)""",
+        f"h AS MATERIALIZED (SELECT level, CASE WHEN level>0 THEN lang END AS lang, CASE WHEN level>1 THEN source END AS source, {', '.join(names)} FROM f, (VALUES (0),(1),(2)) AS v(level) WHERE NOT base_failed)",
+        f"x AS ({' UNION ALL '.join(f'SELECT {groups}, {i} AS i, {names[i]} AS x FROM h' for i in d)})",
+        f"y AS (SELECT *, row_number() OVER (PARTITION BY {groups}, i ORDER BY x) AS k, count(*) OVER (PARTITION BY {groups}, i) AS n FROM x)",
+        f"q AS (SELECT {groups}, i, n, min(CASE WHEN k>=0.25e0*n THEN x END) AS low, min(CASE WHEN k>=0.5e0*n THEN x END) AS mid, min(CASE WHEN k>=0.75e0*n THEN x END) AS high FROM y GROUP BY 1,2,3,4,5)",
+        f"mid AS MATERIALIZED (SELECT {groups}, max(n) AS n_rows, {middle} FROM q GROUP BY 1,2,3)",
+        f"plain AS MATERIALIZED (SELECT {groups}, 1 AS start, count(*) AS n_rows, {sums(lambda i: names[i])} FROM h GROUP BY 1,2,3)",
+        f"bent AS MATERIALIZED (SELECT h.level, h.lang, h.source, count(*) AS n_rows, {sums(tangent)} FROM h JOIN mid ON {same('h', 'mid')} GROUP BY 1,2,3)",
+        f"turned AS MATERIALIZED (SELECT bent.level, bent.lang, bent.source, 2 AS start, bent.n_rows, {turned} FROM bent JOIN mid ON {same('bent', 'mid')})",
+        *factor("plain", "_1"),
+        *factor("turned", "_2"),
+        f"starts AS MATERIALIZED (SELECT {groups}, 0 AS start, n_rows, {', '.join(f'm_{i} AS mu_{i}' for i in d)}, {', '.join((f'w_{i}' if i == j else '0e0') + f' AS l_{i}_{j}' for i, j in lower)} FROM mid UNION ALL SELECT {columns} FROM p_1 UNION ALL SELECT {columns} FROM p_2)",
+        *concentrated("starts", "_3"),
+        *factor("s_3", "_3"),
+        *concentrated("p_3", "_4"),
+        *factor("s_4", "_4"),
+        f"best AS MATERIALIZED (SELECT * FROM (SELECT {groups}, start, row_number() OVER (PARTITION BY {groups} ORDER BY size, start) AS place FROM p_4) b WHERE place=1)",
+        f"s_5 AS MATERIALIZED (SELECT s.level, s.lang, s.source, 0 AS start, n_rows, {', '.join(moments)} FROM s_4 s JOIN best ON {same('s', 'best')} AND s.start=best.start)",
+    ]
+    for step in range(6, 6 + most_steps):
+        parts += [*factor(f"s_{step - 1}", f"_{step}"), *concentrated(f"p_{step}", f"_{step}")]
+    parts += factor(f"s_{5 + most_steps}", "_last")
+    parts.append(f"e AS (SELECT f.*, {z} FROM f LEFT JOIN p_last p ON p.level=2 AND {same('f', 'p', ('lang', 'source'))})")
+    far = f"({total})/{CONSISTENCY!r}"
+    return f"WITH {', '.join(parts)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN NOT base_failed THEN round({far},3) END AS distance2, NOT base_failed AND coalesce({far},0e0)<={cutoff!r} AS kept FROM e"
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,15 +3,23 @@
 Base: words are runs of non-white-space. A document fails it with fewer than `min_words` words or with more than half
 of its words inside repeated 3-word windows.
 
-Outliers: per language and source, the documents that pass the base rules give vectors of five transformed statistics
-(logarithms of words, word length, symbol rate, duplicate-line rate, repeated-word rate), kept as whole 256ths so that
-sums are exact and every run gives the same estimates. The minimum-covariance-determinant estimate starts from
-medians and interquartile ranges; each concentration step takes the three quarters of the rows that are nearest by
-Mahalanobis distance, in bins of about 3 %, and re-estimates mean and scatter from them. One aggregation by (language,
-source, bin) gives both the cut and the moments, so no group's rows ever meet in one task, whatever share a hot source has.
-A document whose squared distance exceeds `cutoff` is rejected. Each variance has a floor, so that a statistic that is
-constant in a group does not reject every other value of it. Groups of fewer than `min_group` documents give no
-estimate and reject nothing.
+Outliers: the documents that pass the base rules give vectors of five transformed statistics (logarithms of words, word
+length, symbol rate, duplicate-line rate, repeated-word rate), kept as whole 256ths so that sums are exact and every
+run gives the same estimates. Each language and source has a minimum-covariance-determinant estimate:
+
+1. Three starts: medians with interquartile ranges; plain moments; moments of the statistics' hyperbolic tangents around the
+   medians, which bound what an outlier adds.
+2. A concentration step takes the three quarters of the rows that are nearest by Mahalanobis distance, in bins of about
+   3 %, and re-estimates mean and scatter from them. After two steps each group keeps the start whose scatter has the
+   smallest determinant, and goes on until no row's place changes (`most_steps` at most).
+3. Estimates are shrunk: to what a source gathers, `prior` rows that are distributed as its language's estimate are added, to a
+   language's as many of that of all documents. So a source of one document is judged too, mostly by its language, a large
+   one by itself, and there is no size from which on groups are treated otherwise.
+
+One aggregation by (group, bin) gives both the cut and the moments of all levels and starts, so no group's rows ever
+meet in one task, whatever share a hot source has. Standard deviations have least values, so that a statistic that is
+constant in a group does not reject every other value of it. A document is rejected where its squared distance, made
+consistent for the normal distribution, exceeds `cutoff`, the 0.999999 quantile of chi-squared with five degrees of freedom.
 
 Defined results: null, empty and blank texts have zero counts and fail the base; null languages and sources form groups
 of their own; repeated rows are all judged; other columns are ignored.
@@ -29,7 +37,11 @@ WHITE = " \t\n\x0b\f\r"
 NAMES = ("f_words", "f_length", "f_symbols", "f_lines", "f_repeats")
 #: 0.75 / P(chi-squared with 7 degrees <= 0.75-quantile with 5 degrees): makes the scatter of the nearest three quarters consistent.
 CONSISTENCY = 1.412
-FLOOR = (0.25, 0.15, 0.5, 0.75, 0.75)  # least standard deviation of each statistic
+FLOOR = (0.25, 0.15, 0.5, 0.3, 0.24)  # least standard deviation of each statistic: each can still reject alone within its range
+CUTOFF = 35.888  # the 0.999999 quantile of chi-squared with 5 degrees of freedom
+GROUP = ("level", "lang", "source")  # level 0: all documents, 1: a language, 2: a source within it
+_D = range(len(NAMES))
+_LOWER = [(i, j) for i in _D for j in range(i + 1)]
 
 
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,9 +56,12 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     marks = F.expr("transform(slice(w, 1, greatest(n - 2, 0)), (x, i) -> shiftleft(xxhash64(x, get(w, i + 1), get(w, i + 2)), bits) | cast(i as bigint))")
     marked = cut.select(
         "doc_id", "lang", "source", F.col("n").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), F.coalesce("symbols", F.lit(0)).cast("long").alias("n_symbols"),
-        F.coalesce(F.size("lines") - F.size(F.array_distinct("lines")), F.lit(0)).cast("long").alias("n_dup_lines"), F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), "bits", F.sort_array(marks).alias("m"),
+        F.coalesce(F.size("lines") - F.size(F.array_distinct("lines")), F.lit(0)).cast("long").alias("n_dup_lines"), F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), "bits", "w", F.sort_array(marks).alias("m"),
     )
-    twice = F.expr("filter(m, (x, i) -> shiftright(x, bits) = shiftright(get(m, i - 1), bits) or shiftright(x, bits) = shiftright(get(m, i + 1), bits))")
+    # equal hashes are looked up in the words: long texts leave few bits for them
+    word = lambda x, k: f"get(w, cast({x} & (shiftleft(1L, bits) - 1L) as int) + {k})"
+    same = lambda y: f"(shiftright(x, bits) = shiftright({y}, bits) and " + " and ".join(f"{word('x', k)} = {word(y, k)}" for k in range(3)) + ")"
+    twice = F.expr(f"filter(m, (x, i) -> {same('get(m, i - 1)')} or {same('get(m, i + 1)')})")
     found = marked.withColumn("twice", twice).withColumn("starts", F.expr("sort_array(transform(twice, x -> x & (shiftleft(1L, bits) - 1L)))"))
     covered = F.expr("aggregate(starts, struct(-3L as last, 0L as total), (a, p) -> struct(p as last, a.total + least(3L, p - a.last) as total), a -> a.total)")
     out = found.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", covered.alias("n_repeat_words"))
@@ -55,7 +70,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def _features(c: DataFrame) -> DataFrame:
     n, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
-    values = (F.log(1 + F.col("n_words")), F.log(chars / n), F.log(1 + 1000 * F.col("n_symbols") / chars), F.log(1 + 100 * F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))), F.log(1 + 100 * F.col("n_repeat_words") / n))
+    values = (F.log(1 + F.col("n_words")), F.log(chars / n), F.log(1 + 1000 * F.col("n_symbols") / chars), F.log(1 + 10 * F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))), F.log(1 + 10 * F.col("n_repeat_words") / n))
     return c.select("*", *(F.round(256 * v).cast("long").alias(name) for v, name in zip(values, NAMES, strict=True)))
 
 
@@ -71,59 +86,114 @@ def _distance(scale: float) -> Column:
 
 
 def _factor(moments: DataFrame) -> DataFrame:
-    """mu_i and the Cholesky factor l_i_j from n, s_i and q_i_j, one column after the other."""
-    d = range(len(NAMES))
-    out = moments.select("lang", "source", "rows", *((F.col(f"s_{i}") / F.col("n")).alias(f"mu_{i}") for i in d), *((F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"s_{i}") / F.col("n") * (F.col(f"s_{j}") / F.col("n"))).alias(f"v_{i}_{j}") for i in d for j in range(i + 1)))
-    for i in d:
-        out = out.withColumn(f"v_{i}_{i}", F.greatest(F.col(f"v_{i}_{i}"), F.lit(0.0)) + F.lit((256 * FLOOR[i]) ** 2))
-    for i in d:
-        for j in range(i + 1):
-            rest = F.col(f"v_{i}_{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l_{j}_{j}"))
-    return out.select("lang", "source", "rows", *(f"mu_{i}" for i in d), *(f"l_{i}_{j}" for i in d for j in range(i + 1)))
-
-
-def _with(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
-    p = params.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    return rows.join(p, rows["lang"].eqNullSafe(p["_lang"]) & rows["source"].eqNullSafe(p["_source"]), how).drop("_lang", "_source")
-
-
-def start(rows: DataFrame, min_group: int) -> DataFrame:
-    """Median and interquartile range of each statistic per group, exactly, from counts of distinct values."""
+    """mu_i, the Cholesky factor l_i_j and the scatter's log-determinant from n, s_i and q_i_j, one column after the other."""
+    keys = [*GROUP, "start", "rows"]
+    out = moments.select(*keys, *((F.col(f"s_{i}") / F.col("n")).alias(f"mu_{i}") for i in _D), *((F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"s_{i}") / F.col("n") * (F.col(f"s_{j}") / F.col("n"))).alias(f"v_{i}_{j}") for i, j in _LOWER))
+    for i in _D:
+        out = out.withColumn(f"v_{i}_{i}", F.greatest(F.col(f"v_{i}_{i}"), F.lit((256 * FLOOR[i]) ** 2)))
+    for i, j in _LOWER:
+        rest = F.col(f"v_{i}_{j}")
+        for k in range(j):
+            rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
+        out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l_{j}_{j}"))
+    size = F.round(sum((F.log(f"l_{i}_{i}") for i in _D[1:]), F.log("l_0_0")), 6)
+    return out.select(*keys, size.alias("size"), *(f"mu_{i}" for i in _D), *(f"l_{i}_{j}" for i, j in _LOWER))
+
+
+def _same(a: DataFrame, b: DataFrame, names: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """a joined with b where the names are equal, null being equal to null; b's own names go."""
+    b = b.withColumnsRenamed({n: f"_{n}" for n in names})
+    on = [a[n].eqNullSafe(b[f"_{n}"]) for n in names]
+    return a.join(b, on, how).drop(*(f"_{n}" for n in names))
+
+
+def _levels(rows: DataFrame) -> DataFrame:
+    """Every row in the groups of all levels."""
+    none = F.lit(None).cast("string")
+    groups = F.array(*(F.struct(F.lit(n).alias("level"), a.alias("lang"), b.alias("source")) for n, a, b in ((0, none, none), (1, F.col("lang"), none), (2, F.col("lang"), F.col("source")))))
+    others = [c for c in rows.columns if c not in ("lang", "source")]
+    return rows.select(F.explode(groups).alias("_g"), *others).select(*(F.col(f"_g.{k}").alias(k) for k in GROUP), *others)
+
+
+def _sums(x: list[Column]) -> list[Column]:
+    return [F.count("*").alias("n"), *(F.sum(x[i]).alias(f"s_{i}") for i in _D), *(F.sum(x[i] * x[j]).alias(f"q_{i}_{j}") for i, j in _LOWER)]
+
+
+_MOMENTS = ["n", *(f"s_{i}" for i in _D), *(f"q_{i}_{j}" for i, j in _LOWER)]
+
+
+def pooled(sums: DataFrame, prior: float) -> DataFrame:
+    """The sums with `prior` rows of the language, and the language's with as many of all documents, added."""
+
+    def added(own: DataFrame, more: DataFrame, names: tuple[str, ...]) -> DataFrame:
+        m = more.select(*names, *(F.col(c).alias(f"_{c}") for c in _MOMENTS))
+        both = _same(own, m, names)
+        return both.select(*GROUP, "start", "rows", *((F.col(c) + F.lit(prior) * (F.col(f"_{c}") / F.col("_n"))).alias(c) for c in _MOMENTS))
+
+    sums = sums.select(*GROUP, "start", "rows", *(F.col(c).cast("double").alias(c) for c in _MOMENTS))
+    top = sums.where("level = 0")
+    langs = added(sums.where("level = 1"), top, ("start",))
+    return top.unionAll(langs).unionAll(added(sums.where("level = 2"), langs, ("start", "lang")))
+
+
+def starts(rows: DataFrame, scratch: Scratch, prior: float) -> DataFrame:
+    """The parameters that each group starts from."""
     long = rows.select("lang", "source", F.posexplode(F.array(*NAMES)).alias("i", "x"))
-    seen = long.groupBy("lang", "source", "i", "x").agg(F.count("*").alias("c"))
-    order = W.partitionBy("lang", "source", "i")
+    seen = _levels(long.groupBy("lang", "source", "i", "x").agg(F.count("*").alias("c"))).groupBy(*GROUP, "i", "x").agg(F.sum("c").alias("c"))
+    order = W.partitionBy(*GROUP, "i")
     placed = seen.withColumn("rows", F.sum("c").over(order)).withColumn("upto", F.sum("c").over(order.orderBy("x")))
     at = lambda p: F.min(F.when(F.col("upto") >= p * F.col("rows"), F.col("x")))
-    q = placed.where(F.col("rows") >= min_group).groupBy("lang", "source", "i").agg(F.max("rows").alias("rows"), at(0.25).alias("low"), at(0.5).alias("mid"), at(0.75).alias("high"))
+    q = placed.groupBy(*GROUP, "i").agg(F.max("rows").alias("rows"), at(0.25).alias("low"), at(0.5).alias("mid"), at(0.75).alias("high"))
     one = lambda i, what: F.max(F.when(F.col("i") == i, what))
-    d = range(len(NAMES))
-    wide = q.groupBy("lang", "source").agg(F.max("rows").alias("rows"), *(one(i, F.col("mid").cast("double")).alias(f"mu_{i}") for i in d), *(one(i, F.greatest((F.col("high") - F.col("low")) / F.lit(1.349), F.lit(256.0 * FLOOR[i]))).alias(f"l_{i}_{i}") for i in d))
-    return wide.select("*", *(F.lit(0.0).alias(f"l_{i}_{j}") for i in d for j in range(i)))
-
-
-def estimate(rows: DataFrame, scratch: Scratch, min_group: int, share: float, steps: int) -> DataFrame:
-    """Mean and Cholesky factor of each group after `steps` concentration steps."""
-    d = range(len(NAMES))
-    params = scratch.save("start", start(rows, min_group))
-    for step in range(steps):
-        near = _with(rows, params).withColumn("bin", F.floor(32 * F.log1p(_distance(1.0))).cast("int"))
-        sums = [F.count("*").alias("n"), *(F.sum(NAMES[i]).alias(f"s_{i}") for i in d), *(F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"q_{i}_{j}") for i in d for j in range(i + 1))]
-        binned = near.groupBy("lang", "source", "rows", "bin").agg(*sums)
-        before = F.coalesce(F.sum("n").over(W.partitionBy("lang", "source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        inside = binned.withColumn("before", before).where(F.col("before") < F.ceil(share * F.col("rows")))
-        names = ["n", *(f"s_{i}" for i in d), *(f"q_{i}_{j}" for i in d for j in range(i + 1))]
-        params = scratch.save(f"step-{step}", _factor(inside.groupBy("lang", "source", "rows").agg(*(F.sum(x).alias(x) for x in names))))
-    return params
-
-
-def judge(docs: DataFrame, min_words: int = 50, min_group: int = 25, share: float = 0.75, steps: int = 4, cutoff: float = 45.0) -> DataFrame:
-    """doc_id, the base counts, base_failed, distance2 (null where there is no estimate) and kept, of every document."""
+    middle = scratch.save("middle", q.groupBy(*GROUP).agg(F.max("rows").alias("rows"), *(one(i, F.col("mid").cast("double")).alias(f"m_{i}") for i in _D), *(one(i, F.greatest((F.col("high") - F.col("low")) / F.lit(1.349), F.lit(256.0 * FLOOR[i]))).alias(f"w_{i}") for i in _D)))
+    quartiles = middle.select(*GROUP, F.lit(0).alias("start"), "rows", F.lit(0.0).alias("size"), *(F.col(f"m_{i}").alias(f"mu_{i}") for i in _D), *((F.col(f"w_{i}") if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i, j in _LOWER))
+    near = _same(_levels(rows), middle, GROUP)
+    bounded = [F.round(1024 * F.tanh((F.col(n) - F.col(f"m_{i}")) / F.col(f"w_{i}"))).cast("long") for i, n in enumerate(NAMES)]
+    plain = _sums([F.col(n) for n in NAMES])
+    whole = near.groupBy(*GROUP, "rows").agg(*plain, *(c.alias(f"t{name}") for c, name in zip(_sums(bounded)[1:], _MOMENTS[1:], strict=True)))
+    whole = scratch.save("whole", whole)
+    moments = whole.select(*GROUP, F.lit(1).alias("start"), "rows", *_MOMENTS)
+    # back from tangents: sums of m + w * t / 1024
+    t = lambda c: F.col(f"t{c}") / F.lit(1024.0)
+    m, w = (lambda i: F.col(f"m_{i}")), (lambda i: F.col(f"w_{i}"))
+    turned = _same(whole, middle.drop("rows"), GROUP).select(
+        *GROUP, F.lit(2).alias("start"), "rows", "n", *((F.col("n") * m(i) + w(i) * t(f"s_{i}")).alias(f"s_{i}") for i in _D),
+        *((F.col("n") * m(i) * m(j) + m(i) * w(j) * t(f"s_{j}") + m(j) * w(i) * t(f"s_{i}") + w(i) * w(j) * (t(f"q_{i}_{j}") / F.lit(1024.0))).alias(f"q_{i}_{j}") for i, j in _LOWER),
+    )
+    return scratch.save("starts", quartiles.unionAll(_factor(pooled(moments, prior))).unionAll(_factor(pooled(turned, prior))))
+
+
+def concentrated(rows: DataFrame, params: DataFrame, share: float) -> DataFrame:
+    """The sums of the nearest `share` of each group's rows."""
+    near = _same(_levels(rows), params.drop("size"), GROUP).withColumn("bin", F.floor(32 * F.log(1 + _distance(1.0))).cast("int"))
+    keys = [*GROUP, "start", "rows"]
+    binned = near.groupBy(*keys, "bin").agg(*_sums([F.col(n) for n in NAMES]))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*GROUP, "start").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = binned.withColumn("before", before).where(F.col("before") < F.ceil(share * F.col("rows")))
+    return inside.groupBy(*keys).agg(*(F.sum(x).alias(x) for x in _MOMENTS))
+
+
+def estimate(rows: DataFrame, scratch: Scratch, share: float, prior: float, most_steps: int) -> DataFrame:
+    """Mean and Cholesky factor of each group."""
+    params = starts(rows, scratch, prior)
+    sums = scratch.save("first", concentrated(rows, params, share))
+    sums = scratch.save("second", concentrated(rows, _factor(pooled(sums, prior)), share))
+    sizes = _factor(pooled(sums, prior)).groupBy(*GROUP).agg(F.min(F.struct("size", "start")).alias("_best"))
+    sums = _same(sums, sizes, GROUP).where("start = _best.start").select(*GROUP, F.lit(0).alias("start"), "rows", *_MOMENTS)
+    sums = scratch.save("chosen", sums)
+    for step in range(most_steps):
+        last, sums = sums, scratch.save(f"step-{step}", concentrated(rows, _factor(pooled(sums, prior)), share))
+        if sums.exceptAll(last).isEmpty():
+            break
+    return _factor(pooled(sums, prior))
+
+
+def judge(docs: DataFrame, min_words: int = 50, share: float = 0.75, prior: float = 200.0, most_steps: int = 20, cutoff: float = CUTOFF) -> DataFrame:
+    """doc_id, the base counts, base_failed, distance2 (null where the base failed) and kept, of every document."""
     scratch = Scratch(docs.sparkSession, "quality")
     base = counts(docs).withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     rows = scratch.save("features", _features(base))
-    params = estimate(rows.where("not base_failed"), scratch, min_group, share, steps)
-    far = _with(rows, params, "left").withColumn("distance2", _distance(CONSISTENCY))
+    passed = rows.where("not base_failed").select("lang", "source", *NAMES)
+    params = scratch.save("params", estimate(passed, scratch, share, prior, most_steps).where("level = 2").drop("level", "start", "rows", "size"))
+    far = _same(rows, params, ("lang", "source"), "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance(CONSISTENCY)))
     return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", (~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cutoff)).alias("kept"))
