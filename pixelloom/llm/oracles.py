@@ -50,9 +50,9 @@ q AS (SELECT doc_id, count(*) AS n_units FROM n GROUP BY 1)
 SELECT d.doc_id, coalesce(n_units,0) AS n_units, licence, round(coalesce(dice,0e0),6) AS dice, coalesce(licences,'') AS licences FROM documents d LEFT JOIN o ON o.doc_id=d.doc_id LEFT JOIN q ON q.doc_id=d.doc_id"""
 
 
-def quality(min_words: int = 50, share: float = 0.75, prior: float = 200.0, most_steps: int = 20, cutoff: float = CUTOFF) -> str:
-    """The base counts, the three starts and every concentration step, one after the other. Steps beyond the one that
-    changes nothing change nothing, so all are written out."""
+def quality(min_words: int = 50, share: float = 0.75, prior: float = 200.0, most_steps: int = 12, cutoff: float = CUTOFF) -> str:
+    """The base counts, the three starts and every concentration step, one after the other. After a step that lowers no
+    determinant all others do the same, so all are written out."""
     d, names, k = range(len(NAMES)), NAMES, f"{prior!r}"
     lower = [(i, j) for i in d for j in range(i + 1)]
     moments = ["n", *(f"s_{i}" for i in d), *(f"q_{i}_{j}" for i, j in lower)]
@@ -95,6 +95,8 @@ def quality(min_words: int = 50, share: float = 0.75, prior: float = 200.0, most
     tangent = lambda i: f"CAST(round(1024*tanh(({names[i]}-m_{i})/w_{i})) AS BIGINT)"
     turned = ", ".join(["n", *(f"n*m_{i}+w_{i}*(s_{i}/1024e0) AS s_{i}" for i in d), *(f"n*m_{i}*m_{j}+m_{i}*w_{j}*(s_{j}/1024e0)+m_{j}*w_{i}*(s_{i}/1024e0)+w_{i}*w_{j}*(q_{i}_{j}/1024e0/1024e0) AS q_{i}_{j}" for i, j in lower)])
     columns = f"{groups}, start, n_rows, {', '.join(f'mu_{i}' for i in d)}, {', '.join(f'l_{i}_{j}' for i, j in lower)}"
+    newer = columns.replace(" start,", " 1 AS start,")
+    least = lambda rows: f"SELECT {columns.replace(' start,', ' 0 AS start,')}, size FROM (SELECT *, row_number() OVER (PARTITION BY {groups} ORDER BY size, start) AS place FROM ({rows}) a) b WHERE place=1"
     parts = [
         rf"""w AS (SELECT doc_id, lang, source, regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+') AS ws, len(regexp_extract_all(coalesce(text,''), '[#*$%&|<>]')) AS n_symbols,
  list_filter(string_split(coalesce(text,''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents)""",
@@ -118,13 +120,12 @@ def quality(min_words: int = 50, share: float = 0.75, prior: float = 200.0, most
         *factor("s_3", "_3"),
         *concentrated("p_3", "_4"),
         *factor("s_4", "_4"),
-        f"best AS MATERIALIZED (SELECT * FROM (SELECT {groups}, start, row_number() OVER (PARTITION BY {groups} ORDER BY size, start) AS place FROM p_4) b WHERE place=1)",
-        f"s_5 AS MATERIALIZED (SELECT s.level, s.lang, s.source, 0 AS start, n_rows, {', '.join(moments)} FROM s_4 s JOIN best ON {same('s', 'best')} AND s.start=best.start)",
+        f"v0 AS MATERIALIZED ({least('SELECT * FROM p_4')})",
     ]
-    for step in range(6, 6 + most_steps):
-        parts += [*factor(f"s_{step - 1}", f"_{step}"), *concentrated(f"p_{step}", f"_{step}")]
-    parts += factor(f"s_{5 + most_steps}", "_last")
-    parts.append(f"e AS (SELECT f.*, {z} FROM f LEFT JOIN p_last p ON p.level=2 AND {same('f', 'p', ('lang', 'source'))})")
+    for step in range(1, most_steps + 1):
+        parts += [*concentrated(f"v{step - 1}", f"_{step + 4}"), *factor(f"s_{step + 4}", f"_{step + 4}")]
+        parts.append(f"v{step} AS MATERIALIZED ({least(f'SELECT {columns}, size FROM v{step - 1} UNION ALL SELECT {newer}, size FROM p_{step + 4}')})")
+    parts.append(f"e AS (SELECT f.*, {z} FROM f LEFT JOIN v{most_steps} p ON p.level=2 AND {same('f', 'p', ('lang', 'source'))})")
     far = f"({total})/{CONSISTENCY!r}"
     return f"WITH {', '.join(parts)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN NOT base_failed THEN round({far},3) END AS distance2, NOT base_failed AND coalesce({far},0e0)<={cutoff!r} AS kept FROM e"
 

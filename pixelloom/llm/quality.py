@@ -11,7 +11,7 @@ run gives the same estimates. Each language and source has a minimum-covariance-
    medians, which bound what an outlier adds.
 2. A concentration step takes the three quarters of the rows that are nearest by Mahalanobis distance, in bins of about
    3 %, and re-estimates mean and scatter from them. After two steps each group keeps the start whose scatter has the
-   smallest determinant, and goes on until no row's place changes (`most_steps` at most).
+   smallest determinant; then steps go on until no group's determinant falls any more (`most_steps` at most).
 3. Estimates are shrunk: to what a source gathers, `prior` rows that are distributed as its language's estimate are added, to a
    language's as many of that of all documents. So a source of one document is judged too, mostly by its language, a large
    one by itself, and there is no size from which on groups are treated otherwise.
@@ -152,7 +152,7 @@ def starts(rows: DataFrame, scratch: Scratch, prior: float) -> DataFrame:
     plain = _sums([F.col(n) for n in NAMES])
     whole = near.groupBy(*GROUP, "rows").agg(*plain, *(c.alias(f"t{name}") for c, name in zip(_sums(bounded)[1:], _MOMENTS[1:], strict=True)))
     whole = scratch.save("whole", whole)
-    moments = whole.select(*GROUP, F.lit(1).alias("start"), "rows", *_MOMENTS)
+    moments = whole.select(*GROUP, F.lit(1).alias("start"), "rows", *(F.col(c).cast("double").alias(c) for c in _MOMENTS))
     # back from tangents: sums of m + w * t / 1024
     t = lambda c: F.col(f"t{c}") / F.lit(1024.0)
     m, w = (lambda i: F.col(f"m_{i}")), (lambda i: F.col(f"w_{i}"))
@@ -160,7 +160,8 @@ def starts(rows: DataFrame, scratch: Scratch, prior: float) -> DataFrame:
         *GROUP, F.lit(2).alias("start"), "rows", "n", *((F.col("n") * m(i) + w(i) * t(f"s_{i}")).alias(f"s_{i}") for i in _D),
         *((F.col("n") * m(i) * m(j) + m(i) * w(j) * t(f"s_{j}") + m(j) * w(i) * t(f"s_{i}") + w(i) * w(j) * (t(f"q_{i}_{j}") / F.lit(1024.0))).alias(f"q_{i}_{j}") for i, j in _LOWER),
     )
-    return scratch.save("starts", quartiles.unionAll(_factor(pooled(moments, prior))).unionAll(_factor(pooled(turned, prior))))
+    gathered = scratch.save("gathered", moments.unionAll(turned))
+    return scratch.save("starts", quartiles.unionAll(_factor(pooled(gathered, prior))))
 
 
 def concentrated(rows: DataFrame, params: DataFrame, share: float) -> DataFrame:
@@ -176,19 +177,27 @@ def concentrated(rows: DataFrame, params: DataFrame, share: float) -> DataFrame:
 def estimate(rows: DataFrame, scratch: Scratch, share: float, prior: float, most_steps: int) -> DataFrame:
     """Mean and Cholesky factor of each group."""
     params = starts(rows, scratch, prior)
-    sums = scratch.save("first", concentrated(rows, params, share))
-    sums = scratch.save("second", concentrated(rows, _factor(pooled(sums, prior)), share))
-    sizes = _factor(pooled(sums, prior)).groupBy(*GROUP).agg(F.min(F.struct("size", "start")).alias("_best"))
-    sums = _same(sums, sizes, GROUP).where("start = _best.start").select(*GROUP, F.lit(0).alias("start"), "rows", *_MOMENTS)
-    sums = scratch.save("chosen", sums)
-    for step in range(most_steps):
-        last, sums = sums, scratch.save(f"step-{step}", concentrated(rows, _factor(pooled(sums, prior)), share))
-        if sums.exceptAll(last).isEmpty():
+    names = [c for c in params.columns if c not in (*GROUP, "size", "start")]
+
+    def step(name: str, params: DataFrame) -> DataFrame:
+        return _factor(pooled(scratch.save(f"sums-{name}", concentrated(rows, params, share)), prior))
+
+    def least(candidates: DataFrame) -> DataFrame:
+        """Each group's parameters with the smallest determinant; of equal ones the lowest start."""
+        return candidates.groupBy(*GROUP).agg(F.min(F.struct("size", "start", *names)).alias("_p")).select(*GROUP, *(F.col(f"_p.{c}").alias(c) for c in ("size", "start", *names)))
+
+    params = scratch.save("first", step("first", params))
+    params = scratch.save("second", least(step("second", params)).withColumn("start", F.lit(0)))
+    for k in range(most_steps):
+        new = step(str(k), params).withColumn("start", F.lit(1))
+        chosen = scratch.save(f"step-{k}", least(params.unionByName(new)))
+        if chosen.where("start = 1").isEmpty():
             break
-    return _factor(pooled(sums, prior))
+        params = chosen.withColumn("start", F.lit(0))
+    return params
 
 
-def judge(docs: DataFrame, min_words: int = 50, share: float = 0.75, prior: float = 200.0, most_steps: int = 20, cutoff: float = CUTOFF) -> DataFrame:
+def judge(docs: DataFrame, min_words: int = 50, share: float = 0.75, prior: float = 200.0, most_steps: int = 12, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, the base counts, base_failed, distance2 (null where the base failed) and kept, of every document."""
     scratch = Scratch(docs.sparkSession, "quality")
     base = counts(docs).withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))

@@ -362,7 +362,7 @@ def test_quality_counts(docs_of, odd, prose):
     assert quality.judge(docs_of([])).count() == 0
 
 
-def brute_mcd(rows, share=0.75, prior=200.0, most_steps=20):
+def brute_mcd(rows, share=0.75, prior=200.0, most_steps=12):
     """distance2 of each (lang, source, vector), with numpy; the cut is by the same bins."""
     floor = np.array([256 * f for f in quality.FLOOR])
     x = np.array([v for *_, v in rows], float)
@@ -413,13 +413,18 @@ def brute_mcd(rows, share=0.75, prior=200.0, most_steps=20):
         plain[g] = sums(v)
         turned[g] = sums(mid + wide * np.round(1024 * np.tanh((v - mid) / wide)) / 1024)
     found = [concentrate(fit(concentrate(p))) for p in (quartiles, fit(plain), fit(turned))]
-    sizes = [{g: round(np.linalg.slogdet(cov)[1], 6) for g, (_, cov) in fit(f).items()} for f in found]
-    now = {g: found[min(range(3), key=lambda s: (sizes[s][g], s))][g] for g in groups}
+    size = lambda p: {g: round(np.linalg.slogdet(cov)[1] / 2, 6) for g, (_, cov) in p.items()}
+    fits = [fit(f) for f in found]
+    sizes = [size(p) for p in fits]
+    best = {g: min(range(3), key=lambda s: (sizes[s][g], s)) for g in groups}
+    params, least = {g: fits[best[g]][g] for g in groups}, {g: sizes[best[g]][g] for g in groups}
     for _ in range(most_steps):
-        last, now = now, concentrate(fit(now))
-        if all(np.array_equal(a, b) for g in groups for a, b in zip(now[g], last[g], strict=True)):
+        new = fit(concentrate(params))
+        better = [g for g, v in size(new).items() if v < least[g]]
+        for g in better:
+            params[g], least[g] = new[g], size(new)[g]
+        if not better:
             break
-    params = fit(now)
     return np.array([distances(v[None], *params[lang, source])[0] for lang, source, v in zip([r[0] for r in rows], [r[1] for r in rows], x, strict=True)]) / quality.CONSISTENCY
 
 
