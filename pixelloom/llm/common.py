@@ -22,8 +22,13 @@ ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "pixelloom-scratch")
+    """The shared folder the cluster names in spark.checkpoint.dir. A local one stands in only where driver and executors
+    are one machine (tests)."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "pixelloom-scratch")
 
 
 class Scratch:
@@ -40,6 +45,14 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep(self, name: str) -> None:
+        """Drops all other tables."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        for status in root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root):
+            if (other := status.getPath().getName()) != name:
+                self.drop(other)
+
     def drop(self, name: str = "") -> None:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)

@@ -9,11 +9,14 @@ A-Z; with fewer than k words, the whole sequence is one shingle). Two documents
 2. Cells. Ordered by (frequency, hash), the first n - ceil(percent * n / 100) + 1 shingles of two linked sets have one
    in common, whatever the order is. So only documents that share such a shingle, a cell, can link. Frequent shingles
    come last, so common passages open few cells; that table only orders, no result depends on it. Cells with equal
-   members are one. Cells of more than `chunk` members are dealt as pairs of chunks to different tasks.
-3. Members are points of counts per hash group. First every document takes, among its cells' first members, the one with
-   the highest overlap bound; verified, these pairs join most groups of copies at linear cost. Then each cell that
-   still holds several components is searched with an R-tree over the points, which skips nodes by the summed
-   coordinate minima and nodes of one component; the pairs that survive are verified on the full sets.
+   members are one.
+3. Members are points of counts per hash group. First every document takes, among up to eight seeds of its cells, the one
+   with the highest overlap bound. Seeds are found by one aggregation and sent to the tasks among which a cell's
+   members are dealt, each member to one, so this is linear; verified, these pairs join most groups of copies.
+   Then each cell that still holds several components is searched with R-trees over the points, which skip nodes by
+   the summed coordinate minima and nodes of one component; the pairs that survive are verified on the full sets.
+   Large cells are dealt as pairs of chunks. A component that fills chunks has chunks of its own, which are not paired with
+   each other, so that a large group of copies in a cell with few others costs no more than its size.
 
 No link between components is lost, no group's pairs are all emitted, and nothing per document is sent to the driver.
 
@@ -32,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pixelloom.llm.common import HashedWords, Scratch, cut_count, mix, tidy
@@ -244,16 +248,9 @@ def _points(rows: pa.Table, groups: int) -> np.ndarray:
     return np.stack([np.frombuffer(c, np.uint8 if len(c) == groups else np.uint32).astype(np.int64) for c in rows.column("counts").to_pylist()])
 
 
-def dealt(members: DataFrame, chunk: int) -> DataFrame:
-    """Every member to the tasks of its cell: one, or a pair of chunks each."""
-    parts = F.ceil(F.col("size") / F.lit(chunk)).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    wide = members.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return wide.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-
-
-def leaders(members: DataFrame, percent: int, groups: int, seeds: int = 8) -> DataFrame:
-    """a, b: for document b the most promising earlier document a, by overlap bound, among the first ones of its cells."""
+def leaders(members: DataFrame, located: DataFrame, percent: int, groups: int, seeds: int = 8, chunk: int = 512) -> DataFrame:
+    """a, b: for document b the most promising earlier document a, by overlap bound, among the seeds of its cells: the
+    smallest ids of `seeds` classes by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, tuple[float, int]] = {}
@@ -261,16 +258,15 @@ def leaders(members: DataFrame, percent: int, groups: int, seeds: int = 8) -> Da
         def out() -> pa.RecordBatch:
             return _table(a=np.array([-v[1] for v in found.values()], np.int64), b=np.array(list(found), np.int64), score=np.array([v[0] for v in found.values()], np.float64))
 
-        for rows in _groups(batches, 3):
-            ids, points = rows.column("doc_id").to_numpy(), _points(rows, groups)
-            order = np.argsort(ids)
-            ids, points = ids[order], points[order]
-            n = points.sum(1)
-            for s in range(min(seeds, len(ids) - 1)):
-                bound = np.minimum(points[s], points[s + 1 :]).sum(1)
-                good = enough(bound, n[s], n[s + 1 :], percent) & (ids[s + 1 :] > ids[s])
-                for i in np.flatnonzero(good):
-                    b, mark = int(ids[s + 1 + i]), (float(bound[i]) / float(n[s] + n[s + 1 + i]), -int(ids[s]))
+        for rows in _groups(batches, 2):
+            ids, points, seed = rows.column("doc_id").to_numpy(), _points(rows, groups), rows.column("seed").to_numpy()
+            n, rest = points.sum(1), np.flatnonzero(~seed)
+            for s in np.flatnonzero(seed):
+                later = rest[ids[rest] > ids[s]]
+                bound = np.minimum(points[s], points[later]).sum(1)
+                good = enough(bound, n[s], n[later], percent)
+                for i, k in zip(later[good].tolist(), bound[good].tolist(), strict=True):
+                    b, mark = int(ids[i]), (k / float(n[s] + n[i]), -int(ids[s]))
                     if mark > found.get(b, (0.0, 0)):
                         found[b] = mark
             if len(found) > 100_000:
@@ -278,12 +274,36 @@ def leaders(members: DataFrame, percent: int, groups: int, seeds: int = 8) -> Da
                 found.clear()
         yield out()
 
-    columns = dealt(members, 4096).select("cell", "x", "y", "doc_id", "counts")
-    best = columns.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y").mapInArrow(tidy(run), "a long, b long, score double")
+    kind = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(seeds))
+    first = members.groupBy("cell", "size").agg(*(F.min(F.when(kind == i, F.col("doc_id"))).alias(f"s{i}") for i in range(seeds)))
+    parts = lambda: F.ceil(F.col("size") / F.lit(chunk)).cast("int")
+    sent = first.select("cell", F.explode(F.sequence(F.lit(0), parts() - 1)).alias("part"), F.array(*(f"s{i}" for i in range(seeds))).alias("s")).select("cell", "part", F.explode("s").alias("doc_id")).where("doc_id is not null")
+    own = members.select("cell", F.pmod(F.xxhash64("doc_id"), parts()).cast("int").alias("part"), "doc_id")
+    both = own.withColumn("seed", F.lit(False)).unionByName(sent.withColumn("seed", F.lit(True))).join(located, "doc_id")
+    best = both.select("cell", "part", "seed", "doc_id", "counts").repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(tidy(run), "a long, b long, score double")
     return best.groupBy("b").agg(F.max(F.struct("score", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
 
 
-def tree_pairs(members: DataFrame, percent: int, groups: int, chunk: int = 2048) -> DataFrame:
+def dealt(members: DataFrame, chunk: int, most_broadcast: int) -> DataFrame:
+    """Every member (cell, size, doc_id, component) to the tasks x, y of its cell: one, or pairs of chunks. `own` is the
+    chunk that it is in."""
+    whole = members.where(F.col("size") <= chunk).select("cell", "doc_id", "component", *(F.lit(0).alias(c) for c in ("own", "x", "y")))
+    wide = members.where(F.col("size") > chunk)
+    # a component of half a chunk or more has chunks of its own; the others share some, each in one
+    counts = wide.groupBy("cell", "component").agg(F.count("*").alias("n"))
+    large = counts.where(2 * F.col("n") >= chunk).withColumn("k", F.ceil(F.col("n") / F.lit(chunk)).cast("int"))
+    large = large.withColumn("first", (F.sum("k").over(W.partitionBy("cell").orderBy("component")) - F.col("k")).cast("int"))
+    cells = counts.groupBy("cell").agg(F.sum(F.when(2 * F.col("n") >= chunk, F.ceil(F.col("n") / F.lit(chunk))).otherwise(0)).cast("int").alias("taken"), F.ceil(F.sum(F.when(2 * F.col("n") < chunk, F.col("n")).otherwise(0)) / F.lit(chunk)).cast("int").alias("shared"))
+    placed = wide.join(small(cells, most_broadcast), "cell").join(small(large.drop("n"), most_broadcast), ["cell", "component"], "left")
+    own = F.when(F.col("k").isNotNull(), F.col("first") + F.pmod(F.xxhash64("doc_id"), F.col("k"))).otherwise(F.col("taken") + F.pmod(F.xxhash64("component"), F.greatest("shared", F.lit(1)))).cast("int")
+    total, none = F.col("taken") + F.col("shared"), F.expr("cast(array() as array<int>)")
+    upto = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(none)
+    others = F.when(F.col("k").isNull(), upto(F.lit(0), total - 1)).otherwise(F.concat(upto(F.lit(0), F.col("first") - 1), upto(F.col("first") + F.col("k"), total - 1)))
+    pairs = placed.select("cell", "doc_id", "component", own.alias("own"), F.explode(others).alias("other"))
+    return whole.unionByName(pairs.select("cell", "doc_id", "component", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")))
+
+
+def tree_pairs(members: DataFrame, located: DataFrame, percent: int, groups: int, most_broadcast: int, chunk: int = 2048) -> DataFrame:
     """a, b: the pairs of different components in a cell that the R-tree's bounds leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +320,7 @@ def tree_pairs(members: DataFrame, percent: int, groups: int, chunk: int = 2048)
             for i, j, _ in trees[0].pairs(trees[-1], percent):
                 yield _table(a=np.minimum(p[i], q[j]), b=np.maximum(p[i], q[j]))
 
-    columns = dealt(members, chunk).select("cell", "x", "y", "own", "doc_id", "component", "counts")
+    columns = dealt(members, chunk, most_broadcast).join(located, "doc_id").select("cell", "x", "y", "own", "doc_id", "component", "counts")
     return columns.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
@@ -356,32 +376,32 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, groups: int = 512, id_c
 
     near = docs.join(small(members.select("doc_id").distinct(), most_broadcast), "doc_id", "left_semi")
     located = scratch.save("points", points(near, k, groups))
-    first = scratch.save("leaders", leaders(members.join(located, "doc_id"), percent, groups))
+    first = scratch.save("leaders", leaders(members, located, percent, groups))
     links = scratch.save("links", verified(first, docs, k, percent, scratch, "first", most_broadcast))
     found = components(links, scratch, "first").withColumnRenamed("node", "doc_id")
     labelled = scratch.save("labelled", members.join(found, "doc_id", "left").select("cell", "size", "doc_id", F.coalesce("component", "doc_id").alias("component")))
     several = labelled.groupBy("cell").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("cell")
-    rest = tree_pairs(labelled.join(several, "cell", "left_semi").join(located, "doc_id"), percent, groups)
+    rest = tree_pairs(scratch.save("several", labelled.join(several, "cell", "left_semi")), located, percent, groups, most_broadcast)
     rest = scratch.save("rest", rest.join(first, ["a", "b"], "left_anti"))
     links = scratch.save("all-links", links.union(verified(rest, docs, k, percent, scratch, "rest", most_broadcast)))
     found = scratch.save("components", components(links, scratch, "second").select(F.col("node").alias("class_id"), "component"))
-    for name in ("shared", "members", "points", "labelled", "leaders", "rest", "links", "first-places", "rest-places"):
-        scratch.drop(name)
     stands = classes.join(found, "class_id", "left").select("c", "d", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    return own.join(stands, ["c", "d", "n_shingles"], "left").select(
+    result = own.join(stands, ["c", "d", "n_shingles"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")
     )
+    result = scratch.save("result", result)
+    scratch.keep("result")
+    return result
 
 
-def keep_one(docs: DataFrame, most_broadcast: int = 1_000_000, **options) -> DataFrame:
+def keep_one(docs: DataFrame, most_broadcast: int = 1_000_000, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that stand for their component (its smallest id), all columns kept. Of rows that repeat such an id one
     stays; rows without an id all stay."""
-    scratch = Scratch(docs.sparkSession, "keep-one")
-    found = scratch.save("found", join(docs, most_broadcast=most_broadcast, **options))
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(small(dropped, most_broadcast), "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    found = join(docs, most_broadcast=most_broadcast, id_col=id_col, **options)
+    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(small(dropped, most_broadcast), id_col, "left_anti").select(*docs.columns)
+    again = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(id_col)).count().where("count > 1").select(id_col)
     if again.limit(1).count() == 0:
         return kept
-    once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    once = kept.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col])
+    return kept.join(again, id_col, "left_anti").select(*docs.columns).unionByName(once)

@@ -72,12 +72,36 @@ def test_matches_brute_force(docs_of, prose):
 
 def test_without_broadcasts_and_in_chunks(docs_of, prose, monkeypatch):
     """The ways for large inputs give the same: no broadcast of ids, cells dealt as pairs of chunks."""
-    real = ngram_join.dealt
-    monkeypatch.setattr(ngram_join, "dealt", lambda members, chunk: real(members, 3))
+    real, first = ngram_join.dealt, ngram_join.leaders
+    monkeypatch.setattr(ngram_join, "dealt", lambda members, chunk, most: real(members, 3, most))
+    monkeypatch.setattr(ngram_join, "leaders", lambda *args: first(*args, seeds=2, chunk=3))
     rows = copies(prose, 4)
     assert got(ngram_join.join(docs_of(rows), most_broadcast=0)) == brute(rows)
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_dealing_pairs_all_components(spark, most):
+    """Members of different components meet in a task, whatever fills the cell; a component that fills it goes out once
+    for each chunk of the others, not for each of its own."""
+    r = random.Random(2)
+    cells = {1: [0] * 300 + [1, 2, 3], 2: [r.randrange(40) for _ in range(100)], 3: [0] * 50 + [1] * 50 + [2] * 4, 4: [7] * 60, 5: [1, 2, 2]}
+    rows = [(c, len(labels), 1000 * c + i, 10 * c + k) for c, labels in cells.items() for i, k in enumerate(labels)]
+    out = ngram_join.dealt(spark.createDataFrame(rows, "cell long, size long, doc_id long, component long"), 10, most).collect()
+    tasks = {}
+    for x in out:
+        assert x.own in (x.x, x.y)
+        tasks.setdefault((x.cell, x.x, x.y), {})[x.doc_id] = x.own
+    met = set()
+    for (_, x, y), members in tasks.items():
+        a, b = [d for d, o in members.items() if o == x], [d for d, o in members.items() if o == y]
+        met |= {(min(p, q), max(p, q)) for p in a for q in b}
+    for c, labels in cells.items():
+        for i, p in enumerate(labels):
+            for j in range(i):
+                assert p == labels[j] or (1000 * c + j, 1000 * c + i) in met
+    assert sum(x.cell == 1 for x in out) <= 300 + 3 * 31 and not any(x.cell == 4 for x in out)
+
+
 @pytest.mark.parametrize(("k", "percent"), [(2, 50), (3, 95)])
 def test_other_parameters(docs_of, prose, k, percent):
     rows = copies(prose, 5)[:60]
@@ -117,6 +141,14 @@ def test_keep_one(docs_of, prose):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 3), (False, 7), (False, 9), (True, 0), (True, 0)]
 
 
+def test_other_names(spark, prose):
+    """The id column may have any name; an unused doc_id column stays as it is."""
+    text = prose(100, 1)
+    df = spark.createDataFrame([(5, text, "x"), (6, f"{text} end", "y"), (7, prose(100, 2), "z")], "own long, body string, doc_id string")
+    kept = ngram_join.keep_one(df, id_col="own", text_col="body")
+    assert kept.columns == df.columns and sorted((r.own, r.doc_id) for r in kept.collect()) == [(5, "x"), (7, "z")]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 10**6), st.integers(1, 60), st.sampled_from([50, 80, 90]))
 def test_tree_misses_no_pair(seed, n, percent):
