@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions import expressions
-from pixelloom.model import Rasters, nodata_to_null, resolve_dtype, resolve_nodata, scenes_of
+from pixelloom.model import Rasters, nodata_to_null, resolve_dtype, resolve_nodata, scenes_of, wrap_cast
 from pixelloom.operators import blocks, clouds, grid, regression, restructure, seamline, stats, vector
 from pixelloom.plans import validate
 from pixelloom.sources import geotiff, tables
@@ -58,11 +58,12 @@ def global_regression(r: Rasters, *, vector_mask: tuple | None = None, custom_no
     return regression.apply(r, found, output_dtype)
 
 
-def local_block_adjustment(r: Rasters, *, vector_mask: tuple | None = None, custom_nodata: float | None = None, window_size: int | tuple[int, int] | None = None, number_of_blocks: int | tuple[int, int] | str = 100, alpha: float = 1.0, correction_method: str = "gamma", save_block_maps: str | None = None, load_block_maps: list[str] | None = None, override_bounds: tuple | None = None, block_valid_pixel_threshold: float = 0.001) -> Rasters:
-    """Draws every image towards the mean of all by blocks. save_block_maps is a folder for the images' block means and the
+def local_block_adjustment(r: Rasters, *, vector_mask: tuple | None = None, custom_nodata: float | None = None, window_size: int | tuple[int, int] | None = None, number_of_blocks: int | tuple[int, int] | str = 100, alpha: float = 1.0, correction_method: str = "gamma", save_block_maps: str | None = None, load_block_maps: list[str] | None = None, override_bounds: tuple | None = None, block_valid_pixel_threshold: float = 0.001, output_dtype: str | None = None) -> Rasters:
+    """Draws every image towards the mean of all by blocks; values are doubles unless output_dtype names another type. save_block_maps is a folder for the images' block means and the
     canvas; load_block_maps are such folders."""
     validate.blocks(number_of_blocks, alpha, correction_method, block_valid_pixel_threshold, override_bounds)
     validate.window_size(window_size)
+    validate.dtype(output_dtype)
     grid.require(r.scenes)
     spark, r = r.pixels.sparkSession, _valid(r, custom_nodata)
     loaded = None
@@ -88,7 +89,8 @@ def local_block_adjustment(r: Rasters, *, vector_mask: tuple | None = None, cust
         row = {"rows": canvas.rows, "cols": canvas.cols, "x_min": float(canvas.x_min), "y_min": float(canvas.y_min), "x_max": float(canvas.x_max), "y_max": float(canvas.y_max)}
         spark.createDataFrame([(json.dumps(row),)], "value string").coalesce(1).write.mode("overwrite").text(f"{save_block_maps}/canvas")
         local = spark.read.parquet(f"{save_block_maps}/means").select("image", "band", "brow", "bcol", "mean").withColumn("image", F.col("image").cast("string"))
-    return blocks.adjust(r, local, canvas, correction_method, alpha, window_size)
+    out = blocks.adjust(r, local, canvas, correction_method, alpha, window_size)
+    return out.with_pixels(out.pixels.withColumns({b: wrap_cast(F.col(b), output_dtype) for b in r.bands})) if output_dtype else out
 
 
 def ndvi(r: Rasters, nir_band: int, red_band: int) -> Rasters:
@@ -139,8 +141,8 @@ compare_band_average = stats.difference
 def merge_rasters(r: Rasters, name: str = "merged") -> Rasters:
     """One image on the canvas of all; later images win."""
     grid.require(r.scenes)
-    e = grid.extent(r.scenes).first()
-    scene = scenes_of(r.pixels.sparkSession, [{"image": name, "x0": e["x_min"], "y0": e["y_max"], "res_x": e["res_x"], "res_y": e["res_y"], "width": e["width"], "height": e["height"], "nodata": resolve_nodata(r.scenes)}])
+    e = grid.extent(r.scenes).join(r.scenes.agg(F.min_by("crs", "ord").alias("crs"))).first()
+    scene = scenes_of(r.pixels.sparkSession, [{"image": name, "x0": e["x_min"], "y0": e["y_max"], "res_x": e["res_x"], "res_y": e["res_y"], "width": e["width"], "height": e["height"], "nodata": resolve_nodata(r.scenes), "dtype": resolve_dtype(r.scenes) or "float64", "crs": e["crs"]}])
     return Rasters(restructure.mosaic(r).select(F.lit(name).alias("image"), "prow", "pcol", *r.bands), scene, r.bands)
 
 

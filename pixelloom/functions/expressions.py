@@ -111,14 +111,17 @@ def ndvi(pixels: DataFrame, nir: str, red: str) -> DataFrame:
 
 def cutoffs(pixels: DataFrame, wanted: list[tuple[float, str]], bins: int = 1000) -> DataFrame:
     """image, q_0, q_1, ...: per image and (percent, band) the left edge of the first of `bins` equal bins whose running
-    count reaches the percentage. Two aggregations; what is sorted are bins, not pixels."""
+    count reaches the percentage. Two aggregations; what is sorted are bins, not pixels. An image whose valid values are
+    all equal has no histogram: an error when the plan runs."""
     out = None
     for k, (percent, band) in enumerate(wanted):
         v = pixels.select("image", F.col(band).cast("double").alias("v")).where("v is not null")
         ends = v.groupBy("image").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+        flat = F.raise_error(F.concat(F.lit(f"no range of values for a percentile of {band}: "), "image"))
+        ends = ends.withColumn("high", F.when(F.col("high") > F.col("low"), F.col("high")).otherwise(flat.cast("double")))
         span = F.col("high") - F.col("low")
         place = F.least(F.floor((F.col("v") - F.col("low")) / span * F.lit(float(bins))).cast("int"), F.lit(bins - 1))
-        counts = v.join(ends, "image").where("high > low").select("image", "low", "high", "n", place.alias("bin")).groupBy("image", "low", "high", "n", "bin").agg(F.count("*").alias("c"))
+        counts = v.join(ends, "image").select("image", "low", "high", "n", place.alias("bin")).groupBy("image", "low", "high", "n", "bin").agg(F.count("*").alias("c"))
         upto = F.sum("c").over(W.partitionBy("image").orderBy("bin"))
         reached = counts.withColumn("upto", upto).where(F.col("upto") >= F.lit(percent / 100) * F.col("n")).groupBy("image", "low", "high").agg(F.min("bin").alias("bin"))
         part = reached.select("image", (F.col("low") + F.col("bin") * (span / F.lit(float(bins)))).alias(f"q_{k}"))

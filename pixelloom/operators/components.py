@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a table in the shared folder (spark.checkpoint.dir; a local one where it is unset)."""
+    """Cuts the lineage with a table in the shared folder (spark.checkpoint.dir; a local one stands in only where driver and
+    executors are one machine)."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "pixelloom-scratch")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    root = root or "file://" + os.path.join(tempfile.gettempdir(), "pixelloom-scratch")
     path = f"{root}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

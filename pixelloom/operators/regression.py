@@ -85,7 +85,7 @@ def parameters(r: Rasters, anchors: Anchors = Anchors(), mean_factor: float = 1.
         fresh = Rasters(r.pixels.join(known.select("image").distinct(), "image", "left_anti"), r.scenes.join(known.select("image").distinct(), "image", "left_anti"), r.bands)
         whole_df = whole(fresh).unionByName(known)
         pairs = model["overlap_stats"].select("image", "other").distinct()
-        between_df = between(r).join(pairs, ["image", "other"], "left_anti").unionByName(model["overlap_stats"])
+        between_df = between(r, pairs).unionByName(model["overlap_stats"])
     else:
         whole_df, between_df = whole(r), between(r)
     own = [x["image"] for x in r.scenes.orderBy("ord").select("image").collect()]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pixelloom.model import Rasters
@@ -49,14 +50,16 @@ def _other_grid(r: Rasters, pairs: DataFrame) -> DataFrame:
     return i.join(j, ["image_i", "prow", "pcol"])
 
 
-def shared_pixels(r: Rasters) -> DataFrame:
-    """image_i, image_j and both sides' bands (i_..., j_...) for every pixel of image i that image j has as well."""
+def shared_pixels(r: Rasters, among: DataFrame | None = None) -> DataFrame:
+    """image_i, image_j and both sides' bands (i_..., j_...) for every pixel of image i that image j has as well; among:
+    the rectangles of the pairs that are wanted, all where it is None."""
     size = lambda side: r.scenes.select(F.col("image").alias(f"image_{side}"), F.col("res_x").alias(f"rx_{side}"), F.col("res_y").alias(f"ry_{side}"))
-    pairs = grid.overlaps(r.scenes).join(size("i"), "image_i").join(size("j"), "image_j").withColumn("same", (F.col("rx_i") == F.col("rx_j")) & (F.col("ry_i") == F.col("ry_j")))
+    pairs = (grid.overlaps(r.scenes) if among is None else among).join(size("i"), "image_i").join(size("j"), "image_j").withColumn("same", (F.col("rx_i") == F.col("rx_j")) & (F.col("ry_i") == F.col("ry_j")))
     columns = ["image_i", "image_j", *(f"{s}_{b}" for s in "ij" for b in r.bands)]
     kinds = {x["same"] for x in pairs.select("same").distinct().collect()}  # of the catalogue
     if False not in kinds:
-        return _same_grid(r, pairs).select(*columns)
+        same = _same_grid(r, pairs).select(*columns)
+        return same if among is None else same.join(among.select("image_i", "image_j"), ["image_i", "image_j"], "left_semi").select(*columns)
     other = _other_grid(r, pairs.where("not same")).select(*columns)
     if True not in kinds:
         return other
@@ -64,9 +67,13 @@ def shared_pixels(r: Rasters) -> DataFrame:
     return same.select(*columns).unionByName(other)
 
 
-def overlap(r: Rasters) -> DataFrame:
+def overlap(r: Rasters, known: DataFrame | None = None) -> DataFrame:
     """image, other, band, mean, std (of a population), size of image's pixels where both are valid, for both directions
-    of every overlapping pair; zeros where nothing valid is shared."""
+    of every overlapping pair; zeros where nothing valid is shared. The pixels of pairs that are known (image, other) are
+    not read."""
+    pairs = grid.overlaps(r.scenes)
+    if known is not None:
+        pairs = pairs.join(known.select(F.least("image", "other").alias("image_i"), F.greatest("image", "other").alias("image_j")).distinct(), ["image_i", "image_j"], "left_anti")
     both = {b: F.col(f"i_{b}").isNotNull() & F.col(f"j_{b}").isNotNull() for b in r.bands}
     sides: list[Column] = []
     for b, valid in both.items():
@@ -74,20 +81,40 @@ def overlap(r: Rasters) -> DataFrame:
             v = F.when(valid, F.col(f"{s}_{b}"))
             sides += [F.avg(v).alias(f"{b}_{s}_mean"), F.stddev_pop(v).alias(f"{b}_{s}_std")]
         sides.append(F.count(F.when(valid, 1)).alias(f"{b}_size"))
-    sums = shared_pixels(r).groupBy("image_i", "image_j").agg(*sides)
+    sums = shared_pixels(r, None if known is None else pairs).groupBy("image_i", "image_j").agg(*sides)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     rows = F.array(*(
         F.struct(F.col(f"image_{s}").alias("image"), F.col(f"image_{o}").alias("other"), F.lit(b).alias("band"), zero(f"{b}_{s}_mean").alias("mean"), zero(f"{b}_{s}_std").alias("std"), F.coalesce(F.col(f"{b}_size"), F.lit(0)).cast("long").alias("size"))
         for b in r.bands for s, o in ("ij", "ji")
     ))
-    return grid.overlaps(r.scenes).select("image_i", "image_j").join(sums, ["image_i", "image_j"], "left").select(F.inline(rows))
-
-
-def profile(r: Rasters) -> DataFrame:
-    """image, band, median and quartiles, linearly interpolated."""
-    aggs = [F.percentile(b, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{b}_q") for b in r.bands]
-    q = _by_band(r.pixels.groupBy("image").agg(*aggs), ["image"], r.bands, ["q"])
-    return q.select("image", "band", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
+    return pairs.select("image_i", "image_j").join(sums, ["image_i", "image_j"], "left").select(F.inline(rows))
+
+
+def profile(r: Rasters, bins: int = 4096) -> DataFrame:
+    """image, band, median and quartiles, linearly interpolated.
+
+    Exact, without an image's values in one task: counts by bin tell which bins hold the wanted ranks, and only the values
+    of those bins are counted one by one."""
+    values = F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("v")) for b in r.bands))
+    v = r.pixels.select("image", F.inline(values)).where("v is not null")
+    ends = v.groupBy("image", "band").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+    place = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * F.lit(float(bins))), F.lit(bins - 1))).otherwise(0).cast("int")
+    placed = v.join(ends, ["image", "band"]).select("image", "band", "v", place.alias("bin"))
+    before = lambda by, start: (F.sum("c").over(W.partitionBy(*by).orderBy(start)) - F.col("c")).alias("before")
+    counts = placed.groupBy("image", "band", "bin").agg(F.count("*").alias("c")).select("image", "band", "bin", "c", before(("image", "band"), "bin"))
+    # the ranks on both sides of each quantile
+    sides = []
+    for q, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75)):
+        at = F.lit(p) * (F.col("n") - 1)
+        for rank, weight in ((F.floor(at), 1 - (at - F.floor(at))), (F.floor(at) + 1, at - F.floor(at))):
+            sides.append(F.struct(F.lit(q).alias("q"), rank.cast("long").alias("rank"), weight.cast("double").alias("weight")))
+    ranks = ends.select("image", "band", F.inline(F.array(*sides))).where("weight > 0")
+    in_bin = ranks.join(counts, ["image", "band"]).where("rank >= before and rank < before + c").select("image", "band", "q", "rank", "weight", "bin", "before")
+    few = placed.join(in_bin.select("image", "band", "bin").distinct(), ["image", "band", "bin"], "left_semi").groupBy("image", "band", "bin", "v").agg(F.count("*").alias("c"))
+    upto = few.select("image", "band", "bin", "v", "c", before(("image", "band", "bin"), "v").alias("inner"))
+    found = in_bin.join(upto, ["image", "band", "bin"]).where("rank >= before + inner and rank < before + inner + c")
+    quantile = lambda q: F.sum(F.when(F.col("q") == q, F.col("v") * F.col("weight"))).alias(q)
+    return found.groupBy("image", "band").agg(quantile("q25"), quantile("median"), quantile("q75"))
 
 
 def profile_pairs(groups: dict[str, list[Rasters]]) -> DataFrame:

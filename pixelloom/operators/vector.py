@@ -86,9 +86,12 @@ def crossed(g: DataFrame) -> DataFrame:
 
 
 def mask(r: Rasters, features: DataFrame, mode: str = "include", field: str | None = None, touched: bool = False) -> Rasters:
-    """`include` keeps the pixels inside, `exclude` those outside. An image that no feature matches is not masked at all."""
+    """`include` keeps the pixels inside, `exclude` those outside. An image that no feature matches is not masked at all, so a
+    layer without features masks nothing."""
     if mode not in ("include", "exclude"):
         raise ValueError("the mode is include or exclude")
+    if features.isEmpty():
+        return r
     within = inside(r, features, field, touched)
     if mode == "exclude":
         return r.with_pixels(r.pixels.join(within, ["image", "prow", "pcol"], "left_anti").select("image", "prow", "pcol", *r.bands))

@@ -137,7 +137,35 @@ def global_solved_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("image", "band", F.round("scale", 5).alias("scale"), F.round("offset", 3).alias("offset"))
 
 
-@query()
+def _normal_equations(mean_factor: float = 3.0) -> str:
+    """The least-squares solution for three images that are all anchors, by elimination in the normal equations. Offsets
+    are counted in units of the band's mean, which keeps the columns of like size."""
+    images, d = "ANR", range(6)
+    terms = lambda i, own: f"({own})*CASE WHEN image='{images[i]}' THEN 1e0 ELSE 0e0 END"
+    pair = lambda i, a, b: f"CASE WHEN o.image='{images[i]}' THEN {a} WHEN o.other='{images[i]}' THEN -({b}) ELSE 0e0 END"
+    means = ", ".join(f"{mean_factor!r}*o.size*({pair(i, 'o.mean/c', 'q.mean/c')}) AS x{2 * i}, {mean_factor!r}*o.size*({pair(i, '1e0', '1e0')}) AS x{2 * i + 1}" for i in range(3))
+    stds = ", ".join(f"o.size*({pair(i, 'o.std/c', 'q.std/c')}) AS x{2 * i}, 0e0 AS x{2 * i + 1}" for i in range(3))
+    own_means = ", ".join(f"pull*{terms(i, 'mean/c')} AS x{2 * i}, pull*{terms(i, '1e0')} AS x{2 * i + 1}" for i in range(3))
+    own_stds = ", ".join(f"pull*{terms(i, 'std/c')} AS x{2 * i}, 0e0 AS x{2 * i + 1}" for i in range(3))
+    both = "FROM ov o JOIN ov q ON q.image=o.other AND q.other=o.image AND q.band=o.band AND o.image<o.other JOIN un ON un.band=o.band"
+    parts = [
+        "wh AS (SELECT image, band, avg(v) AS mean, stddev_samp(v) AS std FROM lng GROUP BY 1,2)",
+        "un AS (SELECT w.band, c, pull FROM (SELECT band, avg(mean) AS c FROM wh GROUP BY 1) w JOIN (SELECT band, sum(size)/6e0 AS pull FROM ov WHERE image<other GROUP BY 1) t ON t.band=w.band)",
+        f"rw AS (SELECT o.band, {means}, 0e0 AS y {both} UNION ALL SELECT o.band, {stds}, 0e0 {both} UNION ALL SELECT w.band, {own_means}, pull*mean/c FROM wh w JOIN un ON un.band=w.band UNION ALL SELECT w.band, {own_stds}, pull*std/c FROM wh w JOIN un ON un.band=w.band)",
+        f"e0 AS (SELECT band, {', '.join(f'sum(x{i}*x{j}) AS m{i}_{j}' for i in d for j in d)}, {', '.join(f'sum(x{i}*y) AS r{i}' for i in d)} FROM rw GROUP BY 1)",
+    ]
+    for k in range(5):
+        cells = [f"m{i}_{j}" if i <= k else f"m{i}_{j}-m{i}_{k}/m{k}_{k}*m{k}_{j} AS m{i}_{j}" for i in d for j in d]
+        goals = [f"r{i}" if i <= k else f"r{i}-m{i}_{k}/m{k}_{k}*r{k} AS r{i}" for i in d]
+        parts.append(f"e{k + 1} AS (SELECT band, {', '.join(cells + goals)} FROM e{k})")
+    for k in reversed(d):
+        rest = "".join(f"-m{k}_{j}*z{j}" for j in range(k + 1, 6))
+        parts.append(f"s{k} AS (SELECT *, (r{k}{rest})/m{k}_{k} AS z{k} FROM {'e5' if k == 5 else f's{k + 1}'})")
+    rows = " UNION ALL ".join(f"SELECT '{images[i]}' AS image, s0.band, round(z{2 * i},4) AS scale, round(z{2 * i + 1}*c,4) AS \"offset\" FROM s0 JOIN un ON un.band=s0.band" for i in range(3))
+    return f"{OVERLAP}, {', '.join(parts)} {rows}"
+
+
+@query(_normal_equations())
 def global_full_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(regression.parameters(scenes(spark, sf_dir), mean_factor=3.0)[0], 4)
 
@@ -452,6 +480,21 @@ def seamline_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+@query("SELECT max(x0)+32e0-min(x0) AS width, (max(x0)+32e0-min(x0))*32e0 AS area, (min(x0)+32e0+max(x0))/2e0 AS seam, 0e0 AS off, count(*) AS images FROM scenes WHERE image IN ('A','N')")
+def seamline_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two whole images side by side, of the places of A and N: together their parts have the area of both, without gap or
+    overlap, and between the corners' bisectors the seam runs along the middle of what they share."""
+    cat = catalogue(spark, 32, (("A", 0, 0.0, 1.0), ("N", 1, 0.5, 1.0)))
+    whole = cat.select("image", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("prow"), "width").select("image", "prow", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("pcol"), F.lit(1.0).alias("b1"))
+    found, lines = seamline.seamlines(Rasters(whole, cat, ("b1",)), min_point_spacing=2)
+    ring = F.col("rings")[0]
+    corners = F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: ring[i]["x"] * ring[i + 1]["y"] - ring[i + 1]["x"] * ring[i]["y"])
+    parts = found.select(F.abs(F.aggregate(corners, F.lit(0.0), lambda a, x: a + x)) / 2, F.array_max(ring["x"]), F.array_min(ring["x"])).toDF("area", "high", "low")
+    areas = parts.agg((F.max("high") - F.min("low")).alias("width"), F.round(F.sum("area"), 6).alias("area"), F.count("*").alias("images"))
+    middle = lines.where("y between 8 and 24").agg(F.round(F.avg("x"), 6).alias("seam"), F.round(F.max(F.abs(F.col("x") - 24)), 6).alias("off"))
+    return areas.join(middle).select("width", "area", "seam", "off", "images")
+
+
 @query("SELECT image, prow, pcol, CASE WHEN CAST(b1 AS FLOAT)>CAST(40 AS FLOAT) THEN 1 ELSE 0 END AS value FROM g")
 def cloud_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a plain threshold in the place of a model."""

@@ -5,8 +5,11 @@ import pytest
 from test_operators import array, raster
 
 from pixelloom import api
+from pixelloom.functions import expressions
+from pixelloom.model import Rasters, scenes_of
 from pixelloom.operators import stats, vector
 from pixelloom.plans import validate
+from pixelloom.sources.scenes import scenes
 from pixelloom.streaming import increments
 
 
@@ -76,3 +79,59 @@ def test_streamed_statistics(spark, tmp_path):
         increments.follow(stream, r.bands, str(tmp_path / "sums"), str(tmp_path / "check")).awaitTermination(120)
     got, want = increments.current(spark, str(tmp_path / "sums")).first(), stats.whole(r).first()
     assert (got["mean"], got["std"], got["size"]) == pytest.approx((want["mean"], want["std"], want["size"]))
+
+
+def test_merged_image_has_the_first_type_and_crs(spark):
+    cat = scenes_of(spark, [{"image": n, "x0": x, "y0": 2.0, "width": 2, "height": 2, "dtype": "uint8", "nodata": 0.0, "crs": "EPSG:4326"} for n, x in (("a", 0.0), ("b", 1.0))])
+    r = Rasters(spark.createDataFrame([("a", 0, 0, 5.0), ("b", 1, 1, 7.0)], "image string, prow int, pcol int, b1 double"), cat, ("b1",))
+    out = api.merge_rasters(r)
+    s = out.scenes.first()
+    assert (s["dtype"], s["crs"], s["nodata"], s["width"], s["height"]) == ("uint8", "EPSG:4326", 0.0, 3, 2)
+    assert sorted((p.prow, p.pcol, p.b1) for p in out.pixels.collect()) == [(0, 0, 5.0), (1, 2, 7.0)]
+
+
+def test_empty_layer_masks_nothing(spark):
+    cat = scenes_of(spark, [{"image": "a", "x0": 0.0, "y0": 2.0, "width": 2, "height": 2}])
+    r = Rasters(spark.createDataFrame([("a", 0, 0, 5.0), ("a", 1, 1, 7.0)], "image string, prow int, pcol int, b1 double"), cat, ("b1",))
+    nothing = vector.feature_table(spark, [("mask", 0, {}, vector.box(0, 0, 1, 1))]).where("false")
+    assert vector.mask(r, nothing).pixels.count() == vector.mask(r, nothing, "exclude").pixels.count() == 2
+
+
+def test_percentile_of_a_constant_image_is_an_error(spark):
+    flat = spark.createDataFrame([("a", 0, 0, 5.0), ("a", 0, 1, 5.0)], "image string, prow int, pcol int, b1 double")
+    with pytest.raises(Exception, match="no range of values"):
+        expressions.threshold(flat, "b1 >= 90%b1", ("b1",)).collect()
+
+
+def test_profile_equals_numpy(spark):
+    r = np.random.default_rng(4)
+    values = {"a": r.normal(1e6, 3, 5_000), "b": r.integers(0, 9, 4_001).astype(float), "c": np.array([2.5]), "d": np.full(30, 7.0), "e": np.array([1.0, 4.0])}
+    rows = [(k, 0, i, float(v)) for k, vs in values.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "image string, prow int, pcol int, b1 double")
+    out = stats.profile(Rasters(df, scenes_of(spark, [{"image": k, "x0": 0.0, "y0": 1.0, "width": len(v), "height": 1} for k, v in values.items()]), ("b1",)), bins=64)
+    got = {x.image: (x.q25, x.median, x.q75) for x in out.collect()}
+    assert got.keys() == values.keys()
+    for k, v in values.items():
+        assert np.allclose(got[k], np.percentile(v, [25, 50, 75]), rtol=1e-12)
+
+
+def test_known_pairs_are_not_read_again(spark, sf):
+    r = scenes(spark, sf)
+    every = stats.overlap(r)
+    known = every.where("image in ('A', 'N') and other in ('A', 'N')").select("image", "other")
+    left = sorted((x.image, x.other, x.band, round(x.mean, 9), x.size) for x in stats.overlap(r, known).collect())
+    assert left == sorted((x.image, x.other, x.band, round(x.mean, 9), x.size) for x in every.collect() if {x.image, x.other} != {"A", "N"})
+
+
+def test_streamed_deviation_keeps_its_digits(spark, tmp_path):
+    """Large values with a small spread, in batches of different means."""
+    parts = [[1e9 + k + x / 100 for x in range(50)] for k in range(3)]
+    for i, v in enumerate(parts):
+        increments.partials(spark.createDataFrame([("a", x) for x in v], "image string, b1 double"), ("b1",)).write.parquet(f"{tmp_path}/batch={i}")
+    got, whole = increments.current(spark, str(tmp_path)).first(), np.concatenate(parts)
+    assert got["size"] == 150 and np.isclose(got["std"], whole.std(ddof=1), rtol=1e-6) and np.isclose(got["mean"], whole.mean())
+
+
+def test_local_correction_takes_a_type(spark, sf):
+    out = api.local_block_adjustment(scenes(spark, sf), number_of_blocks=(3, 3), correction_method="linear", output_dtype="uint8")
+    assert all(0 <= x.b2 <= 255 and x.b2 == int(x.b2) for x in out.pixels.where("b2 is not null").limit(200).collect())
