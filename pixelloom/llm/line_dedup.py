@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm.common import HashedWords, Scratch, mix, tidy
@@ -121,6 +121,11 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), _signed(values))
 
 
+def mark_of(text: Column) -> Column:
+    """60 bits of the text's MD5."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def profile(docs: DataFrame, shape: dict, text_col: str = "text") -> DataFrame:
     """mark (the text's hash), bands, keys (once each) of every text that has words."""
 
@@ -139,7 +144,7 @@ def profile(docs: DataFrame, shape: dict, text_col: str = "text") -> DataFrame:
                 sizes = np.bincount(own[new], minlength=count)[some]
                 yield pa.RecordBatch.from_arrays([marks.slice(first, count).filter(pa.array(some)), _lists(bands[some].ravel(), np.full(len(sizes), bands.shape[1])), _lists(flat[new], sizes)], ["mark", "bands", "keys"])
 
-    return docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"), F.xxhash64(docs[text_col]).alias("mark")).mapInArrow(tidy(run), "mark long, bands array<long>, keys array<long>")
+    return docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"), mark_of(docs[text_col]).alias("mark")).mapInArrow(tidy(run), "mark long, bands array<long>, keys array<long>")
 
 
 def _joined(rows: DataFrame, few: DataFrame, on: str, how: str, most: int, salts: int = 32) -> DataFrame:
@@ -218,7 +223,7 @@ def drop_joined(docs: DataFrame, found: DataFrame, often: DataFrame, scratch: Sc
     """The same with any number of keys: each text gets its own ones by two joins. found: `profile`; often: the keys."""
     own = found.groupBy("mark").agg(F.first("keys").alias("keys")).select("mark", F.explode("keys").alias("key"))
     own = scratch.save("own", _joined(own, often.select("key"), "key", "left_semi", most).groupBy("mark").agg(F.collect_list("key").alias(_KEYS)))
-    rows = _joined(docs.withColumn("mark of the text", F.xxhash64(docs[text_col])), own.withColumnRenamed("mark", "mark of the text"), "mark of the text", "left", most).select(_KEYS, *docs.columns)
+    rows = _joined(docs.withColumn("mark of the text", mark_of(docs[text_col])), own.withColumnRenamed("mark", "mark of the text"), "mark of the text", "left", most).select(_KEYS, *docs.columns)
     at, size = rows.columns.index(text_col), rows.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

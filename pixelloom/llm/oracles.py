@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pixelloom.llm import common
 from pixelloom.llm.licenses import TEMPLATES, bigrams
+from pixelloom.llm import line_dedup as lines
 from pixelloom.llm.quality import CONSISTENCY, CUTOFF, FLOOR, NAMES
 
 _LOWER = "translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
@@ -130,5 +132,55 @@ def quality(min_words: int = 50, share: float = 0.75, prior: float = 200.0, most
     return f"WITH {', '.join(parts)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN NOT base_failed THEN round({far},3) END AS distance2, NOT base_failed AND coalesce({far},0e0)<={cutoff!r} AS kept FROM e"
 
 
+def _scrambled(rows: str, keep: str) -> str:
+    """The finaliser of splitmix64 of column x, step by step."""
+    times = lambda x, c: f"CAST(CAST({x} AS UHUGEINT)*{c}::UHUGEINT%18446744073709551616::UHUGEINT AS UBIGINT)"
+    return (
+        f"SELECT {keep}, xor(x, x>>31) AS x FROM (SELECT {keep}, {times('x', 0x94D049BB133111EB)} AS x FROM (SELECT {keep}, xor(x, x>>27) AS x FROM "
+        f"(SELECT {keep}, {times('x', 0xBF58476D1CE4E5B9)} AS x FROM (SELECT {keep}, xor(x, x>>30) AS x FROM ({rows}) a) b) c) d) e"
+    )
+
+
+def line_dedup(shape: dict = lines._SHAPE, rules: dict = lines.RULES) -> str:
+    """Templates as strings: the same tree, with lists in the place of hashes. Sketches by the same hashes, in 128-bit
+    arithmetic. A space stands for a token with digits."""
+    lead, parts, bands, k = shape["lead"], shape["parts"], range(shape["bands"]), shape["shingle"]
+    whole = lambda x: f"CAST(({x})%18446744073709551616::UHUGEINT AS UBIGINT)"
+    wide = lambda x: f"CAST({x} AS UHUGEINT)"
+    lower = _LOWER.replace("coalesce(text,'')", "line")
+    stretches = ", ".join(f"array_to_string(rest[len(rest)*{q}//{parts}+1:len(rest)*{q + 1}//{parts}],' ') AS p{q}" for q in range(parts))
+    key = lambda q: "n || '|' || head" + "".join(f" || chr(10) || {'p' + str(i) if i != q else repr('* ' + str(q))}" for i in range(parts))
+    keys = " UNION ALL ".join([f"SELECT mark, idx, n, {key(None)} AS key FROM s", *(f"SELECT mark, idx, n, {key(q)} FROM s WHERE n>{lead + parts}" for q in range(parts))])
+    values = ",".join(f"({b},{int(v)}::UBIGINT)" for b, v in enumerate(common._VALUES))
+    sums = "+".join(f"{wide(f'coalesce(h{i},0)')}*{pow(lines._Q, i, 2**64)}::UHUGEINT%18446744073709551616::UHUGEINT" for i in range(k))
+    ctes = [
+        "d AS MATERIALIZED (SELECT text, CAST('0x' || substr(md5(text),1,15) AS BIGINT) AS mark FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL) u)",
+        "l AS (SELECT mark, idx, string_split(text, chr(10))[idx] AS line FROM (SELECT mark, text, unnest(range(1, len(string_split(text, chr(10)))+1)) AS idx FROM d) v)",
+        rf"k AS MATERIALIZED (SELECT mark, idx, line, list_transform(regexp_extract_all({lower}, '[^\x20\x09-\x0D]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN ' ' ELSE w END) AS ws FROM l)",
+        f"s AS MATERIALIZED (SELECT mark, idx, len(ws) AS n, array_to_string(ws[1:{lead}],' ') AS head, {stretches} FROM (SELECT *, ws[{lead + 1}:] AS rest FROM k WHERE len(list_filter(ws, lambda w: w<>' '))>0) e)",
+        f"t AS MATERIALIZED ({keys})",
+        # words, and the hash of each different one
+        "w AS MATERIALIZED (SELECT mark, row_number() OVER (PARTITION BY mark ORDER BY idx, j)-1 AS pos, count(*) OVER (PARTITION BY mark) AS n, ws[j] AS word FROM (SELECT mark, idx, ws, unnest(range(1, len(ws)+1)) AS j FROM k) a)",
+        "o AS (SELECT DISTINCT word FROM w WHERE word<>' ')",
+        f"pw(i, p) AS (SELECT 0::BIGINT, 1::UBIGINT UNION ALL SELECT i+1, {whole(f'{wide(chr(112))}*{common._BASE}::UHUGEINT')} FROM pw WHERE i+1<(SELECT max(octet_length(encode(word))) FROM o))",
+        f"vb(b, v) AS (VALUES {values})",
+        f"hs AS (SELECT word, {whole(f'{wide(chr(115))}+{wide(chr(110))}')} AS x FROM (SELECT word, max(size) AS n, sum({whole(f'{wide(chr(118))}*{wide(chr(112))}')}) AS s FROM (SELECT word, octet_length(encode(word)) AS size, hex(encode(word)) AS hx, unnest(range(0, octet_length(encode(word)))) AS i FROM o) a JOIN vb ON b=CAST('0x' || substr(hx,2*i+1,2) AS INT) JOIN pw ON pw.i=a.i GROUP BY 1) c)",
+        f"hw AS MATERIALIZED (SELECT word, x AS h FROM ({_scrambled('SELECT * FROM hs', 'word')}) z UNION ALL SELECT ' ', {int(lines._FIELD)}::UBIGINT)",
+        f"sh AS (SELECT mark, pos, n, {', '.join(f'lead(h,{i}) OVER o AS h{i}' for i in range(k))} FROM w JOIN hw ON hw.word=w.word WINDOW o AS (PARTITION BY mark ORDER BY pos))",
+        f"sc AS MATERIALIZED ({_scrambled(f'SELECT mark, pos, greatest(n-{k - 1},1) AS n, {whole(f'{sums}+{wide(f'least(n,{k})')}')} AS x FROM sh WHERE pos<greatest(n-{k - 1},1)', 'mark, pos, n')})",
+        "rg AS (SELECT DISTINCT mark, q, least(n*q//3,n-1) AS low, greatest(least(n*q//3,n-1)+1,n*(q+1)//3) AS high FROM sc, (VALUES (0),(1),(2)) AS v(q))",
+        f"lq AS MATERIALIZED (SELECT sc.mark, q, {', '.join(f'min({whole(f'{wide(chr(120))}*{int(lines._FACTORS[b])}::UHUGEINT')}) AS b{b}' for b in bands)} FROM sc JOIN rg ON rg.mark=sc.mark AND pos>=low AND pos<high GROUP BY 1,2)",
+        "ls AS (" + " UNION ALL ".join(f"SELECT mark, {b} AS band, max(CASE WHEN q=0 THEN b{b} END) AS x, max(CASE WHEN q=1 THEN b{b} END) AS y, max(CASE WHEN q=2 THEN b{b} END) AS z FROM lq GROUP BY 1" for b in bands) + ")",
+        f"l1 AS (SELECT mark, band, z, {whole(f'{wide(chr(120))}+{wide(chr(121))}')} AS x FROM ({_scrambled('SELECT * FROM ls', 'mark, band, y, z')}) f)",
+        f"l2 AS (SELECT mark, band, {whole(f'{wide(chr(120))}+{wide(chr(122))}+{wide('band')}')} AS x FROM ({_scrambled('SELECT * FROM l1', 'mark, band, z')}) f)",
+        f"bk AS MATERIALIZED ({_scrambled('SELECT * FROM l2', 'mark, band')})",
+        "cp AS (SELECT DISTINCT mark FROM (SELECT mark, min(mark) OVER (PARTITION BY x) AS low FROM bk) a WHERE mark>low)",
+        f"r AS (SELECT key FROM t WHERE mark NOT IN (SELECT mark FROM cp) GROUP BY key HAVING count(DISTINCT mark)>=CASE WHEN max(n)>={shape['long_from']} THEN {rules['min_long']} WHEN max(n)<{shape['short_to']} THEN {rules['min_short']} ELSE {rules['min_docs']} END)",
+        "g AS (SELECT DISTINCT mark, idx FROM t JOIN r ON r.key=t.key)",
+        "f AS (SELECT k.mark, count(*) FILTER (WHERE len(ws)>0) AS n_lines, count(*) FILTER (WHERE len(ws)>0 AND g.mark IS NULL) AS n_kept, coalesce(string_agg(line, chr(10) ORDER BY k.idx) FILTER (WHERE g.mark IS NULL), '') AS kept FROM k LEFT JOIN g ON g.mark=k.mark AND g.idx=k.idx GROUP BY 1)",
+    ]
+    return f"WITH RECURSIVE {', '.join(ctes)} SELECT x.doc_id, coalesce(n_lines,0) AS n_lines, coalesce(n_kept,0) AS n_kept, sha256(coalesce(kept,'')) AS kept_sha256 FROM documents x LEFT JOIN d ON d.text=x.text LEFT JOIN f ON f.mark=d.mark"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": NGRAM_JOIN, "op3_quality": quality(), "op6_decontaminate": DECONTAMINATE, "op10_licenses": licences()}
+    return {"op1_ngram_join": NGRAM_JOIN, "op3_quality": quality(), "op6_decontaminate": DECONTAMINATE, "op7_line_dedup": line_dedup(), "op10_licenses": licences()}

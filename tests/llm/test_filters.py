@@ -156,9 +156,9 @@ def brute_dedup(texts, marks, shape=line_dedup._SHAPE, rules=line_dedup.RULES):
 
 
 def marks_of(df):
-    """The texts in the order of their ids, and Spark's hash of each."""
-    rows = df.selectExpr("doc_id", "text", "xxhash64(text) as mark").orderBy("doc_id").collect()
-    return [r.text for r in rows], [r.mark for r in rows]
+    """The texts in the order of their ids, and the hash of each."""
+    texts = [r.text for r in df.select("doc_id", "text").orderBy("doc_id").collect()]
+    return texts, [int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16) for t in texts]
 
 
 def line_texts(prose):
