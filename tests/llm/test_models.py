@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pixelloom.llm import hmm_lm, toxicity
@@ -109,6 +110,51 @@ def test_expected_counts_and_rising_likelihood():
         model = hmm_lm.Params(counts.start / counts.start.sum(), counts.move / counts.move.sum(1, keepdims=True), np.ascontiguousarray((counts.emit / counts.emit.sum(1, keepdims=True)).T))
 
 
+def brute_sequences(texts, buckets):
+    """Words and buckets of each text, the end's last."""
+    reader, out = hmm_lm.Documents(buckets), []
+    for t in texts:
+        words = WORD.findall(low(t))
+        hashes = [int(h) for w in words for _, found, _ in reader.of(pa.array([w])) for h in found]
+        out.append((words, [h & (buckets - 1) for h in hashes] + [buckets]))
+    return out
+
+
+def test_whole_score_equals_brute_force(docs_of, prose, monkeypatch):
+    """Training over all partitions equals training in one place; a score is the forward recursion of the trained model and
+    the words' shares of their buckets."""
+    buckets, piece, models = 64, 16, []
+    first, step = hmm_lm.initial, hmm_lm.baum_welch
+    monkeypatch.setattr(hmm_lm, "initial", lambda *a: models.append((first(*a), a[1])) or models[-1][0])
+    monkeypatch.setattr(hmm_lm, "baum_welch", lambda *a: models.append((step(*a), a[2])) or models[-1][0])
+    rows = [(i, prose(5 + 13 * i % 90, i)) for i in range(60)] + [(100, None), (101, ""), (7, prose(40, 7)), (102, "Unseen words here")]
+    rows += [(200 + i, prose(30, 5)) for i in range(6)]
+    out = sorted(hmm_lm.scored(docs_of(rows).repartition(5), states=3, buckets=buckets, piece=piece, known=7).collect(), key=lambda r: (r.doc_id, r.n_tokens))
+    rows.sort(key=lambda r: (r[0], len(WORD.findall(low(r[1])))))
+    found = brute_sequences([t for _, t in rows], buckets)
+    train = [f for (i, _), f in zip(rows, found, strict=True) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert len(models) == 3
+    for (before, _), (after, base) in zip(models, models[1:], strict=False):
+        counts = hmm_lm.Counts(buckets, 3)
+        for _, s in train:
+            for k in range(0, len(s), piece):
+                counts.add([np.array(s[k : k + piece], np.int32)], [k == 0], before)
+        want = counts.params(base)
+        assert all(np.allclose(getattr(after, n), getattr(want, n), rtol=1e-9) for n in ("start", "move", "emit"))
+    model, c = models[-1][0], Counter(w for words, _ in train for w in words)
+    tokens, distinct, of = Counter(b for _, s in train for b in s), Counter(), {w: b for words, s in found for w, b in zip(words, s, strict=False)}
+    distinct.update(of[w] for w in c)
+    distinct[buckets] = 1
+    for r, (words, s) in zip(out, found, strict=True):
+        p, total = model.start * model.emit[s[0]], 0.0
+        for b in s[1:]:
+            total += math.log10(p.sum())
+            p = (p / p.sum()) @ model.move * model.emit[b]
+        total += math.log10(p.sum())
+        seen = [c[w] for w in words] + [len(train)]
+        assert r.score == pytest.approx(total + sum(math.log10((n + 1) / (tokens[b] + distinct[b] + 1)) for n, b in zip(seen, s, strict=True)), rel=1e-9)
+
+
 def test_model_beats_unigrams_on_held_out_texts(docs_of, prose):
     """Two languages: states that tell them apart predict better."""
     words = [[prose(1, 1000 * k + i, stem=k * "x" + "q") for i in range(60)] for k in (0, 1)]

@@ -1,4 +1,5 @@
 import public_tokenizers as P
+import pytest
 import tiktoken
 from test_filters import BENCH, brute_dedup, low, marks_of
 from test_ngram_join import brute
@@ -64,3 +65,25 @@ def test_registered():
     names = list(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" not in entry.oracle_sql()
+
+
+@pytest.mark.parametrize("kind", ["odd", "repeated", "empty"])
+def test_stages_bear_odd_rows(spark, docs_of, odd, prose, tmp_path, kind):
+    """Nulls in every column, empty and very long texts, repeated rows, an empty table; further columns stay."""
+    rows = [*odd, *((100 + i, prose(60, 100 + i)) for i in range(30))]
+    docs = {"odd": docs_of(rows).unionByName(spark.createDataFrame([(None,) * 8], docs_of([]).schema)), "repeated": docs_of(rows + rows), "empty": docs_of([])}[kind]
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame([(100 + i, i % 2) for i in range(20)] + [(None, 1), (3, None)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, prose(30, 999)), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs.write.parquet(f"{sf}/documents.parquet")
+    before = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, sf)
+        assert after.columns == docs.columns, name
+        before = after
+    assert {100 + i for i in range(30)} <= {r.doc_id for r in before.collect()} or kind == "empty"
+    out = corpus_pipeline.run(spark, sf)
+    assert out.count() == before.count() and all(r.round_trip for r in out.collect())
+    # rows without an id stay, of repeated ones with an id one
+    assert kind == "empty" or out.where("doc_id is null").count() == docs.where("doc_id is null").count()
+    assert out.where("doc_id is not null").count() == out.where("doc_id is not null").select("doc_id").distinct().count()
