@@ -303,7 +303,7 @@ def dealt(members: DataFrame, chunk: int, most_broadcast: int) -> DataFrame:
     return whole.unionByName(pairs.select("cell", "doc_id", "component", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")))
 
 
-def tree_pairs(members: DataFrame, located: DataFrame, percent: int, groups: int, most_broadcast: int, chunk: int = 2048) -> DataFrame:
+def tree_pairs(members: DataFrame, located: DataFrame, percent: int, groups: int, most_broadcast: int, chunk: int = 512) -> DataFrame:
     """a, b: the pairs of different components in a cell that the R-tree's bounds leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
