@@ -76,7 +76,7 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
 
 
 class ByteBpe:
-    """Encoder and decoder. What pre-tokens become is remembered: number of ids, the ids as text."""
+    """Encoder and decoder. What pre-tokens become is remembered: the ids as text, and as 32-bit integers."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 90_000):
         self.pattern = regex.compile(pattern)
@@ -84,7 +84,11 @@ class ByteBpe:
         self.ids = [rank for _, rank in sorted(ranks.items(), key=lambda x: x[1])]  # of piece i+1
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
-        self.bytes_of_text = {str(rank): token for rank, token in self.bytes_of.items()}
+        # the bytes of all ids one after the other, where each begins and how many it has
+        many = max(self.bytes_of, default=-1) + 1
+        self.sizes = np.array([len(self.bytes_of.get(i, b"")) for i in range(many)], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(many)), np.uint8)
         self.ranks, self.known = ranks, Generations(self._entries, most)
 
     def _pieces(self, pre_tokens: list[str]) -> list[list[int]]:
@@ -94,8 +98,8 @@ class ByteBpe:
         # a pre-token that is a token stays one, reachable by merges or not
         return [[self.ranks[r]] if r in self.ranks else [self.ids[p - 1] for p in ps] for r, ps in zip(raw, out, strict=True)]
 
-    def _entries(self, pre_tokens: list[str]) -> list[tuple[int, str]]:
-        return [(len(ids), " ".join(map(str, ids))) for ids in self._pieces(pre_tokens)]
+    def _entries(self, pre_tokens: list[str]) -> list[tuple[str, bytes]]:
+        return [(" ".join(map(str, ids)), np.array(ids, np.int32).tobytes()) for ids in self._pieces(pre_tokens)]
 
     def forget(self) -> None:
         """At the end of a task: a worker process lives on in other stages, which need the memory."""
@@ -104,11 +108,15 @@ class ByteBpe:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def decode_text(self, ids: str) -> bytes:
-        """The bytes of decimal ids joined by spaces."""
-        return b"".join(map(self.bytes_of_text.__getitem__, ids.split()))
+    def decode_array(self, ids: np.ndarray) -> bytes:
+        """The same of an array."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        places = np.repeat(self.starts[ids] - (ends - sizes), sizes)
+        places += np.arange(len(places))
+        return self.flat[places].tobytes()
 
-    def entries(self, texts: list[str | None], block: int = 1_000_000) -> Iterator[list[tuple[int, str]]]:
+    def entries(self, texts: list[str | None], block: int = 1_000_000) -> Iterator[list[tuple[str, bytes]]]:
         """The entries of each text's pre-tokens. Blocks of about a million characters bound what is held at once."""
         held, size = [], 0
         for i, text in enumerate(texts):
@@ -121,7 +129,12 @@ class ByteBpe:
                 held, size = [], 0
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for found in self.entries([text]) for e in found for i in e[1].split()]
+        return [i for found in self.entries([text]) for i in _ids(found).tolist()]
+
+
+def _ids(found: list[tuple[str, bytes]]) -> np.ndarray:
+    """The ids of a text from the entries of its pre-tokens."""
+    return np.frombuffer(b"".join([e[1] for e in found]), np.int32)
 
 
 _BUILT: dict = {}
@@ -143,8 +156,8 @@ def digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             rows = []
             texts = batch.column(1).to_pylist()
             for doc_id, found in zip(batch.column(0).to_pylist(), coder.entries(texts), strict=True):
-                ids = " ".join([e[1] for e in found])
-                rows.append((doc_id, sum([e[0] for e in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(coder.decode_text(ids)).hexdigest()))
+                ids, written = _ids(found), " ".join([e[0] for e in found])
+                rows.append((doc_id, len(ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(coder.decode_array(ids)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(4)], schema=schema)
         coder.forget()
 
@@ -166,9 +179,8 @@ def encoded_rows(docs: DataFrame, path: str, pattern: str, text_col: str = "text
                 part = batch.slice(i, 500)
                 texts, rows = part.column(at).to_pylist(), []
                 for text, found in zip(texts, coder.entries(texts), strict=True):
-                    joined = " ".join([e[1] for e in found])
-                    ids = np.array(joined.split(), np.int32)
-                    rows.append((len(ids), ids, coder.decode_text(joined) == (text or "").encode("utf-8", "surrogatepass")))
+                    ids = _ids(found)
+                    rows.append((len(ids), ids, coder.decode_array(ids) == (text or "").encode("utf-8", "surrogatepass")))
                 columns = [c for k, c in enumerate(part.columns) if k != at]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.bool_())], [*(f.name for f in others), "n_tokens", "ids", "round_trip"])
         coder.forget()
