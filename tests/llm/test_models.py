@@ -174,6 +174,7 @@ def labelled(prose):
 def test_toxicity(spark, docs_of, labelled, prose):
     rows, labels = labelled
     hidden = ["you m0r0n there", "what an 1d10t", "s.c.u.m of it", "a l o s e r again", "stop it idiooot"]
+    hidden += ["*m0ron* there", "an id10t/nobody", "1diot-like it is", "s c u m i d i o t", "stop it idi" + "o" * 60 + "t"]
     more = [(10_000 + i, f"{prose(30, 5000 + i)} {t}") for i, t in enumerate(hidden)] + [(20_000, None), (20_001, ""), (1, rows[1][1])]
     table = spark.createDataFrame([*labels, (3, None), (None, 1)], "doc_id long, toxic int")
     out = toxicity.judged(docs_of(rows + more), table).collect()
