@@ -9,37 +9,42 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelloom.llm import byte_bpe, decontaminate, line_dedup, ngram_join, toxicity
-from pixelloom.llm.common import Scratch, table
+from pixelloom.llm.common import Scratch, small_batches, table
 from pixelloom.plans.deploy import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents judged toxic go. The classifier learns from the labelled documents among its input."""
     ship(spark)
+    small_batches(spark)
     return toxicity.keep_clean(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of templates that recur across documents go."""
     ship(spark)
+    small_batches(spark)
     return line_dedup.dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id."""
     ship(spark)
+    small_batches(spark)
     return ngram_join.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; documents that consist of them go."""
     ship(spark)
+    small_batches(spark)
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, the ids and whether they decode to the text."""
     ship(spark)
+    small_batches(spark)
     return byte_bpe.encoded_rows(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

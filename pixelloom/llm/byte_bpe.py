@@ -173,7 +173,7 @@ def encoded_rows(docs: DataFrame, path: str, pattern: str, text_col: str = "text
     schema = T.StructType([*others, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(path, pattern)
+        coder = ByteBpe(read_ranks(path), pattern, 45_000)  # of this task alone: the worker lives on in stages that need the memory
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
@@ -183,7 +183,6 @@ def encoded_rows(docs: DataFrame, path: str, pattern: str, text_col: str = "text
                     rows.append((len(ids), ids, coder.decode_array(ids) == (text or "").encode("utf-8", "surrogatepass")))
                 columns = [c for k, c in enumerate(part.columns) if k != at]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.bool_())], [*(f.name for f in others), "n_tokens", "ids", "round_trip"])
-        coder.forget()
 
     return docs.mapInArrow(tidy(run), schema)
 

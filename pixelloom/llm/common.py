@@ -78,6 +78,14 @@ def release() -> None:
         _TRIM(0)
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Batches of at most `rows` rows go to Python workers, where the session has not chosen a number of its own: batches of
+    whole texts are held several times over, by the JVM and by the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark.sparkContext.getConf().contains(name):
+        spark.conf.set(name, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
