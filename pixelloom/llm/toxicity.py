@@ -5,19 +5,22 @@ repeats them (stuuupid). A suspicious string becomes a lattice: at each position
 character, or nothing (separators, repeats). Viterbi decoding under a character trigram model finds the likeliest
 letters; the restored words are scored with the text's own.
 
-Learning uses at most `sample` labelled rows (the lowest hashes of their ids, held-out rows left out), one row of those
-with a common beginning or end: words and their beginnings (4 to 6 letters) get log-odds by label where `support` toxic
-documents have them; the character model is trained on the words, the toxic ones weighted up; a logistic regression on
-three sums of log-odds, fitted across halves, gives the probability. The model is bounded by `most` features, so it can
-be broadcast. Language, source, id and label are never inputs of a score.
+Learning reads every labelled row (held-out rows left out), in aggregations with partial sums. Rows with a common beginning
+or end count as one together: each weighs 1 / the rows of the larger of its two groups. Words and their beginnings (4 to 6
+letters) get log-odds by label where toxic documents of weight `support` have them; the character model is trained on the
+words, the toxic ones weighted up; a logistic regression on three sums of log-odds, fitted across halves, gives the
+probability. Weights are summed as integers, so the model does not depend on the rows' order. It has at most `most`
+features and the trigrams of letters that occur, so it can be broadcast. Language, source, id and label are never inputs
+of a score.
 
 Defined results: null and empty texts get the score of a text without features, which is below 0.5; without labelled rows of both kinds,
-or words that tell them apart, every score is 0; repeated rows are scored alike; a label that is null or not 0/1 is left out; extra columns stay in
+or words that tell them apart, every score is 0; repeated rows are scored alike and count as one; a label that is null or not 0/1 is left out, of two labels of one id the lower counts; extra columns stay in
 `keep_clean` and are ignored by `score`.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -26,10 +29,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import lowest_hashes, tidy
+from pixelloom.llm.common import Scratch, tidy
+from pixelloom.llm.line_dedup import _joined
+from pixelloom.llm.ngram_join import small
+
+#: A row's whole weight: parts of up to 16 equal rows are exact; thresholds bear SLACK for the rounding of others.
+ONE = 720_720 << 8
+SLACK = ONE // 1000
 
 #: Letters that a character may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
@@ -40,6 +49,7 @@ _SPACED = re.compile(rf"(?<!\w)[^\W_](?:[ .\-_*~]{{1,2}}[^\W_]|[ .\-_*~]{{1,2}}[
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
 _MORE = re.compile(r"([^\W\d_])\1{3,}")  # more repeats say no more than three
 _OUTSIDE = re.compile(rf"[^\w{_SIGNS}]+")
+_EDGES = ".,;:?\"'()[]"
 
 
 def word_features(word: str) -> list[str]:
@@ -61,15 +71,18 @@ class CharModel:
         for word, weight in words.items():
             a, b = "^", "^"
             for c in word + "$":
-                self.three[a, b, c] += weight
-                self.two[b, c] += weight
-                self.one[c] += weight
-                self.before[a, b] += weight
-                self.before[b] += weight
-                self.total += weight
+                self.add(a, b, c, weight)
                 a, b = b, c
         return self
 
+    def add(self, a: str, b: str, c: str, weight: float) -> None:
+        self.three[a, b, c] += weight
+        self.two[b, c] += weight
+        self.one[c] += weight
+        self.before[a, b] += weight
+        self.before[b] += weight
+        self.total += weight
+
     def cost(self, a: str, b: str, c: str) -> float:
         if (a, b, c) not in self._known:
             p = 0.7 * self.three[a, b, c] / max(self.before[a, b], 1e-9) + 0.25 * self.two[b, c] / max(self.before[b], 1e-9) + 0.05 * (self.one[c] + 1) / (self.total + 100)
@@ -109,25 +122,37 @@ def decode(text: str, model: CharModel) -> str:
 
 
 class Tokens(dict):
-    """token -> (word, log-odds) of the words in it, restored ones too, that speak for toxicity; bounded."""
+    """token -> (word, log-odds) of the words in it, restored ones too, that speak for toxicity; tokens without such words
+    are in `clean`. Bounded."""
 
-    def __init__(self, model: Model, most: int = 100_000):
+    def __init__(self, model: Model, most: int = 200_000):
         super().__init__()
-        self.model, self.most = model, most
+        self.model, self.most, self.clean = model, most, set()
+
+    def of(self, tokens: set[str]) -> dict[str, float]:
+        """word -> log-odds of the words in all of them."""
+        return {w: v for t in tokens.difference(self.clean) for w, v in self[t]}
 
     def __missing__(self, token: str) -> tuple[tuple[str, float], ...]:
-        if len(self) >= self.most:
+        if len(self) + len(self.clean) >= self.most:
             self.clear()
-        words = _WORD.findall(token)
+            self.clean.clear()
+        core = token.strip(_EDGES)
+        plain = core.isalpha() and "(" not in token  # one word and signs outside the channel
+        words = [core] if plain else _WORD.findall(token)
         if self.model.chars.total:
-            for part in {token.strip(".,;:?\"'()[]"), *_OUTSIDE.split(token)}:
+            for part in () if plain else {core, *_OUTSIDE.split(token)}:
                 bare = _MORE.sub(r"\1\1\1", part)
                 if not bare.isalpha() and _LEET.fullmatch(bare):
                     words += [decode(bare, self.model.chars), decode(bare.rstrip("!|$+"), self.model.chars)]
             for word in list(words):
                 if _REPEATED.search(word) and len(word := _MORE.sub(r"\1\1\1", word)) <= 40:
                     words.append(decode(word, self.model.chars))
-        found = self[token] = tuple((w, v) for w in words if (v := self.model.best(w)) > 0)
+        found = tuple((w, v) for w in words if (v := self.model.best(w)) > 0)
+        if found:
+            self[token] = found
+        else:
+            self.clean.add(token)
         return found
 
 
@@ -144,7 +169,7 @@ class Model:
             self.tokens = Tokens(self)
         text = (text or "").lower()
         tokens = set(text.split())
-        found = {w: v for t in tokens if (hits := self.tokens[t]) for w, v in hits}
+        found = self.tokens.of(tokens)
         if self.chars.total:
             for m in _SPACED.finditer(text):
                 # a one-letter word of its own may stand before or after the spaced one
@@ -156,7 +181,7 @@ class Model:
                     for half in {h for i in range(3, len(word) - 2) for h in (word[:i], word[i:])}:
                         if (v := self.weights.get(half, 0.0)) > 0:
                             found[half] = v
-        total = sum(found.values())
+        total = math.fsum(found.values())
         return max(found.values(), default=0.0), math.log1p(total), total / math.sqrt(1 + len(tokens))
 
     def best(self, word: str) -> float:
@@ -178,90 +203,195 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def _log_odds(docs: list[tuple[set[str], int]], support: int, most: int) -> dict[str, float]:
-    toxic, clean = Counter(), Counter()
-    for features, label in docs:
-        (toxic if label else clean).update(features)
-    n = [sum(label == k for _, label in docs) for k in (0, 1)]
-    odds = {f: math.log((a + 0.5) / (n[1] + 1)) - math.log((clean[f] + 0.5) / (n[0] + 1)) for f, a in toxic.items() if a >= support}
-    chosen = sorted(((w, f) for f, w in odds.items() if w >= 2.0), reverse=True)[:most]
-    return {f: w for w, f in chosen}
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+
+
+def _words(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, folds: int, held: int, id_col: str, text_col: str, most: int) -> DataFrame:
+    """text, toxic, start, end of every labelled row that is not held out; the last two are hashes of its first and last
+    eight words."""
+    rows = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.crc32(F.col("doc_id").cast("string")) % folds != held)
+    once = rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
+    found = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(small(once, most), "doc_id").select("text", "toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = lambda words: int.from_bytes(hashlib.blake2b(" ".join(words).encode(), digest_size=8).digest(), "little", signed=True)
+        for batch in batches:
+            starts, ends = [], []
+            for text in batch.column(0):
+                words = _words(text.as_py())
+                starts.append(mark(words[:8]))
+                ends.append(mark(words[-8:]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["text", "toxic", "start", "end"])
+
+    return found.mapInArrow(tidy(run), "text string, toxic int, start long, end long")
+
+
+def _weighted(train: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+    """text, toxic, weight, half of the rows of _labelled: those with a common beginning or end weigh as much as one."""
+    pairs = scratch.save("pairs", train.groupBy("start", "end").agg(F.count("*").alias("n")))
+    sized = pairs
+    for name in ("start", "end"):
+        groups = pairs.groupBy(name).agg(F.sum("n").alias(f"by_{name}")).where(f"by_{name} > 1")
+        sized = _joined(sized, scratch.save(f"by-{name}", groups), name, "left", most)
+    larger = F.greatest("by_start", "by_end")  # nulls are skipped
+    weight = F.greatest(F.lit(1), F.round(F.lit(float(ONE)) / larger)).cast("long")
+    of_pair = F.xxhash64("start", "end")
+    shared = scratch.save("shared", sized.where(larger.isNotNull()).select(of_pair.alias("pair"), weight.alias("weight")))
+    rows = _joined(train.withColumn("pair", of_pair), shared, "pair", "left", most)
+    return rows.select("text", "toxic", F.coalesce("weight", F.lit(ONE)).alias("weight"), F.col("start").bitwiseAND(1).cast("int").alias("half"))
+
+
+def _counts(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """Of each word and beginning: its occurrences as a word, and the documents that have it by half (0, 1) and label (c, t),
+    all in weights. Tasks count up to `most` features before they send them."""
+
+    schema = "feature string, at int, n long, docs long"
+
+    def sent(found: dict[tuple[int, int], tuple[Counter, Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        for (at, weight), (times, have, begun) in found.items():
+            names, n = [*times, *(f + "*" for f in begun)], [*times.values()] + [0] * len(begun)
+            docs = [have[w] for w in times] + [*begun.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([at] * len(n), pa.int32()), *(pa.array(np.array(x, np.int64) * weight) for x in (n, docs))], ["feature", "at", "n", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = {}, 0
+        for batch in batches:
+            for text, toxic, weight, half in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                words = _words(text.as_py())
+                if not words:
+                    continue
+                some, (times, have, begun) = set(words), found.setdefault((2 * half + toxic, weight), (Counter(), Counter(), Counter()))
+                size -= len(times) + len(begun)
+                times.update(words)
+                have.update(some)
+                begun.update({w[:4] for w in some if len(w) > 4} | {w[:5] for w in some if len(w) > 5} | {w[:6] for w in some if len(w) > 6})
+                size += len(times) + len(begun)
+                if size >= most:
+                    yield from sent(found)
+                    found, size = {}, 0
+        yield from sent(found)
+
+    of = lambda at: F.sum(F.when(F.col("at") == at, F.col("docs")).otherwise(0))
+    return rows.mapInArrow(tidy(run), schema).groupBy("feature").agg(F.sum("n").alias("n"), *(of(at).alias(c) for at, c in enumerate(("c0", "t0", "c1", "t1"))))
+
+
+def _log_odds(counts: DataFrame, clean: Column, toxic: Column, n: tuple[float, float], support: int, most: int) -> dict[str, float]:
+    """The features with the highest log-odds; n are the documents of either label."""
+    odds = F.log((toxic / ONE + 0.5) / (n[1] + 1)) - F.log((clean / ONE + 0.5) / (n[0] + 1))
+    chosen = counts.select("feature", clean.alias("c"), toxic.alias("t"), odds.alias("odds")).where((F.col("t") >= support * ONE - SLACK) & (F.col("odds") >= 2.0))
+    rows = chosen.orderBy(F.desc("odds"), F.desc("feature")).limit(most).collect()
+    return {r.feature: math.log((r.t / ONE + 0.5) / (n[1] + 1)) - math.log((r.c / ONE + 0.5) / (n[0] + 1)) for r in rows}
+
+
+def _trigrams(counts: DataFrame, most: int = 50_000) -> dict[str, float]:
+    """Sums over the words that occur more than once: trigram -> square roots of the words' occurrences."""
+    part = float(1 << 20)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for word, weight in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                word = f"^^{word.as_py()}$"
+                for i in range(len(word) - 2):
+                    found[word[i : i + 3]] += weight
+                if len(found) >= most:
+                    yield _batch("trigram string, weight long", list(found.items()))
+                    found = Counter()
+        if found:
+            yield _batch("trigram string, weight long", list(found.items()))
+
+    words = counts.where(F.col("n") > ONE + SLACK).select("feature", F.round(F.sqrt(F.col("n") / ONE) * part).cast("long").alias("weight"))
+    sums = words.mapInArrow(tidy(run), "trigram string, weight long").groupBy("trigram").agg(F.sum("weight").alias("weight"))
+    return {r.trigram: r.weight / part for r in sorted(sums.collect())}
+
+
+def _evidence(rows: DataFrame, parts: list[Model]) -> DataFrame:
+    """x0, x1, x2 (evidence by the model of the other half), toxic, weight of all rows with these."""
+    sent = rows.sparkSession.sparkContext.broadcast(parts)
+    schema = "x0 double, x1 double, x2 double, toxic int, weight long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = sent.value
+        for batch in batches:
+            found: Counter = Counter()
+            for text, toxic, weight, half in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                found[(*parts[1 - half].evidence(text.as_py()), toxic)] += weight
+            if found:
+                yield _batch(schema, [(*x, weight) for x, weight in found.items()])
+        for part in parts:
+            part.tokens = None
 
+    return rows.mapInArrow(tidy(run), schema).groupBy("x0", "x1", "x2", "toxic").agg(F.sum("weight").alias("weight"))
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 30) -> list[float]:
+
+def _logistic(rows: DataFrame, ridge: float = 0.01, steps: int = 30) -> list[float]:
     """Ridge regression by Newton's steps. More evidence never lowers the score: features whose weight comes out negative
     are left out, the lowest first."""
-    used = list(range(x.shape[1]))
+    used = [0, 1, 2]
     while True:
-        beta = _newton(x[:, used], y, ridge, steps)
+        beta = _newton(rows, used, ridge, steps)
         low = int(np.argmin(beta[1:])) if used else 0
         if not used or beta[1 + low] >= 0:
-            out = [0.0] * (x.shape[1] + 1)
-            out[0] = min(float(beta[0]), -0.1)  # a text without evidence is not toxic, whatever share of the labels is
+            out = [0.0] * 4
+            out[0] = min(round(float(beta[0]), 6), -0.1)  # a text without evidence is not toxic, whatever share of the labels is
             for k, b in zip(used, beta[1:], strict=True):
-                out[k + 1] = float(b)
+                out[k + 1] = round(float(b), 6)  # beyond the noise of sums in another order
             return out
         del used[low]
 
 
-def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int) -> np.ndarray:
-    x = np.column_stack([np.ones(len(x)), x])
-    beta = np.zeros(x.shape[1])
+def _newton(rows: DataFrame, used: list[int], ridge: float, steps: int) -> np.ndarray:
+    """Each step is one aggregation of all rows."""
+    x = [F.lit(1.0), *(F.col(f"x{k}") for k in used)]
+    at, beta = range(len(x)), np.zeros(len(x))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        gradient = x.T @ (p - y) + ridge * beta
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta))
-        beta -= np.linalg.solve(hessian, gradient)
+        z = sum((F.lit(float(b)) * c for b, c in zip(beta[1:], x[1:], strict=True)), F.lit(float(beta[0])))
+        known = rows.withColumn("p", 1 / (1 + F.exp(-F.least(F.lit(30.0), F.greatest(F.lit(-30.0), z))))).withColumn("w", F.col("weight") / ONE)
+        sums = known.agg(
+            *(F.sum(F.col("w") * x[i] * (F.col("p") - F.col("toxic"))) for i in at),
+            *(F.sum(F.col("w") * x[i] * x[j] * F.col("p") * (1 - F.col("p"))) for i in at for j in at),
+        ).first()
+        gradient = np.array(sums[: len(x)]) + ridge * beta
+        step = np.linalg.solve(np.array(sums[len(x) :]).reshape(len(x), -1) + ridge * np.eye(len(x)), gradient)
+        beta -= step
+        if np.abs(step).max() < 1e-7:  # the next step is less than a rounding error
+            break
     return beta
 
 
-def fit(texts: list[str | None], labels: list[int], support: int = 5, most: int = 20_000) -> Model:
-    """Rows that begin or end like an earlier one are left out, so that copies do not vote together."""
-    docs, kept, counts, starts, ends = [], [], Counter(), set(), set()
-    for text, label in zip(texts, labels, strict=True):
-        words = _WORD.findall((text or "").lower())
-        first, last = tuple(words[:8]), tuple(words[-8:])
-        if first in starts or last in ends:
-            continue
-        starts.add(first)
-        ends.add(last)
-        counts.update(words)
-        kept.append(text)
-        docs.append(({f for w in set(words) for f in word_features(w)}, label))
-    if len({label for _, label in docs}) < 2:
-        return Model({}, CharModel(), [])
-    x, y = [], []
-    for half in (0, 1):
-        part = Model(_log_odds(docs[half::2], support, most), CharModel(), [])
-        x += [part.evidence(text) for text in kept[1 - half :: 2]]
-        y += [label for _, label in docs[1 - half :: 2]]
-    weights = _log_odds(docs, support, most)
-    if not weights:  # nothing tells the labels apart: their shares alone reject nobody
-        return Model({}, CharModel(), [])
-    words = {w: math.sqrt(c) for w, c in counts.items() if c > 1}
-    toxic = {w: v for w, v in weights.items() if not w.endswith("*")}
-    lift = 0.25 * sum(words.values()) / max(1e-9, sum(toxic.values()))
-    for w, v in toxic.items():
-        words[w] = words.get(w, 0.0) + lift * v
-    return Model(weights, CharModel().train(words), _logistic(np.array(x), np.array(y, float)))
-
-
-def learned(docs: DataFrame, labels: DataFrame, sample: int = 8_000, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fitted in one task on at most `sample` labelled rows, never those of the held-out fold."""
-    rows = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").where(F.crc32(F.col("doc_id").cast("string")) % folds != held)
-    chosen = F.broadcast(lowest_hashes(rows, sample))
-    train = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(chosen, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
-        rows = sorted(((r["doc_id"], r["text"], r["toxic"]) for b in batches for r in b.to_pylist()), key=lambda r: (r[0], r[1] or ""))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1] for r in rows], [r[2] for r in rows]))], pa.binary())], ["model"])
-
-    import pickle
-
-    found = train.repartition(1).mapInArrow(tidy(run), "model binary").first()
-    return pickle.loads(found["model"]) if found else Model({}, CharModel(), [])
+def learned(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text", support: int = 5, most: int = 20_000, most_broadcast: int = 1_000_000) -> Model:
+    """Fitted on all labelled rows but those of the held-out fold. Labels and weights are broadcast up to `most_broadcast`
+    counted rows, else joined by a shuffle."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    try:
+        train = scratch.save("train", _labelled(docs, labels, folds, held, id_col, text_col, most_broadcast))
+        rows = _weighted(train, scratch, most_broadcast)
+        sizes = {(r.half, r.toxic): r.weight / ONE for r in rows.groupBy("half", "toxic").agg(F.sum("weight").alias("weight")).collect()}
+        n = [tuple(sizes.get((half, k), 0.0) for k in (0, 1)) for half in (0, 1)]
+        both = (n[0][0] + n[1][0], n[0][1] + n[1][1])
+        if not all(both):
+            return Model({}, CharModel(), [])
+        counts = scratch.save("counts", _counts(rows).where((F.col("n") > ONE + SLACK) | (F.col("t0") + F.col("t1") >= support * ONE - SLACK)))
+        weights = _log_odds(counts, F.col("c0") + F.col("c1"), F.col("t0") + F.col("t1"), both, support, most)
+        if not weights:  # nothing tells the labels apart: their shares alone reject nobody
+            return Model({}, CharModel(), [])
+        parts = [Model(_log_odds(counts, F.col(f"c{half}"), F.col(f"t{half}"), n[half], support, most), CharModel(), []) for half in (0, 1)]
+        beta = _logistic(scratch.save("evidence", _evidence(rows, parts)))
+        chars, trigrams = CharModel(), _trigrams(counts)
+        for key, weight in trigrams.items():
+            chars.add(*key, weight)
+        toxic = {w: v for w, v in weights.items() if not w.endswith("*")}
+        lift = 0.25 * sum(v for key, v in trigrams.items() if key.startswith("^^")) / max(1e-9, sum(toxic.values()))
+        return Model(weights, chars.train({w: lift * v for w, v in toxic.items()}), beta)
+    finally:
+        scratch.drop()
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 """Language model and toxicity."""
 
+import hashlib
 import math
 import random
 import re
@@ -194,6 +195,75 @@ def test_held_out_labels_are_not_learned(spark, docs_of, labelled):
     assert [toxicity.learned(docs_of(rows), t).beta for t in tables][0] == toxicity.learned(docs_of(rows), tables[1]).beta
 
 
+def brute_learning(rows, labels):
+    """Log-odds, sums of the character model and the regression's gradient at beta, from all rows at once."""
+    words = {i: toxicity._WORD.findall((t or "").lower()) for i, t in rows}
+    y = {i: k for i, k in labels if zlib.crc32(str(i).encode()) % 5}
+    starts, ends = (Counter(tuple(words[i][cut]) for i in y) for cut in (slice(8), slice(-8, None)))
+    weight = {i: 1 / max(starts[tuple(words[i][:8])], ends[tuple(words[i][-8:])]) for i in y}
+    half = {i: hashlib.blake2b(" ".join(words[i][:8]).encode(), digest_size=8).digest()[0] & 1 for i in y}
+
+    def odds(ids):
+        n, have = [sum(weight[i] for i in ids if y[i] == k) for k in (0, 1)], (Counter(), Counter())
+        for i in ids:
+            for f in {f for w in words[i] for f in toxicity.word_features(w)}:
+                have[y[i]][f] += weight[i]
+        found = {f: math.log((a + 0.5) / (n[1] + 1)) - math.log((have[0][f] + 0.5) / (n[0] + 1)) for f, a in have[1].items() if a >= 5 - 1e-9}
+        return {f: v for f, v in found.items() if v >= 2}
+
+    weights, parts = odds(list(y)), [toxicity.Model(odds([i for i in y if half[i] == h]), toxicity.CharModel(), []) for h in (0, 1)]
+    texts = dict(rows)
+    x = np.array([(1.0, *parts[1 - half[i]].evidence(texts[i])) for i in y])
+    counts = Counter()
+    for i in y:
+        for w in words[i]:
+            counts[w] += weight[i]
+    chars = {w: math.sqrt(n) for w, n in counts.items() if n > 1 + 1e-9}
+    lift = 0.25 * sum(chars.values()) / sum(v for w, v in weights.items() if w[-1] != "*")
+    for w, v in weights.items():
+        if w[-1] != "*":
+            chars[w] = chars.get(w, 0.0) + lift * v
+
+    def slope(beta):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        return x.T @ (np.array(list(weight.values())) * (p - np.array(list(y.values())))) + 0.01 * beta
+
+    return weights, toxicity.CharModel().train(chars), slope
+
+
+@pytest.mark.parametrize("copies", [1, 4])
+def test_every_labelled_row_is_learned(spark, docs_of, prose, copies):
+    """More rows than a bounded sample would hold; a word that few of them have; copies count as one row together."""
+    r = random.Random(3)
+    bad = ["idiot", "moron", "scum", "loser"]
+    kinds = {i: r.random() < 0.15 for i in range(11_000 if copies == 1 else 1_500)}
+    rows = [(i, " ".join([prose(10, i), *([r.choice(bad), r.choice(bad)] if toxic and r.random() < 0.9 else [r.choice(bad)] if r.random() < 0.01 else []), prose(10, 50_000 + i)])) for i, toxic in kinds.items()]
+    rows += [(100_000 + i, f"{prose(10, 200_000 + i)} Blorgle {prose(9, 300_000 + i)}") for i in range(12)]
+    labels = [(i, int(toxic)) for i, toxic in kinds.items()] + [(100_000 + i, 1) for i in range(12)]
+    again = [(i + 1_000_000 * k, t) for i, t in rows[::3] for k in range(1, copies)]
+    y = dict(labels)
+    labels += [(i, y[i % 1_000_000]) for i, _ in again]
+    rows += again
+    model = toxicity.learned(docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    weights, chars, slope = brute_learning(rows, labels)
+    assert "blorgle" in model.weights and set(model.weights) == set(weights)
+    assert all(model.weights[f] == pytest.approx(v, abs=1e-5) for f, v in weights.items())
+    for name in ("three", "two", "one", "before"):
+        assert getattr(model.chars, name) == pytest.approx(dict(getattr(chars, name)), rel=1e-5)
+    beta = np.array(model.beta)
+    assert beta[0] < -0.1 and (beta[1:] >= 0).all() and beta.any()
+    assert np.abs(slope(beta)[[True, *(beta[1:] > 0)]]).max() < 1e-3
+
+
+def test_repeated_tables_are_learned_alike(spark, docs_of, labelled):
+    rows, labels = labelled
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    one, two = (toxicity.learned(docs_of(x), table) for x in (rows, rows + rows[::-1]))
+    assert one.weights == two.weights and one.beta == two.beta and one.chars.three == two.chars.three
+    shuffled = toxicity.learned(docs_of(rows), table.union(table.where("toxic = 1")), most_broadcast=0)
+    assert one.weights == shuffled.weights and one.beta == shuffled.beta and one.chars.three == shuffled.chars.three
+
+
 def test_toxicity_without_labels(spark, docs_of, odd):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     out = toxicity.judged(docs_of(odd), empty).collect()
