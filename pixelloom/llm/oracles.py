@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pixelloom.llm import common
+from pixelloom.llm import common, oracles_codes
 from pixelloom.llm.licenses import TEMPLATES, bigrams
 from pixelloom.llm import line_dedup as lines
 from pixelloom.llm.quality import CONSISTENCY, CUTOFF, FLOOR, NAMES
@@ -183,4 +183,4 @@ def line_dedup(shape: dict = lines._SHAPE, rules: dict = lines.RULES) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": NGRAM_JOIN, "op3_quality": quality(), "op6_decontaminate": DECONTAMINATE, "op7_line_dedup": line_dedup(), "op10_licenses": licences()}
+    return {"op1_ngram_join": NGRAM_JOIN, "op3_quality": quality(), "op6_decontaminate": DECONTAMINATE, "op7_line_dedup": line_dedup(), "op10_licenses": licences(), "op12_prefix_trie": oracles_codes.prefix_trie(), "op13_vector_codes": oracles_codes.vector_codes()}
