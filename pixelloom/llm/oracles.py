@@ -183,4 +183,4 @@ def line_dedup(shape: dict = lines._SHAPE, rules: dict = lines.RULES) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": NGRAM_JOIN, "op3_quality": quality(), "op6_decontaminate": DECONTAMINATE, "op7_line_dedup": line_dedup(), "op10_licenses": licences(), "op12_prefix_trie": oracles_codes.prefix_trie(), "op13_vector_codes": oracles_codes.vector_codes()}
+    return {"op1_ngram_join": NGRAM_JOIN, "op3_quality": quality(), "op6_decontaminate": DECONTAMINATE, "op7_line_dedup": line_dedup(), "op10_licenses": licences(), "op11_substring_dedup": oracles_codes.substring_dedup(), "op12_prefix_trie": oracles_codes.prefix_trie(), "op13_vector_codes": oracles_codes.vector_codes()}

@@ -1,4 +1,4 @@
-"""DuckDB SQL of the vector codes and of the conversation trie."""
+"""DuckDB SQL of substring dedup, the vector codes and the conversation trie."""
 
 from __future__ import annotations
 
@@ -58,3 +58,14 @@ own AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JO
 totals AS (SELECT s.key, sum(CASE WHEN o.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((o.n_convs - 1) * o.n) AS saved FROM own o JOIN seqs s ON s.conv_id = o.conv_id AND s.d <= o.d GROUP BY s.key)
 SELECT o.conv_id, o.d AS depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
 FROM own o JOIN totals t ON t.key = o.key LEFT JOIN nodes p ON o.d > 0 AND p.key = o.key[1:o.d - 1] LEFT JOIN ends e ON e.key = o.key"""
+
+
+def substring_dedup(w: int = 50) -> str:
+    """Every window as a list of words, and the smallest document that has it."""
+    return rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT r, doc_id, p, sha256(array_to_string(ws[p:p + {w - 1}], ' ')) AS mark FROM (SELECT *, unnest(range(1, len(ws) - {w - 2})) AS p FROM d WHERE doc_id IS NOT NULL)),
+lows AS (SELECT *, min(doc_id) OVER (PARTITION BY mark) AS low FROM windows),
+gone AS (SELECT r, list(DISTINCT i) AS js FROM (SELECT r, unnest(range(p, p + {w})) AS i FROM lows WHERE low < doc_id) GROUP BY r),
+kept AS (SELECT d.r, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM (SELECT r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d) d
+         ANTI JOIN (SELECT r, unnest(js) AS i FROM gone) g ON g.r = d.r AND g.i = d.i GROUP BY d.r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""

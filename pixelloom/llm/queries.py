@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import byte_bpe, decontaminate, hmm_lm, licenses, line_dedup, ngram_join, oracles, prefix_trie, quality, secrets, token_files, toxicity, vector_codes
+from pixelloom.llm import byte_bpe, decontaminate, hmm_lm, licenses, line_dedup, ngram_join, oracles, prefix_trie, quality, secrets, substring_dedup, token_files, toxicity, vector_codes
 from pixelloom.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -59,7 +63,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op12_prefix_trie": op12_prefix_trie, "op13_vector_codes": op13_vector_codes, "op1_ngram_join": op1_ngram_join, "op2_byte_bpe": op2_byte_bpe, "op3_quality": op3_quality, "op10_licenses": op10_licenses, "op4_token_files": op4_token_files, "op5_secrets": op5_secrets, "op7_line_dedup": op7_line_dedup, "op8_hmm_lm": op8_hmm_lm, "op9_toxicity": op9_toxicity, "op6_decontaminate": op6_decontaminate}
+    return {"op11_substring_dedup": op11_substring_dedup, "op12_prefix_trie": op12_prefix_trie, "op13_vector_codes": op13_vector_codes, "op1_ngram_join": op1_ngram_join, "op2_byte_bpe": op2_byte_bpe, "op3_quality": op3_quality, "op10_licenses": op10_licenses, "op4_token_files": op4_token_files, "op5_secrets": op5_secrets, "op7_line_dedup": op7_line_dedup, "op8_hmm_lm": op8_hmm_lm, "op9_toxicity": op9_toxicity, "op6_decontaminate": op6_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
