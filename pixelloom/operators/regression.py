@@ -1,7 +1,7 @@
 """Global regression: one scale and offset per image and band, from the overlaps.
 
-Statistics are aggregations over pixels. The system has two unknowns per image, so it is solved once per band in a small
-grouped map; applying it is a projection with a join of one row per image.
+Statistics are aggregations over pixels. The system has two unknowns an image and two rows an overlap; it stays a sparse table,
+solved by connected parts of the overlap graph. Applying it is a projection with a join of one row per image.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.model import Rasters, wrap_cast
-from pixelloom.operators import stats
+from pixelloom.operators import sparse, stats
+from pixelloom.operators.components import components, saved
 
 
 @dataclass(frozen=True)
@@ -24,61 +25,97 @@ class Anchors:
     mode: str = "all"
     images: tuple[str, ...] = ()
 
-    def of(self, images: list[str]) -> list[str]:
-        if self.mode == "all":
-            return list(images)
-        if self.mode not in ("include", "exclude"):
-            raise ValueError("anchors are all, include or exclude")
-        return [i for i in images if (i in self.images) == (self.mode == "include")]
 
-
-def solve(names: list[str], anchors: list[str], overlaps: pd.DataFrame, whole: pd.DataFrame, mean_factor: float, std_factor: float, extra: int = 0) -> np.ndarray:
-    """(scale, offset) of each image of one band.
+def least_change(names: list[str], rows: pd.DataFrame) -> np.ndarray:
+    """(scale, offset) of each image from one band's constraint rows.
 
     Every pair with an anchor asks for equal means and equal deviations in the overlap, weighted by its size; every
     anchor asks to keep its own mean and deviation, with the mean weight of an overlap. The answer is the least-squares
     solution that is nearest to leaving all as it is, so an image without constraints keeps scale 1 and offset 0."""
-    n, at = len(names), {name: i for i, name in enumerate(names)}
-    rows, goals, total = [], [], 0.0
-    stat = {(o.image, o.other): o for o in overlaps.itertuples()}
-    for i, a in enumerate(names):
-        for j in range(i + 1, n):
-            b = names[j]
-            if (a, b) not in stat or not (a in anchors or b in anchors):
-                continue
-            p, q = stat[a, b], stat[b, a]
-            weight = p.size
-            total += weight
-            mean, std = np.zeros(2 * n), np.zeros(2 * n)
-            mean[[2 * i, 2 * i + 1, 2 * j, 2 * j + 1]] = [p.mean, 1, -q.mean, -1]
-            std[[2 * i, 2 * j]] = [p.std, -q.std]
-            rows += [mean * weight * mean_factor, std * weight * std_factor]
-            goals += [0.0, 0.0]
-    pull = total / (2 * (n + extra)) if total else 1.0
-    own = {w.image: w for w in whole.itertuples()}
-    for a in anchors:
-        w, k = own[a], 2 * at[a]
-        mean, std = np.zeros(2 * n), np.zeros(2 * n)
-        mean[[k, k + 1]] = [w.mean, 1]
-        std[k] = w.std
-        rows += [mean * pull, std * pull]
-        goals += [w.mean * pull, w.std * pull]
+    n, at = len(names), {name: 2 * i for i, name in enumerate(names)}
+    a, goals = np.zeros((2 * len(rows), 2 * n)), np.zeros(2 * len(rows))
+    for k, o in enumerate(rows.itertuples()):
+        i = at[o.a]
+        a[2 * k, [i, i + 1]], a[2 * k + 1, i] = [o.mean_a * o.w, o.w], o.std_a * o.v
+        if o.b is None or o.b != o.b:
+            goals[[2 * k, 2 * k + 1]] = o.mean_a * o.w, o.std_a * o.v
+        else:
+            j = at[o.b]
+            a[2 * k, [j, j + 1]], a[2 * k + 1, j] = [-o.mean_b * o.w, -o.w], -o.std_b * o.v
     start = np.tile([1.0, 0.0], n)
-    if not rows:
-        return start.reshape(n, 2)
-    a = np.array(rows)
     size = np.linalg.norm(a, axis=0)  # columns of means and of ones differ by orders of magnitude
     size[size == 0] = 1.0
-    rest = np.array(goals) - a @ start
+    rest = goals - a @ start
     step = np.linalg.lstsq(a / size, rest, rcond=1e-12)[0] / size
     if np.linalg.matrix_rank(a / size, tol=1e-12 * max(a.shape)) < 2 * n:  # nearest in the unscaled unknowns
         step = np.linalg.pinv(a, rcond=1e-12) @ rest
     return (start + step).reshape(n, 2)
 
 
-def parameters(r: Rasters, anchors: Anchors = Anchors(), mean_factor: float = 1.0, std_factor: float = 1.0, model: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _named(r: Rasters, model: dict[str, DataFrame] | None) -> DataFrame:
+    """image, ord: the images at hand, and after them those that only the loaded model knows."""
+    own = r.scenes.select("image", F.col("ord").cast("long").alias("ord"))
+    if not model:
+        return own
+    more = model["whole_stats"].select("image").distinct().join(own, "image", "left_anti")
+    return own.unionByName(more.select("image", F.lit(1 << 40).alias("ord")))
+
+
+def constraints(named: DataFrame, anchors: Anchors, whole: DataFrame, between: DataFrame, mean_factor: float, std_factor: float) -> DataFrame:
+    """band, a, b, w, v, mean_a, std_a, mean_b, std_b, an_a: the weighted constraints that `solve` describes, a row an overlap with an
+    anchor, and a row (without b) an anchor."""
+    anchored = F.lit(True) if anchors.mode == "all" else F.col("image").isin(list(anchors.images)) == F.lit(anchors.mode == "include")
+    marked = named.select("image", "ord", anchored.alias("an")).join(whole.select("image").distinct().withColumn("known", F.lit(True)), "image", "left")
+    marked = marked.select("image", "ord", (F.col("an") & F.coalesce("known", F.lit(False))).alias("an"))
+    at = lambda x: marked.select(F.col("image").alias(x), F.col("ord").alias(f"ord_{x}"), F.col("an").alias(f"an_{x}"))
+    one = between.select("band", F.col("image").alias("a"), F.col("other").alias("b"), F.col("mean").alias("mean_a"), F.col("std").alias("std_a"), "size")
+    two = between.select("band", F.col("image").alias("b"), F.col("other").alias("a"), F.col("mean").alias("mean_b"), F.col("std").alias("std_b"))
+    pairs = one.join(two, ["band", "a", "b"]).join(at("a"), "a").join(at("b"), "b").where("(ord_a < ord_b OR (ord_a = ord_b AND a < b)) AND (an_a OR an_b)")
+    pairs = pairs.select("band", "a", "b", (F.col("size") * mean_factor).cast("double").alias("w"), (F.col("size") * std_factor).cast("double").alias("v"), "mean_a", "std_a", "mean_b", "std_b", "size")
+    pairs = saved(pairs)
+    pull = pairs.groupBy("band").agg((F.sum("size") / (2 * F.lit(named.count()))).alias("pull"))
+    none = F.lit(None).cast("double")
+    own = whole.join(marked.where("an"), "image").join(F.broadcast(pull), "band").select("band", F.col("image").alias("a"), F.lit(None).cast("string").alias("b"), F.col("pull").alias("w"), F.col("pull").alias("v"), F.col("mean").alias("mean_a"), F.col("std").alias("std_a"), none.alias("mean_b"), none.alias("std_b"))
+    return pairs.drop("size").unionByName(own)
+
+
+def _dense(rows: DataFrame) -> DataFrame:
+    """Each (part, band) by a dense solver, which finds the nearest answer whatever the rank: for parts of few images."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({*part.a, *part.b.dropna()})
+        found = least_change(names, part)
+        return pd.DataFrame({"part": part.part.iloc[0], "band": part.band.iloc[0], "image": names, "scale": found[:, 0], "offset": found[:, 1]})
+
+    return rows.groupBy("part", "band").applyInPandas(run, "part string, band string, image string, scale double, offset double")
+
+
+def solved(rows: DataFrame, most_dense: int = 100, most_edges: int = 1_000_000) -> DataFrame:
+    """image, band, scale, offset of every image that overlaps another.
+
+    The graph of overlaps falls into connected parts, solved apart: those of up to `most_dense` images by a dense solver in a task,
+    those of up to `most_edges` overlaps by conjugate gradients in a task, larger ones by conjugate gradients over tables."""
+    rows = saved(rows)
+    links = rows.where("b IS NOT NULL").select("a", "b").distinct()
+    if links.limit(most_dense).count() < most_dense:  # as many links join one image more at most
+        return _dense(rows.withColumn("part", F.lit("all")).join(F.broadcast(links.select("a").union(links.select("b")).distinct()), "a", "left_semi")).drop("part")
+    parts = components(links).select(F.col("node").alias("a"), F.col("component").alias("part"))
+    sizes = links.join(parts, "a").groupBy("part").agg(F.count("*").alias("edges")).join(parts.groupBy("part").agg(F.count("*").alias("images")), "part")
+    rows = saved(rows.join(parts, "a").join(sizes, "part"))
+    of = lambda c: rows.where(c).drop("edges", "images")
+    out = _dense(of(F.col("images") <= most_dense))
+    for c, solver in ((F.col("edges") <= most_edges, sparse.solve_parts), (F.col("edges") > most_edges, sparse.solve_spread)):
+        large = of((F.col("images") > most_dense) & c)
+        if large.limit(1).count():
+            out = out.unionByName(solver(*sparse.system(large)))
+    return out.drop("part")
+
+
+def parameters(r: Rasters, anchors: Anchors = Anchors(), mean_factor: float = 1.0, std_factor: float = 1.0, model: dict[str, DataFrame] | None = None, most_dense: int = 100, most_edges: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(adjustments, whole statistics, overlap statistics). What a loaded model already knows about an image or a pair is
-    taken from it, not computed again."""
+    taken from it, not computed again. All three are small tables that have been written: nothing is aggregated twice."""
+    if anchors.mode not in ("all", "include", "exclude"):
+        raise ValueError("anchors are all, include or exclude")
     whole, between = stats.whole, stats.overlap
     if model:
         known = model["whole_stats"]
@@ -88,16 +125,11 @@ def parameters(r: Rasters, anchors: Anchors = Anchors(), mean_factor: float = 1.
         between_df = between(r, pairs).unionByName(model["overlap_stats"])
     else:
         whole_df, between_df = whole(r), between(r)
-    own = [x["image"] for x in r.scenes.orderBy("ord").select("image").collect()]
-    more = sorted({x["image"] for x in model["whole_stats"].select("image").distinct().collect()} - set(own)) if model else []
-    names, chosen = own + more, anchors.of(own + more)
-
-    def run(key: tuple, whole_rows: pd.DataFrame, pair_rows: pd.DataFrame) -> pd.DataFrame:
-        found = solve(names, [a for a in chosen if a in set(whole_rows.image)], pair_rows, whole_rows, mean_factor, std_factor)
-        return pd.DataFrame({"image": names, "band": key[0], "scale": found[:, 0], "offset": found[:, 1]})
-
-    solved = whole_df.groupBy("band").cogroup(between_df.groupBy("band")).applyInPandas(run, "image string, band string, scale double, offset double")
-    return solved.where(F.col("image").isin(own)), whole_df, between_df
+    whole_df, between_df = saved(whole_df), saved(between_df)
+    found = solved(constraints(_named(r, model), anchors, whole_df, between_df, mean_factor, std_factor), most_dense, most_edges)
+    every = r.scenes.select("image").join(r.pixels.sparkSession.createDataFrame([(b,) for b in r.bands], "band string"))
+    every = every.join(found, ["image", "band"], "left").select("image", "band", F.coalesce("scale", F.lit(1.0)).alias("scale"), F.coalesce("offset", F.lit(0.0)).alias("offset"))
+    return saved(every), whole_df, between_df
 
 
 def anchored(between: DataFrame, scenes: DataFrame, anchor: str) -> DataFrame:

@@ -4,7 +4,6 @@ import json
 import math
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,26 +119,81 @@ def brute_solve(names, anchors, ov, whole, fm, fs):
     return (x0 + np.linalg.pinv(a, rcond=1e-13) @ (np.array(goal) - a @ x0)).reshape(n, 2)
 
 
-@pytest.mark.parametrize("anchors", [("A", "B", "C"), ("B",), ()])
-@pytest.mark.parametrize("flat", [False, True])
-def test_solver(anchors, flat):
-    r = np.random.default_rng(1)
-    names = ["A", "B", "C", "D"]
-    pairs = [("A", "B"), ("B", "C"), ("A", "C")]
+def stat_tables(spark, ov, whole, bands=("b1",)):
+    between = spark.createDataFrame([(a, b, band, *map(float, v[:2]), v[2]) for (a, b), v in ov.items() for band in bands], "image string, other string, band string, mean double, std double, size long")
+    return spark.createDataFrame([(n, band, float(m), float(s), 10) for n, (m, s) in whole.items() for band in bands], "image string, band string, mean double, std double, size long"), between
+
+
+def solved(spark, names, anchors, ov, whole, **options):
+    named = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "image string, ord long")
+    rows = regression.constraints(named, regression.Anchors("include", tuple(anchors)), *stat_tables(spark, ov, whole), 3.0, 1.0)
+    found = {x.image: (x.scale, x.offset) for x in regression.solved(rows, **options).collect()}
+    return np.array([found.get(n, (1.0, 0.0)) for n in names])
+
+
+def overlaps_of(r, pairs, flat=False):
     ov = {}
     for a, b in pairs:
         size = int(r.integers(50, 500))
         ov[a, b] = (r.uniform(50, 150), 0.0 if flat else r.uniform(5, 20), size)
         ov[b, a] = (r.uniform(50, 150), 0.0 if flat else r.uniform(5, 20), size)
+    return ov
+
+
+@pytest.mark.parametrize("anchors", [("A", "B", "C"), ("B",), ()])
+@pytest.mark.parametrize("flat", [False, True])
+def test_solver(spark, anchors, flat):
+    r = np.random.default_rng(1)
+    names = ["A", "B", "C", "D"]
+    ov = overlaps_of(r, [("A", "B"), ("B", "C"), ("A", "C")], flat)
     whole = {n: (r.uniform(50, 150), 0.0 if flat else r.uniform(5, 20)) for n in names}
-    frame = pd.DataFrame([(a, b, *v) for (a, b), v in ov.items()], columns=["image", "other", "mean", "std", "size"])
-    own = pd.DataFrame([(n, *v, 10) for n, v in whole.items()], columns=["image", "mean", "std", "size"])
-    got = regression.solve(names, list(anchors), frame, own, 3.0, 1.0)
+    got = solved(spark, names, anchors, ov, whole)
     want = brute_solve(names, anchors, ov, whole, 3.0, 1.0) if anchors else np.tile([1.0, 0.0], (4, 1))
     assert np.allclose(got, want, rtol=1e-5, atol=1e-5)
     assert tuple(got[3]) == pytest.approx((1.0, 0.0))
 
 
+@pytest.mark.parametrize("options", [{"most_dense": 0}, {"most_dense": 0, "most_edges": 0}, {"most_dense": 3}])
+def test_sparse_solvers_equal_the_dense_one(spark, options):
+    """Three parts: a triangle, a chain with one constant image, a pair; means far larger than deviations."""
+    r = np.random.default_rng(3)
+    names = [f"i{k}" for k in range(9)]
+    ov = overlaps_of(r, [("i0", "i1"), ("i1", "i2"), ("i0", "i2"), ("i3", "i4"), ("i4", "i5"), ("i5", "i6"), ("i7", "i8")])
+    ov = {k: (m + 10_000, s, n) for k, (m, s, n) in ov.items()}
+    whole = {n: (r.uniform(10_000, 10_100), r.uniform(5, 20)) for n in names}
+    ov["i6", "i5"] = (500.0, 0.0, ov["i6", "i5"][2])
+    whole["i6"] = (500.0, 0.0)
+    for anchors in (names, ["i0", "i4", "i7"]):
+        got, want = solved(spark, names, anchors, ov, whole, **options), brute_solve(names, anchors, ov, whole, 3.0, 1.0)
+        assert np.allclose(got[:, 0], want[:, 0], rtol=1e-5) and np.allclose(got[:, 1], want[:, 1], rtol=1e-4, atol=0.05)
+
+
+@pytest.mark.parametrize("every", [True, False])
+def test_chain_of_two_thousand_images(spark, every):
+    """All anchors, or every second one."""
+    r = np.random.default_rng(5)
+    n = 2_000 if every else 400
+    names = [f"c{k:04d}" for k in range(n)]
+    anchors = names[:: 1 if every else 2]
+    ov = overlaps_of(r, [(names[k], names[k + 1]) for k in range(n - 1)])
+    whole = {x: (r.uniform(50, 150), r.uniform(5, 20)) for x in names}
+    got = solved(spark, names, anchors, ov, whole)
+    # the gradient of the least squares vanishes, measured against its terms
+    pull = sum(ov[names[k], names[k + 1]][2] for k in range(n - 1)) / (2 * n)
+    rows = [({k: (whole[x][0] * pull, pull)}, whole[x][0] * pull) for k, x in enumerate(names) if x in anchors]
+    rows += [({k: (whole[x][1] * pull, 0)}, whole[x][1] * pull) for k, x in enumerate(names) if x in anchors]
+    for k in range(n - 1):
+        (m1, s1, w), (m2, s2, _) = ov[names[k], names[k + 1]], ov[names[k + 1], names[k]]
+        rows += [({k: (m1 * w * 3, w * 3), k + 1: (-m2 * w * 3, -w * 3)}, 0), ({k: (s1 * w, 0), k + 1: (-s2 * w, 0)}, 0)]
+    total, size = np.zeros((n, 2)), np.zeros((n, 2))
+    for terms, goal in rows:
+        rest = sum(np.dot(c, got[k]) for k, c in terms.items()) - goal
+        for k, c in terms.items():
+            total[k] += np.multiply(c, rest)
+            size[k] += np.abs(c) * (abs(goal) + sum(np.abs(np.multiply(d, got[j])).sum() for j, d in terms.items()))
+    assert (np.abs(total) <= 1e-8 * size).all()
+
+
 def test_global_regression_makes_images_agree(spark):
     g = np.add.outer(np.arange(12) * 3.0, np.arange(12) ** 1.5)
     r = raster(spark, {"a": (g, 0, 12, 1), "b": (2 * g + 10, 6, 12, 1)})
