@@ -73,3 +73,91 @@ def test_no_files(spark, tmp_path):
     (tmp_path / "x.tif").write_bytes(b"nothing")
     with pytest.raises(Exception):
         geotiff.read(spark, str(tmp_path)).scenes.count()
+
+
+def counted(path, reader, parts=None):
+    """Pixels and bytes read of a file, by the reader in this process."""
+    out, n = [], 0
+    for part in parts or reader.partitions():
+        get = geotiff.Ranges(part.uri)
+        for batch in reader.batches(part, get):
+            out += batch.to_pylist()
+        n += get.count
+    return out, n
+
+
+def large(spark, tmp_path, side=512, tile=64):
+    rng = np.random.default_rng(2)
+    a = rng.integers(1, 60_000, (2, side, side)).astype(float)
+    files = geotiff.write(raster(spark, {"big": (a, 0, side, 1)}), str(tmp_path / "big"), "uint16", 0.0, tile=tile)
+    return a, files[0]
+
+
+def test_window_reads_its_tiles_alone(spark, tmp_path):
+    a, path = large(spark, tmp_path)
+    size = (tmp_path / "big" / "big.tif").stat().st_size
+    reader = geotiff.Reader([f"file://{path}"], [0, 1], None, (70, 120, 200, 250), 1)
+    pixels, n = counted(path, reader)
+    # block row 1, block columns 3 (192-255): one tile of 64
+    assert len(pixels) == 50 * 50 and all(p["b2"] == a[1, p["prow"], p["pcol"]] for p in pixels)
+    assert n < size / 20
+    r = geotiff.read(spark, str(tmp_path / "big"), window=(70, 120, 200, 250), bands=("b2",))
+    assert r.bands == ("b2",) and r.pixels.count() == 2500 and r.scenes.first()["width"] == 512
+    assert r.pixels.agg({"b2": "sum"}).first()[0] == a[1, 70:120, 200:250].sum()
+
+
+def test_filters_prune_files_and_blocks(spark, tmp_path):
+    a, path = large(spark, tmp_path)
+    reader = geotiff.FilteredReader([f"file://{path}", "file:///x/other.tif"], [0], None, None, 1)
+    kept = list(reader.pushFilters([geotiff.EqualTo(("image",), "big"), geotiff.GreaterThanOrEqual(("prow",), 100), geotiff.LessThan(("prow",), 110), geotiff.EqualTo(("pcol",), 7)]))
+    assert len(kept) == 4 and reader.uris == [f"file://{path}"] and reader.rows == [100, 110] and reader.cols == [7, 8]
+    assert [p["b1"] for p in counted(path, reader)[0]] == a[0, 100:110, 7].tolist()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        r = geotiff.read(spark, str(tmp_path / "big"))
+        assert r.pixels.where("image = 'big' and prow = 5 and pcol > 500").count() == 11
+        assert r.pixels.where("image = 'none'").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_decimated_read(spark, tmp_path):
+    a, path = large(spark, tmp_path, 500)
+    r = geotiff.read(spark, str(tmp_path / "big"), decimate=7)
+    s = r.scenes.first()
+    assert (s["width"], s["height"], s["res_x"]) == (72, 72, 7.0)
+    at = np.minimum(np.arange(72) * 7 + 3, 499)
+    assert np.array_equal(array(r.pixels, "big", (72, 72)), a[0][np.ix_(at, at)])
+    # tiles that no wanted row or column meets are not read
+    reader = geotiff.Reader([f"file://{path}"], [0], None, None, 250)
+    assert len(counted(path, reader)[0]) == 4 and counted(path, reader)[1] < (tmp_path / "big" / "big.tif").stat().st_size / 4
+
+
+def test_plain_strips_are_read_by_rows(tmp_path):
+    a = np.arange(2000 * 1000, dtype=np.uint32).reshape(1, 2000, 1000)
+    (tmp_path / "one.tif").write_bytes(plain_tiff(a))
+    pixels, n = counted("", geotiff.Reader([f"file://{tmp_path}/one.tif"], [0], None, (1000, 1002, 5, 9), 1))
+    assert [p["b1"] for p in pixels] == [float(a[0, r, c]) for r in (1000, 1001) for c in range(5, 9)]
+    assert n < 1_200_000 and len(geotiff.Reader([f"file://{tmp_path}/one.tif"], [0], None, None, 1, 1 << 20).partitions()) >= 8
+
+
+def test_one_image_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    seen = []
+    kept = geotiff.saved
+    monkeypatch.setattr(geotiff, "saved", lambda df: seen.append(kept(df)) or seen[-1])
+    try:
+        a, path = large(spark, tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert seen[0].where("image = 'big'").count() > 1  # a row a part
+    assert np.array_equal(array(geotiff.read(spark, str(tmp_path / "big")).pixels, "big", (512, 512)), a[0])
+    assert [p.name for p in (tmp_path / "big").iterdir()] == ["big.tif"]
+
+
+def test_a_failed_write_leaves_no_file(spark, tmp_path):
+    r = raster(spark, {"p": (np.ones((20, 20)), 0, 20, 1), "q": (np.ones((20, 20)), 0, 20, 1)})
+    broken = r.with_pixels(r.pixels.selectExpr("image", "prow", "pcol", "if(image = 'q' and prow = 19, raise_error('lost'), b1) as b1"))
+    with pytest.raises(Exception, match="lost"):
+        geotiff.write(broken, str(tmp_path / "out"), "uint8", 0.0, tile=16)
+    assert list((tmp_path / "out").iterdir()) == []
