@@ -45,12 +45,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def keep(self, name: str) -> None:
+    def keep(self, *names: str) -> None:
         """Drops all other tables."""
         jvm = self.spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.root)
         for status in root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root):
-            if (other := status.getPath().getName()) != name:
+            if (other := status.getPath().getName()) not in names:
                 self.drop(other)
 
     def drop(self, name: str = "") -> None:

@@ -10,11 +10,13 @@ A template recurs when `min_docs` texts that are no copies of one another have i
 `long_from` tokens, which do not meet by chance, while templates of fewer than `short_to` tokens need `min_short`. All lines
 of recurring templates are dropped, be they alone or in blocks, in every document, copies included.
 
-Copies are the near-duplicate stage's business, so each group of them counts as about one text. A text has `bands` sketches:
-the least hash of the 5-word shingles of each third of it, three together. Near copies share a third's least shingle
-with about their similarity s, hence one of the bands with 1 - (1 - s ** 3) ** bands, over 0.9999 at 0.8; texts that
-only share a passage share no third as a whole. A text stands for itself if it has the smallest hash of all texts
-with which it shares a band; only such texts are counted.
+Copies are the near-duplicate stage's business, so each group of them counts as about one text. A text has `bands` bands: the
+least hash of the 5-word shingles of each third of it, three together. Near copies share a third's least shingle with about
+their similarity s, hence a band with 1 - (1 - s ** 3) ** bands, over 0.9999 at 0.8. A band only proposes: a text is linked to
+the one with the smallest hash in the band if at least AGREE of their sketches are equal, the least hashes of the word
+pairs of each third by `pairs` hash functions. Scattered edits leave most pairs of words alone (0.9 of them at 0.8), while
+pages that have whole lines in common, but other lines between them, share no more pairs than longer shingles. Connected texts
+are a group, counted by its smallest text alone.
 
 Everything is found by aggregations with partial sums. Recurring templates are broadcast up to a counted `most`; beyond
 that they are joined, to the keys of texts and then to the texts.
@@ -33,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm.common import HashedWords, Scratch, mix, tidy
+from pixelloom.llm.components import components
 
 _Q = 0xA0761D6478BD642F
 _FIELD, _OPEN = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
@@ -40,16 +43,19 @@ _FIELD, _OPEN = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 _ORDINARY, _LONG, _SHORT = 0, 1, 2  # the low bits of a key
 
+#: Share of the sketch of word pairs that copies have in common at least.
+AGREE = 35 / 48
+
 RULES = {"min_docs": 3, "min_long": 2, "min_short": 10}
-_SHAPE = {"lead": 3, "parts": 4, "long_from": 50, "short_to": 5, "bands": 24, "shingle": 5}
+_SHAPE = {"lead": 3, "parts": 4, "long_from": 50, "short_to": 5, "bands": 24, "shingle": 5, "pairs": 16}
 
 
 class Lines(HashedWords):
     """The template keys of the lines of many texts, and the sketches of the texts."""
 
-    def __init__(self, lead: int, parts: int, long_from: int, short_to: int, bands: int, shingle: int):
+    def __init__(self, lead: int, parts: int, long_from: int, short_to: int, bands: int, shingle: int, pairs: int):
         super().__init__()
-        self.lead, self.parts, self.long_from, self.short_to, self.bands, self.shingle = lead, parts, long_from, short_to, bands, shingle
+        self.lead, self.parts, self.long_from, self.short_to, self.bands, self.shingle, self.pairs = lead, parts, long_from, short_to, bands, shingle, pairs
         self.rise = self.fall = np.empty(0, np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -91,15 +97,14 @@ class Lines(HashedWords):
             keys[plain[b] == plain[a]] = 0
             yield first, len(ends), own[a], line[a], keys, self._sketches(own, len(ends), span) if sketched else None
 
-    def _sketches(self, own: np.ndarray, count: int, span) -> np.ndarray:
-        sizes = np.bincount(own, minlength=count)
+    def _thirds(self, sizes: np.ndarray, span, k: int, factors: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """By hash function: the texts that have words, and the least hash of the k-word shingles of each third of them."""
         ends = np.cumsum(sizes)
-        shingles = np.maximum(sizes - self.shingle + 1, np.minimum(sizes, 1))  # a shorter text is one shingle
+        shingles = np.maximum(sizes - k + 1, np.minimum(sizes, 1))  # a shorter text is one shingle
         upto = np.cumsum(shingles)
-        text = np.repeat(np.arange(count), shingles)
+        text = np.repeat(np.arange(len(sizes)), shingles)
         at = (ends - sizes)[text] + np.arange(len(text)) - (upto - shingles)[text]
-        hashes = span(at, np.minimum(at + self.shingle, ends[text]))
-        out = np.zeros((count, self.bands), np.uint64)
+        hashes = span(at, np.minimum(at + k, ends[text]))
         has = np.flatnonzero(shingles)
         if len(has):
             n, start = shingles[has], (upto - shingles)[has]
@@ -107,10 +112,18 @@ class Lines(HashedWords):
             high = np.maximum(start[:, None] + n[:, None] * np.arange(1, 4) // 3, low + 1)
             bounds = np.stack([low, high], 2).ravel()
             padded = np.append(hashes, np.uint64(2**64 - 1))
-            for band in range(self.bands):
-                least = np.minimum.reduceat(padded * _FACTORS[band], bounds)[::2].reshape(-1, 3)
-                out[has, band] = mix(mix(mix(least[:, 0]) + least[:, 1]) + least[:, 2] + np.uint64(band))
-        return out
+            for f in range(factors):
+                yield has, np.minimum.reduceat(padded * _FACTORS[f], bounds)[::2].reshape(-1, 3)
+
+    def _sketches(self, own: np.ndarray, count: int, span) -> tuple[np.ndarray, np.ndarray]:
+        """The bands of each text (a row of `bands`), and its sketch (a row of 3 * pairs, 32 bits of each least hash)."""
+        sizes = np.bincount(own, minlength=count)
+        out, sketch = np.zeros((count, self.bands), np.uint64), np.zeros((count, self.pairs, 3), np.uint32)
+        for band, (has, least) in enumerate(self._thirds(sizes, span, self.shingle, self.bands)):
+            out[has, band] = mix(mix(mix(least[:, 0]) + least[:, 1]) + least[:, 2] + np.uint64(band))
+        for f, (has, least) in enumerate(self._thirds(sizes, span, 2, self.pairs)):
+            sketch[has, f] = (mix(least) >> np.uint64(32)).astype(np.uint32)
+        return out, sketch.reshape(count, -1)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -127,13 +140,13 @@ def mark_of(text: Column) -> Column:
 
 
 def profile(docs: DataFrame, shape: dict, text_col: str = "text") -> DataFrame:
-    """mark (the text's hash), bands, keys (once each) of every text that has words."""
+    """mark (the text's hash), bands, sketch, keys (once each) of every text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Lines(**shape)
         for batch in batches:
             marks = batch.column(1)
-            for first, count, text, _, keys, bands in reader.of(batch.column(0), sketched=True):
+            for first, count, text, _, keys, (bands, sketch) in reader.of(batch.column(0), sketched=True):
                 own, flat = np.repeat(text, keys.shape[1]), keys.ravel()
                 own, flat = own[flat != 0], flat[flat != 0]
                 order = np.lexsort((flat, own))
@@ -142,9 +155,9 @@ def profile(docs: DataFrame, shape: dict, text_col: str = "text") -> DataFrame:
                 new[1:] = (own[1:] != own[:-1]) | (flat[1:] != flat[:-1])
                 some = np.bincount(text, minlength=count) > 0
                 sizes = np.bincount(own[new], minlength=count)[some]
-                yield pa.RecordBatch.from_arrays([marks.slice(first, count).filter(pa.array(some)), _lists(bands[some].ravel(), np.full(len(sizes), bands.shape[1])), _lists(flat[new], sizes)], ["mark", "bands", "keys"])
+                yield pa.RecordBatch.from_arrays([marks.slice(first, count).filter(pa.array(some)), _lists(bands[some].ravel(), np.full(len(sizes), bands.shape[1])), pa.array([x.tobytes() for x in sketch[some]], pa.binary()), _lists(flat[new], sizes)], ["mark", "bands", "sketch", "keys"])
 
-    return docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"), mark_of(docs[text_col]).alias("mark")).mapInArrow(tidy(run), "mark long, bands array<long>, keys array<long>")
+    return docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"), mark_of(docs[text_col]).alias("mark")).mapInArrow(tidy(run), "mark long, bands array<long>, sketch binary, keys array<long>")
 
 
 def _joined(rows: DataFrame, few: DataFrame, on: str, how: str, most: int, salts: int = 32) -> DataFrame:
@@ -156,18 +169,32 @@ def _joined(rows: DataFrame, few: DataFrame, on: str, how: str, most: int, salts
     return rows.withColumn("_salt", F.floor(F.rand(1) * salts).cast("int")).join(dealt, [on, "_salt"], how).drop("_salt")
 
 
-def copies(found: DataFrame, most: int) -> DataFrame:
-    """mark of the texts that share a band with one of a smaller hash."""
+def copies(found: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+    """mark of the texts that are not the smallest of their group of copies. found: mark, bands, sketch.
+
+    A text has a pair for each different smallest text in its bands, `bands` at most; sketches of texts that are the smallest of some
+    other's band are sent to the pairs up to a counted number, beyond that dealt to several tasks."""
     flat = found.select(F.explode("bands").alias("band"), "mark")
     groups = flat.groupBy("band").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("band", "low")
-    return _joined(flat, groups, "band", "inner", most).where("mark > low").select("mark").distinct()
+    pairs = scratch.save("pairs", _joined(flat, scratch.save("bands", groups), "band", "inner", most).where("mark > low").select("mark", "low").distinct())
+    once = found.groupBy("mark").agg(F.first("sketch").alias("sketch"))
+    lows = scratch.save("lows", once.join(pairs.select(F.col("low").alias("mark")).distinct(), "mark", "left_semi").withColumnsRenamed({"mark": "low", "sketch": "other"}))
+    both = _joined(pairs.join(once, "mark"), lows, "low", "inner", most // 20)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [(np.frombuffer(a.as_py(), np.uint32) == np.frombuffer(b.as_py(), np.uint32)).mean() >= AGREE for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(same, pa.bool_()))
+
+    links = both.select("mark", "low", "sketch", "other").mapInArrow(tidy(run), "mark long, low long")
+    return components(links.select(F.col("mark").alias("a"), F.col("low").alias("b")), scratch, "group").where("component < node").select(F.col("node").alias("mark"))
 
 
 def templates(docs: DataFrame, scratch: Scratch, min_docs: int, min_long: int, min_short: int, most: int, shape: dict, text_col: str = "text") -> DataFrame:
     """key, docs of the templates that recur."""
     found = scratch.save("texts", profile(docs, shape, text_col))
     once = found.groupBy("mark").agg(F.first("keys").alias("keys"))
-    counted = _joined(once, scratch.save("copies", copies(found, most)), "mark", "left_anti", most)
+    counted = _joined(once, scratch.save("copies", copies(found, scratch, most)), "mark", "left_anti", most)
     kind = F.col("key").bitwiseAND(F.lit(3))
     least = F.when(kind == _LONG, min_long).when(kind == _SHORT, min_short).otherwise(min_docs)
     return scratch.save("templates", counted.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("docs")).where(F.col("docs") >= least))
@@ -244,7 +271,6 @@ def dedup(docs: DataFrame, most: int = 1_000_000, shape: dict | None = None, tex
     """The documents without the lines of recurring templates, all columns kept."""
     scratch, shape = Scratch(docs.sparkSession, "line-dedup"), _SHAPE | (shape or {})
     often = templates(docs, scratch, most=most, shape=shape, text_col=text_col, **(RULES | rules))
-    scratch.drop("copies")
     total = often.count()
     if total == 0:
         scratch.drop()
@@ -253,6 +279,7 @@ def dedup(docs: DataFrame, most: int = 1_000_000, shape: dict | None = None, tex
         keys = often.select("key").toArrow().column("key").to_numpy()
         scratch.drop()
         return drop(docs, keys, shape, text_col)
+    scratch.keep("texts", "templates")
     return drop_joined(docs, docs.sparkSession.read.parquet(scratch.path("texts")), often, scratch, most, shape, text_col)
 
 

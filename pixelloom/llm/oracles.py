@@ -152,7 +152,16 @@ def line_dedup(shape: dict = lines._SHAPE, rules: dict = lines.RULES) -> str:
     key = lambda q: "n || '|' || head" + "".join(f" || chr(10) || {'p' + str(i) if i != q else repr('* ' + str(q))}" for i in range(parts))
     keys = " UNION ALL ".join([f"SELECT mark, idx, n, {key(None)} AS key FROM s", *(f"SELECT mark, idx, n, {key(q)} FROM s WHERE n>{lead + parts}" for q in range(parts))])
     values = ",".join(f"({b},{int(v)}::UBIGINT)" for b, v in enumerate(common._VALUES))
-    sums = "+".join(f"{wide(f'coalesce(h{i},0)')}*{pow(lines._Q, i, 2**64)}::UHUGEINT%18446744073709551616::UHUGEINT" for i in range(k))
+    def least(k: int, factors: int, tag: str) -> list[str]:
+        """lq<tag>: the least hash of the k-word shingles of each third of a text, by hash function."""
+        sums = "+".join(f"{wide(f'coalesce(h{i},0)')}*{pow(lines._Q, i, 2**64)}::UHUGEINT%18446744073709551616::UHUGEINT" for i in range(k))
+        return [
+            f"sh{tag} AS (SELECT mark, pos, n, {', '.join(f'lead(h,{i}) OVER o AS h{i}' for i in range(k))} FROM w JOIN hw ON hw.word=w.word WINDOW o AS (PARTITION BY mark ORDER BY pos))",
+            f"sc{tag} AS MATERIALIZED ({_scrambled(f'SELECT mark, pos, greatest(n-{k - 1},1) AS n, {whole(f'{sums}+{wide(f'least(n,{k})')}')} AS x FROM sh{tag} WHERE pos<greatest(n-{k - 1},1)', 'mark, pos, n')})",
+            f"rg{tag} AS (SELECT DISTINCT mark, q, least(n*q//3,n-1) AS low, greatest(least(n*q//3,n-1)+1,n*(q+1)//3) AS high FROM sc{tag}, (VALUES (0),(1),(2)) AS v(q))",
+            f"lq{tag} AS MATERIALIZED (SELECT sc{tag}.mark, q, {', '.join(f'min({whole(f'{wide(chr(120))}*{int(lines._FACTORS[b])}::UHUGEINT')}) AS b{b}' for b in range(factors))} FROM sc{tag} JOIN rg{tag} ON rg{tag}.mark=sc{tag}.mark AND pos>=low AND pos<high GROUP BY 1,2)",
+        ]
+
     ctes = [
         "d AS MATERIALIZED (SELECT text, CAST('0x' || substr(md5(text),1,15) AS BIGINT) AS mark FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL) u)",
         "l AS (SELECT mark, idx, string_split(text, chr(10))[idx] AS line FROM (SELECT mark, text, unnest(range(1, len(string_split(text, chr(10)))+1)) AS idx FROM d) v)",
@@ -166,15 +175,17 @@ def line_dedup(shape: dict = lines._SHAPE, rules: dict = lines.RULES) -> str:
         f"vb(b, v) AS (VALUES {values})",
         f"hs AS (SELECT word, {whole(f'{wide(chr(115))}+{wide(chr(110))}')} AS x FROM (SELECT word, max(size) AS n, sum({whole(f'{wide(chr(118))}*{wide(chr(112))}')}) AS s FROM (SELECT word, octet_length(encode(word)) AS size, hex(encode(word)) AS hx, unnest(range(0, octet_length(encode(word)))) AS i FROM o) a JOIN vb ON b=CAST('0x' || substr(hx,2*i+1,2) AS INT) JOIN pw ON pw.i=a.i GROUP BY 1) c)",
         f"hw AS MATERIALIZED (SELECT word, x AS h FROM ({_scrambled('SELECT * FROM hs', 'word')}) z UNION ALL SELECT ' ', {int(lines._FIELD)}::UBIGINT)",
-        f"sh AS (SELECT mark, pos, n, {', '.join(f'lead(h,{i}) OVER o AS h{i}' for i in range(k))} FROM w JOIN hw ON hw.word=w.word WINDOW o AS (PARTITION BY mark ORDER BY pos))",
-        f"sc AS MATERIALIZED ({_scrambled(f'SELECT mark, pos, greatest(n-{k - 1},1) AS n, {whole(f'{sums}+{wide(f'least(n,{k})')}')} AS x FROM sh WHERE pos<greatest(n-{k - 1},1)', 'mark, pos, n')})",
-        "rg AS (SELECT DISTINCT mark, q, least(n*q//3,n-1) AS low, greatest(least(n*q//3,n-1)+1,n*(q+1)//3) AS high FROM sc, (VALUES (0),(1),(2)) AS v(q))",
-        f"lq AS MATERIALIZED (SELECT sc.mark, q, {', '.join(f'min({whole(f'{wide(chr(120))}*{int(lines._FACTORS[b])}::UHUGEINT')}) AS b{b}' for b in bands)} FROM sc JOIN rg ON rg.mark=sc.mark AND pos>=low AND pos<high GROUP BY 1,2)",
+        *least(k, len(bands), ""),
+        *least(2, shape["pairs"], "2"),
         "ls AS (" + " UNION ALL ".join(f"SELECT mark, {b} AS band, max(CASE WHEN q=0 THEN b{b} END) AS x, max(CASE WHEN q=1 THEN b{b} END) AS y, max(CASE WHEN q=2 THEN b{b} END) AS z FROM lq GROUP BY 1" for b in bands) + ")",
         f"l1 AS (SELECT mark, band, z, {whole(f'{wide(chr(120))}+{wide(chr(121))}')} AS x FROM ({_scrambled('SELECT * FROM ls', 'mark, band, y, z')}) f)",
         f"l2 AS (SELECT mark, band, {whole(f'{wide(chr(120))}+{wide(chr(122))}+{wide('band')}')} AS x FROM ({_scrambled('SELECT * FROM l1', 'mark, band, z')}) f)",
         f"bk AS MATERIALIZED ({_scrambled('SELECT * FROM l2', 'mark, band')})",
-        "cp AS (SELECT DISTINCT mark FROM (SELECT mark, min(mark) OVER (PARTITION BY x) AS low FROM bk) a WHERE mark>low)",
+        "pr AS (SELECT DISTINCT mark, low FROM (SELECT mark, min(mark) OVER (PARTITION BY x) AS low FROM bk) a WHERE mark>low)",
+        f"ln AS (SELECT mark, low FROM (SELECT pr.mark, pr.low, sum({'+'.join(f'CAST(a.b{b}=o.b{b} AS INT)' for b in range(shape["pairs"]))}) AS same FROM pr JOIN lq2 a ON a.mark=pr.mark JOIN lq2 o ON o.mark=pr.low AND o.q=a.q GROUP BY 1,2) c WHERE same>={3 * shape['pairs'] * lines.AGREE!r}-1e-9)",
+        "nb AS (SELECT mark AS a, low AS b FROM ln UNION SELECT low, mark FROM ln)",
+        "cc(mark, root) AS (SELECT a, a FROM nb UNION SELECT nb.b, cc.root FROM cc JOIN nb ON nb.a=cc.mark)",
+        "cp AS (SELECT mark FROM cc GROUP BY 1 HAVING min(root)<mark)",
         f"r AS (SELECT key FROM t WHERE mark NOT IN (SELECT mark FROM cp) GROUP BY key HAVING count(DISTINCT mark)>=CASE WHEN max(n)>={shape['long_from']} THEN {rules['min_long']} WHEN max(n)<{shape['short_to']} THEN {rules['min_short']} ELSE {rules['min_docs']} END)",
         "g AS (SELECT DISTINCT mark, idx FROM t JOIN r ON r.key=t.key)",
         "f AS (SELECT k.mark, count(*) FILTER (WHERE len(ws)>0) AS n_lines, count(*) FILTER (WHERE len(ws)>0 AND g.mark IS NULL) AS n_kept, coalesce(string_agg(line, chr(10) ORDER BY k.idx) FILTER (WHERE g.mark IS NULL), '') AS kept FROM k LEFT JOIN g ON g.mark=k.mark AND g.idx=k.idx GROUP BY 1)",
