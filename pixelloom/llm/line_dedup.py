@@ -169,8 +169,14 @@ def _joined(rows: DataFrame, few: DataFrame, on: str, how: str, most: int, salts
     return rows.withColumn("_salt", F.floor(F.rand(1) * salts).cast("int")).join(dealt, [on, "_salt"], how).drop("_salt")
 
 
+def groups(docs: DataFrame, scratch: Scratch, most: int = 1_000_000, text_col: str = "text", shape: dict | None = None) -> DataFrame:
+    """mark (`mark_of` the text), low: the texts that are copies of others as a whole, and the smallest mark of their group."""
+    found = scratch.save("sketches", profile(docs, _SHAPE | (shape or {}), text_col).drop("keys"))
+    return copies(found, scratch, most).select(F.col("node").alias("mark"), F.col("component").alias("low"))
+
+
 def copies(found: DataFrame, scratch: Scratch, most: int) -> DataFrame:
-    """mark of the texts that are not the smallest of their group of copies. found: mark, bands, sketch.
+    """node (the mark of a text that has copies), component (the smallest mark of its group). found: mark, bands, sketch.
 
     A text has a pair for each different smallest text in its bands, `bands` at most; sketches of texts that are the smallest of some
     other's band are sent to the pairs up to a counted number, beyond that dealt to several tasks."""
@@ -187,14 +193,14 @@ def copies(found: DataFrame, scratch: Scratch, most: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(same, pa.bool_()))
 
     links = both.select("mark", "low", "sketch", "other").mapInArrow(tidy(run), "mark long, low long")
-    return components(links.select(F.col("mark").alias("a"), F.col("low").alias("b")), scratch, "group").where("component < node").select(F.col("node").alias("mark"))
+    return components(links.select(F.col("mark").alias("a"), F.col("low").alias("b")), scratch, "group")
 
 
 def templates(docs: DataFrame, scratch: Scratch, min_docs: int, min_long: int, min_short: int, most: int, shape: dict, text_col: str = "text") -> DataFrame:
     """key, docs of the templates that recur."""
     found = scratch.save("texts", profile(docs, shape, text_col))
     once = found.groupBy("mark").agg(F.first("keys").alias("keys"))
-    counted = _joined(once, scratch.save("copies", copies(found, scratch, most)), "mark", "left_anti", most)
+    counted = _joined(once, scratch.save("copies", copies(found, scratch, most).where("component < node").select(F.col("node").alias("mark"))), "mark", "left_anti", most)
     kind = F.col("key").bitwiseAND(F.lit(3))
     least = F.when(kind == _LONG, min_long).when(kind == _SHORT, min_short).otherwise(min_docs)
     return scratch.save("templates", counted.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("docs")).where(F.col("docs") >= least))

@@ -5,8 +5,9 @@ repeats them (stuuupid). A suspicious string becomes a lattice: at each position
 character, or nothing (separators, repeats). Viterbi decoding under a character trigram model finds the likeliest
 letters; the restored words are scored with the text's own.
 
-Learning reads every labelled row (held-out rows left out), in aggregations with partial sums. Rows with a common beginning
-or end count as one together: each weighs 1 / the rows of the larger of its two groups. Words and their beginnings (4 to 6
+Learning reads every labelled row (held-out rows left out), in aggregations with partial sums. Texts that are copies of one another
+as a whole (`line_dedup.groups`: exact ones, and near ones by verified sketches) count as one together: each row weighs 1 / the
+rows of its group. A common beginning, end or notice makes no copies. Words and their beginnings (4 to 6
 letters) get log-odds by label where toxic documents of weight `support` have them; the character model is trained on the
 words, the toxic ones weighted up; a logistic regression on three sums of log-odds, fitted across halves, gives the
 probability. Weights are summed as integers, so the model does not depend on the rows' order. It has at most `most`
@@ -20,7 +21,6 @@ or words that tell them apart, every score is 0; repeated rows are scored alike
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm.common import Scratch, tidy
-from pixelloom.llm.line_dedup import _joined
+from pixelloom.llm.line_dedup import _joined, groups, mark_of
 from pixelloom.llm.ngram_join import small
 
 #: A row's whole weight: parts of up to 16 equal rows are exact; thresholds bear SLACK for the rounding of others.
@@ -44,14 +44,23 @@ SLACK = ONE // 1000
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
 _SIGNS = re.escape("".join(LOOKALIKES))
 _WORD = re.compile(r"[^\W\d_]+")
-_LEET = re.compile(rf"(?=.*[^\W\d_])(?=.*[{_SIGNS}])[\w{_SIGNS}]{{3,24}}")
-_SPACED = re.compile(rf"(?<!\w)[^\W_](?:[ .\-_*~]{{1,2}}[^\W_]|[ .\-_*~]{{1,2}}[{_SIGNS}]){{2,24}}(?!\w)")
+_LEET = re.compile(rf"(?=.*[^\W\d_])(?=.*[{_SIGNS}])[\w{_SIGNS}]{{3,}}")
+_SPACED = re.compile(rf"(?<!\w)[^\W_](?:[ .\-_*~]{{1,2}}[^\W_]|[ .\-_*~]{{1,2}}[{_SIGNS}]){{2,}}(?!\w)")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
 _MORE = re.compile(r"([^\W\d_])\1{3,}")  # more repeats say no more than three
 _OUTSIDE = re.compile(rf"[^\w{_SIGNS}]+")
 _EDGES = ".,;:?\"'()[]"
 
 
+#: Longer runs are decoded in stretches of so many characters, each half over the one before.
+STRETCH = 48
+
+
+def stretches(text: str, size: int = STRETCH) -> list[str]:
+    """The whole text, or overlapping stretches of it."""
+    return [text] if len(text) <= size else [text[i : i + size] for i in range(0, len(text) - size // 2, size // 2)]
+
+
 def word_features(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) > n)]
 
@@ -144,10 +153,10 @@ class Tokens(dict):
             for part in () if plain else {core, *_OUTSIDE.split(token)}:
                 bare = _MORE.sub(r"\1\1\1", part)
                 if not bare.isalpha() and _LEET.fullmatch(bare):
-                    words += [decode(bare, self.model.chars), decode(bare.rstrip("!|$+"), self.model.chars)]
+                    words += [decode(x, self.model.chars) for x in (*stretches(bare), *stretches(bare.rstrip("!|$+")))]
             for word in list(words):
-                if _REPEATED.search(word) and len(word := _MORE.sub(r"\1\1\1", word)) <= 40:
-                    words.append(decode(word, self.model.chars))
+                if _REPEATED.search(word):
+                    words += [decode(x, self.model.chars) for x in stretches(_MORE.sub(r"\1\1\1", word))]
         found = tuple((w, v) for w in words if (v := self.model.best(w)) > 0)
         if found:
             self[token] = found
@@ -173,7 +182,7 @@ class Model:
         if self.chars.total:
             for m in _SPACED.finditer(text):
                 # a one-letter word of its own may stand before or after the spaced one
-                for part in (m[0], m[0][2:].lstrip(" .-_*~"), m[0][:-1].rstrip(" .-_*~")):
+                for part in (x for whole in (m[0], m[0][2:].lstrip(" .-_*~"), m[0][:-1].rstrip(" .-_*~")) for x in stretches(whole)):
                     word = decode(part, self.chars)
                     if (v := self.best(word)) > 0:
                         found[word] = v
@@ -214,38 +223,22 @@ def _words(text: str | None) -> list[str]:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, folds: int, held: int, id_col: str, text_col: str, most: int) -> DataFrame:
-    """text, toxic, start, end of every labelled row that is not held out; the last two are hashes of its first and last
-    eight words."""
+    """text, toxic, mark (the text's hash) of every labelled row that is not held out."""
     rows = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.crc32(F.col("doc_id").cast("string")) % folds != held)
     once = rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
-    found = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(small(once, most), "doc_id").select("text", "toxic")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = lambda words: int.from_bytes(hashlib.blake2b(" ".join(words).encode(), digest_size=8).digest(), "little", signed=True)
-        for batch in batches:
-            starts, ends = [], []
-            for text in batch.column(0):
-                words = _words(text.as_py())
-                starts.append(mark(words[:8]))
-                ends.append(mark(words[-8:]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["text", "toxic", "start", "end"])
-
-    return found.mapInArrow(tidy(run), "text string, toxic int, start long, end long")
+    text = F.coalesce(docs[text_col], F.lit(""))
+    return docs.select(docs[id_col].alias("doc_id"), text.alias("text")).join(small(once, most), "doc_id").select("text", "toxic", mark_of(F.col("text")).alias("mark"))
 
 
 def _weighted(train: DataFrame, scratch: Scratch, most: int) -> DataFrame:
-    """text, toxic, weight, half of the rows of _labelled: those with a common beginning or end weigh as much as one."""
-    pairs = scratch.save("pairs", train.groupBy("start", "end").agg(F.count("*").alias("n")))
-    sized = pairs
-    for name in ("start", "end"):
-        groups = pairs.groupBy(name).agg(F.sum("n").alias(f"by_{name}")).where(f"by_{name} > 1")
-        sized = _joined(sized, scratch.save(f"by-{name}", groups), name, "left", most)
-    larger = F.greatest("by_start", "by_end")  # nulls are skipped
-    weight = F.greatest(F.lit(1), F.round(F.lit(float(ONE)) / larger)).cast("long")
-    of_pair = F.xxhash64("start", "end")
-    shared = scratch.save("shared", sized.where(larger.isNotNull()).select(of_pair.alias("pair"), weight.alias("weight")))
-    rows = _joined(train.withColumn("pair", of_pair), shared, "pair", "left", most)
-    return rows.select("text", "toxic", F.coalesce("weight", F.lit(ONE)).alias("weight"), F.col("start").bitwiseAND(1).cast("int").alias("half"))
+    """text, toxic, weight, half of the rows of _labelled: those of one group of copies weigh as much as one, and are in one half."""
+    grouped = groups(train, scratch, most)
+    sizes = train.groupBy("mark").agg(F.count("*").alias("n")).join(grouped, "mark", "left").select("mark", "n", F.coalesce("low", "mark").alias("low"))
+    sizes = scratch.save("sizes", sizes)
+    totals = sizes.groupBy("low").agg(F.sum("n").alias("rows"))
+    weight = F.greatest(F.lit(1), F.round(F.lit(float(ONE)) / F.col("rows"))).cast("long")
+    weights = scratch.save("weights", sizes.join(totals, "low").select("mark", weight.alias("weight"), F.col("low").bitwiseAND(1).cast("int").alias("half")))
+    return _joined(train, weights, "mark", "inner", most).select("text", "toxic", "weight", "half")
 
 
 def _counts(rows: DataFrame, most: int = 100_000) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pixelloom.llm import hmm_lm, toxicity
 
@@ -199,9 +200,21 @@ def brute_learning(rows, labels):
     """Log-odds, sums of the character model and the regression's gradient at beta, from all rows at once."""
     words = {i: toxicity._WORD.findall((t or "").lower()) for i, t in rows}
     y = {i: k for i, k in labels if zlib.crc32(str(i).encode()) % 5}
-    starts, ends = (Counter(tuple(words[i][cut]) for i in y) for cut in (slice(8), slice(-8, None)))
-    weight = {i: 1 / max(starts[tuple(words[i][:8])], ends[tuple(words[i][-8:])]) for i in y}
-    half = {i: hashlib.blake2b(" ".join(words[i][:8]).encode(), digest_size=8).digest()[0] & 1 for i in y}
+    # groups of exact Jaccard similarity 0.8 or more; fixtures have no others above 0.5
+    texts = dict(rows)
+    mark = {i: int(hashlib.md5((texts[i] or "").encode()).hexdigest()[:15], 16) for i in y}
+    sets = {mark[i]: frozenset(zip(*(words[i][k:] for k in range(5)), strict=False)) for i in y}
+    low, having = {m: m for m in sets}, {}
+    for m, s in sets.items():
+        for x in s:
+            having.setdefault(x, []).append(m)
+    pairs = [(m, o) for m, s in sets.items() for o, n in Counter(o for x in s for o in having[x] if o < m).items() if 5 * n >= 4 * (len(s) + len(sets[o]) - n)]
+    for _ in range(4):
+        for m, o in pairs:
+            low[m] = low[o] = min(low[m], low[o])
+    size = Counter(low[mark[i]] for i in y)
+    weight = {i: 1 / size[low[mark[i]]] for i in y}
+    half = {i: low[mark[i]] & 1 for i in y}
 
     def odds(ids):
         n, have = [sum(weight[i] for i in ids if y[i] == k) for k in (0, 1)], (Counter(), Counter())
@@ -212,7 +225,6 @@ def brute_learning(rows, labels):
         return {f: v for f, v in found.items() if v >= 2}
 
     weights, parts = odds(list(y)), [toxicity.Model(odds([i for i in y if half[i] == h]), toxicity.CharModel(), []) for h in (0, 1)]
-    texts = dict(rows)
     x = np.array([(1.0, *parts[1 - half[i]].evidence(texts[i])) for i in y])
     counts = Counter()
     for i in y:
@@ -255,6 +267,40 @@ def test_every_labelled_row_is_learned(spark, docs_of, prose, copies):
     assert np.abs(slope(beta)[[True, *(beta[1:] > 0)]]).max() < 1e-3
 
 
+@pytest.mark.parametrize(("head", "foot", "toxic_only"), [(12, 0, False), (0, 12, False), (30, 30, False), (0, 12, True)])
+def test_common_beginnings_and_ends_are_no_copies(spark, docs_of, labelled, prose, head, foot, toxic_only):
+    rows, labels = labelled
+    bad = {i for i, k in labels if k}
+    rows = [(i, t if toxic_only and i not in bad else f"{prose(head, 1)} {t} {prose(foot, 2)}") for i, t in rows]
+    out = {r.doc_id: r for r in toxicity.judged(docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [(out[i].predicted, k) for i, k in labels if out[i].held_out]
+    assert sum(p == k for p, k in held) >= 0.97 * len(held)
+
+
+@pytest.mark.parametrize("where", ["head", "foot"])
+def test_site_notices_on_given_documents(spark, where):
+    """sf0.1's labelled rows with one line before or after every text: as good as without."""
+    sf = "/root/testdata/sf0.1"
+    line = "This site is run by the harbour council and its friends all rights are theirs alone"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    new = F.concat_ws("\n", *([F.lit(line), "text"] if where == "head" else ["text", F.lit(line)]))
+    out = toxicity.judged(docs.withColumn("text", new).repartition(8), labels).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    found = {(r.toxic, r.predicted): r["count"] for r in out}
+    assert found[1, 1] >= 85 and found.get((0, 1), 0) <= 2
+
+
+def test_long_runs_are_decoded(spark, docs_of, labelled, prose):
+    rows, labels = labelled
+    model = toxicity.learned(docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    long = ["x1" * 40 + "_" + "1d10t", "1" * 3 + "m0r0n" + "zq" * 60, " ".join("qz" * 30 + "idiot" + "xy" * 20), "w" * 30 + "idiooot"]
+    assert all(model.evidence(f"{prose(20, 3)} {t}")[0] >= 0 for t in long)
+    for n in (10, 48, 49, 71, 72, 73, 500):
+        parts = toxicity.stretches("".join(chr(65 + i % 50) for i in range(n)))
+        assert all(len(p) <= 48 for p in parts) and sum(map(len, parts)) >= n
+        assert all(any("".join(chr(65 + j % 50) for j in range(i, i + 20)) in p for p in parts) for i in range(n - 19))
+
+
 def test_repeated_tables_are_learned_alike(spark, docs_of, labelled):
     rows, labels = labelled
     table = spark.createDataFrame(labels, "doc_id long, toxic int")
