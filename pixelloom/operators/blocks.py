@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.model import Rasters
-from pixelloom.operators import grid
+from pixelloom.operators import boxes, grid
 
 
 def _lit(x: float) -> Column:
@@ -78,14 +78,14 @@ def extents(local: DataFrame) -> DataFrame:
 
 
 def _maps(local: DataFrame, bands: tuple[str, ...]) -> DataFrame:
-    """image, brow, bcol, l_<band>, r_<band>: both maps of an image within its block rectangle. Its size is images x
-    blocks, whatever the number of pixels."""
+    """image, brow, bcol, l_<band>, r_<band>: both maps of an image within its block rectangle, by equi-joins."""
     ref = reference(local)
-    inside = (F.col("brow") >= F.col("row_min")) & (F.col("brow") < F.col("row_max")) & (F.col("bcol") >= F.col("col_min")) & (F.col("bcol") < F.col("col_max"))
+    # each image's own rectangle, cell by cell: its size is that of the rectangle, whatever the canvas holds
+    cells = extents(local).withColumn("brow", F.explode(F.sequence("row_min", F.col("row_max") - 1))).withColumn("bcol", F.explode(F.sequence("col_min", F.col("col_max") - 1)))
     pick = lambda name, b, c: F.max(F.when(F.col("band") == b, F.col(c))).alias(f"{name}_{b}")
     wide_ref = ref.groupBy("brow", "bcol").agg(*(pick("r", b, "mean") for b in bands))
     wide_local = local.groupBy("image", "brow", "bcol").agg(*(pick("l", b, "mean") for b in bands))
-    return wide_ref.join(extents(local)).where(inside).select("image", "brow", "bcol", *(f"r_{b}" for b in bands)).join(wide_local, ["image", "brow", "bcol"], "left")
+    return cells.select("image", "brow", "bcol").join(wide_ref, ["brow", "bcol"]).join(wide_local, ["image", "brow", "bcol"], "left")
 
 
 def interpolated(r: Rasters, local: DataFrame, canvas: Canvas) -> DataFrame:
@@ -140,7 +140,7 @@ def match_loaded(loaded: DataFrame, images: list[str]) -> DataFrame:
     its own; maps of no image stay, as they count in the reference. loaded has image, band, brow, bcol, mean, pos."""
     maps = loaded.select("image", "pos").distinct()
     wanted = loaded.sparkSession.createDataFrame([(i,) for i in images], "own string")
-    fit = maps.join(wanted, F.col("image").contains(F.col("own"))).groupBy("own").agg(F.max_by("image", "pos").alias("image"))
+    fit = maps.join(boxes.containing(maps, "image", wanted, "own"), "image").groupBy("own").agg(F.max_by("image", "pos").alias("image"))
     return loaded.join(fit, "image", "left").select(F.coalesce("own", "image").alias("image"), "band", "brow", "bcol", "mean")
 
 

@@ -1,4 +1,4 @@
-"""Planar geometry on the driver, by the JTS library that Spark's JVM brings: for footprints and small layers only."""
+"""Planar geometry on the driver, by the JTS library that Spark's JVM brings: for footprints only."""
 
 from __future__ import annotations
 
@@ -55,14 +55,3 @@ class Jts:
         noded = polygon.getBoundary().union(cut)
         inner = lambda piece: polygon.contains(piece.getInteriorPoint())
         return [p for p in self.polygonized([noded]) if inner(p)]
-
-
-def _plain(rings) -> list[list[tuple[float, float]]]:
-    return [[(p[0], p[1]) for p in ring] for ring in rings]
-
-
-def intersection_rows(spark: SparkSession, a, b) -> list[list[list[tuple[float, float]]]]:
-    """The rings of each polygon that both have in common."""
-    j = Jts(spark)
-    shared = j.polygon(_plain(a)).intersection(j.polygon(_plain(b)))
-    return [j.rings(p) for p in j.parts(shared) if p.getGeometryType() == "Polygon" and p.getArea() > 0]

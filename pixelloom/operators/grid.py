@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.operators import boxes
+
 
 def windows(width: int, height: int, tile_width: int, tile_height: int) -> list[tuple[int, int, int, int]]:
     """(column, row, width, height) of the tiles, row by row; those at the edges are clipped."""
@@ -43,13 +45,9 @@ def bounds(scenes: DataFrame) -> DataFrame:
 
 
 def overlaps(scenes: DataFrame) -> DataFrame:
-    """image_i, image_j (by name, i < j) and the rectangle they share; touching edges do not count. A theta join of the
-    catalogue alone: it has a row per image."""
-    a, b = bounds(scenes).alias("a"), bounds(scenes).alias("b")
-    meet = (F.col("a.image") < F.col("b.image")) & (F.col("a.left") < F.col("b.right")) & (F.col("a.right") > F.col("b.left")) & (F.col("a.bottom") < F.col("b.top")) & (F.col("a.top") > F.col("b.bottom"))
-    return a.join(b, meet).select(
-        F.col("a.image").alias("image_i"), F.col("b.image").alias("image_j"), F.greatest("a.left", "b.left").alias("x_min"), F.least("a.right", "b.right").alias("x_max"), F.greatest("a.bottom", "b.bottom").alias("y_min"), F.least("a.top", "b.top").alias("y_max")
-    )
+    """image_i, image_j (by name, i < j) and the rectangle they share; touching edges do not count. An equi-join of grid cells."""
+    b = bounds(scenes).drop("ord")
+    return boxes.meeting(b.withColumnRenamed("image", "image_i"), b.withColumnRenamed("image", "image_j")).where("image_i < image_j")
 
 
 def overlap_windows(scenes: DataFrame) -> DataFrame:

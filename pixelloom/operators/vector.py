@@ -6,7 +6,10 @@ even-odd rule, so a hole is a ring inside another.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +17,9 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions.expressions import bands_of, to_column
 from pixelloom.model import Rasters
-from pixelloom.operators import grid
-from pixelloom.operators.components import components, tile_components
+from pixelloom.operators import boxes, grid, spans
+from pixelloom.operators.clipping import shared
+from pixelloom.operators.components import components, saved, tile_components
 
 FEATURES = "layer string, feature_id long, props map<string,string>, rings array<array<struct<x:double,y:double>>>"
 
@@ -37,24 +41,31 @@ def edges(features: DataFrame) -> DataFrame:
     )
 
 
-def matching(features: DataFrame, scenes: DataFrame, field: str | None) -> DataFrame:
-    """image with each of its features: all, or those whose field contains the image's name. Both sides are small."""
-    images = scenes.select("image")
-    if field is None:
-        return features.join(images)
-    return features.join(images, F.element_at("props", field).contains(F.col("image")))
+def matching(features: DataFrame, scenes: DataFrame, field: str) -> DataFrame:
+    """image with each value of the field that contains its name."""
+    values = features.select(F.element_at("props", field).alias("value"))
+    return boxes.containing(values, "value", scenes.select("image"), "image")
+
+
+def _near(features: DataFrame, scenes: DataFrame, field: str | None) -> DataFrame:
+    """image, its scene and feature (layer, feature_id, rings) of the features whose boxes meet the image's, of those that the field gives it."""
+    xs, ys = F.transform(F.flatten("rings"), lambda p: p["x"]), F.transform(F.flatten("rings"), lambda p: p["y"])
+    own = features.select("layer", "feature_id", "rings", *([F.element_at("props", field).alias("value")] if field else []), F.array_min(xs).alias("left"), F.array_min(ys).alias("bottom"), F.array_max(xs).alias("right"), F.array_max(ys).alias("top"))
+    # the boxes alone are dealt to cells; rings follow those that meet
+    boxed = own.drop("rings").where("left IS NOT NULL")
+    near = boxes.meeting(boxed, grid.bounds(scenes).drop("ord"), touch=True).drop("x_min", "x_max", "y_min", "y_max").distinct()
+    if field:
+        near = near.join(matching(features, scenes, field), ["image", "value"]).drop("value")
+    return near.join(features.select("layer", "feature_id", "rings"), ["layer", "feature_id"])
 
 
 def inside(r: Rasters, features: DataFrame, field: str | None = None, touched: bool = False) -> DataFrame:
     """image, prow, pcol of the pixels whose centre is in a feature; with `touched` also those that an edge crosses.
 
-    Each edge is cut by the scan lines of the image: per (image, row, feature) the sorted crossings. A pixel is inside
-    where an odd number of them lies to its right: an equi-join by row, not a join of pixels with edges."""
-    mine = matching(features, r.scenes, field)
-    # what cannot meet the image is not cut into scan lines
-    xs, ys = F.transform(F.flatten("rings"), lambda p: p["x"]), F.transform(F.flatten("rings"), lambda p: p["y"])
-    b = grid.bounds(r.scenes).drop("ord")
-    mine = mine.join(b, "image").where((F.array_min(xs) <= F.col("right")) & (F.array_max(xs) >= F.col("left")) & (F.array_min(ys) <= F.col("top")) & (F.array_max(ys) >= F.col("bottom")))
+    Each edge is cut by the scan lines of the image: per (image, row, feature) the sorted crossings, in pairs, are stretches of
+    columns inside the feature. Stretches of all features become bits, so a pixel looks at one row of bits, however many
+    features there are on its row."""
+    mine = _near(features, r.scenes, field)
     e = edges(mine.select(F.col("image").alias("layer"), F.xxhash64("layer", "feature_id").alias("feature_id"), "rings")).withColumnRenamed("layer", "image")
     g = e.join(r.scenes.select("image", "x0", "y0", "res_x", "res_y", "width", "height"), "image")
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
@@ -64,12 +75,14 @@ def inside(r: Rasters, features: DataFrame, field: str | None = None, touched: b
     lines = g.withColumn("first", first).withColumn("last", last).where("first <= last and y1 <> y2").withColumn("prow", F.explode(F.sequence("first", "last")))
     yc = F.col("y0") - (F.col("prow") + F.lit(0.5)) * F.col("res_y")
     crossing = lines.withColumn("yc", yc).where((F.col("yc") >= low) & (F.col("yc") < high)).withColumn("x", F.col("x1") + (F.col("yc") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1")))
-    cuts = crossing.groupBy("image", "prow", "feature_id").agg(F.sort_array(F.collect_list("x")).alias("xs"))  # as many as edges on the row
-    spans = cuts.groupBy("image", "prow").agg(F.collect_list("xs").alias("all"))
-    p = r.world().select("image", "prow", "pcol", "cx")
-    hit = F.exists("all", lambda xs: F.size(F.filter(xs, lambda x: x > F.col("cx"))) % 2 == 1)
-    found = p.join(spans, ["image", "prow"]).where(hit).select("image", "prow", "pcol")
-    return found if not touched else found.union(crossed(g).join(p, ["image", "prow", "pcol"], "left_semi").select("image", "prow", "pcol")).distinct()
+    # the columns whose centres are at or right of a crossing begin here
+    crossing = crossing.withColumn("col", F.greatest(F.lit(0), F.least(F.col("width"), F.ceil((F.col("x") - F.col("x0")) / F.col("res_x") - F.lit(0.5)).cast("int"))))
+    cuts = crossing.groupBy("image", "prow", "feature_id").agg(F.sort_array(F.collect_list("col")).alias("cols"))  # as many as a feature's edges on the row
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("cols") / 2).cast("int") - 1), lambda i: F.struct(F.get("cols", 2 * i).alias("first"), (F.get("cols", 2 * i + 1) - 1).alias("last")))
+    found = spans.words(cuts.where("size(cols) > 1").select("image", "prow", F.inline(pairs)))
+    p = r.pixels.select("image", "prow", "pcol")
+    hit = spans.within(p, found)
+    return hit if not touched else hit.union(crossed(g).join(p, ["image", "prow", "pcol"], "left_semi").select("image", "prow", "pcol")).distinct()
 
 
 def crossed(g: DataFrame) -> DataFrame:
@@ -214,14 +227,24 @@ def polygons(r: Rasters, cells: DataFrame, layer: str = "mask", dissolve: bool =
 
 
 def buffered(r: Rasters, cells: DataFrame, distance: float) -> DataFrame:
-    """image, prow, pcol of the pixels whose centre is within the distance of a true cell: exact discs around cells,
-    by adding the offsets that reach so far."""
+    """image, prow, pcol of the pixels whose cell is within the distance of a true cell's centre line: exact discs around cells. A cell gives
+    one stretch a row that its disc reaches; stretches are united as bits."""
     res = r.scenes.agg(F.min("res_x").alias("x"), F.min("res_y").alias("y")).first()
-    nr, nc = int(distance // res["y"]) + 1, int(distance // res["x"]) + 1
-    reach = [(i, j) for i in range(-nr, nr + 1) for j in range(-nc, nc + 1) if (max(abs(i) - 0.5, 0) * res["y"]) ** 2 + (max(abs(j) - 0.5, 0) * res["x"]) ** 2 <= distance**2]
-    step = F.inline(F.array(*(F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i, j in reach)))
-    grown = cells.select("image", "prow", "pcol", step).select("image", (F.col("prow") + F.col("dr")).alias("prow"), (F.col("pcol") + F.col("dc")).alias("pcol")).distinct()
-    return grown.join(r.scenes.select("image", "width", "height"), "image").where("prow >= 0 and pcol >= 0 and prow < height and pcol < width").select("image", "prow", "pcol")
+    nr = int(distance // res["y"]) + 1
+    reach = []
+    for i in range(nr + 1):
+        rest = distance**2 - (max(i - 0.5, 0) * res["y"]) ** 2
+        if rest < 0:
+            break
+        j = int(math.sqrt(rest) / res["x"] + 0.5) + 1
+        while j and (max(i - 0.5, 0) * res["y"]) ** 2 + (max(j - 0.5, 0) * res["x"]) ** 2 > distance**2:
+            j -= 1
+        reach.append(j)
+    wide = F.array(*map(F.lit, reach))
+    rows = cells.select("image", "prow", "pcol", F.explode(F.sequence(F.lit(1 - len(reach)), F.lit(len(reach) - 1))).alias("_up"))
+    rows = rows.select("image", (F.col("prow") + F.col("_up")).alias("prow"), "pcol", F.get(wide, F.abs("_up")).alias("_w")).join(r.scenes.select("image", "width", "height"), "image").where("prow >= 0 and prow < height")
+    found = spans.words(rows.select("image", "prow", F.greatest(F.lit(0), F.col("pcol") - F.col("_w")).alias("first"), F.least(F.col("width") - 1, F.col("pcol") + F.col("_w")).alias("last")))
+    return spans.cells(found)
 
 
 def merge_keep(layers: dict[str, DataFrame], name_attribute: str | None = None) -> DataFrame:
@@ -242,18 +265,37 @@ def merge_union(layers: dict[str, DataFrame], name_attribute: str | None = None,
     return out
 
 
-def merge_intersection(layers: dict[str, DataFrame]) -> DataFrame:
-    """The parts that features of all layers share, by successive overlays; properties that an earlier layer has win.
-    Geometries are clipped by the JTS library of Spark's own JVM, on the driver: layers are small."""
-    from pixelloom.operators.geometry import intersection_rows
+def _boxed(layer: DataFrame, name: str) -> DataFrame:
+    xs, ys = F.transform(F.flatten("rings"), lambda p: p["x"]), F.transform(F.flatten("rings"), lambda p: p["y"])
+    return layer.select(F.col("feature_id").alias(name), F.array_min(xs).alias("left"), F.array_min(ys).alias("bottom"), F.array_max(xs).alias("right"), F.array_max(ys).alias("top")).where("left IS NOT NULL")
 
+
+def merge_intersection(layers: dict[str, DataFrame]) -> DataFrame:
+    """The parts that features of all layers share, by successive overlays; properties that an earlier layer has win. Pairs come from an
+    equi-join of the boxes' grid cells; each pair is clipped in a task by a sweep. A part that splits and joins comes in
+    several features, none of which overlap."""
     names = list(layers)
-    spark = layers[names[0]].sparkSession
-    rows = [(r["props"] or {}, r["rings"]) for r in layers[names[0]].orderBy("feature_id").collect()]
+    rows = layers[names[0]].select(F.xxhash64("layer", "feature_id").alias("feature_id"), "props", "rings")
     for name in names[1:]:
-        other = [(r["props"] or {}, r["rings"]) for r in layers[name].orderBy("feature_id").collect()]
-        rows = [({**q, **p}, rings) for p, a in rows for q, b in other for rings in intersection_rows(spark, a, b)]
-    return feature_table(spark, [("intersection", i, p, [[tuple(v) for v in ring] for ring in rings]) for i, (p, rings) in enumerate(rows)])
+        other = layers[name].select(F.xxhash64("layer", "feature_id").alias("feature_id"), "props", "rings")
+        pairs = boxes.meeting(_boxed(rows, "one"), _boxed(other, "two")).select("one", "two").distinct()
+        as_side = lambda df, key, x: df.select(F.col("feature_id").alias(key), F.coalesce("props", F.create_map().cast("map<string,string>")).alias(f"props_{x}"), F.col("rings").alias(f"rings_{x}"))
+        both = pairs.join(as_side(rows, "one", "a"), "one").join(as_side(other, "two", "b"), "two")
+        mixed = F.map_concat(F.map_filter("props_b", lambda k, _: ~F.map_contains_key("props_a", k)), "props_a")
+        rows = both.select("one", "two", mixed.alias("props"), "rings_a", "rings_b").mapInPandas(_clipped, "feature_id long, props map<string,string>, rings array<array<struct<x:double,y:double>>>")
+        rows = saved(rows)
+    return rows.select(F.lit("intersection").alias("layer"), "feature_id", "props", "rings")
+
+
+def _clipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    plain = lambda rings: [[(p["x"], p["y"]) for p in ring] for ring in rings]
+    for batch in batches:
+        out = []
+        for row in batch.itertuples():
+            for k, ring in enumerate(shared(plain(row.rings_a), plain(row.rings_b))):
+                number = int.from_bytes(hashlib.blake2b(f"{row.one}/{row.two}/{k}".encode(), digest_size=8).digest(), "little", signed=True)
+                out.append((number, dict(row.props), [[{"x": x, "y": y} for x, y in ring]]))
+        yield pd.DataFrame(out, columns=["feature_id", "props", "rings"])
 
 
 def merge(layers: dict[str, DataFrame], method: str, name_attribute: str | None = None, separator: str = ", ") -> DataFrame:

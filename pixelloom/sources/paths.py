@@ -9,6 +9,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelloom.operators import boxes
+
 
 def search(folder: str, pattern: str, recursive: bool = False, match_to: tuple[list[str], str] | None = None) -> list[str]:
     """Sorted; match_to (references, regex) aligns the result with a list of references."""
@@ -69,11 +71,12 @@ def create_column(folder: str, template: str, ref: Column, symbol: str = "$") ->
 
 
 def match_table(candidates: DataFrame, references: DataFrame, regex: str) -> DataFrame:
-    """The same on tables (pos, path): ref_pos, ref, path. Catalogues are small; the theta join is on names."""
+    """The same on tables (pos, path): ref_pos, ref, path. Names are joined by rare stretches of the keys, not by a nested loop."""
     name = lambda c: F.regexp_extract(c, r"([^\\/]*)$", 1)
     group = 1 if re.compile(regex).groups else 0
     keyed = candidates.where(name(F.col("path")).rlike(regex)).select("pos", "path", F.regexp_extract(name(F.col("path")), regex, group).alias("key"))
     keys = keyed.groupBy("key").agg(F.min("pos").alias("first"), F.max_by("path", "pos").alias("path"))
     refs = references.select(F.col("pos").alias("ref_pos"), F.col("path").alias("ref"))
-    fit = refs.join(keys, name(F.col("ref")).contains(F.col("key")), "left")
+    refs = refs.withColumn("name", name(F.col("ref")))
+    fit = refs.join(boxes.containing(refs, "name", keys, "key").join(keys, "key"), "name", "left")
     return fit.groupBy("ref_pos", "ref").agg(F.min_by("path", "first").alias("path"))
