@@ -11,7 +11,7 @@ from pixelloom.functions import expressions
 from pixelloom.model import Rasters
 from pixelloom.operators import blocks, clouds, grid, regression, restructure, seamline, stats, vector
 from pixelloom.sources import paths, tables
-from pixelloom.sources.scenes import BANDS, catalogue, scenes, side_of
+from pixelloom.sources.scenes import BANDS, catalogue, footprints, layers, scenes, side_of
 
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
@@ -69,19 +69,25 @@ def _layer(spark: SparkSession, rings: list, props: dict | None = None, layer: s
 # grid
 
 
-@query("SELECT a.image AS image_i, b.image AS image_j, greatest(a.x0,b.x0) AS x_min, least(a.x0+32,b.x0+32) AS x_max, greatest(a.y0-32,b.y0-32) AS y_min, least(a.y0,b.y0) AS y_max FROM scenes a JOIN scenes b ON a.image<b.image AND a.x0<b.x0+32 AND a.x0+32>b.x0 AND a.y0-32<b.y0 AND a.y0>b.y0-32")
+FOOTPRINTS = """fp AS (SELECT 'p' || p_partkey AS image, CAST(p_partkey AS INT) AS ord, CAST(p_partkey // 40 * 15 + p_size % 7 AS DOUBLE) AS x0, CAST(p_partkey % 40 * 20 + 8 + p_partkey % 40 AS DOUBLE) AS y0,
+ CAST(8 + p_size AS INT) AS width, CAST(8 + p_partkey % 40 AS INT) AS height FROM part),
+ol AS (SELECT a.image AS image_i, b.image AS image_j, a.x0 AS ax, a.y0 AS ay, greatest(a.x0,b.x0) AS x_min, least(a.x0+a.width,b.x0+b.width) AS x_max, greatest(a.y0-a.height,b.y0-b.height) AS y_min, least(a.y0,b.y0) AS y_max
+ FROM fp a JOIN fp b ON a.image<b.image AND a.x0<b.x0+b.width AND a.x0+a.width>b.x0 AND a.y0-a.height<b.y0 AND a.y0>b.y0-b.height)"""
+
+
+@query("SELECT image_i, image_j, x_min, x_max, y_min, y_max FROM ol", FOOTPRINTS)
 def scene_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.overlaps(catalogue(spark))
+    return grid.overlaps(footprints(spark, sf_dir))
 
 
-@query("SELECT a.image AS image_i, b.image AS image_j, CAST(a.y0-least(a.y0,b.y0) AS INT) AS row_min, CAST(a.y0-greatest(a.y0-32,b.y0-32) AS INT) AS row_max, CAST(greatest(a.x0,b.x0)-a.x0 AS INT) AS col_min, CAST(least(a.x0+32,b.x0+32)-a.x0 AS INT) AS col_max FROM scenes a JOIN scenes b ON a.image<b.image AND a.x0<b.x0+32 AND a.x0+32>b.x0 AND a.y0-32<b.y0 AND a.y0>b.y0-32")
+@query("SELECT image_i, image_j, CAST(ay-y_max AS INT) AS row_min, CAST(ay-y_min AS INT) AS row_max, CAST(x_min-ax AS INT) AS col_min, CAST(x_max-ax AS INT) AS col_max FROM ol", FOOTPRINTS)
 def overlap_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.overlap_windows(catalogue(spark))
+    return grid.overlap_windows(footprints(spark, sf_dir))
 
 
-@query("SELECT min(x0) AS x_min, min(y0-32) AS y_min, max(x0+32) AS x_max, max(y0) AS y_max, 1e0 AS res_x, 1e0 AS res_y, CAST(max(x0+32)-min(x0) AS INT) AS width, CAST(max(y0)-min(y0-32) AS INT) AS height FROM scenes")
+@query("SELECT min(x0) AS x_min, min(y0-height) AS y_min, max(x0+width) AS x_max, max(y0) AS y_max, 1e0 AS res_x, 1e0 AS res_y, CAST(max(x0+width)-min(x0) AS INT) AS width, CAST(max(y0)-min(y0-height) AS INT) AS height FROM fp", FOOTPRINTS)
 def union_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.extent(catalogue(spark))
+    return grid.extent(footprints(spark, sf_dir))
 
 
 @query("SELECT image, CAST(floor(prow/10e0) AS INT) AS tile_row, CAST(floor(pcol/12e0) AS INT) AS tile_col, count(*) AS n FROM g GROUP BY 1,2,3")
@@ -90,15 +96,16 @@ def tile_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenes(spark, sf_dir).pixels.groupBy("image", row.alias("tile_row"), col.alias("tile_col")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT image, CAST(r AS INT) AS tile_row, CAST(c AS INT) AS tile_col, CAST(r*10 AS INT) AS row_off, CAST(c*12 AS INT) AS col_off, CAST(least(10,32-r*10) AS INT) AS \"rows\", CAST(least(12,32-c*12) AS INT) AS cols FROM scenes, (VALUES (0),(1),(2),(3)) a(r), (VALUES (0),(1),(2)) b(c)")
+@query("SELECT image, CAST(r AS INT) AS tile_row, CAST(c AS INT) AS tile_col, CAST(r*10 AS INT) AS row_off, CAST(c*12 AS INT) AS col_off, CAST(least(10,height-r*10) AS INT) AS \"rows\", CAST(least(12,width-c*12) AS INT) AS cols FROM (SELECT *, unnest(range((width+11)//12)) AS c FROM (SELECT *, unnest(range((height+9)//10)) AS r FROM fp) a) b", FOOTPRINTS)
 def tile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.tile_table(catalogue(spark), (12, 10))
+    return grid.tile_table(footprints(spark, sf_dir), (12, 10))
 
 
-@query("SELECT CAST(count(*) AS INT) AS images, 1 AS crs, 1 AS dtypes, 1 AS nodatas, 1 AS resolutions FROM scenes")
+@query("SELECT CAST(count(*) AS INT) AS images, 1 AS crs, 1 AS dtypes, 1 AS nodatas, 1 AS resolutions FROM fp", FOOTPRINTS)
 def catalog_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid.require(catalogue(spark), resolution=True)
-    return grid.compatibility(catalogue(spark))
+    found = footprints(spark, sf_dir)
+    grid.require(found, resolution=True)
+    return grid.compatibility(found)
 
 
 # statistics and regression
@@ -362,8 +369,8 @@ def polygon_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.buffered(r, cells, 2.5)
 
 
-def _layers(spark: SparkSession) -> dict[str, DataFrame]:
-    return {"one": _layer(spark, vector.box(0, 0, 5, 5), {"id": "1"}, "one"), "two": _layer(spark, vector.box(1, 1, 6, 6), {"id": "2", "kind": "x"}, "two")}
+LAYERS = """one AS (SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(p_partkey%100*10 AS DOUBLE) AS x_min, CAST(p_partkey//100*10 AS DOUBLE) AS y_min, CAST(p_partkey%100*10+4+p_size%9 AS DOUBLE) AS x_max, CAST(p_partkey//100*10+7 AS DOUBLE) AS y_max FROM part),
+two AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS kind, CAST(c_custkey%100*10+c_nationkey%7 AS DOUBLE) AS x_min, CAST(c_custkey//100*10+c_custkey%5 AS DOUBLE) AS y_min, CAST(c_custkey%100*10+c_nationkey%7+6 AS DOUBLE) AS x_max, CAST(c_custkey//100*10+c_custkey%5+3 AS DOUBLE) AS y_max FROM customer)"""
 
 
 def _boxes(df: DataFrame, *props: str) -> DataFrame:
@@ -372,19 +379,19 @@ def _boxes(df: DataFrame, *props: str) -> DataFrame:
     return df.select(*(F.element_at("props", k).alias(k) for k in props), F.array_min(xs).alias("x_min"), F.array_min(ys).alias("y_min"), F.array_max(xs).alias("x_max"), F.array_max(ys).alias("y_max"))
 
 
-@query("SELECT * FROM (VALUES ('1','one',0e0,0e0,5e0,5e0),('2','two',1e0,1e0,6e0,6e0)) AS t(id,source,x_min,y_min,x_max,y_max)", "")
+@query("SELECT id, 'one' AS source, x_min, y_min, x_max, y_max FROM one UNION ALL SELECT id, 'two', x_min, y_min, x_max, y_max FROM two", LAYERS)
 def merge_vectors_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _boxes(vector.merge(_layers(spark), "keep", "source"), "id", "source")
+    return _boxes(vector.merge(layers(spark, sf_dir), "keep", "source"), "id", "source")
 
 
-@query("SELECT * FROM (VALUES ('1','one, two',0e0,0e0,5e0,5e0),('2','one, two',1e0,1e0,6e0,6e0)) AS t(id,source,x_min,y_min,x_max,y_max)", "")
+@query("SELECT id, 'one, two' AS source, x_min, y_min, x_max, y_max FROM one UNION ALL SELECT id, 'one, two', x_min, y_min, x_max, y_max FROM two", LAYERS)
 def merge_vectors_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _boxes(vector.merge(_layers(spark), "union", "source"), "id", "source")
+    return _boxes(vector.merge(layers(spark, sf_dir), "union", "source"), "id", "source")
 
 
-@query("SELECT * FROM (VALUES ('1','x',1e0,1e0,5e0,5e0)) AS t(id,kind,x_min,y_min,x_max,y_max)", "")
+@query("SELECT a.id, b.kind, greatest(a.x_min,b.x_min) AS x_min, greatest(a.y_min,b.y_min) AS y_min, least(a.x_max,b.x_max) AS x_max, least(a.y_max,b.y_max) AS y_max FROM one a JOIN two b ON a.x_min<b.x_max AND a.x_max>b.x_min AND a.y_min<b.y_max AND a.y_max>b.y_min", LAYERS)
 def merge_vectors_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _boxes(vector.merge(_layers(spark), "intersection"), "id", "kind")
+    return _boxes(vector.merge(layers(spark, sf_dir), "intersection"), "id", "kind")
 
 
 # restructuring
@@ -424,9 +431,9 @@ def align_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(Rasters(out.pixels.where("abs(b1_weight) > 0.5"), target, ("b1",)), 5)
 
 
-@query("SELECT image, ord, floor(x0/3e0)*3e0 AS x0, ceil(y0/3e0)*3e0 AS y0, 3e0 AS res_x, 3e0 AS res_y, CAST((ceil((x0+32)/3e0)*3e0-floor(x0/3e0)*3e0)/3e0 AS INT) AS width, CAST((ceil(y0/3e0)*3e0-floor((y0-32)/3e0)*3e0)/3e0 AS INT) AS height FROM scenes")
+@query("SELECT image, ord, floor(x0/3e0)*3e0 AS x0, ceil(y0/3e0)*3e0 AS y0, 3e0 AS res_x, 3e0 AS res_y, CAST((ceil((x0+width)/3e0)*3e0-floor(x0/3e0)*3e0)/3e0 AS INT) AS width, CAST((ceil(y0/3e0)*3e0-floor((y0-height)/3e0)*3e0)/3e0 AS INT) AS height FROM fp", FOOTPRINTS)
 def align_tap_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return restructure.snapped(catalogue(spark), 3.0, 3.0).select("image", "ord", "x0", "y0", "res_x", "res_y", "width", "height")
+    return restructure.snapped(footprints(spark, sf_dir), 3.0, 3.0).select("image", "ord", "x0", "y0", "res_x", "res_y", "width", "height")
 
 
 @query("SELECT CAST(48e0-y0+prow AS INT) AS prow, CAST(x0+pcol AS INT) AS pcol, arg_max(b1,ord) AS b1, arg_max(b2,ord) AS b2, arg_max(b3,ord) AS b3 FROM g GROUP BY 1,2")

@@ -33,3 +33,29 @@ def scenes(spark: SparkSession, sf_dir: str, side: int | None = None, places: tu
     there = items.where(((7 * F.col("prow") + F.col("pcol")) % 11 != 0) & ~((F.col("prow") < side // 4) & (F.col("pcol") < side // 4)))
     pixels = there.groupBy("image", "prow", "pcol").agg(F.max("l_quantity").alias("b1"), F.max("l_extendedprice").alias("b2"), F.max("l_discount").alias("b3"))
     return Rasters(pixels, catalogue(spark, side, places), BANDS)
+
+
+def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue of as many images as there are parts: each overlaps some neighbours, however large the table is."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    height = (F.lit(8) + key % 40).cast("int")
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("p"), key.cast("string")).alias("image"), key.cast("int").alias("ord"), (F.floor(key / 40) * 15 + size % 7).cast("double").alias("x0"), ((key % 40) * 20 + height).cast("double").alias("y0"),
+        F.lit(1.0).alias("res_x"), F.lit(1.0).alias("res_y"), (F.lit(8) + size).cast("int").alias("width"), height.alias("height"), F.lit("float64").alias("dtype"), F.lit(None).cast("double").alias("nodata"), F.lit("EPSG:3857").alias("crs"),
+    )
+
+
+def box_layer(rows: DataFrame, layer: str, props: dict) -> DataFrame:
+    """Features of rows with id, left, bottom, right, top."""
+    corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    ring = F.array(corner("left", "bottom"), corner("right", "bottom"), corner("right", "top"), corner("left", "top"), corner("left", "bottom"))
+    pairs = [x for k, v in props.items() for x in (F.lit(k), v)]
+    return rows.select(F.lit(layer).alias("layer"), F.col("id").cast("long").alias("feature_id"), F.create_map(*pairs).alias("props"), F.array(ring).alias("rings"))
+
+
+def layers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Two layers of boxes, of the parts and of the customers, on a plane that grows with the tables."""
+    k, c = F.col("p_partkey"), F.col("c_custkey")
+    one = table(spark, sf_dir, "part").select(k.alias("id"), "p_brand", ((k % 100) * 10).alias("left"), (F.floor(k / 100) * 10).alias("bottom"), ((k % 100) * 10 + 4 + F.col("p_size") % 9).alias("right"), (F.floor(k / 100) * 10 + 7).alias("top"))
+    two = table(spark, sf_dir, "customer").select(c.alias("id"), "c_mktsegment", ((c % 100) * 10 + F.col("c_nationkey") % 7).alias("left"), (F.floor(c / 100) * 10 + c % 5).alias("bottom"), ((c % 100) * 10 + F.col("c_nationkey") % 7 + 6).alias("right"), (F.floor(c / 100) * 10 + c % 5 + 3).alias("top"))
+    return {"one": box_layer(one, "one", {"id": F.col("id").cast("string")}), "two": box_layer(two, "two", {"id": F.col("id").cast("string"), "kind": F.col("c_mktsegment")})}

@@ -426,3 +426,102 @@ def test_paths(tmp_path):
     assert paths.resolve("name", ["/a/b.tif"]) == ["/a/b.tif"] and paths.resolve("name", "/a/b.tif") == ["b"]
     with pytest.raises(ValueError):
         paths.resolve("other", "x")
+
+
+def rectangles(spark, n, name, seed, spread=300.0):
+    r = np.random.default_rng(seed)
+    size = 2.0 ** r.uniform(-3, 7, (n, 2))
+    low = r.uniform(-spread, spread, (n, 2))
+    low[: n // 4], size[: n // 4] = np.round(low[: n // 4]), np.round(size[: n // 4])  # touching ones, and points
+    rows = [(i, *map(float, (*low[i], *(low[i] + size[i])))) for i in range(n)]
+    return rows, spark.createDataFrame(rows, f"{name} int, left double, bottom double, right double, top double")
+
+
+@pytest.mark.parametrize("touch", [False, True])
+def test_meeting_boxes(spark, touch):
+    from pixelloom.operators import boxes
+
+    (a, one), (b, two) = rectangles(spark, 200, "a", 1), rectangles(spark, 300, "b", 2)
+    less = (lambda x, y: x <= y) if touch else (lambda x, y: x < y)
+    want = sorted((i, j, max(p[0], q[0]), min(p[2], q[2])) for i, *p in a for j, *q in b if less(max(p[0], q[0]), min(p[2], q[2])) and less(max(p[1], q[1]), min(p[3], q[3])))
+    found = boxes.meeting(one, two, touch)
+    assert sorted(map(tuple, found.select("a", "b", "x_min", "x_max").collect())) == want
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_that_contain_others(spark):
+    from pixelloom.operators import boxes
+
+    keys = ["", "a", "ab", "scene_0001", "scene_0002", "scene_00", "Z" * 30, "ü🙂", "scene_0001"]
+    texts = ["scene_0001.tif", "x scene_0002 and scene_0001", "aab", None, "", "Z" * 29, "Z" * 31, "eü🙂e", "scene_"]
+    found = boxes.containing(spark.createDataFrame([(t,) for t in texts], "t string"), "t", spark.createDataFrame([(k,) for k in [*keys, None]], "k string"), "k")
+    assert sorted(map(tuple, found.collect())) == sorted({(t, k) for t in texts if t is not None for k in keys if k in t})
+
+
+def test_many_features_mask_as_brute_force(spark):
+    r = np.random.default_rng(4)
+    image = raster(spark, {"a": (np.ones((90, 150)), 0, 90, 1), "b": (np.ones((40, 70)), 100, 60, 1)})
+    rings = []
+    for _ in range(150):
+        x, y = r.uniform(-10, 160), r.uniform(-10, 100)
+        corners = [(x + r.uniform(-9, 9), y + r.uniform(-9, 9)) for _ in range(r.integers(3, 8))]  # they may cross themselves
+        rings.append([*corners, corners[0]])
+    rings += [[(0.5, 0.5), (10.5, 0.5), (10.5, 9.5), (0.5, 9.5), (0.5, 0.5)]]
+    f = vector.feature_table(spark, [("m", i, {"name": "a" if i % 2 else "all of a, b"}, [ring]) for i, ring in enumerate(rings)])
+
+    def hit(ring, cx, cy):
+        return sum((y1 <= cy < y2 or y2 <= cy < y1) and x1 + (cy - y1) / (y2 - y1) * (x2 - x1) > cx for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False)) % 2
+
+    want = {("a", 89 - y, x) for y in range(90) for x in range(150) if any(hit(g, x + 0.5, y + 0.5) for g in rings)}
+    want |= {("b", 59 - y, x - 100) for y in range(20, 60) for x in range(100, 170) if any(hit(g, x + 0.5, y + 0.5) for g in rings)}
+    assert {tuple(x) for x in vector.inside(image, f).collect()} == want
+    named = {tuple(x) for x in vector.inside(image, f, "name").collect() if x.image == "b"}
+    assert named == {("b", 59 - y, x - 100) for y in range(20, 60) for x in range(100, 170) if any(hit(g, x + 0.5, y + 0.5) for i, g in enumerate(rings) if i % 2 == 0)}
+
+
+def test_wide_buffer_equals_brute_force(spark):
+    r = np.random.default_rng(6)
+    image = raster(spark, {"a": (np.ones((2, 2)), 0, 2, 1)})
+    image = Rasters(image.pixels, scenes_of(spark, [{"image": "a", "x0": 0.0, "y0": 200.0, "width": 230, "height": 200}]), ("b1",))
+    at = np.unique(np.stack([r.integers(0, 200, 400), r.integers(0, 230, 400)], 1), axis=0)
+    cells = spark.createDataFrame([("a", int(y), int(x)) for y, x in at], "image string, prow int, pcol int")
+    for distance in (0.4, 1.0, 7.3, 60.0):
+        rows, cols = np.mgrid[0:200, 0:230]
+        near = np.zeros((200, 230), bool)
+        for y, x in at:
+            near |= np.maximum(abs(rows - y) - 0.5, 0) ** 2 + np.maximum(abs(cols - x) - 0.5, 0) ** 2 <= distance**2
+        assert {(p.prow, p.pcol) for p in vector.buffered(image, cells, distance).collect()} == set(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True))
+
+
+def test_clipped_areas_equal_those_of_a_geometry_library(spark):
+    from pixelloom.operators import clipping
+    from pixelloom.operators.geometry import Jts
+
+    j, r = Jts(spark), np.random.default_rng(8)
+
+    def star(n, x, y, size):
+        turn = np.sort(r.uniform(0, 2 * np.pi, n))
+        far = r.uniform(0.3, 1, n) * size
+        points = [(float(x + d * np.cos(t)), float(y + d * np.sin(t))) for t, d in zip(turn, far, strict=True)]
+        return [*points, points[0]]
+
+    area = lambda ring: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False))) / 2
+    for k in range(60):
+        a, b = [star(r.integers(3, 14), 0, 0, 10)], [star(r.integers(3, 14), r.uniform(-8, 8), r.uniform(-8, 8), 8)]
+        if k % 3 == 0:
+            a.append([(x * 0.2, y * 0.2) for x, y in a[0]])  # a hole
+        if k % 4 == 0:
+            a, b = ([[(float(round(x)), float(round(y))) for x, y in ring] for ring in p] for p in (a, b))
+        try:
+            want = j.polygon(a).intersection(j.polygon(b)).getArea()
+        except Exception:
+            continue  # rounded corners may cross
+        pieces = clipping.shared(a, b)
+        assert sum(map(area, pieces)) == pytest.approx(want, rel=1e-6, abs=1e-6)
+        assert all(ring[0] == ring[-1] and len(ring) > 3 for ring in pieces)
+    box = lambda x, y, s: [[(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]]
+    assert clipping.shared(box(0, 0, 5), box(5, 0, 5)) == [] and clipping.shared(box(0, 0, 5), [[]]) == []
+    assert len(clipping.shared(box(0, 0, 5), box(1, 1, 9))) == 1 and sorted(set(clipping.shared(box(0, 0, 5), box(1, 1, 9))[0])) == [(1, 1), (1, 5), (5, 1), (5, 5)]
+    # a comb of three teeth comes in three pieces
+    comb = [[(0, 0), (5, 0), (5, 4), (4, 4), (4, 1), (3, 1), (3, 4), (2, 4), (2, 1), (1, 1), (1, 4), (0, 4), (0, 0)]]
+    assert len(clipping.shared(comb, box(0, 2, 5))) == 3 and sum(map(area, clipping.shared(comb, box(-1, -1, 9)))) == area(comb[0])
