@@ -1,9 +1,13 @@
 """Licence scan with DataFrame functions only: Dice coefficient over word bigrams against licence templates.
 
-Units of a document are its lines and its paragraphs (parts between blank lines), normalised: lower case, everything
-but a-z and 0-9 is one space. A unit and a template are compared where their numbers of distinct bigrams allow the
-threshold at all: a Dice coefficient of t needs sizes within a factor of t / (2 - t). Everything stays in one
-projection per document, so hot sources and copies need no shuffle.
+Texts are normalised: lower case, everything but a-z and 0-9 is one space. Units of a document are its lines, its paragraphs (parts
+between blank lines; the whole text where there are none) and all runs of consecutive lines, blank ones left out, of no more
+words than the largest template allows. So a notice is found however it is wrapped or commented, and amid other lines.
+
+A Dice coefficient of t needs sizes within a factor of t / (2 - t), and as many shared bigrams as that share of the
+template. So a text is looked at by units only where it has that share of some template's bigrams as a whole; its units are
+ranges of one array of bigrams, and a run begins and ends with lines that have a bigram of some template, since cutting
+off others lowers no coefficient. Everything stays in one projection per document, so hot sources and copies need no shuffle.
 
 Defined results: null and empty texts have no units and no licence; ties between templates go to the earlier one in
 the list; repeated rows give repeated results; other columns are ignored.
@@ -11,6 +15,9 @@ the list; repeated rows give repeated results; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +48,15 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Licensed under CC0 1.0."),
     ("Reserved", "All rights reserved."),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
 )
 
 
@@ -54,38 +70,75 @@ def bigrams(text: str) -> list[tuple[str, str]]:
     return list(dict.fromkeys(zip(words, words[1:], strict=False)))
 
 
-def units(text: Column) -> Column:
-    """Arrays of words: the lines and the paragraphs."""
+def limits(templates: tuple[tuple[str, str], ...], percent: int) -> tuple[int, int]:
+    """The fewest bigrams of a unit that can reach the threshold, and the most."""
+    sizes = [len(bigrams(text)) for _, text in templates]
+    return -(-min(sizes) * percent // (200 - percent)), max(sizes) * (200 - percent) // percent
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is computed once: a column that is named inside another's lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def words(text: Column) -> Column:
+    """Array of (line, word) of the text."""
     clean = F.regexp_replace(F.lower(text), r"[^a-z0-9\n]+", " ")
-    cut = lambda parts: F.transform(parts, lambda x: F.split(F.trim(F.translate(x, "\n", " ")), " +"))
-    return cut(F.split(clean, "\n")), cut(F.split(clean, r"\n *\n"))
+    return F.flatten(F.transform(F.split(clean, "\n"), lambda x, i: F.transform(F.filter(F.split(x, " "), lambda w: w != ""), lambda w: F.struct(i.alias("line"), w.alias("word")))))
+
+
+def _units(words: Column, pairs: Column, known: Column, low: int, high: int) -> Column:
+    """Ranges (a, b) of words: lines, paragraphs, runs of lines."""
+    line = lambda p: F.get(words, p)["line"]
+    at = F.sequence(F.lit(0), F.size(words) - 1)
+    starts = lambda new: F.concat(F.filter(at, lambda p: (p == 0) | new(p)), F.array(F.size(words)))
+    numbers = lambda c: F.sequence(F.lit(0), F.size(c) - 2)
+    own = lambda c: F.transform(numbers(c), lambda k: F.struct(F.get(c, k).alias("a"), F.get(c, k + 1).alias("b")))
+
+    def runs(lines: Column) -> Column:
+        # whether a line has a bigram of a template, or one that leads over to it or on from it
+        before = lambda k: F.greatest(F.get(lines, k), F.lit(1))
+        marked = F.transform(numbers(lines), lambda k: F.arrays_overlap(known, F.slice(pairs, before(k), F.get(lines, k + 1) - before(k) + 1)))
+        fits = lambda m, k, j: F.get(m, j) & (F.get(lines, j + 1) - F.get(lines, k) <= high + 1)
+        from_line = lambda m, k: F.filter(F.sequence(k, F.least(F.size(m) - 1, k + high)), lambda j: fits(m, k, j))
+        range_of = lambda k, j: F.struct(F.get(lines, k).alias("a"), F.get(lines, j + 1).alias("b"))
+        return let(marked, lambda m: F.flatten(F.transform(F.filter(numbers(lines), lambda k: F.get(m, k)), lambda k: F.transform(from_line(m, k), lambda j: range_of(k, j)))))
+
+    paragraphs = let(starts(lambda p: line(p) > line(p - 1) + 1), own)
+    every = let(starts(lambda p: line(p) != line(p - 1)), lambda lines: F.concat(own(lines), paragraphs, runs(lines)))
+    # a unit of w words has w - 1 bigrams, fewer if some repeat: only the lower bound can be told from w
+    return F.filter(F.array_distinct(every), lambda u: u["b"] - u["a"] > low)
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_units (lines and paragraphs of a size that some template allows), licence (of the best template, null
-    if none reaches percent), dice (the highest coefficient that reaches it, else 0), licences (all found, sorted,
-    comma-joined)."""
+    """doc_id, licence (of the best template, null if none reaches percent), dice (the highest coefficient that reaches it,
+    else 0), licences (all found, sorted, comma-joined)."""
     grams = [bigrams(text) for _, text in templates]
     sizes = [len(g) for g in grams]
-    low, high = -(-min(sizes) * percent // (200 - percent)), max(sizes) * (200 - percent) // percent
-    lines, paragraphs = units(docs[text_col])
-    read = docs.select(docs[id_col].alias("doc_id"), F.concat(lines, F.when(docs[text_col].rlike(r"\n[^a-zA-Z0-9\n]*\n"), paragraphs).otherwise(F.expr("cast(array() as array<array<string>>)"))).alias("parts"))
-    # a unit of w words has w - 1 bigrams, fewer if some repeat: only the lower bound can be told from w
-    near = read.withColumn("parts", F.filter("parts", lambda w: F.size(w) > low))
-    pairs = F.transform("parts", lambda w: F.array_distinct(F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.xxhash64(x, F.get(w, i + 1)))))
-    sized = near.withColumn("grams", F.filter(pairs, lambda g: F.size(g).between(low, high)))
+    low, high = limits(templates, percent)
+    hashed = [F.array(*(F.xxhash64(F.lit(a), F.lit(b)) for a, b in g)) for g in grams]
+    every = F.array(*(F.xxhash64(F.lit(a), F.lit(b)) for a, b in sorted({x for g in grams for x in g})))
 
     def dice(g: Column, k: int) -> Column:
-        known, n = F.array(*(F.xxhash64(F.lit(a), F.lit(b)) for a, b in grams[k])), sizes[k]
+        n = sizes[k]
         fits = (percent * n <= (200 - percent) * F.size(g)) & (percent * F.size(g) <= (200 - percent) * F.lit(n))
-        return F.when(fits, 2 * F.size(F.array_intersect(g, known)) / (F.size(g) + n)).otherwise(F.lit(0.0))
+        return F.when(fits, 2 * F.size(F.array_intersect(g, hashed[k])) / (F.size(g) + n)).otherwise(F.lit(0.0))
+
+    def best(words: Column, pairs: Column, known: Column) -> Column:
+        """The highest coefficient of each template that reaches percent, else 0."""
+        own = F.filter(F.transform(_units(words, pairs, known, low, high), lambda u: F.array_distinct(F.slice(pairs, u["a"] + 1, u["b"] - u["a"] - 1))), lambda g: F.size(g).between(low, high))
+        highest = lambda found, k: F.coalesce(F.array_max(F.transform(found, lambda g: dice(g, k))), F.lit(0.0))
+        return let(own, lambda found: F.transform(F.array(*(highest(found, k) for k in range(len(templates)))), lambda x: F.when(100 * x >= percent, x).otherwise(F.lit(0.0))))
+
+    def looked(words: Column, pairs: Column, known: Column) -> Column:
+        # the share of a template's bigrams that Dice's coefficient needs
+        may = [F.size(F.array_intersect(known, hashed[k])) * (200 - percent) >= percent * n for k, n in enumerate(sizes)]
+        return F.when(functools.reduce(lambda a, b: a | b, may), best(words, pairs, known)).otherwise(F.array(*[F.lit(0.0)] * len(templates)))
 
-    scored = sized.withColumn("scores", F.transform("grams", lambda g: F.array(*(dice(g, k) for k in range(len(templates))))))
-    highest = lambda k: F.coalesce(F.array_max(F.transform("scores", lambda s: s[k])), F.lit(0.0))
-    best = F.array(*(highest(k) for k in range(len(templates))))
-    tops = scored.select("doc_id", F.size("grams").cast("long").alias("n_units"), F.transform(best, lambda x: F.when(100 * x >= percent, x).otherwise(F.lit(0.0))).alias("best"))
-    tops = tops.withColumn("dice", F.array_max("best"))
+    paired = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: F.xxhash64(x["word"], y["word"]))
+    found = let(words(F.coalesce(docs[text_col], F.lit(""))), lambda w: let(paired(w), lambda pairs: let(F.array_intersect(pairs, every), lambda known: looked(w, pairs, known))))
+    tops = docs.select(docs[id_col].alias("doc_id"), found.alias("best")).withColumn("dice", F.array_max("best"))
     names = F.array(*(F.lit(name) for name, _ in templates))
     found = F.array_sort(F.array_distinct(F.filter(F.transform(names, lambda name, i: F.when(F.col("best")[i] > 0, name)), lambda x: x.isNotNull())))
     first = names[F.array_position("best", F.col("dice")).cast("int") - 1]
-    return tops.select("doc_id", F.coalesce("n_units", F.lit(0)).alias("n_units"), F.when(F.col("dice") > 0, first).alias("licence"), F.round("dice", 6).alias("dice"), F.array_join(found, ",").alias("licences"))
+    return tops.select("doc_id", F.when(F.col("dice") > 0, first).alias("licence"), F.round("dice", 6).alias("dice"), F.array_join(found, ",").alias("licences"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pixelloom.llm import common, oracles_codes
-from pixelloom.llm.licenses import TEMPLATES, bigrams
+from pixelloom.llm.licenses import TEMPLATES, bigrams, limits
 from pixelloom.llm import line_dedup as lines
 from pixelloom.llm.quality import CONSISTENCY, CUTOFF, FLOOR, NAMES
 
@@ -34,22 +34,24 @@ FROM d LEFT JOIN hit ON hit.doc_id=d.doc_id LEFT JOIN it ON it.doc_id=d.doc_id""
 
 
 def licences(percent: int = 80) -> str:
+    """Units as ranges of non-blank lines; runs only of texts that have enough bigrams of some template as a whole."""
     grams = [bigrams(text) for _, text in TEMPLATES]
-    sizes = [len(g) for g in grams]
-    low, high = -(-min(sizes) * percent // (200 - percent)), max(sizes) * (200 - percent) // percent
-    rows = ",".join(f"({k},'{TEMPLATES[k][0]}',{sizes[k]},'{a} {b}')" for k, g in enumerate(grams) for a, b in g)
-    return rf"""WITH t AS (SELECT * FROM (VALUES {rows}) AS v(k,name,size,gram)),
-c AS (SELECT doc_id, text, regexp_replace(lower(text), '[^a-z0-9\n]+', ' ', 'g') AS clean FROM documents),
-u AS (SELECT doc_id, unnest(string_split(clean, chr(10))) AS x, 0 AS kind FROM c WHERE clean IS NOT NULL UNION ALL
- SELECT doc_id, unnest(string_split_regex(clean, '\n *\n')), 1 FROM c WHERE regexp_matches(text, '\n[^a-zA-Z0-9\n]*\n')),
-v AS (SELECT row_number() OVER () AS id, doc_id, string_split_regex(trim(replace(x, chr(10), ' ')), ' +') AS ws FROM u),
-g AS (SELECT DISTINCT id, doc_id, ws[i] || ' ' || ws[i+1] AS gram FROM (SELECT id, doc_id, ws, unnest(range(1, len(ws))) AS i FROM v WHERE len(ws)>{low}) y),
-n AS (SELECT id, doc_id, count(*) AS n FROM g GROUP BY 1,2 HAVING count(*) BETWEEN {low} AND {high}),
-s AS (SELECT n.doc_id, t.k, t.name, max(2e0*shared/(n.n+t.size)) AS dice FROM (SELECT g.id, t.k, count(*) AS shared FROM g JOIN t ON t.gram=g.gram GROUP BY 1,2) m JOIN n ON n.id=m.id JOIN (SELECT DISTINCT k,name,size FROM t) t ON t.k=m.k
+    low, high = limits(TEMPLATES, percent)
+    rows = ",".join(f"({k},'{TEMPLATES[k][0]}',{len(g)},'{a} {b}')" for k, g in enumerate(grams) for a, b in g)
+    return rf"""WITH t AS MATERIALIZED (SELECT * FROM (VALUES {rows}) AS v(k,name,size,gram)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(lower(text), '[^a-z0-9\n]+', ' ', 'g'), chr(10)) AS ls FROM documents),
+l AS MATERIALIZED (SELECT r, i, row_number() OVER (PARTITION BY r ORDER BY i) AS k, ws FROM (SELECT r, i, list_filter(string_split(ls[i], ' '), lambda w: w<>'') AS ws FROM (SELECT r, ls, unnest(range(1, len(ls)+1)) AS i FROM d) a) b WHERE len(ws)>0),
+w AS (SELECT r, k, j, ws[j] AS word FROM (SELECT r, k, ws, unnest(range(1, len(ws)+1)) AS j FROM l) a),
+g AS MATERIALIZED (SELECT r, k, next_k, word || ' ' || next_word AS gram FROM (SELECT r, k, word, lead(k) OVER o AS next_k, lead(word) OVER o AS next_word FROM w WINDOW o AS (PARTITION BY r ORDER BY k, j)) a WHERE next_word IS NOT NULL),
+m AS (SELECT DISTINCT r FROM (SELECT g.r, t.k, any_value(t.size) AS size, count(DISTINCT g.gram) AS n FROM g JOIN t ON t.gram=g.gram GROUP BY 1,2) a WHERE n*{200 - percent}>=size*{percent}),
+c AS MATERIALIZED (SELECT l.r, i, k, sum(len(ws)) OVER (PARTITION BY l.r ORDER BY k) AS upto, len(ws) AS n FROM l JOIN m ON m.r=l.r),
+u AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (SELECT r, k AS a, k AS b FROM c UNION SELECT r, min(k), max(k) FROM c GROUP BY r, i-k UNION SELECT x.r, x.k, y.k FROM c x JOIN c y ON y.r=x.r AND y.k>=x.k AND y.k<=x.k+{high + 1} AND y.upto-x.upto+x.n<={high + 1}) z),
+e AS MATERIALIZED (SELECT DISTINCT u.id, u.r, g.gram FROM u JOIN g ON g.r=u.r AND g.k>=u.a AND g.next_k<=u.b),
+n AS (SELECT id, r, count(*) AS n FROM e GROUP BY 1,2 HAVING count(*) BETWEEN {low} AND {high}),
+s AS (SELECT n.r, t.k, t.name, max(2e0*shared/(n.n+t.size)) AS dice FROM (SELECT e.id, t.k, count(*) AS shared FROM e JOIN t ON t.gram=e.gram GROUP BY 1,2) q JOIN n ON n.id=q.id JOIN (SELECT DISTINCT k,name,size FROM t) t ON t.k=q.k
  WHERE 100*2e0*shared/(n.n+t.size)>={percent} GROUP BY 1,2,3),
-o AS (SELECT doc_id, arg_max(name, dice*1000-k*0.0000001) AS licence, max(dice) AS dice, string_agg(DISTINCT name, ',' ORDER BY name) AS licences FROM s GROUP BY 1),
-q AS (SELECT doc_id, count(*) AS n_units FROM n GROUP BY 1)
-SELECT d.doc_id, coalesce(n_units,0) AS n_units, licence, round(coalesce(dice,0e0),6) AS dice, coalesce(licences,'') AS licences FROM documents d LEFT JOIN o ON o.doc_id=d.doc_id LEFT JOIN q ON q.doc_id=d.doc_id"""
+o AS (SELECT r, arg_max(name, dice*1000-k*0.0000001) AS licence, max(dice) AS dice, string_agg(DISTINCT name, ',' ORDER BY name) AS licences FROM s GROUP BY 1)
+SELECT d.doc_id, licence, round(coalesce(dice,0e0),6) AS dice, coalesce(licences,'') AS licences FROM d LEFT JOIN o ON o.r=d.r"""
 
 
 def quality(min_words: int = 50, share: float = 0.75, prior: float = 200.0, most_steps: int = 12, cutoff: float = CUTOFF) -> str:

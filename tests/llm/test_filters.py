@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -458,12 +459,21 @@ def test_equal_hashes_are_looked_up(docs_of):
 
 
 def brute_licence(text):
+    """Every line, paragraph and run of lines against every template, without any bound but the runs' length."""
     grams = [set(licenses.bigrams(t)) for _, t in licenses.TEMPLATES]
-    clean = re.sub(r"[^a-z0-9\n]+", " ", (text or "").lower())
-    units = clean.split("\n") + (re.split(r"\n *\n", clean) if re.search(r"\n[^a-zA-Z0-9\n]*\n", text or "") else [])
+    most = licenses.limits(licenses.TEMPLATES, 80)[1] + 1
+    lines = [x.split() for x in re.sub(r"[^a-z0-9\n]+", " ", (text or "").lower()).split("\n")]
+    full = [x for x in lines if x]
+    units = full + [w for blank, x in itertools.groupby(lines, key=lambda x: not x) if not blank for w in [[y for z in x for y in z]]]
+    for i in range(len(full)):
+        run = []
+        for x in full[i:]:
+            run = run + x
+            if len(run) > most:
+                break
+            units.append(run)
     best = [0.0] * len(grams)
-    for u in units:
-        w = u.replace("\n", " ").split()
+    for w in units:
         g = set(zip(w, w[1:], strict=False))
         for k, t in enumerate(grams):
             dice = 2 * len(g & t) / (len(g) + len(t))
@@ -472,11 +482,38 @@ def brute_licence(text):
     return (licenses.TEMPLATES[best.index(top)][0] if top else None, round(top, 6), ",".join(sorted({licenses.TEMPLATES[k][0] for k, b in enumerate(best) if b})))
 
 
+def wrapped(text, n, before=""):
+    w = text.split()
+    return "\n".join(before + " ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+
+def test_wrapped_notices_are_found(docs_of, prose):
+    """By lines of ten words, commented, with and without blank lines, amid other lines, with edits."""
+    rows, want = [], []
+    for name, text in licenses.TEMPLATES:
+        for before in ("", "# ", " * ", "// "):
+            for around in ((), (prose(12, 1), prose(9, 2)), ("x", ""), ("", "y")):
+                head, foot = around[:1], around[1:]
+                rows.append("\n".join([*head, wrapped(text, 10, before), *foot]))
+                want.append(name)
+    out = sorted(licenses.scan(docs_of(list(enumerate(rows)))).collect(), key=lambda r: r.doc_id)
+    assert [r.licence for r in out] == want and all(r.dice > 0.99 for r in out)
+    r = random.Random(5)
+    odd = []
+    for i in range(60):
+        w = r.choice(licenses.TEMPLATES)[1].split()
+        w = [x if r.random() > 0.06 else r.choice(["foo", "", "the"]) for x in w]
+        lines = [prose(r.randint(1, 12), i), *wrapped(" ".join(w), r.randint(2, 14)).split("\n"), prose(r.randint(1, 12), 90 + i)]
+        lines.insert(r.randrange(len(lines)), r.choice(["", "--", prose(3, i)]))
+        odd.append((i, "\n".join(lines)))
+    for row in licenses.scan(docs_of(odd)).collect():
+        assert (row.licence, row.dice, row.licences) == brute_licence(odd[row.doc_id][1])
+
+
 def test_licences(docs_of, odd, prose):
     mit = licenses.TEMPLATES[2][1]
     apache = licenses.TEMPLATES[4][1]
     rows = [*odd, *enumerate([prose(30), "x\nReleased under the  MIT license!\ny", mit.replace(", ", ",\n") + "\n\nmore " + prose(20), "intro\n\n" + apache.replace("; ", ";\n").replace("law", "laws") + "\n\nend", "All rights reserved.\nLicensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0", "licensed under the", mit + " and " + mit], 100)]
     out = licenses.scan(docs_of(rows)).collect()
-    for r, (i, text) in zip(out, rows, strict=True):
-        assert (r.doc_id, r.licence, r.dice, r.licences) == (i, *brute_licence(text)), text[:50]
+    assert sorted(map(tuple, out), key=str) == sorted(((i, *brute_licence(text)) for i, text in rows), key=str)
     assert licenses.scan(docs_of([])).count() == 0
