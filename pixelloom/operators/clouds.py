@@ -20,8 +20,11 @@ def register(name: str, predictor: Callable[[np.ndarray], np.ndarray]) -> None:
     _PREDICTORS[name] = predictor
 
 
-def cloud_mask(r: Rasters, red: str, green: str, nir: str, predictor: str | Callable[[np.ndarray], np.ndarray] | None = None, down_sample: float | None = None, tile: int = 1024) -> DataFrame:
-    """image, prow, pcol, value per tile of the image; 0 is nodata. down_sample: a coarser resolution to predict at."""
+def cloud_mask(r: Rasters, red: str, green: str, nir: str, predictor: str | Callable[[np.ndarray], np.ndarray] | None = None, down_sample: float | None = None, tile: int = 1024, halo: int = 64) -> DataFrame:
+    """image, prow, pcol, value per tile of the image; 0 is nodata. down_sample: a coarser resolution to predict at.
+
+    A tile sees the pixels up to `halo` beyond its border, which its neighbours give it, and keeps what is predicted for its own: a
+    predictor that looks no further gives the same for every tile size. Where the image ends, so does the array."""
     f = predictor if callable(predictor) else _PREDICTORS.get(predictor or "")
     if f is None:
         raise ValueError("no predictor is registered; a model has to be brought by the user")
@@ -30,12 +33,17 @@ def cloud_mask(r: Rasters, red: str, green: str, nir: str, predictor: str | Call
         r = Rasters(resample(r, coarse, "bilinear").pixels, coarse, r.bands)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = part.prow.min(), part.pcol.min()
-        stack = np.zeros((3, part.prow.max() - r0 + 1, part.pcol.max() - c0 + 1), np.float32)
+        tr, tc, height, width = (int(part[c].iloc[0]) for c in ("_r", "_c", "height", "width"))
+        r0, c0 = max(0, tr * tile - halo), max(0, tc * tile - halo)
+        stack = np.zeros((3, min(height, (tr + 1) * tile + halo) - r0, min(width, (tc + 1) * tile + halo) - c0), np.float32)
         for k, b in enumerate((red, green, nir)):
             stack[k, part.prow - r0, part.pcol - c0] = part[b].fillna(0)
-        found = np.squeeze(np.asarray(f(stack)))
-        return pd.DataFrame({"image": part.image, "prow": part.prow, "pcol": part.pcol, "value": found[part.prow - r0, part.pcol - c0].astype("int32")})
-
-    p = r.pixels.select("image", "prow", "pcol", red, green, nir)
-    return p.groupBy("image", F.floor(F.col("prow") / tile).alias("_r"), F.floor(F.col("pcol") / tile).alias("_c")).applyInPandas(run, "image string, prow int, pcol int, value int")
+        own = part[(part.prow // tile == tr) & (part.pcol // tile == tc)]
+        if own.empty:  # neighbours' pixels alone
+            return pd.DataFrame({"image": [], "prow": [], "pcol": [], "value": []}).astype({"image": str, "prow": "int32", "pcol": "int32", "value": "int32"})
+        found = np.asarray(f(stack)).reshape(stack.shape[1:])
+        return pd.DataFrame({"image": own.image, "prow": own.prow, "pcol": own.pcol, "value": found[own.prow - r0, own.pcol - c0].astype("int32")})
+
+    reach = lambda c, size: F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col(c) - halo) / tile), F.floor(F.least(F.col(size) - 1, F.col(c) + halo) / tile)))
+    p = r.placed("height", "width").select("image", "prow", "pcol", red, green, nir, "height", "width").withColumn("_r", reach("prow", "height")).withColumn("_c", reach("pcol", "width"))
+    return p.groupBy("image", "_r", "_c").applyInPandas(run, "image string, prow int, pcol int, value int")

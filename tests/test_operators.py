@@ -391,6 +391,22 @@ def test_cloud_mask_needs_a_predictor(spark):
     assert clouds.cloud_mask(r, "b1", "b2", "b3", "ones", down_sample=2.0).count() == 4
 
 
+def test_tiles_see_their_neighbours(spark):
+    """A predictor that sums a square of 7 x 7 pixels gives the same for every tile size, as on the whole image."""
+    a = np.random.default_rng(3).integers(1, 9, (3, 50, 70)).astype(float)
+    a[:, 10:14, 20:60] = math.nan
+    r = raster(spark, {"a": (a, 0, 50, 1)})
+
+    def near(stack):
+        padded = np.pad(np.nan_to_num(stack[0]), 3)
+        return sum(padded[i : i + stack.shape[1], j : j + stack.shape[2]] for i in range(7) for j in range(7))
+
+    want = near(np.nan_to_num(a))
+    for tile in (8, 17, 100):
+        out = clouds.cloud_mask(r, "b1", "b2", "b3", near, tile=tile, halo=3).collect()
+        assert len(out) == 50 * 70 - 160 and all(x.value == want[x.prow, x.pcol] for x in out)
+
+
 def test_comparisons(spark):
     r = raster(spark, {"a": ([[1, 2], [3, 4]], 0, 2, 1), "b": ([[2, 2], [0, math.nan]], 0, 2, 1), "c": ([[1]], 0, 2, 1)})
     assert {(x.prow, x.pcol): x["diff"] for x in stats.difference(r, "a", "b").collect()} == {(0, 0): 1, (0, 1): 0, (1, 0): 3}
