@@ -105,20 +105,19 @@ def test_items_without_id_hit(spark, docs_of, prose):
 
 
 def brute_copies(texts, shape):
-    """Texts that are not the smallest of those connected by an exact Jaccard similarity of 0.8 or more; fixtures have none between 0.6 and 0.8."""
+    """Texts that are not the smallest of those connected by an exact Jaccard similarity of their word pairs of AGREE or more."""
 
-    def shingles(text):
+    def pairs(text):
         w = ["#" if any(c in "0123456789" for c in x) else x for x in WORD.findall(low(text))]
-        return {tuple(w[i : i + shape["shingle"]]) for i in range(max(1, len(w) - shape["shingle"] + 1))} if w else set()
+        return {tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))} if w else set()
 
-    sets = {t: shingles(t) for t in texts}
-    having = {}
+    sets, having = {t: pairs(t) for t in texts}, {}
     for t, s in sets.items():
         for x in s:
             having.setdefault(x, []).append(t)
     least = {t: texts[t] for t in sets}
-    links = [(t, o) for t, s in sets.items() for o, n in Counter(o for x in s for o in having[x] if texts[o] < texts[t]).items() if 5 * n >= 4 * (len(s) + len(sets[o]) - n)]
-    for _ in sets:
+    links = [(t, o) for t, s in sets.items() for o, n in Counter(o for x in s for o in having[x] if texts[o] < texts[t]).items() if n >= line_dedup.AGREE * (len(s) + len(sets[o]) - n)]
+    for _ in range(9):
         for t, o in links:
             least[t] = least[o] = min(least[t], least[o])
     return {t for t in sets if least[t] < texts[t]}
