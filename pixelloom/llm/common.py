@@ -90,14 +90,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lowest_hashes(rows: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
-    """At most `most` rows, those with the lowest hashes of their key. A cut of the hashes comes first, so that the final
-    choice is among about as many rows, however many there are."""
-    share = min(1.0, 1.5 * (most + 100) / max(1, rows.count()))
-    low = F.pmod(F.xxhash64(key), F.lit(1 << 30))
-    return rows.where(low < int(share * (1 << 30))).orderBy(low, key).limit(most)
-
-
 def cut_count(counted: DataFrame, column: str, most: int) -> int:
     """The least count such that at most about `most` rows have it or more, from the counts' logarithmic histogram: a
     few hundred rows, whatever the table's size."""

@@ -7,12 +7,16 @@ distinct words in the training documents. So the tables of the model are bounded
 whole corpus.
 
 1. The counts of all training tokens, by map-side and reduce-side sums.
-2. Baum-Welch. States start from expectation-maximisation on a bounded sample of documents (it only breaks the symmetry).
-   Then every iteration runs forward and backward over all training documents, in pieces of `piece` tokens, in numpy over many
-   pieces at once; expected counts are summed per task and then across partitions, in slices of the tables.
+2. Baum-Welch. States start from the contexts of the buckets: how often each class of buckets comes before and after, counted
+   over all training documents, a table of fixed size; weighted k-means over its rows tells the states apart. Then every round runs
+   forward and backward over all training documents, in numpy over many pieces of `piece` tokens at once. A document's pieces are joined
+   exactly: products of its pieces' transfer matrices give what the pass knows at each border. Expected counts are
+   summed per task and then across partitions, in slices of the tables. Rounds end when the likelihood of a token gains less than
+   `least_gain`, after `iterations` at most.
 3. Scoring. The scaled forward recursion over whole documents, many at a time, gives exact likelihoods. Counts of the
    `known` most frequent words are broadcast in one table of fixed size; the other tokens are joined with all counts
-   in a shuffle by word, so none is left out.
+   in a shuffle by word, so none is left out. No such word has more than a share of about 1 / `known` of all tokens, so no
+   task of the join gets more.
 
 Defined results: null and empty texts have the end token alone; without training documents all counts are zero and
 the states stay uniform; repeated rows are scored alike; a null id belongs to the training rows; other columns are ignored.
@@ -20,14 +24,14 @@ the states stay uniform; repeated rows are scored alike; a null id belongs to th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import HashedWords, Scratch, cut_count, lowest_hashes, tidy
+from pixelloom.llm.common import HashedWords, Scratch, cut_count, mix, tidy
 
 
 class Params:
@@ -38,40 +42,49 @@ class Params:
 
 
 class Counts:
-    """Expected counts."""
+    """Expected counts, the logarithm of the likelihood, and the number of tokens."""
 
     def __init__(self, buckets: int, states: int):
         self.start, self.move, self.emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, buckets + 1))
+        self.log, self.n = 0.0, 0
 
-    def add(self, pieces: list[np.ndarray], first: list[bool], model: Params) -> None:
-        """One forward-backward pass over pieces of similar length; `first` tells which begin a document."""
+    def add(self, pieces: list[np.ndarray], first: list[bool], model: Params, before: np.ndarray | None = None, after: np.ndarray | None = None) -> None:
+        """One forward-backward pass over pieces of similar length. `first` tells which begin a document; for the others `before` has the
+        states' chances after the piece before, and `after` has what the pieces behind say about each piece's last state."""
         if not pieces:
             return
-        k, n, longest = len(model.start), len(pieces), max(map(len, pieces))
+        k, n, longest, begins = len(model.start), len(pieces), max(map(len, pieces)), np.array(first)
         at = np.full((longest, n), -1, np.int64)
         for i, p in enumerate(pieces):
             at[: len(p), i] = p
         real = at >= 0
+        last = real.sum(0) - 1
         emit = model.emit[at]
         emit[~real] = 1.0
         forward, scale = np.empty((longest, n, k)), np.empty((longest, n))
-        stay = np.where(np.array(first)[:, None], model.start, _stationary(model.move))
+        stay = np.tile(model.start, (n, 1)) if before is None else np.where(begins[:, None], model.start, before @ model.move)
         for t in range(longest):
             a = (stay if t == 0 else forward[t - 1] @ model.move) * emit[t]
             scale[t] = a.sum(1)
             forward[t] = a / scale[t][:, None]
+        self.log += float(np.log(scale[real]).sum())
+        self.n += int(real.sum())
+        ends = np.ones((n, k)) if after is None else after / (forward[last, np.arange(n)] * after).sum(1, keepdims=True)
         back = np.ones((n, k))
         turned = model.move.T.copy()
         for t in range(longest - 1, -1, -1):
+            here = last == t
+            back[here] = ends[here]
             gamma = forward[t] * back
             gamma[~real[t]] = 0.0
             weighted = back * emit[t] / scale[t][:, None]
             if t:
-                weighted_real = weighted * real[t][:, None]
-                self.move += model.move * (forward[t - 1].T @ weighted_real)
+                self.move += model.move * (forward[t - 1].T @ (weighted * real[t][:, None]))
                 back = weighted @ turned
+            elif before is not None:
+                self.move += model.move * (before[~begins].T @ weighted[~begins])
             forward[t] = gamma  # what was the forward probability is needed no more
-        self.start += forward[0][np.array(first)].sum(0)
+        self.start += forward[0][begins].sum(0)
         flat, gammas = at[real], forward[real]
         for s in range(k):
             self.emit[s] += np.bincount(flat, weights=gammas[:, s], minlength=self.emit.shape[1])
@@ -84,11 +97,23 @@ class Counts:
         return Params(start / start.sum(), move / move.sum(1, keepdims=True), np.ascontiguousarray((emit / emit.sum(1, keepdims=True)).T))
 
 
-def _stationary(move: np.ndarray) -> np.ndarray:
-    p = np.full(len(move), 1 / len(move))
-    for _ in range(50):
-        p = p @ move
-    return p / p.sum()
+def transfers(pieces: list[np.ndarray], first: list[bool], model: Params) -> np.ndarray:
+    """The product of each piece's steps, K x K up to a factor: row vectors of chances before it become those after it."""
+    k = len(model.start)
+    order = np.argsort([-len(p) for p in pieces], kind="stable")
+    lengths = np.array([len(pieces[i]) for i in order])
+    at = np.zeros((lengths[0], len(pieces)), np.int64)
+    for j, i in enumerate(order):
+        at[: lengths[j], j] = pieces[i]
+    found = np.where(np.array(first)[order][:, None, None], np.eye(k), model.move) * model.emit[at[0]][:, None, :]
+    for t in range(1, lengths[0]):
+        n = int(np.searchsorted(-lengths, -t, side="left"))  # how many are longer than t
+        found[:n] = (found[:n].reshape(-1, k) @ model.move).reshape(n, k, k) * model.emit[at[t, :n]][:, None, :]
+        if t % 8 == 0:
+            found[:n] /= found[:n].sum((1, 2), keepdims=True)
+    out = np.empty_like(found)
+    out[order] = found / found.sum((1, 2), keepdims=True)
+    return out
 
 
 class Documents(HashedWords):
@@ -109,7 +134,7 @@ class Documents(HashedWords):
 
 
 class PieceBatches:
-    """Collects pieces of documents and passes them on, those of similar length together."""
+    """Collects documents in pieces and passes them on, those of similar length together."""
 
     def __init__(self, counts: Counts, model: Params, piece: int, most: int = 250_000):
         self.counts, self.model, self.piece, self.most = counts, model, piece, most
@@ -125,15 +150,38 @@ class PieceBatches:
         if self.held >= 4 * self.most:
             self.flush()
 
-    def flush(self) -> None:
-        order = sorted(range(len(self.pieces)), key=lambda i: len(self.pieces[i]))
+    def _groups(self, chosen: list[int]) -> Iterator[list[int]]:
         group: list[int] = []
-        for i in order:
-            if group and (len(group) + 1) * len(self.pieces[i]) > self.most or group and len(self.pieces[i]) > 1.5 * len(self.pieces[group[0]]) + 8:
-                self.counts.add([self.pieces[g] for g in group], [self.first[g] for g in group], self.model)
+        for i in sorted(chosen, key=lambda i: len(self.pieces[i])):
+            if group and ((len(group) + 1) * len(self.pieces[i]) > self.most or len(self.pieces[i]) > 1.5 * len(self.pieces[group[0]]) + 8):
+                yield group
                 group = []
             group.append(i)
-        self.counts.add([self.pieces[g] for g in group], [self.first[g] for g in group], self.model)
+        if group:
+            yield group
+
+    def _borders(self) -> tuple[np.ndarray, np.ndarray]:
+        """(chances of the states before each piece, what is behind each piece)."""
+        n, k = len(self.pieces), len(self.model.start)
+        before, after, found = np.tile(self.model.start, (n, 1)), np.ones((n, k)), np.empty((n, k, k))
+        followed = [*(not f for f in self.first[1:]), False]
+        parts = [i for i in range(n) if followed[i] or not self.first[i]]
+        for group in self._groups(parts):
+            found[group] = transfers([self.pieces[i] for i in group], [self.first[i] for i in group], self.model)
+        for i in parts:
+            if followed[i]:
+                state = before[i] @ found[i]
+                before[i + 1] = state / state.sum()
+        for i in reversed(parts):
+            if not self.first[i]:
+                state = found[i] @ after[i]
+                after[i - 1] = state / state.sum()
+        return before, after
+
+    def flush(self) -> None:
+        before, after = self._borders()
+        for group in self._groups(list(range(len(self.pieces)))):
+            self.counts.add([self.pieces[g] for g in group], [self.first[g] for g in group], self.model, before[group], after[group])
         self.pieces, self.first, self.held = [], [], 0
 
 
@@ -184,49 +232,13 @@ def vocabulary(docs: DataFrame, buckets: int, block: int = 3_000_000) -> DataFra
     return docs.select("text").mapInArrow(tidy(run), "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def initial(docs: DataFrame, base: np.ndarray, states: int, buckets: int, sample: int, rounds: int, piece: int) -> Params:
-    """States that differ: a few rounds on at most `sample` documents, in one task, from fixed random perturbations."""
-    import pickle
+def _summed(docs: DataFrame, tables: Callable[[Iterator[pa.Array]], list[np.ndarray]], slices: int) -> list[np.ndarray] | None:
+    """The sums over all tasks of each task's tables, flat, which cross the network in slices; None without any task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, sequences = Documents(buckets), []
-        for batch in batches:
-            for _, words, sizes in reader.of(batch.column(1)):
-                sequences += reader.sequences(words, sizes)
-        sequences.sort(key=lambda s: (len(s), s.tobytes()))
-        noise = np.random.default_rng(7).normal(0, 1, (states, buckets + 1))
-        emit = base * np.exp(noise)
-        model = Params(np.full(states, 1 / states), np.full((states, states), 0.02 / max(1, states - 1)) + np.eye(states) * (0.98 - 0.02 / max(1, states - 1)), np.ascontiguousarray((emit / emit.sum(1, keepdims=True)).T))
-        for _ in range(rounds):
-            counts = Counts(buckets, states)
-            pieces = PieceBatches(counts, model, piece)
-            for s in sequences:
-                pieces.add(s)
-            pieces.flush()
-            model = counts.params(base)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.start, model.move, model.emit))], pa.binary())], ["model"])
-
-    chosen = lowest_hashes(docs, sample).select("doc_id", "text")
-    found = chosen.repartition(1).mapInArrow(tidy(run), "model binary").first()
-    if found is None:
-        return Counts(buckets, states).params(base)
-    return Params(*pickle.loads(found["model"]))
-
-
-def baum_welch(docs: DataFrame, model: Params, base: np.ndarray, buckets: int, piece: int, slices: int = 32) -> Params:
-    """One iteration over all documents: each task's expected counts, in slices, summed across partitions."""
-    states, sent = len(model.start), docs.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, counts = Documents(buckets), Counts(buckets, states)
-        pieces = PieceBatches(counts, Params(*sent.value), piece)
-        for batch in batches:
-            for _, words, sizes in reader.of(batch.column(0)):
-                for s in reader.sequences(words, sizes):
-                    pieces.add(s)
-        pieces.flush()
-        parts = [p.tobytes() for p in np.array_split(counts.emit.ravel(), slices)]
-        yield pa.RecordBatch.from_arrays([pa.array([*range(slices), slices], pa.int32()), pa.array([*parts, np.concatenate([counts.start, counts.move.ravel()]).tobytes()], pa.binary())], ["slice", "sums"])
+        for number, own in enumerate(tables(batch.column(0) for batch in batches)):
+            parts = [p.tobytes() for p in np.array_split(own.ravel(), slices)]
+            yield pa.RecordBatch.from_arrays([pa.array([number * slices + i for i in range(slices)], pa.int32()), pa.array(parts, pa.binary())], ["slice", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -238,29 +250,111 @@ def baum_welch(docs: DataFrame, model: Params, base: np.ndarray, buckets: int, p
 
     schema = "slice int, sums binary"
     summed = docs.select("text").mapInArrow(tidy(run), schema).repartition(slices, "slice").mapInArrow(tidy(add), schema)
-    got: dict[int, np.ndarray] = {r["slice"]: np.frombuffer(r["sums"], np.float64) for r in summed.collect()}  # slices + 1 rows
-    counts = Counts(buckets, states)
-    if got:
-        counts.emit = np.concatenate([got[i] for i in range(slices)]).reshape(states, buckets + 1)
-        counts.start, counts.move = got[slices][:states], got[slices][states:].reshape(states, states)
-    return counts.params(base)
+    got = {r["slice"]: np.frombuffer(r["sums"], np.float64) for r in summed.collect()}  # a few tables of fixed size
+    return [np.concatenate([got[i + j] for j in range(slices)]) for i in range(0, len(got), slices)] or None
+
+
+def contexts(docs: DataFrame, tokens: np.ndarray, buckets: int, own: int = 16, dealt: int = 16, slices: int = 32) -> np.ndarray:
+    """How often each class of buckets comes before and after each bucket: (buckets + 1, 2 * classes). The `own` most frequent buckets
+    are classes of their own, the others are dealt to `dealt` by hash."""
+    width = own + dealt
+    of = own + (mix(np.arange(buckets + 1, dtype=np.uint64)) % np.uint64(dealt)).astype(np.int64)
+    of[np.argsort(-tokens, kind="stable")[:own]] = np.arange(min(own, buckets + 1))
+
+    def tables(texts: Iterator[pa.Array]) -> list[np.ndarray]:
+        reader, found = Documents(buckets), np.zeros((buckets + 1) * 2 * width)
+
+        def add(sequences: list[np.ndarray]) -> None:
+            if not sequences:
+                return
+            flat, ends = np.concatenate(sequences).astype(np.int64), np.cumsum([len(s) for s in sequences])
+            inner = np.ones(len(flat) - 1, bool)
+            inner[ends[:-1] - 1] = False  # from one document's end to the next one's beginning
+            left, right = flat[:-1][inner], flat[1:][inner]
+            cells = np.concatenate([right * 2 * width + of[left], left * 2 * width + width + of[right]])
+            found[:] += np.bincount(cells, minlength=len(found))
+
+        held: list[np.ndarray] = []
+        for text in texts:
+            for _, words, sizes in reader.of(text):
+                held += reader.sequences(words, sizes)
+                if sum(map(len, held)) > 1_000_000:
+                    add(held)
+                    held = []
+        add(held)
+        return [found]
+
+    got = _summed(docs, tables, slices)
+    return np.zeros((buckets + 1, 2 * width)) if got is None else got[0].reshape(buckets + 1, 2 * width)
+
+
+def initial(docs: DataFrame, base: np.ndarray, states: int, buckets: int, rounds: int = 25) -> Params:
+    """States that differ: groups of buckets with like contexts, by k-means over roots of shares (so that distances are Hellinger's),
+    weighted by the buckets' tokens; seeds are the bucket in the middle, then ever the one with the most weighted distance."""
+    seen = contexts(docs, base, buckets)
+    weight = seen.sum(1)
+    smooth = seen + 8 * seen.sum(0) / max(1.0, weight.sum())
+    rows = np.sqrt(smooth / np.maximum(smooth.sum(1, keepdims=True), 1e-300))
+    apart = lambda c: np.maximum(((rows[:, None, :] - c[None]) ** 2).sum(2), 0) if len(c) == 1 else np.stack([((rows - x) ** 2).sum(1) for x in c], 1)
+    centres = (weight[:, None] * rows).sum(0, keepdims=True) / max(1.0, weight.sum())
+    centres = rows[[int(np.argmin(apart(centres)[:, 0] - 1e-12 * weight))]]
+    while len(centres) < states:
+        centres = np.vstack([centres, rows[int(np.argmax(weight * apart(centres).min(1)))]])
+    for _ in range(rounds):
+        mine = apart(centres).argmin(1)
+        for s in range(states):
+            if (total := weight[mine == s].sum()) > 0:
+                centres[s] = (weight[mine == s, None] * rows[mine == s]).sum(0) / total
+    mine = apart(centres).argmin(1)
+    emit = base[:, None] * np.where(mine[:, None] == np.arange(states), 1.0, 0.2 / max(1, states - 1))
+    move = np.full((states, states), 0.5 / states) + 0.5 * np.eye(states)
+    return Params(np.full(states, 1 / states), move, emit / emit.sum(0, keepdims=True))
+
+
+def baum_welch(docs: DataFrame, model: Params, base: np.ndarray, buckets: int, piece: int, slices: int = 32) -> tuple[Params, float]:
+    """(the model after one round over all documents, the logarithm of a token's likelihood, on average, before it)."""
+    states, sent = len(model.start), docs.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit))
+
+    def tables(texts: Iterator[pa.Array]) -> list[np.ndarray]:
+        reader, counts = Documents(buckets), Counts(buckets, states)
+        pieces = PieceBatches(counts, Params(*sent.value), piece)
+        for text in texts:
+            for _, words, sizes in reader.of(text):
+                for s in reader.sequences(words, sizes):
+                    pieces.add(s)
+        pieces.flush()
+        return [counts.emit, np.concatenate([counts.start, counts.move.ravel(), [counts.log, counts.n]])]
+
+    counts, got = Counts(buckets, states), _summed(docs, tables, slices)
+    if got is not None:
+        counts.emit, rest = got[0].reshape(states, buckets + 1), got[1]
+        counts.start, counts.move = rest[:states], rest[states:-2].reshape(states, states)
+        counts.log, counts.n = rest[-2], rest[-1]
+    return counts.params(base), counts.log / max(1.0, counts.n)
 
 
 class Slots:
-    """Counts of frequent words in a table with one place per slot of the hash; a word whose place another has is not
-    in it."""
+    """Counts of frequent words in a table with one place per slot of the hash; a word whose place a more frequent one has is in
+    a sorted list, which only words that the table doesn't hold are looked up in."""
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray, bits: int = 21):
         self.mask, order = np.uint64((1 << bits) - 1), np.argsort(counts, kind="stable")
-        tokens = tokens.view(np.uint64)[order]
+        tokens, counts = tokens.view(np.uint64)[order], counts[order]
         slot = (tokens >> np.uint64(20)) & self.mask
         self.tokens, self.counts = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
-        self.tokens[slot], self.counts[slot] = tokens, counts[order]
+        self.tokens[slot], self.counts[slot] = tokens, counts
+        left = (self.tokens[slot] != tokens).nonzero()[0]
+        left = left[np.argsort(tokens[left], kind="stable")]
+        self.others, self.other_counts = tokens[left], counts[left]
 
     def get(self, words: np.ndarray) -> np.ndarray:
         """The counts, 0 where unknown here."""
         slot = (words >> np.uint64(20)) & self.mask
-        return np.where(self.tokens[slot] == words, self.counts[slot], 0)
+        out = np.where(self.tokens[slot] == words, self.counts[slot], 0)
+        if len(self.others) and (missed := (out == 0).nonzero()[0]).size:
+            at = np.minimum(np.searchsorted(self.others, words[missed]), len(self.others) - 1)
+            out[missed] = np.where(self.others[at] == words[missed], self.other_counts[at], 0)
+        return out
 
 
 def is_held_out(doc_id: Column, folds: int, held: int) -> Column:
@@ -273,7 +367,7 @@ def _with(rows: DataFrame, more: DataFrame) -> DataFrame:
     return rows.join(m, rows["doc_id"].eqNullSafe(m["_doc_id"]) & (rows["mark"] == m["_mark"]), "left").drop("_doc_id", "_mark")
 
 
-def scored(docs: DataFrame, states: int = 6, buckets: int = 32_768, folds: int = 7, held: int = 2, iterations: int = 2, piece: int = 256, sample: int = 2_000, sample_rounds: int = 12, known: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, states: int = 6, buckets: int = 32_768, folds: int = 7, held: int = 2, iterations: int = 4, least_gain: float = 0.005, piece: int = 256, known: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "hmm")
     docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
@@ -289,9 +383,12 @@ def scored(docs: DataFrame, states: int = 6, buckets: int = 32_768, folds: int =
     n, v = int(tokens.sum()), int(distinct.sum()) if end else 0
     base = (tokens + distinct + 1) / (tokens + distinct + 1).sum()
 
-    model = initial(train, base, states, buckets, sample, sample_rounds, piece)
+    model, reached = initial(train, base, states, buckets), -np.inf
     for _ in range(iterations):
-        model = baum_welch(train, model, base, buckets, piece)
+        model, now = baum_welch(train, model, base, buckets, piece)
+        if now - reached < least_gain:
+            break
+        reached = now
 
     top = words.where(F.col("c") >= cut_count(words, "c", known)).select("token", "c").toArrow()
     slots = Slots(top.column("token").to_numpy(), top.column("c").to_numpy())

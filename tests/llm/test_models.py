@@ -112,6 +112,42 @@ def test_expected_counts_and_rising_likelihood():
         model = hmm_lm.Params(counts.start / counts.start.sum(), counts.move / counts.move.sum(1, keepdims=True), np.ascontiguousarray((counts.emit / counts.emit.sum(1, keepdims=True)).T))
 
 
+def test_pieces_join_exactly():
+    """Documents cut into pieces give the counts and the likelihood of whole ones."""
+    model, r = random_model(3, 6, 5), np.random.default_rng(6)
+    sequences = [r.integers(0, 6, n).astype(np.int32) for n in (1, 4, 5, 9, 40, 23)]
+    whole, cut = hmm_lm.Counts(5, 3), hmm_lm.Counts(5, 3)
+    for s in sequences:
+        whole.add([s], [True], model)
+    pieces = hmm_lm.PieceBatches(cut, model, 4, most=30)
+    for s in sequences:
+        pieces.add(s)
+    pieces.flush()
+    assert all(np.allclose(getattr(whole, n), getattr(cut, n), rtol=1e-9) for n in ("start", "move", "emit"))
+    assert cut.log == pytest.approx(hmm_lm.likelihoods(sequences, model).sum(), rel=1e-9) and cut.n == whole.n == sum(map(len, sequences))
+
+
+def test_contexts_count_all_neighbours(docs_of, prose):
+    rows = [(i, prose(5 + 3 * i, i)) for i in range(40)] + [(50, None), (51, "")]
+    found = [s for _, s in brute_sequences([t for _, t in rows], 16)]
+    got = hmm_lm.contexts(docs_of(rows).repartition(4), np.bincount(np.concatenate(found), minlength=17), 16, 17, 1)
+    near = np.zeros((17, 17))
+    for s in found:
+        np.add.at(near, (s[1:], s[:-1]), 1)
+    of = np.empty(17, int)
+    of[np.argsort(-np.bincount(np.concatenate(found), minlength=17), kind="stable")] = np.arange(17)
+    want = np.zeros((17, 36))
+    want[:, of], want[:, 18 + of] = near, near.T
+    assert np.array_equal(got, want)
+
+
+def test_slots_keep_every_word():
+    r = np.random.default_rng(1)
+    words, counts = r.integers(1, 2**63, 500).astype(np.uint64), np.arange(1, 501)
+    slots = hmm_lm.Slots(words.view(np.int64), counts, bits=6)
+    assert np.array_equal(slots.get(words), counts) and not slots.get(words + np.uint64(1)).any()
+
+
 def brute_sequences(texts, buckets):
     """Words and buckets of each text, the end's last."""
     reader, out = hmm_lm.Documents(buckets), []
@@ -128,19 +164,18 @@ def test_whole_score_equals_brute_force(docs_of, prose, monkeypatch):
     buckets, piece, models = 64, 16, []
     first, step = hmm_lm.initial, hmm_lm.baum_welch
     monkeypatch.setattr(hmm_lm, "initial", lambda *a: models.append((first(*a), a[1])) or models[-1][0])
-    monkeypatch.setattr(hmm_lm, "baum_welch", lambda *a: models.append((step(*a), a[2])) or models[-1][0])
+    monkeypatch.setattr(hmm_lm, "baum_welch", lambda *a: models.append((step(*a)[0], a[2])) or (models[-1][0], float(len(models))))
     rows = [(i, prose(5 + 13 * i % 90, i)) for i in range(60)] + [(100, None), (101, ""), (7, prose(40, 7)), (102, "Unseen words here")]
     rows += [(200 + i, prose(30, 5)) for i in range(6)]
     out = sorted(hmm_lm.scored(docs_of(rows).repartition(5), states=3, buckets=buckets, piece=piece, known=7).collect(), key=lambda r: (r.doc_id, r.n_tokens))
     rows.sort(key=lambda r: (r[0], len(WORD.findall(low(r[1])))))
     found = brute_sequences([t for _, t in rows], buckets)
     train = [f for (i, _), f in zip(rows, found, strict=True) if zlib.crc32(str(i).encode()) % 7 != 2]
-    assert len(models) == 3
+    assert len(models) == 5
     for (before, _), (after, base) in zip(models, models[1:], strict=False):
         counts = hmm_lm.Counts(buckets, 3)
         for _, s in train:
-            for k in range(0, len(s), piece):
-                counts.add([np.array(s[k : k + piece], np.int32)], [k == 0], before)
+            counts.add([np.array(s, np.int32)], [True], before)
         want = counts.params(base)
         assert all(np.allclose(getattr(after, n), getattr(want, n), rtol=1e-9) for n in ("start", "move", "emit"))
     model, c = models[-1][0], Counter(w for words, _ in train for w in words)
