@@ -367,7 +367,7 @@ def _with(rows: DataFrame, more: DataFrame) -> DataFrame:
     return rows.join(m, rows["doc_id"].eqNullSafe(m["_doc_id"]) & (rows["mark"] == m["_mark"]), "left").drop("_doc_id", "_mark")
 
 
-def scored(docs: DataFrame, states: int = 6, buckets: int = 32_768, folds: int = 7, held: int = 2, iterations: int = 4, least_gain: float = 0.005, piece: int = 256, known: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, states: int = 6, buckets: int = 32_768, folds: int = 7, held: int = 2, iterations: int = 6, least_gain: float = 0.005, piece: int = 256, known: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "hmm")
     docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
