@@ -306,8 +306,8 @@ def initial(docs: DataFrame, base: np.ndarray, states: int, buckets: int, rounds
             if (total := weight[mine == s].sum()) > 0:
                 centres[s] = (weight[mine == s, None] * rows[mine == s]).sum(0) / total
     mine = apart(centres).argmin(1)
-    emit = base[:, None] * np.where(mine[:, None] == np.arange(states), 1.0, 0.2 / max(1, states - 1))
-    move = np.full((states, states), 0.5 / states) + 0.5 * np.eye(states)
+    emit = base[:, None] * np.where(mine[:, None] == np.arange(states), 1.0, 0.6 / max(1, states - 1))
+    move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
     return Params(np.full(states, 1 / states), move, emit / emit.sum(0, keepdims=True))
 
 
@@ -367,7 +367,7 @@ def _with(rows: DataFrame, more: DataFrame) -> DataFrame:
     return rows.join(m, rows["doc_id"].eqNullSafe(m["_doc_id"]) & (rows["mark"] == m["_mark"]), "left").drop("_doc_id", "_mark")
 
 
-def scored(docs: DataFrame, states: int = 6, buckets: int = 32_768, folds: int = 7, held: int = 2, iterations: int = 6, least_gain: float = 0.005, piece: int = 256, known: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, states: int = 6, buckets: int = 32_768, folds: int = 7, held: int = 2, iterations: int = 4, least_gain: float = 0.005, piece: int = 256, known: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "hmm")
     docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
