@@ -1,69 +1,47 @@
 """Seamlines: who owns which part of the overlaps.
 
-Footprints come from pixels by distributed steps (components, outline, merged runs of edges); from there on there is one
-polygon per image, and the geometry is done on the driver.
+Footprints come from pixels (components, traced outlines), one an image. Footprints that meet are found by their boxes; each pair's seam
+is laid in a task of its own, and each image's cuts are applied in a task of its own. Nothing is gathered by the driver.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pixelloom.model import Rasters
-from pixelloom.operators.geometry import Jts
-from pixelloom.operators.vector import FEATURES, connected, outline
+from pixelloom.operators import boxes, overlay, voronoi
+from pixelloom.operators.components import saved
+from pixelloom.operators.overlay import Ring
+from pixelloom.operators.rowwise import mapped
+from pixelloom.operators.vector import connected, outlines, placed
+from pixelloom.operators.voronoi import Point
+
+RINGS = "array<array<struct<x:double,y:double>>>"
+LINE = "array<struct<x:double,y:double>>"
 
 
 def largest(r: Rasters, tile: int = 256) -> DataFrame:
-    """image, prow, pcol of each image's largest region with a valid first band."""
+    """image, prow, pcol, crow, ccol of each image's largest region with a valid first band; of equal ones the one whose smallest cell comes first."""
     cells = connected(r.pixels.where(F.col(r.bands[0]).isNotNull()).select("image", "prow", "pcol"), tile)
     sizes = cells.groupBy("image", "crow", "ccol").count()
     best = sizes.groupBy("image").agg(F.max(F.struct("count", (-F.col("crow")).alias("r"), (-F.col("ccol")).alias("c"))).alias("m")).select("image", (-F.col("m.r")).alias("crow"), (-F.col("m.c")).alias("ccol"))
-    return cells.join(best, ["image", "crow", "ccol"], "left_semi").select("image", "prow", "pcol")
-
-
-def runs(unit: DataFrame) -> DataFrame:
-    """Unit edges that continue each other on a grid line, as one edge: image, r1, c1, r2, c2."""
-    flat = unit.withColumn("across", F.col("r1") == F.col("r2")).withColumn("line", F.when(F.col("across"), F.col("r1")).otherwise(F.col("c1"))).withColumn("at", F.when(F.col("across"), F.col("c1")).otherwise(F.col("r1")))
-    order = W.partitionBy("image", "across", "line").orderBy("at")
-    island = flat.withColumn("island", F.col("at") - F.row_number().over(order))
-    ends = island.groupBy("image", "across", "line", "island").agg(F.min("at").alias("a"), (F.max("at") + 1).alias("b"))
-    pick = lambda x, y: F.when(F.col("across"), F.col(x)).otherwise(F.col(y))
-    return ends.select("image", pick("line", "a").alias("r1"), pick("a", "line").alias("c1"), pick("line", "b").alias("r2"), pick("b", "line").alias("c2"))
-
-
-def footprints(r: Rasters) -> list[tuple[str, object]]:
-    """(image, polygon) in the order of the images. ValueError where an image has no valid pixel."""
-    jts = Jts(r.pixels.sparkSession)
-    scenes = r.scenes.orderBy("ord").collect()
-    lines: dict[str, list] = {}
-    for e in runs(outline(largest(r), ["image"])).collect():  # the runs of one outline per image
-        lines.setdefault(e["image"], []).append(e)
-    out = []
-    for s in scenes:
-        if s["image"] not in lines:
-            raise ValueError(f"{s['image']} has no valid pixel")
-        at = lambda row, col, s=s: (s["x0"] + col * s["res_x"], s["y0"] - row * s["res_y"])
-        drawn = [jts.line([at(e["r1"], e["c1"]), at(e["r2"], e["c2"])]) for e in lines[s["image"]]]
-        noded = drawn[0]
-        for line in drawn[1:]:
-            noded = noded.union(line)
-        rings = sorted(jts.polygonized([noded]), key=lambda p: -p.getEnvelopeInternal().getArea())
-        shell, holes = rings[0], [p for p in rings[1:]]
-        whole = jts.factory.createPolygon(shell.getExteriorRing().getCoordinates())
-        for hole in holes:
-            if whole.contains(hole.getInteriorPoint()) and not shell.contains(hole.getInteriorPoint()):
-                whole = whole.difference(hole)
-        out.append((s["image"], whole))
+    return cells.join(best, ["image", "crow", "ccol"], "left_semi").select("image", "prow", "pcol", "crow", "ccol")
+
+
+def footprints(r: Rasters) -> DataFrame:
+    """image, ord, rings of every image. ValueError where one has no valid pixel."""
+    out = saved(placed(outlines(largest(r)), r.scenes).select("image", "ord", "rings"))
+    missing = r.scenes.join(out, "image", "left_anti").select("image").first()
+    if missing:
+        raise ValueError(f"{missing['image']} has no valid pixel")
     return out
 
 
-def spaced(ring: list[tuple[float, float]], spacing: float) -> list[tuple[float, float]]:
+def spaced(ring: Ring, spacing: float) -> list[Point]:
     """The corners and equally spaced points between them, at least `spacing` apart."""
     out = []
     for (x, y), (u, v) in zip(ring, ring[1:], strict=False):
@@ -72,86 +50,87 @@ def spaced(ring: list[tuple[float, float]], spacing: float) -> list[tuple[float,
     return out
 
 
-def anchors(jts: Jts, a, b) -> list[tuple[float, float]]:
-    """Where two outlines meet: points, and the middles of shared lines."""
-    met = a.getBoundary().intersection(b.getBoundary())
-    out = []
-    for g in jts.parts(met):
-        if g.isEmpty():
-            continue
-        if g.getGeometryType() == "Point":
-            out.append((g.getX(), g.getY()))
-        elif g.getGeometryType() == "LineString":
-            c = jts.top.linearref.LengthIndexedLine(g).extractPoint(g.getLength() / 2)
-            out.append((c.getX(), c.getY()))
-    return out
-
-
-def shortest(edges: dict[tuple, dict[tuple, float]], start: tuple, end: tuple) -> list[tuple]:
-    best, came, heap = {start: 0.0}, {}, [(0.0, start)]
-    while heap:
-        d, node = heapq.heappop(heap)
-        if node == end:
-            path = [node]
-            while node in came:
-                node = came[node]
-                path.append(node)
-            return path[::-1]
-        if d > best[node]:
-            continue
-        for other, w in edges[node].items():
-            if d + w < best.get(other, math.inf):
-                best[other], came[other] = d + w, node
-                heapq.heappush(heap, (d + w, other))
-    raise ValueError("the ends of a seam are not connected")
-
-
-def center_line(jts: Jts, a, b, spacing: float, min_length: float) -> list[tuple[float, float]]:
-    """The shortest way between the anchors along the Voronoi edges of the overlap's outline points."""
-    polygons = [g for g in jts.parts(a.intersection(b)) if g.getGeometryType() == "Polygon"]
-    if not polygons:
-        raise ValueError("the overlap has no area")
-    points = spaced(jts.points(max(polygons, key=lambda g: g.getArea()).getExteriorRing()), spacing)
-    ends = anchors(jts, a, b)
-    points += ends
-    builder = jts.top.triangulate.VoronoiDiagramBuilder()
-    builder.setSites(jts.factory.createMultiPointFromCoords(jts._filled(points)))
-    edges: dict[tuple, dict[tuple, float]] = {}
-    for cell in jts.parts(builder.getDiagram(jts.factory)):
-        ring = jts.points(cell.getExteriorRing())
-        for p, q in zip(ring, ring[1:], strict=False):
-            if (d := math.dist(p, q)) >= min_length:
-                edges.setdefault(p, {})[q] = d
-                edges.setdefault(q, {})[p] = d
+def farthest(points: list[Point]) -> tuple[Point, Point]:
+    """The two points farthest apart; of equal pairs the first. Only corners of the hull are compared."""
+    at = {p: k for k, p in reversed(list(enumerate(points)))}
+    hull = []
+    for line in (sorted(at), sorted(at, reverse=True)):
+        half: list[Point] = []
+        for p in line:
+            while len(half) > 1 and (half[-1][0] - half[-2][0]) * (p[1] - half[-2][1]) <= (half[-1][1] - half[-2][1]) * (p[0] - half[-2][0]):
+                half.pop()
+            half.append(p)
+        hull += half
+    corners = sorted(set(hull), key=at.__getitem__)
+    xy, best = np.array(corners), (-1.0, 0, 0)
+    for i in range(len(corners)):
+        d = ((xy[i + 1 :] - xy[i]) ** 2).sum(axis=1)
+        if len(d) and d.max() > best[0]:
+            best = (float(d.max()), i, i + 1 + int(d.argmax()))
+    return corners[best[1]], corners[best[2]]
+
+
+def center_line(a: list[Ring], b: list[Ring], spacing: float, min_length: float) -> list[Point]:
+    """The shortest way between the first two anchors along the Voronoi edges of the overlap's outline points; empty where the outlines
+    share no area."""
+    shell = overlay.overlap(a, b)
+    if shell is None:
+        return []
+    ends = overlay.anchors(a, b)
+    points = spaced(shell, spacing) + ends
+    edges = voronoi.graph(points, min_length)
     if not edges:
         raise ValueError("no Voronoi edge is long enough")
-    u, v = ends[:2] if len(ends) >= 2 else max(combinations(points, 2), key=lambda pq: math.dist(*pq))
-    near = lambda p: min(edges, key=lambda n: math.dist(n, p))
-    return [u, *shortest(edges, near(u), near(v)), v]
+    u, v = ends[:2] if len(ends) >= 2 else farthest(points)
+    near = lambda p: min(edges, key=lambda n: (math.dist(n, p), n))
+    return [u, *voronoi.shortest(edges, near(u), near(v)), v]
+
+
+def _plain(rings: list) -> list[Ring]:
+    return [[(p["x"], p["y"]) for p in ring] for ring in rings]
+
+
+def _rows(points: list[Point]) -> list[dict[str, float]]:
+    return [{"x": x, "y": y} for x, y in points]
+
+
+def _boxed(points: str) -> list:
+    x, y = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    return [F.array_min(x).alias("left"), F.array_min(y).alias("bottom"), F.array_max(x).alias("right"), F.array_max(y).alias("top")]
+
+
+def center_lines(prints: DataFrame, spacing: float, min_length: float) -> DataFrame:
+    """ord_a, ord_b, pair, line (points in order) of every pair of footprints that share an area."""
+
+    def lay(row: dict) -> list[dict]:
+        line = center_line(_plain(row["rings_a"]), _plain(row["rings_b"]), spacing, min_length)
+        return [{"ord_a": row["ord_a"], "ord_b": row["ord_b"], "pair": row["pair"], "line": _rows(line)}] if line else []
+
+    box = prints.withColumn("_all", F.flatten("rings")).select("ord", *_boxed("_all"))
+    pairs = boxes.meeting(box.withColumnRenamed("ord", "ord_a"), box.withColumnRenamed("ord", "ord_b")).where("ord_a < ord_b").select("ord_a", "ord_b")
+    side = lambda x: prints.select(F.col("ord").alias(f"ord_{x}"), F.col("image").alias(f"image_{x}"), F.col("rings").alias(f"rings_{x}"))
+    both = pairs.join(side("a"), "ord_a").join(side("b"), "ord_b").select("ord_a", "ord_b", F.concat("image_a", F.lit("-"), "image_b").alias("pair"), "rings_a", "rings_b")
+    return mapped(both, lay, f"ord_a int, ord_b int, pair string, line {LINE}")
+
+
+def parted(prints: DataFrame, lines: DataFrame) -> DataFrame:
+    """The footprints, cut by every line that reaches them, in the order of the lines' pairs."""
 
+    def cut(row: dict) -> list[dict]:
+        rings = overlay.kept(_plain(row["rings"]), _plain([c["line"] for c in row["cuts"] or ()]))
+        return [{"image": row["image"], "ord": row["ord"], "rings": [_rows(ring) for ring in rings]}]
 
-def kept_piece(jts: Jts, polygon, cuts: list[list[tuple[float, float]]]):
-    """After each cut the piece with the centroid, else the largest."""
-    for cut in cuts:
-        line = jts.line(cut)
-        if not polygon.intersects(line) and polygon.distance(line) > 1e-3:
-            continue
-        pieces = jts.split(polygon, line)
-        if pieces:
-            middle = polygon.getCentroid()
-            polygon = next((p for p in pieces if p.contains(middle)), None) or max(pieces, key=lambda p: p.getArea())
-    return polygon
+    box = prints.withColumn("_all", F.flatten("rings")).select("ord", *_boxed("_all"))
+    near = boxes.meeting(box, lines.select("ord_a", "ord_b", *_boxed("line")), touch=True).select("ord", "ord_a", "ord_b").distinct()
+    # as many lines as cross one footprint
+    cuts = near.join(lines, ["ord_a", "ord_b"]).groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("ord_a", "ord_b", "line"))).alias("cuts"))
+    return mapped(prints.join(cuts, "ord", "left").select("image", "ord", "rings", "cuts"), cut, f"image string, ord int, rings {RINGS}")
 
 
 def seamlines(r: Rasters, field: str = "image", min_point_spacing: float = 10, min_cut_length: float = 0) -> tuple[DataFrame, DataFrame]:
-    """(features: one polygon per image; cut lines: pair, x, y in order)."""
-    spark = r.pixels.sparkSession
-    jts, prints = Jts(spark), footprints(r)
-    cuts = [(f"{p}-{q}", center_line(jts, a, b, min_point_spacing, min_cut_length)) for (p, a), (q, b) in combinations(prints, 2) if a.intersection(b).getArea() > 0]
-    rows, lines = [], []
-    for i, (image, polygon) in enumerate(prints):
-        mine = [c for _, c in cuts if polygon.intersects(jts.line(c))]
-        rows.append(("seamlines", i, {field: image}, jts.rings(kept_piece(jts, polygon, mine))))
-    for pair, c in cuts:
-        lines += [(pair, k, float(x), float(y)) for k, (x, y) in enumerate(c)]
-    return spark.createDataFrame(rows, FEATURES), spark.createDataFrame(lines, "pair string, pos int, x double, y double")
+    """(features: one polygon per image, its shell before its holes; cut lines: pair, x, y in order). Images are named by different `ord`s. An
+    overlap without a Voronoi edge of the least length, or whose ends such edges do not connect, is an error when the result is read."""
+    prints = footprints(r)
+    lines = saved(center_lines(prints, min_point_spacing, min_cut_length))
+    found = parted(prints, lines).select(F.lit("seamlines").alias("layer"), F.col("ord").cast("long").alias("feature_id"), F.create_map(F.lit(field), F.col("image")).alias("props"), "rings")
+    return found, lines.select("pair", F.posexplode("line").alias("pos", "_p")).select("pair", "pos", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))

@@ -9,7 +9,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +19,8 @@ from pixelloom.model import Rasters
 from pixelloom.operators import boxes, grid, spans
 from pixelloom.operators.clipping import shared
 from pixelloom.operators.components import components, saved, tile_components
+from pixelloom.operators.overlay import traced
+from pixelloom.operators.rowwise import mapped
 
 FEATURES = "layer string, feature_id long, props map<string,string>, rings array<array<struct<x:double,y:double>>>"
 
@@ -176,48 +177,31 @@ def connected(cells: DataFrame, tile: int = 256) -> DataFrame:
     return named.select("image", "prow", "pcol", F.col("top.lrow").alias("crow"), F.col("top.lcol").alias("ccol"))
 
 
-def _rings(edges: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int]]]:
-    """Closed rings of directed unit edges (r, c, r', c') that have the region on their right; only corners are kept. Where
-    two cells touch at a corner the ring turns right, so it stays with its own cell."""
-    after: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for r, c, u, v in edges:
-        after.setdefault((r, c), []).append((u, v))
-    out = []
-    for start in sorted(after):
-        while after.get(start):
-            at, step, ring = after[start].pop(), None, [start]
-            step = (at[0] - start[0], at[1] - start[1])
-            while at != start:
-                right = (step[1], -step[0])
-                ways = after[at]
-                best = next((w for d in (right, step, (-right[0], -right[1])) for w in ways if (w[0] - at[0], w[1] - at[1]) == d), ways[0])
-                ways.remove(best)
-                turn = (best[0] - at[0], best[1] - at[1])
-                if turn != step:
-                    ring.append(at)
-                at, step = best, turn
-            out.append([*ring, start])
-    return out
-
-
-def polygons(r: Rasters, cells: DataFrame, layer: str = "mask", dissolve: bool = True, tile: int = 256) -> DataFrame:
-    """True cells as features: one per image, or one per connected region. A task holds the outline of a region, not its
-    cells."""
-    near = connected(cells, tile)
+def outlines(regions: DataFrame) -> DataFrame:
+    """image, crow, ccol, corners (rings of r, c) of regions as from `connected`. A task holds the outline of a region, not its cells."""
     q, p = F.col("prow"), F.col("pcol")
     sides = [(q, p, q, p + 1), (q, p + 1, q + 1, p + 1), (q + 1, p + 1, q + 1, p), (q + 1, p, q, p)]
-    unit = near.select("image", "crow", "ccol", F.inline(F.array(*(F.struct(a.alias("r1"), b.alias("c1"), c.alias("r2"), d.alias("c2")) for a, b, c, d in sides))))
+    unit = regions.select("image", "crow", "ccol", F.inline(F.array(*(F.struct(a.alias("r1"), b.alias("c1"), c.alias("r2"), d.alias("c2")) for a, b, c, d in sides))))
     key = [F.least("r1", "r2").alias("_r"), F.least("c1", "c2").alias("_c"), (F.col("r1") == F.col("r2")).alias("_h")]
     edge = unit.groupBy("image", "crow", "ccol", *key).agg(F.count("*").alias("n"), *(F.min(x).alias(x) for x in ("r1", "c1", "r2", "c2"))).where("n = 1")
 
     def trace(part: pd.DataFrame) -> pd.DataFrame:
-        rings = _rings(list(zip(part.r1.tolist(), part.c1.tolist(), part.r2.tolist(), part.c2.tolist(), strict=True)))
+        rings = traced(list(zip(part.r1.tolist(), part.c1.tolist(), part.r2.tolist(), part.c2.tolist(), strict=True)))
         return pd.DataFrame({"image": [part.image.iloc[0]], "crow": [part.crow.iloc[0]], "ccol": [part.ccol.iloc[0]], "corners": [[[{"r": a, "c": b} for a, b in ring] for ring in rings]]})
 
-    traced = edge.groupBy("image", "crow", "ccol").applyInPandas(trace, "image string, crow int, ccol int, corners array<array<struct<r:int,c:int>>>")
-    placed = traced.join(r.scenes.select("image", "ord", "x0", "y0", "res_x", "res_y"), "image")
+    return edge.groupBy("image", "crow", "ccol").applyInPandas(trace, "image string, crow int, ccol int, corners array<array<struct<r:int,c:int>>>")
+
+
+def placed(outlined: DataFrame, scenes: DataFrame) -> DataFrame:
+    """image, ord, crow, ccol and the corners as rings of x, y."""
+    where = outlined.join(scenes.select("image", "ord", "x0", "y0", "res_x", "res_y"), "image")
     world = F.transform("corners", lambda ring: F.transform(ring, lambda v: F.struct((F.col("x0") + v["c"] * F.col("res_x")).alias("x"), (F.col("y0") - v["r"] * F.col("res_y")).alias("y"))))
-    rows = placed.select("image", "ord", "crow", "ccol", world.alias("rings"))
+    return where.select("image", "ord", "crow", "ccol", world.alias("rings"))
+
+
+def polygons(r: Rasters, cells: DataFrame, layer: str = "mask", dissolve: bool = True, tile: int = 256) -> DataFrame:
+    """True cells as features: one per image, or one per connected region."""
+    rows = placed(outlines(connected(cells, tile)), r.scenes)
     props = F.create_map(F.lit("image"), F.col("image"), F.lit("value"), F.lit("1"))
     if dissolve:
         rows = rows.groupBy("image", "ord").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("crow", "ccol", "rings"))), lambda x: x["rings"])).alias("rings"))
@@ -282,20 +266,18 @@ def merge_intersection(layers: dict[str, DataFrame]) -> DataFrame:
         as_side = lambda df, key, x: df.select(F.col("feature_id").alias(key), F.coalesce("props", F.create_map().cast("map<string,string>")).alias(f"props_{x}"), F.col("rings").alias(f"rings_{x}"))
         both = pairs.join(as_side(rows, "one", "a"), "one").join(as_side(other, "two", "b"), "two")
         mixed = F.map_concat(F.map_filter("props_b", lambda k, _: ~F.map_contains_key("props_a", k)), "props_a")
-        rows = both.select("one", "two", mixed.alias("props"), "rings_a", "rings_b").mapInPandas(_clipped, "feature_id long, props map<string,string>, rings array<array<struct<x:double,y:double>>>")
+        rows = mapped(both.select("one", "two", mixed.alias("props"), "rings_a", "rings_b"), _clipped, "feature_id long, props map<string,string>, rings array<array<struct<x:double,y:double>>>")
         rows = saved(rows)
     return rows.select(F.lit("intersection").alias("layer"), "feature_id", "props", "rings")
 
 
-def _clipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _clipped(row: dict) -> list[dict]:
     plain = lambda rings: [[(p["x"], p["y"]) for p in ring] for ring in rings]
-    for batch in batches:
-        out = []
-        for row in batch.itertuples():
-            for k, ring in enumerate(shared(plain(row.rings_a), plain(row.rings_b))):
-                number = int.from_bytes(hashlib.blake2b(f"{row.one}/{row.two}/{k}".encode(), digest_size=8).digest(), "little", signed=True)
-                out.append((number, dict(row.props), [[{"x": x, "y": y} for x, y in ring]]))
-        yield pd.DataFrame(out, columns=["feature_id", "props", "rings"])
+    out = []
+    for k, ring in enumerate(shared(plain(row["rings_a"]), plain(row["rings_b"]))):
+        number = int.from_bytes(hashlib.blake2b(f"{row['one']}/{row['two']}/{k}".encode(), digest_size=8).digest(), "little", signed=True)
+        out.append({"feature_id": number, "props": row["props"], "rings": [[{"x": x, "y": y} for x, y in ring]]})
+    return out
 
 
 def merge(layers: dict[str, DataFrame], method: str, name_attribute: str | None = None, separator: str = ", ") -> DataFrame:

@@ -11,7 +11,7 @@ from pixelloom.functions import expressions
 from pixelloom.model import Rasters
 from pixelloom.operators import blocks, clouds, grid, regression, restructure, seamline, stats, vector
 from pixelloom.sources import paths, tables
-from pixelloom.sources.scenes import BANDS, catalogue, footprints, layers, scenes, side_of
+from pixelloom.sources.scenes import BANDS, catalogue, footprints, layers, neighbours, scenes, side_of
 
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
@@ -487,19 +487,21 @@ def seamline_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-@query("SELECT max(x0)+32e0-min(x0) AS width, (max(x0)+32e0-min(x0))*32e0 AS area, (min(x0)+32e0+max(x0))/2e0 AS seam, 0e0 AS off, count(*) AS images FROM scenes WHERE image IN ('A','N')")
+@query("WITH n AS (SELECT p_partkey AS part, 8 + p_size % 5 * 2 AS width, 2 + p_size % 3 * 2 AS common, 18 + p_partkey % 3 * 2 AS height FROM part) SELECT part, 2 AS images, CAST((2 * width - common) * height AS DOUBLE) AS area, CAST(2 * width - common AS DOUBLE) AS width, CAST(height AS DOUBLE) AS height, (part % 1000) * 64 + width - common / 2e0 AS seam, 0e0 AS off FROM n", "")
 def seamline_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two whole images side by side, of the places of A and N: together their parts have the area of both, without gap or
-    overlap, and between the corners' bisectors the seam runs along the middle of what they share."""
-    cat = catalogue(spark, 32, (("A", 0, 0.0, 1.0), ("N", 1, 0.5, 1.0)))
-    whole = cat.select("image", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("prow"), "width").select("image", "prow", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("pcol"), F.lit(1.0).alias("b1"))
-    found, lines = seamline.seamlines(Rasters(whole, cat, ("b1",)), min_point_spacing=2)
+    """Two whole images a part, side by side: together the parts that they keep have the area of both, without gap or overlap, and between
+    the corners' bisectors the seam runs along the middle of what they share."""
+    r = neighbours(spark, sf_dir)
+    found, lines = seamline.seamlines(r, min_point_spacing=1)
     ring = F.col("rings")[0]
     corners = F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: ring[i]["x"] * ring[i + 1]["y"] - ring[i + 1]["x"] * ring[i]["y"])
-    parts = found.select(F.abs(F.aggregate(corners, F.lit(0.0), lambda a, x: a + x)) / 2, F.array_max(ring["x"]), F.array_min(ring["x"])).toDF("area", "high", "low")
-    areas = parts.agg((F.max("high") - F.min("low")).alias("width"), F.round(F.sum("area"), 6).alias("area"), F.count("*").alias("images"))
-    middle = lines.where("y between 8 and 24").agg(F.round(F.avg("x"), 6).alias("seam"), F.round(F.max(F.abs(F.col("x") - 24)), 6).alias("off"))
-    return areas.join(middle).select("width", "area", "seam", "off", "images")
+    across = lambda axis: F.transform(ring, lambda p: p[axis])
+    part = F.floor(F.col("feature_id") / 2).alias("part")
+    shapes = found.select(part, (F.abs(F.aggregate(corners, F.lit(0.0), lambda a, x: a + x)) / 2).alias("area"), *(f(across(x)).alias(n) for x, f, n in (("x", F.array_min, "left"), ("x", F.array_max, "right"), ("y", F.array_min, "bottom"), ("y", F.array_max, "top"))))
+    areas = shapes.groupBy("part").agg(F.count("*").cast("int").alias("images"), F.round(F.sum("area"), 6).alias("area"), (F.max("right") - F.min("left")).alias("width"), F.max("top").alias("top"), F.min("bottom").alias("bottom"))
+    inner = lines.select(F.regexp_extract("pair", r"^p(\d+)l", 1).cast("long").alias("part"), "x", "y").join(areas.select("part", "top", "bottom"), "part").where("y between bottom + 7 and top - 7")
+    seams = inner.groupBy("part").agg(F.round(F.avg("x"), 6).alias("seam"), F.round(F.max("x") - F.min("x"), 6).alias("off"))
+    return areas.join(seams, "part").select("part", "images", "area", "width", (F.col("top") - F.col("bottom")).alias("height"), "seam", "off")
 
 
 @query("SELECT image, prow, pcol, CASE WHEN CAST(b1 AS FLOAT)>CAST(40 AS FLOAT) THEN 1 ELSE 0 END AS value FROM g")

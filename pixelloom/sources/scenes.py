@@ -45,6 +45,20 @@ def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def neighbours(spark: SparkSession, sf_dir: str) -> Rasters:
+    """Two images a part, side by side with some columns in common and apart from other parts' images: whole, by lines and columns alone."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    one = table(spark, sf_dir, "part").select(key.alias("key"), (F.lit(8) + size % 5 * 2).cast("int").alias("width"), (F.lit(2) + size % 3 * 2).cast("int").alias("common"), (F.lit(18) + key % 3 * 2).cast("int").alias("height"))
+    sides = one.withColumn("right", F.explode(F.array(F.lit(0), F.lit(1))))
+    cat = sides.select(
+        F.concat(F.lit("p"), F.col("key").cast("string"), F.when(F.col("right") == 1, "r").otherwise("l")).alias("image"), (2 * F.col("key") + F.col("right")).cast("int").alias("ord"),
+        ((F.col("key") % 1000) * 64 + F.col("right") * (F.col("width") - F.col("common"))).cast("double").alias("x0"), (F.floor(F.col("key") / 1000) * 64).cast("double").alias("y0"),
+        F.lit(1.0).alias("res_x"), F.lit(1.0).alias("res_y"), "width", "height", F.lit("float64").alias("dtype"), F.lit(None).cast("double").alias("nodata"), F.lit("EPSG:3857").alias("crs"),
+    )
+    rows = cat.select("image", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("prow"))
+    return Rasters(rows.select("image", "prow", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("pcol"), F.lit(1.0).alias("b1")), cat, ("b1",))
+
+
 def box_layer(rows: DataFrame, layer: str, props: dict) -> DataFrame:
     """Features of rows with id, left, bottom, right, top."""
     corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))

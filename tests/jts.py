@@ -1,4 +1,4 @@
-"""Planar geometry on the driver, by the JTS library that Spark's JVM brings: for footprints only."""
+"""Planar geometry by the JTS library that Spark's JVM brings, to compare with."""
 
 from __future__ import annotations
 

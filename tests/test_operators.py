@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions import expressions
 from pixelloom.model import Rasters, dense, nodata_to_null, null_to_nodata, resolve_dtype, resolve_nodata, scenes_of, wrap_cast
-from pixelloom.operators import blocks, clouds, grid, regression, restructure, seamline, stats, vector
+from pixelloom.operators import blocks, clouds, grid, regression, restructure, stats, vector
 from pixelloom.sources import paths, tables
 
 
@@ -353,6 +353,10 @@ def test_merge_vectors(spark):
     assert len(shared) == 1 and {(p.x, p.y) for p in shared[0].rings[0]} == {(1, 1), (5, 1), (5, 5), (1, 5)}
     with pytest.raises(ValueError):
         vector.merge(layers, "other")
+    # rings of unlike lengths in one feature
+    ring = vector.box(0, 0, 9, 9) + [[(1, 1), (3, 1), (1, 3), (1, 1)]]
+    holed = vector.merge({"u": vector.feature_table(spark, [("u", 0, {}, ring)]), "v": layers["v"]}, "intersection").collect()
+    assert sum(abs(sum(p.x * q.y - q.x * p.y for p, q in zip(x.rings[0], x.rings[0][1:], strict=False))) / 2 for x in holed) == pytest.approx(25 - 2)
 
 
 def test_align(spark):
@@ -373,16 +377,6 @@ def test_mosaic_takes_the_last_valid(spark):
     assert m == {(0, 0): 1, (0, 1): 2, (1, 0): 3, (1, 1): 9, (0, 2): 9, (1, 2): 9}
 
 
-def test_seamlines_split_the_overlap(spark):
-    r = raster(spark, {"l": (np.ones((20, 20)), 0, 20, 1), "r": (np.ones((20, 20)), 10, 20, 1)})
-    found, cuts = seamline.seamlines(r, min_point_spacing=1)
-    jts = seamline.Jts(spark)
-    a, b = (jts.polygon([[(p[0], p[1]) for p in ring] for ring in x.rings]) for x in found.orderBy("feature_id").collect())
-    assert a.intersection(b).getArea() < 5 and 560 < a.union(b).getArea() <= 600 and cuts.count() > 5
-    with pytest.raises(ValueError):
-        seamline.footprints(raster(spark, {"l": ([[1.0]], 0, 1, 1), "r": ([[math.nan]], 0, 1, 1)}))
-
-
 def test_cloud_mask_needs_a_predictor(spark):
     r = raster(spark, {"a": (np.full((3, 4, 4), 5.0), 0, 4, 1)})
     with pytest.raises(ValueError):
@@ -511,7 +505,7 @@ def test_wide_buffer_equals_brute_force(spark):
 
 def test_clipped_areas_equal_those_of_a_geometry_library(spark):
     from pixelloom.operators import clipping
-    from pixelloom.operators.geometry import Jts
+    from jts import Jts
 
     j, r = Jts(spark), np.random.default_rng(8)
 
