@@ -25,6 +25,12 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """By its keys to as many partitions as the session's setting says. For steps whose rows are small but take long in Python: by their bytes
+    alone they would be put together in a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _label(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """For each cell the position of the smallest cell (by row, then column) of its region; sides connect."""
     order = np.lexsort((cols, rows))
@@ -55,7 +61,8 @@ def tile_components(cells: DataFrame, tile: int) -> DataFrame:
         return pd.DataFrame({"image": part.image, "prow": part.prow, "pcol": part.pcol, "lrow": part.prow.to_numpy()[found], "lcol": part.pcol.to_numpy()[found]})
 
     keyed = cells.select("image", F.col("prow").cast("int").alias("prow"), F.col("pcol").cast("int").alias("pcol"))
-    return keyed.groupBy("image", F.floor(F.col("prow") / tile).alias("_r"), F.floor(F.col("pcol") / tile).alias("_c")).applyInPandas(run, "image string, prow int, pcol int, lrow int, lcol int")
+    keyed = spread(keyed.withColumns({"_r": F.floor(F.col("prow") / tile), "_c": F.floor(F.col("pcol") / tile)}), "image", "_r", "_c")
+    return keyed.groupBy("image", "_r", "_c").applyInPandas(run, "image string, prow int, pcol int, lrow int, lcol int")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.model import Rasters
 from pixelloom.operators import boxes, overlay, voronoi
-from pixelloom.operators.components import saved
+from pixelloom.operators.components import saved, spread
 from pixelloom.operators.overlay import Ring
 from pixelloom.operators.rowwise import mapped
 from pixelloom.operators.vector import connected, outlines, placed
@@ -110,7 +110,7 @@ def center_lines(prints: DataFrame, spacing: float, min_length: float) -> DataFr
     pairs = boxes.meeting(box.withColumnRenamed("ord", "ord_a"), box.withColumnRenamed("ord", "ord_b")).where("ord_a < ord_b").select("ord_a", "ord_b")
     side = lambda x: prints.select(F.col("ord").alias(f"ord_{x}"), F.col("image").alias(f"image_{x}"), F.col("rings").alias(f"rings_{x}"))
     both = pairs.join(side("a"), "ord_a").join(side("b"), "ord_b").select("ord_a", "ord_b", F.concat("image_a", F.lit("-"), "image_b").alias("pair"), "rings_a", "rings_b")
-    return mapped(both, lay, f"ord_a int, ord_b int, pair string, line {LINE}")
+    return mapped(spread(both, "ord_a", "ord_b"), lay, f"ord_a int, ord_b int, pair string, line {LINE}")
 
 
 def parted(prints: DataFrame, lines: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def parted(prints: DataFrame, lines: DataFrame) -> DataFrame:
     near = boxes.meeting(box, lines.select("ord_a", "ord_b", *_boxed("line")), touch=True).select("ord", "ord_a", "ord_b").distinct()
     # as many lines as cross one footprint
     cuts = near.join(lines, ["ord_a", "ord_b"]).groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("ord_a", "ord_b", "line"))).alias("cuts"))
-    return mapped(prints.join(cuts, "ord", "left").select("image", "ord", "rings", "cuts"), cut, f"image string, ord int, rings {RINGS}")
+    return mapped(spread(prints.join(cuts, "ord", "left").select("image", "ord", "rings", "cuts"), "ord"), cut, f"image string, ord int, rings {RINGS}")
 
 
 def seamlines(r: Rasters, field: str = "image", min_point_spacing: float = 10, min_cut_length: float = 0) -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,7 @@ from pixelloom.functions.expressions import bands_of, to_column
 from pixelloom.model import Rasters
 from pixelloom.operators import boxes, grid, spans
 from pixelloom.operators.clipping import shared
-from pixelloom.operators.components import components, saved, tile_components
+from pixelloom.operators.components import components, saved, spread, tile_components
 from pixelloom.operators.overlay import traced
 from pixelloom.operators.rowwise import mapped
 
@@ -166,7 +166,7 @@ def outline(cells: DataFrame, keys: list[str]) -> DataFrame:
 def connected(cells: DataFrame, tile: int = 256) -> DataFrame:
     """image, prow, pcol, component: regions of cells that share sides, named by their smallest cell. Tiles are labelled
     alone (they bound what a task holds); labels that meet at tile borders are joined as a small graph."""
-    local = tile_components(cells, tile)
+    local = saved(tile_components(cells, tile))  # read four times
     local = local.withColumn("node", F.struct("image", "lrow", "lcol"))
     right = local.select("image", "prow", (F.col("pcol") + 1).alias("pcol"), F.col("node").alias("b"))
     below = local.select("image", (F.col("prow") + 1).alias("prow"), "pcol", F.col("node").alias("b"))
@@ -189,7 +189,7 @@ def outlines(regions: DataFrame) -> DataFrame:
         rings = traced(list(zip(part.r1.tolist(), part.c1.tolist(), part.r2.tolist(), part.c2.tolist(), strict=True)))
         return pd.DataFrame({"image": [part.image.iloc[0]], "crow": [part.crow.iloc[0]], "ccol": [part.ccol.iloc[0]], "corners": [[[{"r": a, "c": b} for a, b in ring] for ring in rings]]})
 
-    return edge.groupBy("image", "crow", "ccol").applyInPandas(trace, "image string, crow int, ccol int, corners array<array<struct<r:int,c:int>>>")
+    return spread(edge, "image", "crow", "ccol").groupBy("image", "crow", "ccol").applyInPandas(trace, "image string, crow int, ccol int, corners array<array<struct<r:int,c:int>>>")
 
 
 def placed(outlined: DataFrame, scenes: DataFrame) -> DataFrame:
