@@ -160,13 +160,23 @@ def profile(docs: DataFrame, shape: dict, text_col: str = "text") -> DataFrame:
     return docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"), mark_of(docs[text_col]).alias("mark")).mapInArrow(tidy(run), "mark long, bands array<long>, sketch binary, keys array<long>")
 
 
-def _joined(rows: DataFrame, few: DataFrame, on: str, how: str, most: int, salts: int = 32) -> DataFrame:
+def _joined(rows: DataFrame, few: DataFrame, on: str, how: str, most: int, salts: int = 32, heavy: DataFrame | None = None) -> DataFrame:
     """rows joined with few, whose key is unique: broadcast up to `most` counted rows, else by a shuffle in which rows of one
-    key are dealt to `salts` tasks."""
+    key are dealt to `salts` tasks. heavy: the few keys with many rows, where they are known; the others are not dealt then."""
     if few.count() <= most:
         return rows.join(F.broadcast(few), on, how)
-    dealt = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", F.floor(F.rand(1) * salts).cast("int")).join(dealt, [on, "_salt"], how).drop("_salt")
+    if heavy is None:
+        dealt = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return rows.withColumn("_salt", F.floor(F.rand(1) * salts).cast("int")).join(dealt, [on, "_salt"], how).drop("_salt")
+    mark = F.broadcast(heavy.select(on, F.lit(True).alias("_heavy")))
+    dealt = few.join(mark, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_heavy"), salts - 1).otherwise(0)))).drop("_heavy")
+    salted = rows.join(mark, on, "left").withColumn("_salt", F.when(F.col("_heavy"), F.floor(F.rand(1) * salts).cast("int")).otherwise(0)).drop("_heavy")
+    return salted.join(dealt, [on, "_salt"], how).drop("_salt")
+
+
+def many(rows: int) -> int:
+    """A key with more rows of these is dealt to several tasks: such keys are few, however many rows there are."""
+    return max(1_000, rows // 200)
 
 
 def groups(docs: DataFrame, scratch: Scratch, most: int = 1_000_000, text_col: str = "text", shape: dict | None = None) -> DataFrame:
@@ -179,13 +189,14 @@ def copies(found: DataFrame, scratch: Scratch, most: int) -> DataFrame:
     """node (the mark of a text that has copies), component (the smallest mark of its group). found: mark, bands, sketch.
 
     A text has a pair for each different smallest text in its bands, `bands` at most; sketches of texts that are the smallest of some
-    other's band are sent to the pairs up to a counted number, beyond that dealt to several tasks."""
+    other's band are sent to the pairs up to a counted number, beyond that shuffled, those of many pairs dealt to several tasks."""
     flat = found.select(F.explode("bands").alias("band"), "mark")
-    groups = flat.groupBy("band").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("band", "low")
-    pairs = scratch.save("pairs", _joined(flat, scratch.save("bands", groups), "band", "inner", most).where("mark > low").select("mark", "low").distinct())
+    groups = flat.groupBy("band").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "low", "n")
+    groups, often = scratch.save("bands", groups), many(found.count())
+    pairs = scratch.save("pairs", _joined(flat, groups.drop("n"), "band", "inner", most, heavy=groups.where(F.col("n") > often)).where("mark > low").select("mark", "low").distinct())
     once = found.groupBy("mark").agg(F.first("sketch").alias("sketch"))
     lows = scratch.save("lows", once.join(pairs.select(F.col("low").alias("mark")).distinct(), "mark", "left_semi").withColumnsRenamed({"mark": "low", "sketch": "other"}))
-    both = _joined(pairs.join(once, "mark"), lows, "low", "inner", most // 20)
+    both = _joined(pairs.join(once, "mark"), lows, "low", "inner", most // 20, heavy=pairs.groupBy("low").count().where(F.col("count") > often))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

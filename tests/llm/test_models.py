@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pixelloom.llm import hmm_lm, toxicity
+from pixelloom.llm import hmm_lm, line_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -345,6 +345,25 @@ def test_repeated_tables_are_learned_alike(spark, docs_of, labelled):
     assert one.weights == shuffled.weights and one.beta == shuffled.beta and one.chars.three == shuffled.chars.three
 
 
+def test_labels_and_weights_never_become_join_tables_of_the_driver(spark, docs_of, labelled):
+    rows, labels = labelled
+    docs, table = docs_of([*rows, *rows[:50], (None, "no id")]), spark.createDataFrame([*labels, (-5, 1)], "doc_id long, toxic int")
+    sent, shuffled = (toxicity._labelled(docs, table, 5, 0, "doc_id", "text", most) for most in (1_000_000, 0))
+    assert "Join" not in sent._jdf.queryExecution().toString()
+    assert sorted(map(tuple, sent.collect())) == sorted(map(tuple, shuffled.collect()))
+    none = table.where("doc_id is null")
+    assert toxicity._labelled(docs, none, 5, 0, "doc_id", "text", 10).count() == 0
+
+
+def test_heavy_keys_alone_are_dealt(spark):
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(300)], "key long, at long")
+    few = spark.createDataFrame([(k, 10 * k) for k in range(5)], "key long, value long")
+    heavy = rows.groupBy("key").count().where("count > 50")
+    for how in ("inner", "left_semi", "left_anti", "left"):
+        found = (line_dedup._joined(rows, few, "key", how, most, heavy=heavy).select("at").collect() for most in (10, 0))
+        assert len({tuple(sorted(r["at"] for r in x)) for x in found}) == 1
+
+
 def test_toxicity_without_labels(spark, docs_of, odd):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     out = toxicity.judged(docs_of(odd), empty).collect()
