@@ -111,9 +111,20 @@ def solved(rows: DataFrame, most_dense: int = 100, most_edges: int = 1_000_000)
     return out.drop("part")
 
 
-def parameters(r: Rasters, anchors: Anchors = Anchors(), mean_factor: float = 1.0, std_factor: float = 1.0, model: dict[str, DataFrame] | None = None, most_dense: int = 100, most_edges: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def undetermined(rows: DataFrame) -> DataFrame:
+    """image, band of the images, no anchors, whose overlaps with anchors have no deviation and one mean, up to rounding: any scale fits
+    them with some offset."""
+    side = lambda x: rows.where("b IS NOT NULL AND w > 0").select(F.col(x).alias("image"), "band", F.col(f"mean_{x}").alias("mean"), F.col(f"std_{x}").alias("std"))
+    others = side("a").unionByName(side("b")).join(rows.where("b IS NULL").select(F.col("a").alias("image"), "band"), ["image", "band"], "left_anti")
+    noise = F.lit(1e-12) * F.max(F.abs("mean"))
+    sums = others.groupBy("image", "band").agg(((F.max("std") <= noise) & (F.max("mean") - F.min("mean") <= noise)).alias("_open"))
+    return sums.where("_open").select("image", "band")
+
+
+def parameters(r: Rasters, anchors: Anchors = Anchors(), mean_factor: float = 1.0, std_factor: float = 1.0, model: dict[str, DataFrame] | None = None, most_dense: int = 100, most_edges: int = 1_000_000, keep_undetermined: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(adjustments, whole statistics, overlap statistics). What a loaded model already knows about an image or a pair is
-    taken from it, not computed again. All three are small tables that have been written: nothing is aggregated twice."""
+    taken from it, not computed again. All three are small tables that have been written: nothing is aggregated twice.
+    What the overlaps leave open (`undetermined`) stays as near to no change as it can, or is NaN without `keep_undetermined`."""
     if anchors.mode not in ("all", "include", "exclude"):
         raise ValueError("anchors are all, include or exclude")
     whole, between = stats.whole, stats.overlap
@@ -126,19 +137,24 @@ def parameters(r: Rasters, anchors: Anchors = Anchors(), mean_factor: float = 1.
     else:
         whole_df, between_df = whole(r), between(r)
     whole_df, between_df = saved(whole_df), saved(between_df)
-    found = solved(constraints(_named(r, model), anchors, whole_df, between_df, mean_factor, std_factor), most_dense, most_edges)
+    rows = constraints(_named(r, model), anchors, whole_df, between_df, mean_factor, std_factor)
+    found = solved(rows, most_dense, most_edges)
+    if not keep_undetermined:
+        marked = found.join(undetermined(rows).withColumn("_open", F.lit(True)), ["image", "band"], "left")
+        found = marked.select("image", "band", *(F.when(F.col("_open"), F.lit(float("nan"))).otherwise(F.col(c)).alias(c) for c in ("scale", "offset")))
     every = r.scenes.select("image").join(r.pixels.sparkSession.createDataFrame([(b,) for b in r.bands], "band string"))
     every = every.join(found, ["image", "band"], "left").select("image", "band", F.coalesce("scale", F.lit(1.0)).alias("scale"), F.coalesce("offset", F.lit(0.0)).alias("offset"))
     return saved(every), whole_df, between_df
 
 
-def anchored(between: DataFrame, scenes: DataFrame, anchor: str) -> DataFrame:
+def anchored(between: DataFrame, scenes: DataFrame, anchor: str, keep_undetermined: bool = True) -> DataFrame:
     """The closed form for one anchor, in SQL: every image that overlaps it gets the anchor's deviation and mean in the
-    overlap; the others and the anchor stay."""
+    overlap; the others and the anchor stay. So do images without deviation there; without `keep_undetermined` they get the bare ratio:
+    NaN, or infinity where the anchor deviates."""
     own = between.where(F.col("other") == anchor).select("image", "band", F.col("mean").alias("m"), F.col("std").alias("s"), "size")
     there = between.where(F.col("image") == anchor).select(F.col("other").alias("image"), "band", F.col("mean").alias("am"), F.col("std").alias("as"))
-    scale = F.col("as") / F.col("s")
-    found = own.join(there, ["image", "band"]).where("size > 0 and s > 0").select("image", "band", scale.alias("scale"), (F.col("am") - scale * F.col("m")).alias("offset"))
+    scale = F.when(F.col("s") > 0, F.col("as") / F.nullif(F.col("s"), F.lit(0.0))).when(F.col("as") > 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    found = own.join(there, ["image", "band"]).where("size > 0 and s > 0" if keep_undetermined else "size > 0").select("image", "band", scale.alias("scale"), (F.col("am") - scale * F.col("m")).alias("offset"))
     every = scenes.select("image").join(between.select("band").distinct())
     return every.join(found, ["image", "band"], "left").select("image", "band", F.coalesce("scale", F.lit(1.0)).alias("scale"), F.coalesce("offset", F.lit(0.0)).alias("offset"))
 

@@ -535,3 +535,17 @@ def test_clipped_areas_equal_those_of_a_geometry_library(spark):
     # a comb of three teeth comes in three pieces
     comb = [[(0, 0), (5, 0), (5, 4), (4, 4), (4, 1), (3, 1), (3, 4), (2, 4), (2, 1), (1, 1), (1, 4), (0, 4), (0, 0)]]
     assert len(clipping.shared(comb, box(0, 2, 5))) == 3 and sum(map(area, clipping.shared(comb, box(-1, -1, 9)))) == area(comb[0])
+
+
+def test_constant_bands_stay_or_are_undetermined(spark):
+    """A constant band has no ratio of deviations: NaN where that is asked for, for images that the anchor reaches alone."""
+    rng = np.random.default_rng(5)
+    flat, free = np.full((4, 8), 0.1), rng.random((3, 4, 8))
+    r = raster(spark, {name: (np.stack([flat, free[k]]), x, 4, 1) for k, (name, x) in enumerate({"A": 0, "N": 4, "R": 50}.items())})
+    closed = lambda **how: {(x.image, x.band): (x.scale, x.offset) for x in regression.anchored(stats.overlap(r), r.scenes, "A", **how).collect()}
+    solved = lambda anchors, **how: {(x.image, x.band): (x.scale, x.offset) for x in regression.parameters(r, anchors, **how)[0].collect()}
+    for keep in (True, False):
+        for found in (closed(keep_undetermined=keep), solved(regression.Anchors("include", ("A",)), keep_undetermined=keep), solved(regression.Anchors("exclude", ("N", "R")), keep_undetermined=keep)):
+            assert found["A", "b1"] == pytest.approx((1, 0)) and found["R", "b1"] == (1, 0)
+            assert found["N", "b1"] == pytest.approx((1, 0)) if keep else all(map(math.isnan, found["N", "b1"]))
+            assert all(map(math.isfinite, found["N", "b2"]))
