@@ -10,6 +10,7 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pixelloom.functions.expressions import bands_of, to_column
 from pixelloom.model import Rasters
 from pixelloom.operators import boxes, grid, spans
 from pixelloom.operators.clipping import shared
-from pixelloom.operators.components import components, saved, spread, tile_components
+from pixelloom.operators.components import by_groups, components, saved, tile_components
 from pixelloom.operators.overlay import traced
 from pixelloom.operators.rowwise import mapped
 
@@ -185,11 +186,12 @@ def outlines(regions: DataFrame) -> DataFrame:
     key = [F.least("r1", "r2").alias("_r"), F.least("c1", "c2").alias("_c"), (F.col("r1") == F.col("r2")).alias("_h")]
     edge = unit.groupBy("image", "crow", "ccol", *key).agg(F.count("*").alias("n"), *(F.min(x).alias(x) for x in ("r1", "c1", "r2", "c2"))).where("n = 1")
 
-    def trace(part: pd.DataFrame) -> pd.DataFrame:
-        rings = traced(list(zip(part.r1.tolist(), part.c1.tolist(), part.r2.tolist(), part.c2.tolist(), strict=True)))
-        return pd.DataFrame({"image": [part.image.iloc[0]], "crow": [part.crow.iloc[0]], "ccol": [part.ccol.iloc[0]], "corners": [[[{"r": a, "c": b} for a, b in ring] for ring in rings]]})
+    def trace(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        first, sides = rows.iloc[bounds[:-1]], list(zip(rows.r1.tolist(), rows.c1.tolist(), rows.r2.tolist(), rows.c2.tolist(), strict=True))
+        corners = [[[{"r": a, "c": b} for a, b in ring] for ring in traced(sides[i:j])] for i, j in zip(bounds, bounds[1:], strict=False)]
+        return pd.DataFrame({"image": first.image.to_numpy(), "crow": first.crow.to_numpy(), "ccol": first.ccol.to_numpy(), "corners": corners})
 
-    return spread(edge, "image", "crow", "ccol").groupBy("image", "crow", "ccol").applyInPandas(trace, "image string, crow int, ccol int, corners array<array<struct<r:int,c:int>>>")
+    return by_groups(edge, ["image", "crow", "ccol"], trace, "image string, crow int, ccol int, corners array<array<struct<r:int,c:int>>>")
 
 
 def placed(outlined: DataFrame, scenes: DataFrame) -> DataFrame:

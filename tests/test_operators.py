@@ -549,3 +549,24 @@ def test_constant_bands_stay_or_are_undetermined(spark):
             assert found["A", "b1"] == pytest.approx((1, 0)) and found["R", "b1"] == (1, 0)
             assert found["N", "b1"] == pytest.approx((1, 0)) if keep else all(map(math.isnan, found["N", "b1"]))
             assert all(map(math.isfinite, found["N", "b2"]))
+
+
+def test_small_groups_share_a_python_call_and_stay_whole(spark):
+    """Groups over several Arrow batches come whole, and many small ones in one call."""
+    import pandas as pd
+
+    from pixelloom.operators.components import by_groups
+
+    def run(rows, bounds):
+        first = rows.iloc[bounds[:-1]]
+        return pd.DataFrame({"image": first.image.to_numpy(), "k": first.k.to_numpy(), "n": np.diff(bounds), "total": np.add.reduceat(rows.v.to_numpy(), bounds[:-1]), "calls": len(bounds) - 1})
+
+    rows = spark.range(3000).selectExpr("if(id < 1000, 'large', concat('i', id % 400)) as image", "cast(if(id < 1000, 0, id % 3) as int) as k", "id as v")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")
+    try:
+        found = by_groups(rows, ["image", "k"], run, "image string, k int, n long, total long, calls long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(r.image, r.k): (r.n, r.total) for r in rows.groupBy("image", "k").agg(F.count("*").alias("n"), F.sum("v").alias("total")).collect()}
+    assert len(found) == len(want) and {(r.image, r.k): (r.n, r.total) for r in found} == want
+    assert max(r.calls for r in found) > 10
