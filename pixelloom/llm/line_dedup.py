@@ -18,7 +18,7 @@ pairs of each third by `pairs` hash functions. Scattered edits leave most pairs
 pages that have whole lines in common, but other lines between them, share no more pairs than longer shingles. Connected texts
 are a group, counted by its smallest text alone.
 
-Everything is found by aggregations with partial sums. Recurring templates are broadcast up to a counted `most`; beyond
+Everything is found by aggregations with partial sums. Recurring templates are sent as sorted arrays up to a counted `most`; beyond
 that they are joined, to the keys of texts and then to the texts.
 
 Defined results: null and empty texts stay; blank lines stay, and lines of variable fields alone; a text whose lines all
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import HashedWords, Scratch, mix, tidy
+from pixelloom.llm.common import HashedWords, Scratch, looked_up, mix, release, tidy
 from pixelloom.llm.components import components
 
 _Q = 0xA0761D6478BD642F
@@ -161,10 +161,14 @@ def profile(docs: DataFrame, shape: dict, text_col: str = "text") -> DataFrame:
 
 
 def _joined(rows: DataFrame, few: DataFrame, on: str, how: str, most: int, salts: int = 32, heavy: DataFrame | None = None) -> DataFrame:
-    """rows joined with few, whose key is unique: broadcast up to `most` counted rows, else by a shuffle in which rows of one
-    key are dealt to `salts` tasks. heavy: the few keys with many rows, where they are known; the others are not dealt then."""
-    if few.count() <= most:
+    """rows joined with few, whose key is unique: by a join's broadcast table up to `most` / 10 counted rows, by sorted arrays up to `most`
+    where few is of whole numbers, else by a shuffle in which rows of one key are dealt to `salts` tasks. heavy: the few keys with
+    many rows, where they are known; the others are not dealt then."""
+    n = few.count()
+    if n <= most // 10:
         return rows.join(F.broadcast(few), on, how)
+    if n <= most and how != "left" and all(t in ("int", "bigint") for _, t in few.dtypes):
+        return looked_up(rows, few, on, how)
     if heavy is None:
         dealt = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         return rows.withColumn("_salt", F.floor(F.rand(1) * salts).cast("int")).join(dealt, [on, "_salt"], how).drop("_salt")
@@ -196,7 +200,7 @@ def copies(found: DataFrame, scratch: Scratch, most: int) -> DataFrame:
     pairs = scratch.save("pairs", _joined(flat, groups.drop("n"), "band", "inner", most, heavy=groups.where(F.col("n") > often)).where("mark > low").select("mark", "low").distinct())
     once = found.groupBy("mark").agg(F.first("sketch").alias("sketch"))
     lows = scratch.save("lows", once.join(pairs.select(F.col("low").alias("mark")).distinct(), "mark", "left_semi").withColumnsRenamed({"mark": "low", "sketch": "other"}))
-    both = _joined(pairs.join(once, "mark"), lows, "low", "inner", most // 20, heavy=pairs.groupBy("low").count().where(F.col("count") > often))
+    both = _joined(pairs.join(once, "mark"), lows, "low", "inner", most // 2, heavy=pairs.groupBy("low").count().where(F.col("count") > often))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,6 +299,7 @@ def dedup(docs: DataFrame, most: int = 1_000_000, shape: dict | None = None, tex
     if total <= most:
         keys = often.select("key").toArrow().column("key").to_numpy()
         scratch.drop()
+        release()
         return drop(docs, keys, shape, text_col)
     scratch.keep("texts", "templates")
     return drop_joined(docs, docs.sparkSession.read.parquet(scratch.path("texts")), often, scratch, most, shape, text_col)

@@ -31,9 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from pixelloom.llm.common import Scratch, tidy
+from pixelloom.llm.common import Scratch, looked_up, release, tidy
 from pixelloom.llm.line_dedup import _joined, groups, many, mark_of
 
 #: A row's whole weight: parts of up to 16 equal rows are exact; thresholds bear SLACK for the rounding of others.
@@ -222,34 +221,13 @@ def _words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _looked_up(rows: DataFrame, few: DataFrame, on: str) -> DataFrame:
-    """The rows whose key few has, with few's columns; keys are unique whole numbers. few goes to the tasks as sorted arrays, a few bytes a
-    row: a join's broadcast table takes the driver over a hundred, several times over."""
-    known = few.toArrow().sort_by(on)
-    values = [c for c in few.columns if c != on]
-    sent = rows.sparkSession.sparkContext.broadcast([known.column(c).to_numpy() for c in (on, *values)])
-    at, names = rows.columns.index(on), [*rows.columns, *values]
-    types = [pa.int32() if few.schema[c].dataType.typeName() == "integer" else pa.int64() for c in values]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, *columns = sent.value
-        for batch in batches:
-            own = batch.column(at)
-            place = np.searchsorted(keys, own.fill_null(0).to_numpy())
-            hit = np.append(keys, 0)[place] == own.fill_null(0).to_numpy()
-            hit &= (place < len(keys)) & own.is_valid().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.filter(pa.array(hit)).columns, *(pa.array(c[place[hit]], t) for c, t in zip(columns, types, strict=True))], names)
-
-    return rows.mapInArrow(tidy(run), StructType([*rows.schema.fields, *(few.schema[c] for c in values)]))
-
-
 def _labelled(docs: DataFrame, labels: DataFrame, folds: int, held: int, id_col: str, text_col: str, most: int) -> DataFrame:
     """text, toxic, mark (the text's hash) of every labelled row that is not held out."""
     rows = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.crc32(F.col("doc_id").cast("string")) % folds != held)
     once = rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].alias("doc_id"), text.alias("text"))
-    rows = _looked_up(rows, once, "doc_id") if once.count() <= most else rows.join(once, "doc_id")
+    rows = looked_up(rows, once, "doc_id") if once.count() <= most else rows.join(once, "doc_id")
     return rows.select("text", "toxic", mark_of(F.col("text")).alias("mark"))
 
 
@@ -262,7 +240,7 @@ def _weighted(train: DataFrame, scratch: Scratch, most: int) -> DataFrame:
     weight = F.greatest(F.lit(1), F.round(F.lit(float(ONE)) / F.col("rows"))).cast("long")
     weights = scratch.save("weights", sizes.join(totals, "low").select("mark", weight.alias("weight"), F.col("low").bitwiseAND(1).cast("int").alias("half")))
     if weights.count() <= most:
-        rows = _looked_up(train, weights, "mark")
+        rows = looked_up(train, weights, "mark")
     else:
         rows = _joined(train, weights, "mark", "inner", 0, heavy=sizes.where(F.col("n") > many(train.count())))
     return rows.select("text", "toxic", "weight", "half")
@@ -412,6 +390,7 @@ def learned(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, i
         return Model(weights, chars.train({w: lift * v for w, v in toxic.items()}), beta)
     finally:
         scratch.drop()
+        release()
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -364,6 +364,15 @@ def test_heavy_keys_alone_are_dealt(spark):
         assert len({tuple(sorted(r["at"] for r in x)) for x in found}) == 1
 
 
+def test_many_keys_never_become_a_join_table_of_the_driver(spark):
+    rows = spark.createDataFrame([(k % 50 if k % 7 else None, k) for k in range(300)], "key long, at long")
+    few = spark.createDataFrame([(k, 10 * k) for k in range(0, 60, 3)], "key long, value long")
+    for how in ("inner", "left_semi", "left_anti"):
+        hashed, sent, shuffled = (line_dedup._joined(rows, few, "key", how, most) for most in (200, 100, 0))
+        assert "Join" in hashed._jdf.queryExecution().toString() and "Join" not in sent._jdf.queryExecution().toString()
+        assert sorted(map(tuple, hashed.collect()), key=str) == sorted(map(tuple, sent.collect()), key=str) == sorted(map(tuple, shuffled.collect()), key=str)
+
+
 def test_toxicity_without_labels(spark, docs_of, odd):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     out = toxicity.judged(docs_of(odd), empty).collect()
