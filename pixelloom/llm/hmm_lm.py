@@ -53,41 +53,48 @@ class Counts:
         states' chances after the piece before, and `after` has what the pieces behind say about each piece's last state."""
         if not pieces:
             return
-        k, n, longest, begins = len(model.start), len(pieces), max(map(len, pieces)), np.array(first)
-        at = np.full((longest, n), -1, np.int64)
+        k, n, m, begins = len(model.start), len(pieces), self.emit.shape[1], np.array(first)
+        last = np.array([len(p) for p in pieces]) - 1
+        longest, full = int(last.max()) + 1, int(last.min())
+        at = np.full((longest, n), m, np.int64)
         for i, p in enumerate(pieces):
             at[: len(p), i] = p
-        real = at >= 0
-        last = real.sum(0) - 1
-        emit = model.emit[at]
-        emit[~real] = 1.0
-        forward, scale = np.empty((longest, n, k)), np.empty((longest, n))
+        real = at < m
+        # a step's numbers lie state by state, so that all operations run along the pieces; beyond its end a piece's chances of emission are 1
+        emit, forward, scale = np.empty((longest, k, n)), np.empty((longest, k, n)), np.empty((longest, n))
+        for s in range(k):
+            emit[:, s] = np.append(model.emit[:, s], 1.0)[at]
+        turned = np.ascontiguousarray(model.move.T)
         stay = np.tile(model.start, (n, 1)) if before is None else np.where(begins[:, None], model.start, before @ model.move)
         for t in range(longest):
-            a = (stay if t == 0 else forward[t - 1] @ model.move) * emit[t]
-            scale[t] = a.sum(1)
-            forward[t] = a / scale[t][:, None]
+            np.multiply(stay.T if t == 0 else turned @ forward[t - 1], emit[t], out=forward[t])
+            forward[t].sum(0, out=scale[t])
+            forward[t] /= scale[t]
         self.log += float(np.log(scale[real]).sum())
-        self.n += int(real.sum())
-        ends = np.ones((n, k)) if after is None else after / (forward[last, np.arange(n)] * after).sum(1, keepdims=True)
-        back = np.ones((n, k))
-        turned = model.move.T.copy()
+        self.n += int(last.sum()) + n
+        ends = np.ones((k, n)) if after is None else np.ascontiguousarray((after / (forward[last, :, np.arange(n)] * after).sum(1, keepdims=True)).T)
+        back, steps = np.ones((k, n)), np.zeros((k, k))
+        ending = np.bincount(last, minlength=longest)
         for t in range(longest - 1, -1, -1):
-            here = last == t
-            back[here] = ends[here]
-            gamma = forward[t] * back
-            gamma[~real[t]] = 0.0
-            weighted = back * emit[t] / scale[t][:, None]
+            if ending[t]:
+                here = last == t
+                back[:, here] = ends[:, here]
+            weighted = emit[t]
+            weighted *= back
+            weighted /= scale[t]
+            forward[t] *= back  # what was the forward probability is needed no more
+            if t > full:
+                weighted *= real[t]
             if t:
-                self.move += model.move * (forward[t - 1].T @ (weighted * real[t][:, None]))
-                back = weighted @ turned
+                steps += forward[t - 1] @ weighted.T
+                back = model.move @ weighted
             elif before is not None:
-                self.move += model.move * (before[~begins].T @ weighted[~begins])
-            forward[t] = gamma  # what was the forward probability is needed no more
-        self.start += forward[0][begins].sum(0)
-        flat, gammas = at[real], forward[real]
+                steps += before[~begins].T @ weighted[:, ~begins].T
+        self.move += model.move * steps
+        self.start += forward[0][:, begins].sum(1)
+        flat = at.ravel()
         for s in range(k):
-            self.emit[s] += np.bincount(flat, weights=gammas[:, s], minlength=self.emit.shape[1])
+            self.emit[s] += np.bincount(flat, weights=forward[:, s].ravel(), minlength=m + 1)[:m]
 
     def params(self, base: np.ndarray, weight: float = 20.0) -> Params:
         """Estimates, drawn a little towards the buckets' shares in the corpus."""
@@ -99,20 +106,29 @@ class Counts:
 
 def transfers(pieces: list[np.ndarray], first: list[bool], model: Params) -> np.ndarray:
     """The product of each piece's steps, K x K up to a factor: row vectors of chances before it become those after it."""
-    k = len(model.start)
+    k, n = len(model.start), len(pieces)
     order = np.argsort([-len(p) for p in pieces], kind="stable")
     lengths = np.array([len(pieces[i]) for i in order])
-    at = np.zeros((lengths[0], len(pieces)), np.int64)
+    at = np.zeros((lengths[0], n), np.int64)
     for j, i in enumerate(order):
         at[: lengths[j], j] = pieces[i]
-    found = np.where(np.array(first)[order][:, None, None], np.eye(k), model.move) * model.emit[at[0]][:, None, :]
+    emit, turned = np.empty((lengths[0], k, n)), np.ascontiguousarray(model.move.T)
+    for s in range(k):
+        emit[:, s] = model.emit[:, s][at]
+    # state after, state before, piece: one product of matrices a step
+    found = np.where(np.array(first)[order], np.eye(k)[:, :, None], turned[:, :, None]) * emit[0][:, None, :]
+    ended = np.empty((k, k, n))
     for t in range(1, lengths[0]):
-        n = int(np.searchsorted(-lengths, -t, side="left"))  # how many are longer than t
-        found[:n] = (found[:n].reshape(-1, k) @ model.move).reshape(n, k, k) * model.emit[at[t, :n]][:, None, :]
+        now = int(np.searchsorted(-lengths, -t, side="left"))  # how many are longer than t
+        if now < n:
+            ended[:, :, now:n], found, n = found[:, :, now:], found[:, :, :now], now
+        found = (turned @ found.reshape(k, -1)).reshape(k, k, n)
+        found *= emit[t][:, None, :n]
         if t % 8 == 0:
-            found[:n] /= found[:n].sum((1, 2), keepdims=True)
-    out = np.empty_like(found)
-    out[order] = found / found.sum((1, 2), keepdims=True)
+            found /= found.sum((0, 1))
+    ended[:, :, :n] = found
+    out = np.empty((len(pieces), k, k))
+    out[order] = (ended / ended.sum((0, 1))).transpose(2, 1, 0)
     return out
 
 

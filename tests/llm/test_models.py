@@ -364,6 +364,19 @@ def test_heavy_keys_alone_are_dealt(spark):
         assert len({tuple(sorted(r["at"] for r in x)) for x in found}) == 1
 
 
+def test_transfers_of_pieces_of_any_length():
+    rng = np.random.default_rng(5)
+    p = lambda *shape: (lambda x: x / x.sum(-1, keepdims=True))(rng.random(shape) + 0.01)
+    model = hmm_lm.Params(p(3), p(3, 3), np.ascontiguousarray(p(3, 8).T))
+    pieces = [rng.integers(0, 8, n).astype(np.int32) for n in (1, 30, 2, 2, 17, 1, 30, 9)]
+    first = [i % 3 == 0 for i in range(len(pieces))]
+    for piece, begins, got in zip(pieces, first, hmm_lm.transfers(pieces, first, model), strict=True):
+        want = np.eye(3) if begins else model.move
+        for t, x in enumerate(piece):
+            want = (want @ model.move if t else want) * model.emit[x]
+        assert got == pytest.approx(want / want.sum(), rel=1e-9)
+
+
 def test_many_keys_never_become_a_join_table_of_the_driver(spark):
     rows = spark.createDataFrame([(k % 50 if k % 7 else None, k) for k in range(300)], "key long, at long")
     few = spark.createDataFrame([(k, 10 * k) for k in range(0, 60, 3)], "key long, value long")
