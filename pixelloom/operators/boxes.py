@@ -19,6 +19,15 @@ def _in_cells(df: DataFrame) -> DataFrame:
     return df.withColumn("_x", F.explode(span("left", "right"))).withColumn("_y", F.explode(span("bottom", "top")))
 
 
+#: Rows of one side that a task of a join gets, on average.
+ROWS = 250_000
+
+
+def _dealt(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Tasks by the counted rows: a shuffle's own number goes by its compressed bytes, and cells of a regular grid compress to almost none."""
+    return df if rows <= ROWS else df.repartition(-(-rows // ROWS), *keys)
+
+
 def meeting(a: DataFrame, b: DataFrame, touch: bool = False) -> DataFrame:
     """All columns of both, left, bottom, right and top as x_min, y_min, x_max, y_max of the shared rectangle, for every pair of boxes that
     share an area (or a point, with `touch`). The other columns' names differ.
@@ -27,6 +36,7 @@ def meeting(a: DataFrame, b: DataFrame, touch: bool = False) -> DataFrame:
     other table has. A pair is reported in the cell of its shared rectangle's lower left corner alone. No nested loop, and no
     box is copied more often than there are sizes."""
     a, b = _level(a), _level(b)
+    of_a, of_b = ({r["_level"]: r["count"] for r in df.groupBy("_level").count().collect()} for df in (a, b))  # as many as powers of two
     box = ("left", "bottom", "right", "top")
 
     def side(df: DataFrame, name: str) -> DataFrame:
@@ -35,13 +45,19 @@ def meeting(a: DataFrame, b: DataFrame, touch: bool = False) -> DataFrame:
     def large(df: DataFrame, name: str) -> DataFrame:
         return side(_in_cells(df.withColumn("_at", F.col("_level"))), name)
 
-    def probes(df: DataFrame, name: str, other: DataFrame, same: bool) -> DataFrame:
-        sizes = F.array(*(F.lit(r["_level"]) for r in other.select("_level").distinct().orderBy("_level").collect())).cast("array<int>")  # as many as powers of two
+    def probes(df: DataFrame, name: str, other: dict[int, int], same: bool) -> DataFrame:
+        sizes = F.array(*(F.lit(x) for x in sorted(other))).cast("array<int>")
         wanted = F.filter(sizes, lambda x: x >= F.col("_level") if same else x > F.col("_level"))
         return side(_in_cells(df.withColumn("_at", F.explode(wanted))), name)
 
+    def most(own: dict[int, int], other: dict[int, int], same: bool) -> int:
+        """Rows of the larger side, each box in four cells of a size at most."""
+        return 4 * max(sum(other.values()), sum(n * sum(x > level or (same and x == level) for x in other) for level, n in own.items()))
+
     keys, size = ["_at", "_x", "_y"], F.pow(F.lit(2.0), F.col("_at"))
-    both = large(a, "a").join(probes(b, "b", a, True), keys).unionByName(probes(a, "a", b, False).join(large(b, "b"), keys))
+    into_a, into_b = most(of_b, of_a, True), most(of_a, of_b, False)
+    both = _dealt(large(a, "a"), keys, into_a).join(_dealt(probes(b, "b", of_a, True), keys, into_a), keys)
+    both = both.unionByName(_dealt(probes(a, "a", of_b, False), keys, into_b).join(_dealt(large(b, "b"), keys, into_b), keys))
     low = lambda c: F.greatest(f"_a_{c}", f"_b_{c}")
     high = lambda c: F.least(f"_a_{c}", f"_b_{c}")
     less = (lambda x, y: x <= y) if touch else (lambda x, y: x < y)

@@ -39,23 +39,24 @@ def tile_table(scenes: DataFrame, window_size: int | tuple[int, int] | None) ->
     return both.select("image", "tile_row", "tile_col", row_off.alias("row_off"), col_off.alias("col_off"), F.least(h, F.col("height") - row_off).cast("int").alias("rows"), F.least(w, F.col("width") - col_off).cast("int").alias("cols"))
 
 
-def bounds(scenes: DataFrame) -> DataFrame:
-    """image, ord, left, bottom, right, top."""
-    return scenes.select("image", "ord", F.col("x0").alias("left"), (F.col("y0") - F.col("height") * F.col("res_y")).alias("bottom"), (F.col("x0") + F.col("width") * F.col("res_x")).alias("right"), F.col("y0").alias("top"))
+def bounds(scenes: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """image, ord, left, bottom, right, top, and `more` columns."""
+    return scenes.select("image", "ord", *more, F.col("x0").alias("left"), (F.col("y0") - F.col("height") * F.col("res_y")).alias("bottom"), (F.col("x0") + F.col("width") * F.col("res_x")).alias("right"), F.col("y0").alias("top"))
 
 
-def overlaps(scenes: DataFrame) -> DataFrame:
-    """image_i, image_j (by name, i < j) and the rectangle they share; touching edges do not count. An equi-join of grid cells."""
-    b = bounds(scenes).drop("ord")
-    return boxes.meeting(b.withColumnRenamed("image", "image_i"), b.withColumnRenamed("image", "image_j")).where("image_i < image_j")
+def overlaps(scenes: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """image_i, image_j (by name, i < j), the rectangle they share, and `more` of the columns of image i; touching edges do not count. An
+    equi-join of grid cells."""
+    one, other = bounds(scenes, more).drop("ord"), bounds(scenes).drop("ord")
+    return boxes.meeting(one.withColumnRenamed("image", "image_i"), other.withColumnRenamed("image", "image_j")).where("image_i < image_j")
 
 
 def overlap_windows(scenes: DataFrame) -> DataFrame:
     """The rows and columns of image i that the shared rectangle covers, ends exclusive."""
-    s = scenes.withColumnRenamed("image", "image_i")
     col = lambda x: F.floor((x - F.col("x0")) / F.col("res_x")).cast("int")
     row = lambda y: F.floor((F.col("y0") - y) / F.col("res_y")).cast("int")
-    return overlaps(scenes).join(s, "image_i").select("image_i", "image_j", row(F.col("y_max")).alias("row_min"), row(F.col("y_min")).alias("row_max"), col(F.col("x_min")).alias("col_min"), col(F.col("x_max")).alias("col_max"))
+    found = overlaps(scenes, ("x0", "y0", "res_x", "res_y"))
+    return found.select("image_i", "image_j", row(F.col("y_max")).alias("row_min"), row(F.col("y_min")).alias("row_max"), col(F.col("x_min")).alias("col_min"), col(F.col("x_max")).alias("col_max"))
 
 
 def extent(scenes: DataFrame) -> DataFrame:

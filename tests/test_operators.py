@@ -570,3 +570,16 @@ def test_small_groups_share_a_python_call_and_stay_whole(spark):
     want = {(r.image, r.k): (r.n, r.total) for r in rows.groupBy("image", "k").agg(F.count("*").alias("n"), F.sum("v").alias("total")).collect()}
     assert len(found) == len(want) and {(r.image, r.k): (r.n, r.total) for r in found} == want
     assert max(r.calls for r in found) > 10
+
+
+def test_boxes_are_dealt_by_their_counted_rows(spark, monkeypatch):
+    from pixelloom.operators import boxes
+
+    rows = [(k, float(k % 20), float(k // 20), k % 20 + 1.5 + k % 3, k // 20 + 1.5) for k in range(200)]
+    a, b = (spark.createDataFrame(rows, f"{n} long, left double, bottom double, right double, top double") for n in ("i", "j"))
+    plain = sorted(map(tuple, boxes.meeting(a, b).collect()))
+    monkeypatch.setattr(boxes, "ROWS", 100)
+    dealt = boxes.meeting(a, b)
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, dealt.collect())) == plain
+    assert {x[:2] for x in plain} == {(p[0], q[0]) for p in rows for q in rows if p[1] < q[3] and q[1] < p[3] and p[2] < q[4] and q[2] < p[4]}
