@@ -54,7 +54,7 @@ class Lines(HashedWords):
     """The template keys of the lines of many texts, and the sketches of the texts."""
 
     def __init__(self, lead: int, parts: int, long_from: int, short_to: int, bands: int, shingle: int, pairs: int):
-        super().__init__()
+        super().__init__(block=250_000)  # arrays of a block take up to a hundred bytes for each of its bytes
         self.lead, self.parts, self.long_from, self.short_to, self.bands, self.shingle, self.pairs = lead, parts, long_from, short_to, bands, shingle, pairs
         self.rise = self.fall = np.empty(0, np.uint64)
 

@@ -239,11 +239,15 @@ def _weighted(train: DataFrame, scratch: Scratch, most: int) -> DataFrame:
     totals = sizes.groupBy("low").agg(F.sum("n").alias("rows"))
     weight = F.greatest(F.lit(1), F.round(F.lit(float(ONE)) / F.col("rows"))).cast("long")
     weights = scratch.save("weights", sizes.join(totals, "low").select("mark", weight.alias("weight"), F.col("low").bitwiseAND(1).cast("int").alias("half")))
+    scratch.keep("train", "sizes", "weights")
     if weights.count() <= most:
         rows = looked_up(train, weights, "mark")
     else:
         rows = _joined(train, weights, "mark", "inner", 0, heavy=sizes.where(F.col("n") > many(train.count())))
-    return rows.select("text", "toxic", "weight", "half")
+    # kept as a table: Python steps on top of one another have a worker process each, which live on in all later stages
+    rows = scratch.save("rows", rows.select("text", "toxic", "weight", "half"))
+    scratch.drop("train")
+    return rows
 
 
 def _counts(rows: DataFrame, most: int = 100_000) -> DataFrame:

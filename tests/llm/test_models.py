@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -355,6 +356,36 @@ def test_labels_and_weights_never_become_join_tables_of_the_driver(spark, docs_o
     assert toxicity._labelled(docs, none, 5, 0, "doc_id", "text", 10).count() == 0
 
 
+def test_stages_of_learning_have_one_python_step(spark, docs_of, labelled, monkeypatch):
+    """Each Python step of a stage has worker processes of its own, which stay in memory for all later stages."""
+    plans = {}
+    for name in ("_counts", "_evidence"):
+
+        def seen(*args, name=name, real=getattr(toxicity, name)):
+            out = real(*args)
+            plans[name] = out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+            return out
+
+        monkeypatch.setattr(toxicity, name, seen)
+    rows, labels = labelled
+    assert toxicity.learned(docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int")).weights
+    assert plans == {"_counts": 1, "_evidence": 1}
+
+
+def test_lines_are_read_in_small_blocks(prose):
+    """What a worker holds at once while it reads lines, and that blocks change nothing."""
+    texts = pa.array([prose(400, i) for i in range(100)] * 15)
+    reader, whole = line_dedup.Lines(**line_dedup._SHAPE), line_dedup.Lines(**line_dedup._SHAPE)
+    whole.block = texts.nbytes + 1
+    tracemalloc.start()
+    parts = [(keys, *sketches) for *_, keys, sketches in reader.of(texts, sketched=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    ((*_, keys, sketches),) = whole.of(texts, sketched=True)
+    assert all((np.concatenate(got) == want).all() for got, want in zip(zip(*parts, strict=True), (keys, *sketches), strict=True))
+    assert peak < 50e6
+
+
 def test_heavy_keys_alone_are_dealt(spark):
     rows = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(300)], "key long, at long")
     few = spark.createDataFrame([(k, 10 * k) for k in range(5)], "key long, value long")
