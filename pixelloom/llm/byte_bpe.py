@@ -3,7 +3,8 @@
 Every byte is mapped to one printable character, so each vocabulary entry becomes a sentencepiece piece; a piece's
 score is its negative rank, so sentencepiece merges in rank order, leftmost first, as byte-level BPE does. The
 normaliser is the identity. Text is cut into pre-tokens by a pattern; every pre-token is encoded on its own. Decoding
-maps ids back to bytes.
+maps ids back to bytes. Most of the time goes by the pre-token, repeated or new: a repeated one costs a lookup and a share of a
+join, a new one its call of the model and slices of arrays.
 
 Defined results: null and empty texts have no ids, the sha256 of the empty string twice. Texts of any length are
 processed whole. Repeated rows give repeated results. Extra columns are dropped by `digest` and kept by `encode`
@@ -13,8 +14,11 @@ callers that select them.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
+import re
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -75,13 +79,41 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
     return b"".join(_field(1, p) for p in pieces) + _field(2, trainer) + _field(3, normaliser)
 
 
+_CLASS = r"\\[pP]\{\w+\}|\\[sS]"
+_ESCAPE = r"\\[^\w\s]|\\[rnt]"
+_SET = rf"\[\^?(?:{_CLASS}|{_ESCAPE}|[^\\\[\]^-](?:-[^\\\[\]-])?)+\]"
+#: What `re` and `regex` read alike, but for the classes: literals, sets, groups, lookaheads and repeats.
+_ALIKE = re.compile(rf"(?:{_SET}|{_CLASS}|{_ESCAPE}|\((?:\?[:!=]|(?!\?))|\{{\d+,?\d*\}}|[^\\\[\](){{}}]|\))*")
+
+
+@functools.cache
+def narrowed(pattern: str, limit: int) -> re.Pattern | None:
+    """The pattern for texts of code points below limit, with `regex`'s classes written out, for Python's `re`: that reads a
+    set of few code points from a small table. None where the two might differ."""
+    if not _ALIKE.fullmatch(pattern):
+        return None
+    characters = "".join(map(chr, range(limit)))
+
+    def members(name: re.Match) -> str:
+        runs = [m.span() for m in regex.finditer(f"(?:{name[0]})+", characters)] or [(limit, limit + 1)]  # one that never comes
+        return "".join(f"\\U{i:08x}-\\U{j - 1:08x}" for i, j in runs)
+
+    def part(m: re.Match) -> str:
+        if m[0][0] == "[":
+            return re.sub(rf"{_ESCAPE}|({_CLASS})", lambda x: members(x) if x[1] else x[0], m[0])
+        return f"[{members(m)}]" if m[1] else m[0]
+
+    return re.compile(re.sub(rf"{_ESCAPE}|({_CLASS})|{_SET}", part, pattern))
+
+
 class ByteBpe:
-    """Encoder and decoder. What pre-tokens become is remembered: the ids as text, and as 32-bit integers."""
+    """Encoder and decoder. What pre-tokens become is remembered: the ids as 32-bit integers."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 90_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 140_000):
         self.pattern = regex.compile(pattern)
-        self.to_chars = "".join(byte_characters())
-        self.ids = [rank for _, rank in sorted(ranks.items(), key=lambda x: x[1])]  # of piece i+1
+        self.ascii, self.latin, self.plane = (narrowed(pattern, limit) or self.pattern for limit in (0x80, 0x100, 0x10000))
+        self.chars = np.array([ord(c) for c in byte_characters()], "<u4")
+        self.ids = np.array([-1, *sorted(ranks.values())], np.int32)  # of each piece
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
         # the bytes of all ids one after the other, where each begins and how many it has
@@ -89,17 +121,29 @@ class ByteBpe:
         self.sizes = np.array([len(self.bytes_of.get(i, b"")) for i in range(many)], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(many)), np.uint8)
+        self.names = np.array([f"{i} " for i in range(many)], "S")
         self.ranks, self.known = ranks, Generations(self._entries, most)
 
-    def _pieces(self, pre_tokens: list[str]) -> list[list[int]]:
+    def pre_tokens(self, text: str) -> list[str]:
+        """All matches of the pattern."""
+        if text.isascii():
+            return self.ascii.findall(text)
+        try:
+            text.encode("latin-1")
+            return self.latin.findall(text)
+        except UnicodeEncodeError:
+            return (self.plane if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else self.pattern).findall(text)
+
+    def _entries(self, pre_tokens: list[str]) -> list[bytes]:
         raw = [t.encode("utf-8", "surrogatepass") for t in pre_tokens]
-        mapped = [r.decode("latin-1").translate(self.to_chars) for r in raw]
-        out = self.model.encode(mapped, num_threads=1)
         # a pre-token that is a token stays one, reachable by merges or not
-        return [[self.ranks[r]] if r in self.ranks else [self.ids[p - 1] for p in ps] for r, ps in zip(raw, out, strict=True)]
-
-    def _entries(self, pre_tokens: list[str]) -> list[tuple[str, bytes]]:
-        return [(" ".join(map(str, ids)), np.array(ids, np.int32).tobytes()) for ids in self._pieces(pre_tokens)]
+        whole = list(map(self.ranks.get, raw))
+        rest = [r for r, i in zip(raw, whole, strict=True) if i is None]
+        mapped = self.chars[np.frombuffer(b"".join(rest), np.uint8)].tobytes().decode("utf-32-le")
+        pieces = self.model.encode([mapped[i:j] for i, j in pairwise(accumulate(map(len, rest), initial=0))], num_threads=1)
+        ids = self.ids[np.fromiter(chain.from_iterable(pieces), np.int32)].tobytes()
+        made = (ids[4 * i : 4 * j] for i, j in pairwise(accumulate(map(len, pieces), initial=0)))
+        return [next(made) if i is None else np.int32(i).tobytes() for i in whole]
 
     def forget(self) -> None:
         """At the end of a task: a worker process lives on in other stages, which need the memory."""
@@ -116,25 +160,24 @@ class ByteBpe:
         places += np.arange(len(places))
         return self.flat[places].tobytes()
 
-    def entries(self, texts: list[str | None], block: int = 1_000_000) -> Iterator[list[tuple[str, bytes]]]:
-        """The entries of each text's pre-tokens. Blocks of about a million characters bound what is held at once."""
+    def written(self, ids: np.ndarray) -> bytes:
+        """The ids in decimal, joined by spaces."""
+        return self.names[ids].tobytes().translate(None, b"\0")[:-1]
+
+    def arrays(self, texts: list[str | None], block: int = 1_000_000) -> Iterator[np.ndarray]:
+        """The ids of each text. Blocks of about a million characters bound what is held at once."""
         held, size = [], 0
         for i, text in enumerate(texts):
-            held.append(self.pattern.findall(text or ""))
+            held.append(self.pre_tokens(text or ""))
             size += len(text or "")
             if size >= block or i == len(texts) - 1:
                 known = self.known.ensure(set().union(*held))
                 for pre_tokens in held:
-                    yield list(map(known.__getitem__, pre_tokens))
+                    yield np.frombuffer(b"".join(map(known.__getitem__, pre_tokens)), np.int32)
                 held, size = [], 0
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for found in self.entries([text]) for i in _ids(found).tolist()]
-
-
-def _ids(found: list[tuple[str, bytes]]) -> np.ndarray:
-    """The ids of a text from the entries of its pre-tokens."""
-    return np.frombuffer(b"".join([e[1] for e in found]), np.int32)
+        return next(self.arrays([text])).tolist()
 
 
 _BUILT: dict = {}
@@ -155,9 +198,8 @@ def digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for batch in batches:
             rows = []
             texts = batch.column(1).to_pylist()
-            for doc_id, found in zip(batch.column(0).to_pylist(), coder.entries(texts), strict=True):
-                ids, written = _ids(found), " ".join([e[0] for e in found])
-                rows.append((doc_id, len(ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(coder.decode_array(ids)).hexdigest()))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.arrays(texts), strict=True):
+                rows.append((doc_id, len(ids), hashlib.sha256(coder.written(ids)).hexdigest(), hashlib.sha256(coder.decode_array(ids)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(4)], schema=schema)
         coder.forget()
 
@@ -178,8 +220,7 @@ def encoded_rows(docs: DataFrame, path: str, pattern: str, text_col: str = "text
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 texts, rows = part.column(at).to_pylist(), []
-                for text, found in zip(texts, coder.entries(texts), strict=True):
-                    ids = _ids(found)
+                for text, ids in zip(texts, coder.arrays(texts), strict=True):
                     rows.append((len(ids), ids, coder.decode_array(ids) == (text or "").encode("utf-8", "surrogatepass")))
                 columns = [c for k, c in enumerate(part.columns) if k != at]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.bool_())], [*(f.name for f in others), "n_tokens", "ids", "round_trip"])
