@@ -16,25 +16,19 @@ from pixelloom.model import Rasters
 from pixelloom.operators import boxes, overlay, voronoi
 from pixelloom.operators.components import saved, spread
 from pixelloom.operators.overlay import Ring
+from pixelloom.operators.regions import largest_outlines
 from pixelloom.operators.rowwise import mapped
-from pixelloom.operators.vector import connected, outlines, placed
+from pixelloom.operators.vector import placed
 from pixelloom.operators.voronoi import Point
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 LINE = "array<struct<x:double,y:double>>"
 
 
-def largest(r: Rasters, tile: int = 256) -> DataFrame:
-    """image, prow, pcol, crow, ccol of each image's largest region with a valid first band; of equal ones the one whose smallest cell comes first."""
-    cells = connected(r.pixels.where(F.col(r.bands[0]).isNotNull()).select("image", "prow", "pcol"), tile)
-    sizes = cells.groupBy("image", "crow", "ccol").count()
-    best = sizes.groupBy("image").agg(F.max(F.struct("count", (-F.col("crow")).alias("r"), (-F.col("ccol")).alias("c"))).alias("m")).select("image", (-F.col("m.r")).alias("crow"), (-F.col("m.c")).alias("ccol"))
-    return cells.join(best, ["image", "crow", "ccol"], "left_semi").select("image", "prow", "pcol", "crow", "ccol")
-
-
-def footprints(r: Rasters) -> DataFrame:
-    """image, ord, rings of every image. ValueError where one has no valid pixel."""
-    out = saved(placed(outlines(largest(r)), r.scenes).select("image", "ord", "rings"))
+def footprints(r: Rasters, tile: int = 256) -> DataFrame:
+    """image, ord, rings of every image's largest region with a valid first band. ValueError where one has no valid pixel."""
+    cells = r.pixels.where(F.col(r.bands[0]).isNotNull()).select("image", "prow", "pcol")
+    out = saved(placed(largest_outlines(cells, tile), r.scenes).select("image", "ord", "rings"))
     missing = r.scenes.join(out, "image", "left_anti").select("image").first()
     if missing:
         raise ValueError(f"{missing['image']} has no valid pixel")

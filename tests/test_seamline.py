@@ -10,7 +10,7 @@ from jts import Jts
 from pyspark.sql import functions as F
 from test_operators import raster
 
-from pixelloom.operators import overlay, seamline, voronoi
+from pixelloom.operators import overlay, regions, seamline, vector, voronoi
 
 
 def mask(r, height, width, holes):
@@ -174,3 +174,37 @@ def test_three_images_share_their_union(spark):
     assert sizes == pytest.approx({"a": 750, "b": 600, "c": 750, "far": 25}, abs=30)  # the seam's ends lean to one side
     assert sorted(x.pair for x in cuts.select("pair").distinct().collect()) == ["a-b", "b-c"]
     assert cuts.groupBy("pair").agg(F.max("pos") + 1 == F.count("*")).collect()[0][1]
+
+
+def shuffled(spark):
+    """Records written by all shuffles so far."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_footprints_shuffle_outlines_and_not_cells(spark):
+    r = raster(spark, {f"i{k}": (np.ones((40, 50)), 100.0 * k, 40, 1) for k in range(20)})
+    cells = r.pixels.count()
+    before = shuffled(spark)
+    assert seamline.footprints(r).count() == 20
+    assert shuffled(spark) - before < cells / 20
+
+
+@pytest.mark.parametrize("tile", [5, 64])
+def test_largest_regions_equal_those_of_cells(spark, tile):
+    g = np.random.default_rng(7)
+    images = {f"i{k}": (np.where(g.random((int(g.integers(3, 23)), int(g.integers(3, 23)))) < 0.35 + 0.07 * (k % 9), 1.0, math.nan), 0.0, 30.0, 1) for k in range(36)}
+    images["whole"] = np.ones((13, 17)), 0.0, 30.0, 1
+    images["tie"] = [[1.0, math.nan, 1.0], [1.0, math.nan, 1.0]], 0.0, 30.0, 1
+    images["on lines"] = np.ones((10, 5)), 0.0, 30.0, 1
+    r = raster(spark, images)
+    cells = r.pixels.select("image", "prow", "pcol").orderBy(F.rand(5))
+    every = vector.connected(cells, 256)
+    found = {x.image: x for x in regions.largest_outlines(cells, tile).collect()}
+    assert len(found) == len(images)
+    sizes = {(x.image, x.crow, x.ccol): x["count"] for x in every.groupBy("image", "crow", "ccol").count().collect()}
+    outlines = {(x.image, x.crow, x.ccol): x.corners for x in vector.outlines(every).collect()}
+    for name, x in found.items():
+        best = max((k for k in sizes if k[0] == name), key=lambda k: (sizes[k], -k[1], -k[2]))
+        assert (name, x.crow, x.ccol) == best and sorted(x.corners) == sorted(outlines[best])
