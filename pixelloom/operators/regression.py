@@ -112,12 +112,16 @@ def solved(rows: DataFrame, most_dense: int = 100, most_edges: int = 1_000_000)
 
 
 def undetermined(rows: DataFrame) -> DataFrame:
-    """image, band of the images, no anchors, whose overlaps with anchors have no deviation and one mean, up to rounding: any scale fits
-    them with some offset."""
-    side = lambda x: rows.where("b IS NOT NULL AND w > 0").select(F.col(x).alias("image"), "band", F.col(f"mean_{x}").alias("mean"), F.col(f"std_{x}").alias("std"))
-    others = side("a").unionByName(side("b")).join(rows.where("b IS NULL").select(F.col("a").alias("image"), "band"), ["image", "band"], "left_anti")
+    """image, band of the images whose constraints have no deviation and one mean, up to rounding: any scale fits them with some offset.
+    An anchor that overlaps no other anchor is not among them: it stays as it is, and the others follow it."""
+    pairs, own = rows.where("b IS NOT NULL AND w > 0"), rows.where("b IS NULL")
+    side = lambda df, x: df.select(F.col(x).alias("image"), "band", F.col(f"mean_{x}").alias("mean"), F.col(f"std_{x}").alias("std"))
+    anchors = own.select("band", F.col("a").alias("image"))
+    bound = pairs.join(anchors.withColumnRenamed("image", "a"), ["a", "band"], "left_semi").join(anchors.withColumnRenamed("image", "b"), ["b", "band"], "left_semi").select("band", F.explode(F.array("a", "b")).alias("image"))
+    alone = anchors.join(bound, ["image", "band"], "left_anti")
+    every = side(pairs, "a").unionByName(side(pairs, "b")).unionByName(side(own, "a")).join(alone, ["image", "band"], "left_anti")
     noise = F.lit(1e-12) * F.max(F.abs("mean"))
-    sums = others.groupBy("image", "band").agg(((F.max("std") <= noise) & (F.max("mean") - F.min("mean") <= noise)).alias("_open"))
+    sums = every.groupBy("image", "band").agg(((F.max("std") <= noise) & (F.max("mean") - F.min("mean") <= noise)).alias("_open"))
     return sums.where("_open").select("image", "band")
 
 

@@ -551,6 +551,18 @@ def test_constant_bands_stay_or_are_undetermined(spark):
             assert all(map(math.isfinite, found["N", "b2"]))
 
 
+def test_constant_anchors_that_overlap_are_undetermined(spark):
+    """Where all are anchors, a constant band leaves them all open; one constant image leaves the others determined."""
+    rng = np.random.default_rng(6)
+    flat, free = np.full((4, 8), 0.1), rng.random((4, 4, 8))
+    r = raster(spark, {name: (np.stack([flat, free[k], flat if name == "N" else free[3]]), x, 4, 1) for k, (name, x) in enumerate({"A": 0, "N": 4, "R": 8}.items())})
+    for keep in (True, False):
+        found = {(x.image, x.band): (x.scale, x.offset) for x in regression.parameters(r, keep_undetermined=keep)[0].collect()}
+        for (image, band), x in found.items():
+            assert all(map(math.isnan, x)) if not keep and (band == "b1" or (image, band) == ("N", "b3")) else all(map(math.isfinite, x))
+            assert x == pytest.approx((1, 0)) or band != "b1" or not keep
+
+
 def test_small_groups_share_a_python_call_and_stay_whole(spark):
     """Groups over several Arrow batches come whole, and many small ones in one call."""
     import pandas as pd

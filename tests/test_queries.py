@@ -41,3 +41,14 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_full_params_of_a_constant_band_equal_sql(spark, sf, tmp_path):
+    """Half is exact, so the SQL's pivot is 0 whatever the order of its sums, and no rounding error."""
+    c = duckdb.connect()
+    c.execute(f"create view lineitem as select * replace (0.5e0 as l_discount) from '{sf}/lineitem.parquet'")
+    c.execute(f"copy lineitem to '{tmp_path}/lineitem.parquet' (format parquet)")
+    df = plans.queries()["global_full_params"](spark, str(tmp_path))
+    found = c.execute(plans.oracle_sql()["global_full_params"])
+    want = plain(found.fetchall(), [d[0] for d in found.description])
+    assert plain(df.collect(), df.columns) == want and sum("nan" in row for row in want) == 3
