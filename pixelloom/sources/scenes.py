@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.model import Rasters, scenes_of
+from pixelloom.operators.components import spread
 
 #: image, order, left and upper edge in units of half a scene
 PLACES = (("A", 0, 0.0, 1.0), ("N", 1, 0.5, 1.0), ("R", 2, 0.25, 1.5))
@@ -55,7 +56,8 @@ def neighbours(spark: SparkSession, sf_dir: str) -> Rasters:
         ((F.col("key") % 1000) * 64 + F.col("right") * (F.col("width") - F.col("common"))).cast("double").alias("x0"), (F.floor(F.col("key") / 1000) * 64).cast("double").alias("y0"),
         F.lit(1.0).alias("res_x"), F.lit(1.0).alias("res_y"), "width", "height", F.lit("float64").alias("dtype"), F.lit(None).cast("double").alias("nodata"), F.lit("EPSG:3857").alias("crs"),
     )
-    rows = cat.select("image", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("prow"))
+    # a few megabytes of parts are hundreds of millions of pixels: their bytes would ask for too few tasks
+    rows = spread(cat.select("image", "width", "height"), "image").select("image", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("prow"))
     return Rasters(rows.select("image", "prow", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("pcol"), F.lit(1.0).alias("b1")), cat, ("b1",))
 
 

@@ -208,3 +208,19 @@ def test_largest_regions_equal_those_of_cells(spark, tile):
     for name, x in found.items():
         best = max((k for k in sizes if k[0] == name), key=lambda k: (sizes[k], -k[1], -k[2]))
         assert (name, x.crow, x.ccol) == best and sorted(x.corners) == sorted(outlines[best])
+
+
+def test_like_geometries_are_triangulated_and_cut_once(monkeypatch):
+    """Pairs that differ in their place alone share the work on the lattice, with the results of each by itself."""
+    calls = []
+    triangles, pieces = voronoi.Triangles, overlay.pieces
+    monkeypatch.setattr(voronoi, "Triangles", lambda points: calls.append("triangles") or triangles(points))
+    monkeypatch.setattr(overlay, "pieces", lambda *how: calls.append("pieces") or pieces(*how))
+    boxed = lambda x: [[(x, 0.0), (x + 12.0, 0.0), (x + 12.0, -19.0), (x, -19.0), (x, 0.0)]]
+    seams = []
+    for k in range(20):
+        a, b = boxed(64.0 * k), boxed(64.0 * k + 9)
+        line = seamline.center_line(a, b, 1, 0)
+        seams.append([[(x - 64.0 * k, y) for x, y in ring] for ring in (line, *overlay.kept(a, [line]), *overlay.kept(b, [line]))])
+    assert all(np.allclose(np.array(p), np.array(q)) for s in seams for p, q in zip(s, seams[0], strict=True))
+    assert calls.count("triangles") <= 1 and calls.count("pieces") <= 2
